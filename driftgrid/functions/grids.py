@@ -1,7 +1,10 @@
-"""Numpy helpers used inside tasks on one tile (never on a whole frame or table)."""
+"""Numpy helpers used inside tasks on tiles (never on a whole frame or table)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 
@@ -27,16 +30,61 @@ def as_grid(table: pa.Table) -> tuple[dict[str, np.ndarray], int, int]:
     return grids, y0, x0
 
 
+@dataclass(frozen=True)
+class Stack:
+    """Tiles of one shape from one Arrow batch: ``rows`` in the batch, arrays (n, h, w)."""
+
+    rows: np.ndarray
+    grids: dict[str, np.ndarray]
+    y0: np.ndarray
+    x0: np.ndarray
+
+
+def stacks(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[Stack]:
+    """Tiles given as unordered pixel lists (``y``, ``x`` and ``names``), grouped by shape."""
+    starts = batch.column("y").offsets.to_numpy()
+    flat = {n: batch.column(n).values.to_numpy(zero_copy_only=False) for n in ("y", "x", *names)}
+    lengths = np.diff(starts)
+    y0, x0 = (np.minimum.reduceat(flat[a], starts[:-1]).astype(np.int64) for a in ("y", "x"))
+    h = np.maximum.reduceat(flat["y"], starts[:-1]) - y0 + 1
+    w = np.maximum.reduceat(flat["x"], starts[:-1]) - x0 + 1
+    if (h * w != lengths).any():
+        raise ValueError("a tile is not dense")
+    for height, width in np.unique(np.stack([h, w], axis=1), axis=0):
+        rows = np.flatnonzero((h == height) & (w == width))
+        area = int(height * width)
+        index = (starts[rows][:, None] + np.arange(area)).ravel()
+        owner = np.repeat(np.arange(len(rows)), area)
+        place = owner * area + (flat["y"][index] - y0[rows][owner]) * width + flat["x"][index] - x0[rows][owner]
+        grids = {}
+        for n in names:
+            cells = np.empty(len(index), dtype=flat[n].dtype)
+            cells[place] = flat[n][index]
+            grids[n] = cells.reshape(len(rows), int(height), int(width))
+        yield Stack(rows, grids, y0[rows], x0[rows])
+
+
+def list_column(cells: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """One list per first-axis entry."""
+    each = int(np.prod(cells.shape[1:]))
+    offsets = np.arange(len(cells) + 1, dtype=np.int32) * each
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells.ravel()).cast(kind))
+
+
+def _grown(a: np.ndarray, by: int, mode: str) -> np.ndarray:
+    return np.pad(a, [(0, 0)] * (a.ndim - 2) + [(by, by), (by, by)], mode=mode)
+
+
 def edge_neighbour_mean(a: np.ndarray) -> np.ndarray:
-    """Mean of the four neighbours, the border repeated outwards."""
-    p = np.pad(a, 1, mode="edge")
-    return (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]) / 4.0
+    """Mean of the four neighbours in the last two axes, the border repeated outwards."""
+    p = _grown(a, 1, "edge")
+    return (p[..., :-2, 1:-1] + p[..., 2:, 1:-1] + p[..., 1:-1, :-2] + p[..., 1:-1, 2:]) / 4.0
 
 
 def ring_mean(a: np.ndarray, radius: int) -> np.ndarray:
     """Zero-padded window mean without the centre; the divisor is always ``(2r+1)**2 - 1``."""
     size = 2 * radius + 1
-    p = np.pad(a, radius)
-    rows = sum(p[:, k : k + a.shape[1]] for k in range(size))
-    total = sum(rows[k : k + a.shape[0], :] for k in range(size))
+    p = _grown(a, radius, "constant")
+    rows = sum(p[..., k : k + a.shape[-1]] for k in range(size))
+    total = sum(rows[..., k : k + a.shape[-2], :] for k in range(size))
     return (total - a) / (size * size - 1)

@@ -486,7 +486,7 @@ def _(s, d):
     return out(upsample_field(A.field8(s, d), (8, 8), (20, 24)), "u", "v")
 
 
-_AT = ("at", "SELECT frame_id, y, x, y + v AS yf, x + u AS xf FROM mfield32")
+_AT = ("spots", "SELECT frame_id, y, x, y + v AS yf, x + u AS xf FROM mfield32")
 
 
 def _points(s, d):
@@ -494,12 +494,12 @@ def _points(s, d):
     return f.select(*FYX, (F.col("y") + F.col("v")).alias("yf"), (F.col("x") + F.col("u")).alias("xf"))
 
 
-@query("sample_bilinear", sql("mosaic32 mfield32", f"SELECT frame_id, y, x, {r6('s_i', 's_i')} FROM ({bilinear_clamped('mosaic32', 'at', (32, 32))})", _AT))
+@query("sample_bilinear", sql("mosaic32 mfield32", f"SELECT frame_id, y, x, {r6('s_i', 's_i')} FROM ({bilinear_clamped('mosaic32', 'spots', (32, 32))})", _AT))
 def _(s, d):
     return out(resample.sample(_points(s, d), A.mosaic32(s, d), ["i"], A.LARGE), "s_i")
 
 
-@query("sample_bilinear_zero", sql("mosaic32 mfield32", f"SELECT frame_id, y, x, {r6('s', 's_i')} FROM ({bilinear_zero('mosaic32', 'at')})", _AT))
+@query("sample_bilinear_zero", sql("mosaic32 mfield32", f"SELECT frame_id, y, x, {r6('s', 's_i')} FROM ({bilinear_zero('mosaic32', 'spots')})", _AT))
 def _(s, d):
     scaled = _points(s, d).withColumns({f"g{a}": F.col(f"{a}f") * 2.0 / 31.0 - 1.0 for a in "yx"}).drop("yf", "xf")
     return out(resample.sample_normalized(scaled, A.mosaic32(s, d), ["i"], A.LARGE), "s_i")
@@ -540,7 +540,7 @@ def _(s, d):
 def _(s, d):
     m = A.mosaic32(s, d)
     points = m.select(*FYX, ((F.col("y") * 7 + F.col("x")) % 40).alias("py"), (31 - F.col("x")).alias("px"))
-    return out(resample.gather(points, m.select("frame_id", "y", "x", "i").withColumnsRenamed({}), ["i"]), "i")
+    return out(resample.gather(points, m, ["i"]), "i")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from driftgrid.functions.columns import NUDGE
+
 # name -> (what it builds on, body); the twin of ``sources.adapters``
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "px": ((), "SELECT vec_id, p::INT AS p, embedding[p + 1]::DOUBLE AS e FROM embeddings, range(64) r(p)"),
@@ -89,7 +91,7 @@ def sql(views: str, body: str, *extra: tuple[str, str]) -> str:
 
 def r6(expression: str, name: str | None = None) -> str:
     """Six decimals without negative zero."""
-    return f"round({expression}, 6) + 0.0::DOUBLE" + (f" AS {name}" if name else "")
+    return f"round({expression} + {NUDGE!r}, 6) + 0.0::DOUBLE" + (f" AS {name}" if name else "")
 
 
 def around(table: str, columns: str, radius: int, default: str | None = "0.0", key: str = "frame_id") -> str:

@@ -159,7 +159,7 @@ def mirror(df: DataFrame, radius: int, shape: tuple[int, int]) -> DataFrame:
         low = F.when((c >= 1) & (c <= radius), -c)
         high = F.when((c >= length - 1 - radius) & (c <= length - 2), 2 * (length - 1) - c)
         places = F.filter(F.array(c, low, high), lambda p: p.isNotNull())
-        df = df.withColumn(axis, F.explode(places).cast("int"))
+        df = df.withColumn(axis, F.explode(places))
     return df
 
 
