@@ -269,12 +269,12 @@ def _(s, d):
         (
             "pt",
             """SELECT frame_id, y, x, (dy + 1)::INT AS py, (dx + 1)::INT AS px, y + 2 * v + dy AS yf, x + 2 * u + dx AS xf FROM mfield32
-            CROSS JOIN range(-1, 2) r1(dy) CROSS JOIN range(-1, 2) r2(dx) WHERE y % 4 = 0 AND x % 4 = 0""",
+            CROSS JOIN range(-1, 2) r1(dy) CROSS JOIN range(-1, 2) r2(dx)""",
         ),
     ),
 )
 def _(s, d):
-    f = A.mosaic_field32(s, d).where("y % 4 = 0 AND x % 4 = 0")
+    f = A.mosaic_field32(s, d)
     points = f.select(*FYX, (F.col("y") + 2 * F.col("v")).alias("yc"), (F.col("x") + 2 * F.col("u")).alias("xc"))
     return out(search.sample_patch(points, A.mosaic32(s, d), 3, A.LARGE), "value", keys=(*FYX, "py", "px"))
 

@@ -49,9 +49,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("px",),
         """SELECT g.vec_id // 16 AS frame_id,
                   ((g.vec_id % 16) // 4 * 8 + q.p // 8)::INT AS y, ((g.vec_id % 16) % 4 * 8 + q.p % 8)::INT AS x,
-                  128 + 256 * coalesce(px.e, 0.0) AS i
+                  128 + 256 * px.e AS i
            FROM (SELECT unnest(range(0, (SELECT (max(vec_id) + 16) // 16 * 16 FROM embeddings))) AS vec_id) g
-           CROSS JOIN range(64) q(p) LEFT JOIN px ON px.vec_id = g.vec_id AND px.p = q.p""",
+           CROSS JOIN range(64) q(p) JOIN px ON px.vec_id = g.vec_id % (SELECT max(vec_id) + 1 FROM embeddings) AND px.p = q.p""",
     ),
     "moved32": (
         ("mosaic32",),

@@ -2,7 +2,7 @@
 
 A vector of 64 values is an 8x8 image, two of them are a field, sixteen are a
 32x32 mosaic. Every adapter reads its whole table; an incomplete last mosaic is
-completed with blank (zero) vectors.
+completed with the first vectors.
 """
 
 from __future__ import annotations
@@ -87,13 +87,9 @@ def sequence8(spark: SparkSession, sf: str) -> DataFrame:
 
 def mosaic32(spark: SparkSession, sf: str) -> DataFrame:
     v = vectors(spark, sf)
-    size = v.agg((F.max("vec_id") + 1).alias("n"))
-    gap = F.pmod(-F.col("n"), F.lit(16))
-    blank = size.where(gap > 0).select(
-        F.explode(F.sequence(F.col("n"), F.col("n") + gap - 1)).alias("vec_id"),
-        F.array_repeat(F.lit(0.0).cast("float"), 64).alias("embedding"),
-    )
-    px = v.unionByName(blank).select("vec_id", F.posexplode("embedding").alias("p", "e"))
+    n = v.agg((F.max("vec_id") + 1).alias("n")).scalar()
+    rest = v.where(F.col("vec_id") < F.pmod(-n, F.lit(16))).withColumn("vec_id", F.col("vec_id") + n)
+    px = v.unionByName(rest).select("vec_id", F.posexplode("embedding").alias("p", "e"))
     block = (F.col("vec_id") % 16).cast("int")
     return px.select(
         F.floor(F.col("vec_id") / 16).alias("frame_id"),
