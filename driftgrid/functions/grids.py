@@ -43,7 +43,7 @@ class Stack:
 def stacks(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[Stack]:
     """Tiles given as unordered pixel lists (``y``, ``x`` and ``names``), grouped by shape."""
     starts = batch.column("y").offsets.to_numpy()
-    flat = {n: batch.column(n).values.to_numpy(zero_copy_only=False) for n in ("y", "x", *names)}
+    flat = {n: batch.column(n).values.to_numpy(zero_copy_only=False)[: starts[-1]] for n in ("y", "x", *names)}
     lengths = np.diff(starts)
     y0, x0 = (np.minimum.reduceat(flat[a], starts[:-1]).astype(np.int64) for a in ("y", "x"))
     h = np.maximum.reduceat(flat["y"], starts[:-1]) - y0 + 1

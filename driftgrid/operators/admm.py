@@ -4,8 +4,9 @@ Without regularisers every pixel is independent given the number of steps its
 frame takes, so two passes suffice whatever the number of iterations: the first
 runs all iterations per pixel and sums only the residuals per frame and
 iteration, the second repeats them up to the iteration at which the frame
-stopped. With regularisers a z-step looks two pixels away; one iteration is then
-one halo exchange of tiles, and stopped frames leave the loop.
+stopped. With regularisers a z-step looks two pixels away. Frames that fit one
+tile are then solved in their task, many at a time; for larger ones an iteration
+is one halo exchange of tiles, and stopped frames leave the loop.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrid.operators.consensus import REGULARIZERS
-from driftgrid.scale import attach, durable
-from driftgrid.schema import FRAME, PIXEL
+from driftgrid.functions.grids import list_column
+from driftgrid.scale import durable, release
+from driftgrid.schema import FRAME, PIXEL, frame_shape
 from driftgrid.tiles import TX, TY, assign
 
 CLOSED = {"closed_form_l2": "l2", "closed_form_l1": "l1"}
@@ -121,20 +123,20 @@ def descend(start: np.ndarray, slope: Callable[[np.ndarray], np.ndarray], solver
 
 
 def _beside(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
-    """The array read ``(dy, dx)`` further on, 0 outside."""
-    p = np.pad(a, 1)
-    return p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx]
+    """The array read ``(dy, dx)`` further on in its last two axes, 0 outside."""
+    p = np.pad(a, [(0, 0)] * (a.ndim - 2) + [(1, 1), (1, 1)])
+    return p[..., 1 + dy : p.shape[-2] - 1 + dy, 1 + dx : p.shape[-1] - 1 + dx]
 
 
 def _central(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     dx, dy = np.zeros_like(a), np.zeros_like(a)
-    dx[1:-1, 1:-1] = (a[1:-1, 2:] - a[1:-1, :-2]) / 2
-    dy[1:-1, 1:-1] = (a[2:, 1:-1] - a[:-2, 1:-1]) / 2
+    dx[..., 1:-1, 1:-1] = (a[..., 1:-1, 2:] - a[..., 1:-1, :-2]) / 2
+    dy[..., 1:-1, 1:-1] = (a[..., 2:, 1:-1] - a[..., :-2, 1:-1]) / 2
     return dx, dy
 
 
 def regularizer_slope(z: np.ndarray, weights: dict[str, float]) -> np.ndarray:
-    """Gradient of the weighted regularisers at a ``(h, w, 2)`` field."""
+    """Gradient of the weighted regularisers at fields ``(..., h, w, 2)``."""
     out = np.zeros_like(z)
     diffs = [_central(z[..., c]) for c in (0, 1)]
     for name, weight in weights.items():
@@ -146,8 +148,11 @@ def regularizer_slope(z: np.ndarray, weights: dict[str, float]) -> np.ndarray:
         for c in (0, 1):
             dx, dy = diffs[c]
             if name == "laplacian":
-                a, lap = z[..., c], np.zeros(z.shape[:2])
-                lap[1:-1, 1:-1] = a[1:-1, 2:] + a[1:-1, :-2] + a[2:, 1:-1] + a[:-2, 1:-1] - 4 * a[1:-1, 1:-1]
+                a, lap = z[..., c], np.zeros(z.shape[:-1])
+                inner = a[..., 1:-1, 1:-1]
+                lap[..., 1:-1, 1:-1] = (
+                    a[..., 1:-1, 2:] + a[..., 1:-1, :-2] + a[..., 2:, 1:-1] + a[..., :-2, 1:-1] - 4 * inner
+                )
                 around = _beside(lap, -1, 0) + _beside(lap, 1, 0) + _beside(lap, 0, -1) + _beside(lap, 0, 1)
                 out[..., c] += weight * 2 * (around - 4 * lap)
                 continue
@@ -160,8 +165,8 @@ def regularizer_slope(z: np.ndarray, weights: dict[str, float]) -> np.ndarray:
 
 
 def one_iteration(cfg: Config, a, w, x, z, d, grid: tuple[int, int] | None = None):
-    """New ``x, z, d`` of pixels: ``a, x, d`` are (P, N, 2), ``w`` (P, N, 1), ``z`` (P, 2)."""
-    target = z[:, None, :] - d
+    """New ``x, z, d`` of pixels: ``a, x, d`` are (..., P, N, 2), ``w`` (..., P, N, 1), ``z`` (..., P, 2)."""
+    target = z[..., None, :] - d
     if cfg.solver_flows == "closed_form_l2":
         x = (2.0 * w * a + cfg.rho * target) / (2.0 * w + cfg.rho)
     elif cfg.solver_flows == "closed_form_l1":
@@ -174,26 +179,35 @@ def one_iteration(cfg: Config, a, w, x, z, d, grid: tuple[int, int] | None = Non
             return pull + cfg.rho * (q - target)
 
         x = descend(x, slope_x, cfg.solver_flows, cfg.rate_flows, cfg.steps_flows)
-    total, n = (x + d).sum(axis=1), x.shape[1]
+    total, n = (x + d).sum(axis=-2), x.shape[-2]
 
     def slope_z(q):
         g = cfg.rho * (n * q - total)
         if cfg.regularizers:
-            g = g + regularizer_slope(q.reshape(*grid, 2), cfg.regularizers).reshape(-1, 2)
+            fields = q.reshape(*q.shape[:-2], *grid, 2)
+            g = g + regularizer_slope(fields, cfg.regularizers).reshape(q.shape)
         return g
 
     z_new = descend(z, slope_z, cfg.solver_consensus, cfg.rate_consensus, cfg.steps_consensus)
-    return x, z_new, d + x - z_new[:, None, :]
+    return x, z_new, d + x - z_new[..., None, :]
 
 
 def _square_sums(x, z, d, z_old) -> np.ndarray:
-    """Per pixel: the five sums of squares of the stopping test."""
-    parts = [(x - z[:, None, :]) ** 2, (z - z_old) ** 2, x**2, z**2, d**2]
-    return np.stack([p.reshape(len(z), -1).sum(axis=1) for p in parts], axis=1)
+    """Per pixel (last axis: the five sums of squares of the stopping test)."""
+    wide = [((x - z[..., None, :]) ** 2).sum(axis=-2), (z - z_old) ** 2, (x**2).sum(axis=-2), z**2, (d**2).sum(axis=-2)]
+    return np.stack([p.sum(axis=-1) for p in wide], axis=-1)
+
+
+def _within(cfg: Config, sums: np.ndarray, n: int, pixels: int) -> np.ndarray:
+    """The stopping test for frames with ``n`` estimators, given (frames, 5) sums."""
+    primal, dual, xx, zz, dd = np.sqrt(sums).T
+    root, several = np.sqrt(n * pixels * 2.0), np.sqrt(n)
+    primal_ok = primal <= root * cfg.eps_abs + cfg.eps_rel * np.maximum(xx, several * zz)
+    return primal_ok & (cfg.rho * several * dual <= root * cfg.eps_abs + cfg.eps_rel * cfg.rho * dd)
 
 
 def _stops(sums: DataFrame, cfg: Config) -> DataFrame:
-    """Add ``met``: both residuals are within their tolerances (``n`` estimators, ``pixels``)."""
+    """The same test on a table of sums: adds ``met`` (``n`` estimators, ``pixels``)."""
     n, root = F.sqrt(F.col("n")), F.sqrt(F.col("n") * F.col("pixels") * 2.0)
     scale = F.greatest(F.sqrt("xx"), n * F.sqrt("zz"))
     primal_ok = F.sqrt("primal") <= root * cfg.eps_abs + cfg.eps_rel * scale
@@ -209,14 +223,24 @@ class Result:
     stops: DataFrame
 
 
-def consensus_admm(weighted: DataFrame, options: dict | None = None, keys=FRAME) -> Result:
+def consensus_admm(
+    weighted: DataFrame, options: dict | None = None, keys=FRAME, shape: tuple[int, int] | None = None, tile: int = 512
+) -> Result:
+    """Fused field and stopping iterations of a weighted ensemble.
+
+    ``shape`` saves looking up the frame size when there are regularisers.
+    """
     cfg = config_from(options or {})
     keys = list(keys)
     packed = weighted.groupBy(*keys, *PIXEL).agg(
         F.sort_array(F.collect_list(F.struct("estimator", "u", "v", "w"))).alias("e")
     )
     pixels = durable(packed.select(*keys, *PIXEL, F.col("e.u").alias("au"), F.col("e.v").alias("av"), F.col("e.w").alias("w")))
-    return _regularized(pixels, cfg, keys) if cfg.regularizers else _pointwise(pixels, cfg, keys)
+    if not cfg.regularizers:
+        return _pointwise(pixels, cfg, keys)
+    if max(shape or frame_shape(pixels)) <= tile:
+        return _whole_frames(pixels, cfg, keys)
+    return _tiled(pixels, cfg, keys)
 
 
 def _lists(batch, name: str) -> np.ndarray:
@@ -242,8 +266,8 @@ def _same_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _begin(a):
-    z = a.mean(axis=1)
-    return a, z, a - z[:, None, :]
+    z = a.mean(axis=-2)
+    return a.copy(), z, a - z[..., None, :]
 
 
 def _pointwise(pixels: DataFrame, cfg: Config, keys) -> Result:
@@ -282,7 +306,7 @@ def _pointwise(pixels: DataFrame, cfg: Config, keys) -> Result:
         stops = durable(at.select(*keys, F.col("stop_iter").isNotNull().alias("stopped"), "stop_iter"))
         runs = F.coalesce(F.col("stop_iter") + 1, F.lit(cfg.max_iterations))
         planned = pixels.join(stops.select(*keys, runs.alias("runs")), keys)
-    out_schema = T.StructType([*key_fields, *[pixels.schema[p] for p in PIXEL]]).add("u", "double").add("v", "double")
+    out_schema = T.StructType([*key_fields, *[pixels.schema[p] for p in PIXEL]]).add("u", T.DoubleType()).add("v", T.DoubleType())
 
     def solve(batches):
         for piece in _same_size(batches):
@@ -299,7 +323,74 @@ def _pointwise(pixels: DataFrame, cfg: Config, keys) -> Result:
     return Result(planned.mapInArrow(solve, out_schema), stops)
 
 
-def _regularized(pixels: DataFrame, cfg: Config, keys) -> Result:
+def _frame_stacks(batch: pa.RecordBatch):
+    """Frames of one shape and estimator count: rows in the batch, shape, anchors and weights."""
+    starts = batch.column("y").offsets.to_numpy()
+    ys, xs = (batch.column(c).values.to_numpy()[: starts[-1]] for c in PIXEL)
+    nested = {c: batch.column(c).values for c in ("au", "av", "w")}
+    inner = nested["w"].offsets.to_numpy()
+    values = {c: v.values.to_numpy() for c, v in nested.items()}
+    h = np.maximum.reduceat(ys, starts[:-1]) + 1
+    w = np.maximum.reduceat(xs, starts[:-1]) + 1
+    if (h * w != np.diff(starts)).any():
+        raise ValueError("a frame is not dense")
+    n = np.diff(inner)[starts[:-1]]
+    kinds = np.stack([h, w, n], axis=1)
+    for kind in np.unique(kinds, axis=0):
+        rows = np.flatnonzero((kinds == kind).all(axis=1))
+        height, width, count = (int(v) for v in kind)
+        index = starts[rows][:, None] + np.arange(height * width)
+        order = np.argsort(ys[index] * width + xs[index], axis=1)
+        cells = inner[np.take_along_axis(index, order, axis=1)][..., None] + np.arange(count)
+        anchors = np.stack([values["au"][cells], values["av"][cells]], axis=-1)
+        yield rows, (height, width), anchors, values["w"][cells][..., None]
+
+
+def _whole_frames(pixels: DataFrame, cfg: Config, keys) -> Result:
+    packed = (
+        pixels.groupBy(*keys)
+        .agg(F.collect_list(F.struct(*PIXEL, "au", "av", "w")).alias("_px"))
+        .select(*keys, *[F.col(f"_px.{c}").alias(c) for c in (*PIXEL, "au", "av", "w")])
+    )
+    schema = T.StructType([pixels.schema[k] for k in keys]).add("width", T.IntegerType()).add("stop_iter", T.IntegerType())
+    for c in ("u", "v"):
+        schema = schema.add(c, T.ArrayType(T.DoubleType()))
+
+    def solve(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            for rows, grid, a, w in _frame_stacks(batch):
+                x, z, d = _begin(a)
+                stop = np.full(len(rows), -1, dtype=np.int32)
+                for it in range(cfg.max_iterations):
+                    live = np.flatnonzero(stop < 0)
+                    if not len(live):
+                        break
+                    z_old = z[live]
+                    new = one_iteration(cfg, a[live], w[live], x[live], z_old, d[live], grid)
+                    x[live], z[live], d[live] = new
+                    if cfg.eps_abs is not None:
+                        sums = _square_sums(*new, z_old).sum(axis=-2)
+                        stop[live[_within(cfg, sums, a.shape[-2], a.shape[-3])]] = it
+                arrays = [batch.column(k).take(pa.array(rows)) for k in keys]
+                arrays += [pa.array(np.full(len(rows), grid[1], dtype=np.int32)), pa.array(stop, mask=stop < 0)]
+                arrays += [list_column(z[..., c], pa.float64()) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    solved = durable(packed.mapInArrow(solve, schema))
+    long = solved.select(*keys, "width", F.posexplode(F.arrays_zip("u", "v")).alias("_p", "_v"))
+    field = long.select(
+        *keys,
+        F.floor(F.col("_p") / F.col("width")).cast("int").alias("y"),
+        (F.col("_p") % F.col("width")).cast("int").alias("x"),
+        F.col("_v.u").alias("u"),
+        F.col("_v.v").alias("v"),
+    )
+    return Result(field, solved.select(*keys, F.col("stop_iter").isNotNull().alias("stopped"), "stop_iter"))
+
+
+def _tiled(pixels: DataFrame, cfg: Config, keys) -> Result:
     halo = 2 * cfg.steps_consensus
     tile = max(128, 2 * halo)
 
@@ -343,20 +434,24 @@ def _regularized(pixels: DataFrame, cfg: Config, keys) -> Result:
 
     finished, ends = [], []
     for it in range(cfg.max_iterations):
-        moved = durable(assign(state, halo, tile).groupBy(*keys, TY, TX).applyInArrow(run, schema))
-        last = it == cfg.max_iterations - 1
+        moved = durable(assign(state.select(*names), halo, tile).groupBy(*keys, TY, TX).applyInArrow(run, schema))
+        release(state)
         if cfg.eps_abs is None:
-            state = moved.select(*names)
+            # keep the stored table itself, so that the next round can release it
+            state = moved
             continue
         sums = moved.groupBy(*keys).agg(
             F.max(F.size("w")).alias("n"), F.count(F.lit(1)).alias("pixels"), *[F.sum(s).alias(s) for s in SUMS]
         )
         verdict = durable(_stops(sums, cfg).select(*keys, "met"))
-        joined = moved.join(verdict, keys)
-        finished.append(joined.where("met").select(*keys, *PIXEL, "zu", "zv"))
-        ends.append(verdict.where("met").select(*keys, F.lit(True).alias("stopped"), F.lit(it).alias("stop_iter")))
-        state = joined.where(~F.col("met")).select(*names)
-        if last or verdict.where(~F.col("met")).isEmpty():
+        state = moved
+        if not verdict.where("met").isEmpty():
+            joined = moved.join(verdict, keys)
+            finished.append(durable(joined.where("met").select(*keys, *PIXEL, "zu", "zv")))
+            ends.append(verdict.where("met").select(*keys, F.lit(True).alias("stopped"), F.lit(it).alias("stop_iter")))
+            state = durable(joined.where(~F.col("met")).select(*moved.columns))
+            release(moved)
+        if verdict.where(~F.col("met")).isEmpty():
             break
     finished.append(state.select(*keys, *PIXEL, "zu", "zv"))
     ends.append(

@@ -140,8 +140,9 @@ def piv_field(
     """Dense field of an image pair: window vectors, gaps replaced, resized to the frame."""
     coarse = window_vectors(pair, shape, window_size, search_size, overlap, keys)
     flagged = coarse.withColumn("is_outlier", F.col("u").isNull() | F.col("v").isNull())
-    filled = neighbor_mean(flagged, replace_iter, replace_radius, keys=keys)
-    return upsample_field(filled, grid_shape(shape, search_size, overlap), shape, keys)
+    grid = grid_shape(shape, search_size, overlap)
+    filled = neighbor_mean(flagged, replace_iter, replace_radius, keys=keys, shape=grid)
+    return upsample_field(filled, grid, shape, keys)
 
 
 def upsample_field(field: DataFrame, grid: tuple[int, int], shape: tuple[int, int], keys=FRAME) -> DataFrame:
@@ -170,8 +171,12 @@ def feature_correlation(
     tiled = tiled.withColumn("_nb", F.flatten(F.array(*[F.coalesce(shifted("_row", k, along_y(keys)), blank) for k in steps])))
 
     def dot(other: Column) -> Column:
-        products = F.zip_with("_f1", other, lambda a, b: a * b)
-        return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p) / float(channels) ** 0.5
+        if channels <= 16:  # few enough to write out
+            total = sum((F.get("_f1", F.lit(c)) * F.get(other, F.lit(c)) for c in range(channels)), F.lit(0.0))
+        else:
+            products = F.zip_with("_f1", other, lambda a, b: a * b)
+            total = F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
+        return total / float(channels) ** 0.5
 
     return own(tiled, tile).select(*keys, "y", "x", F.transform("_nb", dot).alias("corr"))
 

@@ -28,19 +28,30 @@ def tile_average(field: DataFrame, radius: int, keys=FRAME, tile: int = TILE) ->
 
 
 def laplace(
-    field: DataFrame, num_iter: int = 512, halo: int = 32, tile: int = 128, keys=FRAME
+    field: DataFrame,
+    num_iter: int = 512,
+    halo: int = 64,
+    tile: int = 512,
+    keys=FRAME,
+    shape: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Jacobi relaxation of the invalid vectors; valid ones stay fixed."""
 
     def relax(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         return {c: np.where(g["valid"], g[c], edge_neighbour_mean(g[c])) for c in ("u", "v")}
 
-    done = iterate(field, relax, ("u", "v"), ("valid",), num_iter, 1, min(halo, num_iter), tile, keys)
+    done = iterate(field, relax, ("u", "v"), ("valid",), num_iter, 1, min(halo, num_iter), tile, keys, shape)
     return done.withColumn("valid", F.lit(True))
 
 
 def neighbor_mean(
-    field: DataFrame, n_iter: int, radius: int, flag: str = "is_outlier", tile: int = 128, keys=FRAME
+    field: DataFrame,
+    n_iter: int,
+    radius: int,
+    flag: str = "is_outlier",
+    tile: int = 512,
+    keys=FRAME,
+    shape: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Flagged vectors become the mean of their window without the centre, ``n_iter`` times.
 
@@ -51,5 +62,5 @@ def neighbor_mean(
     def replace(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         return {c: np.where(g[flag], ring_mean(g[c], radius), g[c]) for c in ("u", "v")}
 
-    halo = max(radius, min(32, n_iter * radius) // radius * radius)
-    return iterate(start, replace, ("u", "v"), (flag,), n_iter, radius, halo, max(tile, halo), keys)
+    halo = max(radius, min(64, n_iter * radius) // radius * radius)
+    return iterate(start, replace, ("u", "v"), (flag,), n_iter, radius, halo, max(tile, halo), keys, shape)

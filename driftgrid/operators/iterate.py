@@ -2,8 +2,8 @@
 
 A step that looks ``reach`` pixels away can be repeated ``halo // reach`` times
 on a tile before the halo is used up, so ``n`` steps need about
-``n * reach / halo`` shuffles instead of ``n``. Between exchanges the state is
-a durable table, which also cuts the lineage.
+``n * reach / halo`` shuffles instead of ``n``; frames no larger than a tile need
+one. Between exchanges the state is a durable table, which also cuts the lineage.
 
 A tile is packed into one row of arrays; tasks work on stacks of equally
 shaped tiles, as many as one Arrow batch holds (Spark bounds a batch by
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrid.functions.grids import list_column, stacks
-from driftgrid.scale import durable
-from driftgrid.schema import FRAME, PIXEL
+from driftgrid.scale import durable, release
+from driftgrid.schema import FRAME, PIXEL, frame_shape
 from driftgrid.tiles import TX, TY, assign
 
 Step = Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]
@@ -36,9 +36,10 @@ def iterate(
     fixed: Sequence[str],
     steps: int,
     reach: int = 1,
-    halo: int = 16,
-    tile: int = 64,
+    halo: int = 64,
+    tile: int = 512,
     keys: Sequence[str] = FRAME,
+    shape: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Apply ``step`` ``steps`` times to the ``state`` columns of every frame.
 
@@ -48,15 +49,20 @@ def iterate(
     per_round = halo // reach
     if per_round < 1 or halo > tile:
         raise ValueError("need reach <= halo <= tile")
-    keys = list(keys)
-    table = df.select(*keys, *PIXEL, *state, *fixed)
+    keys, names = list(keys), [*state, *fixed]
+    table = df.select(*keys, *PIXEL, *names)
+    if steps > per_round and max(shape or frame_shape(table)) <= tile:
+        # no frame crosses a tile border: all borders are true ones
+        return _superstep(table, step, names, steps, 0, tile, keys)
     done = 0
     while done < steps:
         now = min(per_round, steps - done)
-        table = _superstep(table, step, [*state, *fixed], now, now * reach, tile, keys)
+        moved = _superstep(table, step, names, now, now * reach, tile, keys)
         done += now
         if done < steps:
-            table = durable(table)
+            moved = durable(moved)
+            release(table)
+        table = moved
     return table
 
 

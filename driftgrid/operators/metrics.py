@@ -59,16 +59,12 @@ def error_stats(
     The quartiles are exact; see ``quantiles`` for how they stay distributed.
     """
     by = list(by)
-    moments = df.groupBy(*by).agg(
+    moments = [
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"),
         F.avg((F.col(value) < F.lit(float(threshold))).cast("double")).alias("fraction_below_threshold"),
-    )
-    q = quantiles(df, value, [0.25, 0.5, 0.75], by, bound)
-    if by:
-        joined = moments.join(q, by)
-    else:
-        joined = moments.withColumns({name: q.select(name).scalar() for name in ("q0", "q1", "q2")})
+    ]
+    joined = quantiles(df, value, [0.25, 0.5, 0.75], by, bound, extras=moments)
     iqr = F.col("q2") - F.col("q0")
     return joined.select(
         *by,

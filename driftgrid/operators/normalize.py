@@ -23,9 +23,8 @@ def stretch_contrast(image: DataFrame, keys=FRAME) -> DataFrame:
 
 
 def _centre_and_spread(image: DataFrame, keys) -> DataFrame:
-    centre = quantiles(image, "i", [0.5], keys).withColumnRenamed("q0", "_med")
-    spread_ = image.groupBy(*keys).agg(F.stddev_pop("i").alias("_std"))
-    return centre.join(spread_, list(keys))
+    found = quantiles(image, "i", [0.5], keys, extras=[F.stddev_pop("i").alias("_std")])
+    return found.withColumnRenamed("q0", "_med")
 
 
 def intensity_capping(image: DataFrame, n: float = 2.0, keys=FRAME) -> DataFrame:

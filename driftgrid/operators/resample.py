@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -119,26 +120,40 @@ def gather(points: DataFrame, table: DataFrame, columns: Sequence[str], keys=FRA
     return points.join(store, [*keys, "py", "px"])
 
 
-def _targets(axis: str, old: int, new: int) -> Column:
-    """Output indices whose sampling position falls in this pixel's cell.
+def _bilinear_axis(old: int, new: int) -> dict[int, list[tuple[int, float]]]:
+    """Per source index: the outputs sampled between it and its successor, with the successor's weight."""
+    found: dict[int, list[tuple[int, float]]] = {}
+    for o in range(new):
+        place = (o + 0.5) * (old / new) - 0.5
+        source = min(max(math.floor(place), 0), old - 1)
+        found.setdefault(source, []).append((o, min(max(place - source, 0.0), 1.0)))
+    return found
 
-    The candidate range is one wider than needed on both sides and then tested
-    with the defining formula, so rounding cannot lose or double an output.
-    """
+
+def _triangle_axis(old: int, new: int) -> dict[int, list[tuple[int, float]]]:
+    """Per source index: the outputs it contributes to, with normalised triangle weights."""
     scale = old / new
-    c = F.col(axis)
-    first = F.when(c == 0, F.lit(0)).otherwise(F.ceil((c + 0.5) / scale - 0.5).cast("int") - 1)
-    last = F.when(c == old - 1, F.lit(new - 1)).otherwise(F.floor((c + 1.5) / scale - 0.5).cast("int") + 1)
-    span = F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.lit(new - 1)))
+    support = max(scale, 1.0)
+    found: dict[int, list[tuple[int, float]]] = {}
+    for o in range(new):
+        centre = (o + 0.5) * scale - 0.5
+        near = range(max(math.ceil(centre - support), 0), min(math.floor(centre + support), old - 1) + 1)
+        raw = {i: 1.0 - abs(i - centre) / support for i in near}
+        total = sum(raw.values())
+        for i, w in raw.items():
+            if w > 0:
+                found.setdefault(i, []).append((o, w / total))
+    return found
 
-    def place(o: Column) -> Column:
-        return (o + 0.5) * scale - 0.5
 
-    def cell(o: Column) -> Column:
-        return F.least(F.greatest(F.floor(place(o)), F.lit(0)), F.lit(old - 1))
+def _on_axis(table: DataFrame, axis: str, outputs: dict[int, list[tuple[int, float]]]) -> DataFrame:
+    """Copy every pixel to its outputs along one axis (``_o<axis>``: struct ``o, w``).
 
-    kept = F.filter(F.when(F.least(last, F.lit(new - 1)) >= F.greatest(first, F.lit(0)), span), lambda o: cell(o) == c)
-    return F.transform(kept, lambda o: F.struct(o.alias("o"), clip(place(o) - c, 0.0, 1.0).alias("w")))
+    The lookup table has one row per row or column of a frame, which bounds its broadcast.
+    """
+    schema = f"{axis} int, _outs array<struct<o: int, w: double>>"
+    lookup = table.sparkSession.createDataFrame(sorted(outputs.items()), schema)
+    return table.join(F.broadcast(lookup), axis).withColumn(f"_o{axis}", F.explode("_outs")).drop("_outs")
 
 
 def resize_bilinear(
@@ -148,33 +163,11 @@ def resize_bilinear(
 
     Every pixel produces the outputs lying in its own cell, so no join is needed.
     """
-    q = quads(table, columns, keys, tile)
-    out = q.withColumn("_oy", F.explode(_targets("y", shape[0], new_shape[0]))).withColumn(
-        "_ox", F.explode(_targets("x", shape[1], new_shape[1]))
-    )
+    out = quads(table, columns, keys, tile)
+    for axis, old, new in zip(("y", "x"), shape, new_shape):
+        out = _on_axis(out, axis, _bilinear_axis(old, new))
     values = [_clamped(f"{c}_q", F.col("_oy.w"), F.col("_ox.w")).alias(c) for c in columns]
-    return out.select(*keys, F.col("_oy.o").cast("int").alias("y"), F.col("_ox.o").cast("int").alias("x"), *values)
-
-
-def _shares(axis: str, old: int, new: int) -> Column:
-    """Outputs a pixel contributes to, with normalised triangle weights."""
-    scale = old / new
-    support = max(scale, 1.0)
-    c = F.col(axis)
-
-    def weight(i: Column, o: Column) -> Column:
-        return F.greatest(F.lit(0.0), 1.0 - F.abs(i - ((o + 0.5) * scale - 0.5)) / support)
-
-    def total(o: Column) -> Column:
-        centre = (o + 0.5) * scale - 0.5
-        low = F.greatest(F.ceil(centre - support), F.lit(0)).cast("int")
-        high = F.least(F.floor(centre + support), F.lit(old - 1)).cast("int")
-        return F.aggregate(F.sequence(low, high), F.lit(0.0), lambda acc, i: acc + weight(i, o))
-
-    first = F.greatest(F.floor((c + 0.5 - support) / scale - 0.5), F.lit(0)).cast("int")
-    last = F.least(F.ceil((c + 0.5 + support) / scale - 0.5), F.lit(new - 1)).cast("int")
-    hit = F.filter(F.sequence(first, last), lambda o: weight(c, o) > 0)
-    return F.transform(hit, lambda o: F.struct(o.alias("o"), (weight(c, o) / total(o)).alias("w")))
+    return out.select(*keys, F.col("_oy.o").alias("y"), F.col("_ox.o").alias("x"), *values)
 
 
 def resize_antialias(
@@ -185,9 +178,9 @@ def resize_antialias(
     Contributions are summed map-side first, so a shrink shuffles about one
     row per output pixel and map task.
     """
-    parts = table.withColumn("_oy", F.explode(_shares("y", shape[0], new_shape[0]))).withColumn(
-        "_ox", F.explode(_shares("x", shape[1], new_shape[1]))
-    )
+    parts = table
+    for axis, old, new in zip(("y", "x"), shape, new_shape):
+        parts = _on_axis(parts, axis, _triangle_axis(old, new))
     w = F.col("_oy.w") * F.col("_ox.w")
     sums = [F.sum(w * F.col(c)).alias(c) for c in columns]
     return parts.groupBy(*keys, F.col("_oy.o").alias("y"), F.col("_ox.o").alias("x")).agg(*sums)

@@ -284,18 +284,18 @@ def _(s, d):
 
 @query("consensus_admm_regularized")
 def _(s, d):
-    """Photograd weights, four regularisers, Adam; checked against NumPy in the tests."""
+    """The published consensus settings with patch size 3; checked against NumPy in the tests."""
     prev, curr = _images(s, d)
     options = {
         "weights_type": "photograd", "patch_size": 3, "normalization": "none", "rho": 2.0,
         "solver_flows": "closed_form_l2", "flows_objective_type": "l2",
         "solver_consensus": "adam", "num_iterations_consensus": 30, "learning_rate_consensus": 0.01,
-        "max_admm_iterations": 3, "eps_abs_stopping": 1e-4, "eps_rel_stopping": 1e-4,
+        "max_admm_iterations": 30, "eps_abs_stopping": 1e-4, "eps_rel_stopping": 1e-4,
         "regularizer_list": ["smoothness", "divergence", "laplacian", "tv"],
         "regularizer_weights": {"smoothness": 0.3, "divergence": 40, "laplacian": 5, "tv": 0},
     }
     weighted = consensus.make_weights(A.ensemble8(s, d), prev, curr, options, A.SMALL)
-    return out(admm.consensus_admm(weighted, options).field, "u", "v")
+    return out(admm.consensus_admm(weighted, options, shape=A.SMALL).field, "u", "v")
 
 
 @query("consensus_fused", sql("ensemble8 image8", _mean_sql("np"), *_GRAD, ("np", "SELECT * REPLACE (w / (sum(w) OVER (PARTITION BY frame_id, y, x) + 1e-8) AS w) FROM pw")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.operators import admm, consensus, correlation, search
+from driftgrid.scale import durable
 from driftgrid.schema import FRAME, PIXEL
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
@@ -55,6 +56,7 @@ def fuse(
     """Run several estimators, mask them by the truth if asked to, weight and fuse them."""
     if not estimators:
         raise ValueError("an ensemble needs at least one estimator")
+    pairs = durable(pairs)  # every member reads them
     fields = [
         estimate(e["name"], pairs, shape, keys=keys, **{k: v for k, v in e.items() if k != "name"}) for e in estimators
     ]
@@ -75,7 +77,7 @@ def fuse_fields(ensemble, pairs, shape, algorithm="mean", config=None, epe_limit
     weighted = consensus.make_weights(ensemble, _side(pairs, "prev", keys), _side(pairs, "curr", keys), config, shape, keys)
     if algorithm == "mean":
         return consensus.consensus_mean(weighted, keys=keys)
-    return admm.consensus_admm(weighted, config, keys).field
+    return admm.consensus_admm(weighted, config, keys, shape).field
 
 
 def sweep_epe_limit(ensemble: DataFrame, truth: DataFrame, limits: Sequence[float], keys=FRAME) -> DataFrame:

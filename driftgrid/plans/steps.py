@@ -273,7 +273,7 @@ for _name, _apply, _check in (
         _check_median_test,
     ),
     ("tile_average_interpolation", lambda t, c, radius: filling.tile_average(t, radius, c.keys), _check_radius),
-    ("laplace_interpolation", lambda t, c, num_iter=512: filling.laplace(t, num_iter, keys=c.keys), _check_iterations),
+    ("laplace_interpolation", lambda t, c, num_iter=512: filling.laplace(t, num_iter, keys=c.keys, shape=c.shape), _check_iterations),
     ("average_smoothing", lambda t, c, radius: smoothing.average(t, radius, c.keys), _check_radius),
     ("median_smoothing", lambda t, c, radius=3: smoothing.median(t, radius, c.keys), _check_radius),
     (

@@ -1,12 +1,14 @@
 """Exact quantiles without gathering a group in one task.
 
-Groups up to ``bound`` values use the built-in exact ``percentile``; the group
-sizes are counted first. Larger groups are narrowed by histograms: each round
+Groups with up to ``bound`` distinct values use the built-in exact ``percentile``,
+whose buffer holds one entry per distinct value; the groups are sized first.
+Larger groups are narrowed by histograms: each round
 counts values per bin (combined map-side, so only ``bins`` rows per group are
 shuffled), finds the bin of every wanted rank and continues inside it, until
 the bin holds one distinct value. A round shrinks the range by ``bins`` and
 always separates its smallest from its largest value, so it ends for every
-distribution; about ``log(n)/log(bins)`` rounds are needed.
+distribution; about ``log(n)/log(bins)`` rounds are needed. After the first round
+only the values inside the wanted bins are kept, in a table of their own.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.scale import durable
 
-BOUND = 1_000_000
+BOUND = 65_536
 BINS = 1024
 
 
@@ -37,22 +39,35 @@ def quantiles(
     keys: Sequence[str] = (),
     bound: int = BOUND,
     bins: int = BINS,
+    extras: Sequence[Column] = (),
 ) -> DataFrame:
-    """One row per key with ``q0, q1, …``: the linearly interpolated quantiles."""
+    """One row per key with ``q0, q1, …``: the linearly interpolated quantiles.
+
+    ``extras`` are further named aggregates of ``df``, taken in the sizing pass.
+    """
     if bins < 2:
         raise ValueError("bins must be at least 2")
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    v = F.col(value).cast("double")
+    rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
+    # 1.2 covers the sketch's error; it only decides how, not what, is computed
+    held = F.least(F.count(v), (F.approx_count_distinct(v) * 1.2).cast("long"))
+    sizing = [F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), held.alias("held"), *extras]
+    sizes = durable(df.groupBy(*keys).agg(*sizing))
+    largest = sizes.agg(F.max("held")).first()[0] or 0
+    kept = [c for c in sizes.columns if c not in ("n", "lo", "hi", "held")]
     if not keys:
-        return _whole_table(rows, probs, bound, bins)
-    sizes = durable(rows.groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
-    largest = sizes.agg(F.max("n")).first()[0]
-    if largest is None or largest <= bound:
-        return _built_in(rows, probs, keys)
-    few = sizes.where(F.col("n") <= bound)
-    many = sizes.where(F.col("n") > bound)
-    direct = _built_in(rows.join(few.select(*keys), keys, "left_semi"), probs, keys)
-    return direct.unionByName(_by_histogram(rows, many, probs, keys, bins))
+        found = _built_in(rows, probs, []) if largest <= bound else _whole_table(rows, sizes, probs, bins)
+        if not extras:
+            return found
+        return sizes.select(*kept).withColumns({q: found.select(q).scalar() for q in found.columns})
+    if largest <= bound:
+        found = _built_in(rows, probs, keys)
+    else:
+        few, many = sizes.where(F.col("held") <= bound), sizes.where(F.col("held") > bound)
+        direct = _built_in(rows.join(few.select(*keys), keys, "left_semi"), probs, keys)
+        found = direct.unionByName(_by_histogram(rows, many, probs, keys, bins))
+    return sizes.select(*kept).join(found, keys) if extras else found
 
 
 def _built_in(rows: DataFrame, probs, keys) -> DataFrame:
@@ -67,7 +82,7 @@ def _by_histogram(rows: DataFrame, sizes: DataFrame, probs, keys, bins: int) ->
         )
     )
     spans = durable(sizes.select(*keys, "lo", "hi", F.lit(0).cast("long").alias("base"), wanted.alias("ranks")))
-    solved = []
+    solved, narrowed = [], False
     while True:
         solved.append(
             spans.where("lo = hi").select(*keys, F.explode("ranks").alias("rank"), F.col("lo").alias("value"))
@@ -77,7 +92,11 @@ def _by_histogram(rows: DataFrame, sizes: DataFrame, probs, keys, bins: int) ->
             break
         per_key = open_spans.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "base", "ranks")).alias("spans"))
         inside = F.filter("spans", lambda s: (F.col("_v") >= s["lo"]) & (F.col("_v") <= s["hi"]))
-        hit = rows.join(per_key, keys).select(*keys, "_v", F.explode(inside).alias("s"))
+        hit = rows.join(durable(per_key), keys).select(*keys, "_v", F.explode(inside).alias("s"))
+        if narrowed:
+            hit = durable(hit)
+            rows = hit.select(*keys, "_v")
+        narrowed = True
         counted = (
             hit.groupBy(*keys, "s", _bin(F.col("_v"), F.col("s.lo"), F.col("s.hi"), bins).alias("bin"))
             .agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
@@ -98,14 +117,12 @@ def _interpolated(p: float) -> Column:
     return low + (position - F.floor(position)) * (high - low)
 
 
-def _whole_table(rows: DataFrame, probs, bound: int, bins: int) -> DataFrame:
-    n, lo, hi = rows.agg(F.count("_v"), F.min("_v"), F.max("_v")).first()
-    if n <= bound:
-        return _built_in(rows, probs, [])
+def _whole_table(rows: DataFrame, sizes: DataFrame, probs, bins: int) -> DataFrame:
+    n, lo, hi = sizes.select("n", "lo", "hi").first()
     positions = [(n - 1) * float(p) for p in probs]
     ranks = {math.floor(p) for p in positions} | {math.ceil(p) for p in positions}
     value_at: dict[int, float] = {}
-    spans = [(lo, hi, 0, sorted(ranks))]
+    spans, narrowed = [(lo, hi, 0, sorted(ranks))], False
     while spans:
         for low, high, _, held in spans:
             if low == high:
@@ -118,7 +135,12 @@ def _whole_table(rows: DataFrame, probs, bound: int, bins: int) -> DataFrame:
         low_of = F.array(*[F.lit(s[0]) for s in spans])
         high_of = F.array(*[F.lit(s[1]) for s in spans])
         tagged = rows.select("_v", span_id.alias("s")).where("s IS NOT NULL")
-        counted = tagged.groupBy("s", _bin(v, F.get(low_of, F.col("s")), F.get(high_of, F.col("s")), bins).alias("b")).agg(
+        if narrowed:
+            tagged = durable(tagged)
+            rows = tagged.select("_v")
+        narrowed = True
+        place = _bin(v, F.get(low_of, F.col("s")), F.get(high_of, F.col("s")), bins)
+        counted = tagged.groupBy("s", place.alias("b")).agg(
             F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
         )
         # at most len(spans) * bins rows reach the driver

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,7 +37,24 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/driftgrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _PATHS[stored] = path
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Delete a table made by ``durable`` once nothing reads it any more.
+
+    Loops call it for a superseded state, so that their storage does not grow
+    with the number of rounds.
+    """
+    path = _PATHS.pop(stored, None)
+    if path is None:
+        return
+    spark = stored.sparkSession
+    jvm = spark.sparkContext._jvm
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
 
 
 def attach(big: DataFrame, small: DataFrame, keys) -> DataFrame:
