@@ -47,6 +47,19 @@ def oracle_coverage(masked: DataFrame, keys=FRAME) -> DataFrame:
     return per_pixel.groupBy(*keys).agg(F.avg("hit").alias("coverage"))
 
 
+def run_summary(coverage: DataFrame, errors: DataFrame, images: DataFrame, keys=FRAME) -> DataFrame:
+    """One row for a run: coverage and mean error over the frames whose image is not blank.
+
+    ``coverage`` has ``coverage``, ``errors`` has ``mean_epe``, ``images`` has ``nonzero`` per frame.
+    """
+    valid = images.where("nonzero").select(*keys)
+    joined = coverage.join(errors, list(keys)).join(valid, list(keys), "left_semi")
+    parts = [F.count(F.lit(1)).alias("frames")]
+    for name, column in (("coverage", "coverage"), ("epe", "mean_epe")):
+        parts += [f(column).alias(f"{name}_{label}") for label, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
+    return joined.agg(*parts)
+
+
 def weights_list(ensemble: DataFrame, weights: Sequence[float] | None) -> DataFrame:
     """One given weight per estimator, or 1 for all."""
     if weights is None:

@@ -151,19 +151,37 @@ def upsample_field(field: DataFrame, grid: tuple[int, int], shape: tuple[int, in
 
 
 def feature_correlation(
-    first: DataFrame, second: DataFrame, radius: int, channels: int, keys=FRAME, tile: int = TILE
+    first: DataFrame,
+    second: DataFrame,
+    radius: int,
+    channels: int,
+    level: int = 0,
+    shape: tuple[int, int] | None = None,
+    keys=FRAME,
+    tile: int = TILE,
 ) -> DataFrame:
     """Correlation of each pixel's feature vector with those around it in another frame.
 
     ``f`` is an array column. Of the all-pairs product only the entries within
     ``radius`` are ever looked up, so only those are made: ``corr`` has
     ``(2r+1)**2`` values, 0 outside the frame. Averaging commutes with the
-    product, so a coarser level is the same call on ``mean_pool`` of ``second``.
+    product: at ``level`` the second frame's features are averaged over blocks
+    of ``2**level`` and a pixel is compared around its own block.
     """
-    steps = range(-radius, radius + 1)
-    joined = first.select(*keys, "y", "x", F.col("f").alias("_f1")).join(
-        second.select(*keys, "y", "x", F.col("f").alias("_f2")), [*keys, "y", "x"]
+    side = 2**level
+    for _ in range(level):
+        second = pool_features(second, channels, shape, keys)
+        shape = (shape[0] // 2, shape[1] // 2)
+
+    def block(axis: str) -> Column:
+        return F.floor(F.col(axis) / side).cast("int").alias(axis)
+
+    # at most side**2 pixels share a block
+    members = first.groupBy(*keys, block("y"), block("x")).agg(
+        F.collect_list(F.struct((F.col("y") % side).alias("dy"), (F.col("x") % side).alias("dx"), F.col("f"))).alias("_first")
     )
+    steps = range(-radius, radius + 1)
+    joined = second.select(*keys, "y", "x", F.col("f").alias("_f2")).join(members, [*keys, "y", "x"], "left")
     zeros = F.array_repeat(F.lit(0.0), channels)
     tiled = spread(joined, radius, keys, tile)
     tiled = tiled.withColumn("_row", F.array(*[F.coalesce(shifted("_f2", k, along_x(keys)), zeros) for k in steps]))
@@ -178,7 +196,15 @@ def feature_correlation(
             total = F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
         return total / float(channels) ** 0.5
 
-    return own(tiled, tile).select(*keys, "y", "x", F.transform("_nb", dot).alias("corr"))
+    pixels = own(tiled, tile).select(*keys, "y", "x", "_nb", F.explode("_first").alias("_m"))
+    pixels = pixels.select(
+        *keys,
+        (F.col("y") * side + F.col("_m.dy")).alias("y"),
+        (F.col("x") * side + F.col("_m.dx")).alias("x"),
+        F.col("_m.f").alias("_f1"),
+        "_nb",
+    )
+    return pixels.select(*keys, "y", "x", F.transform("_nb", dot).alias("corr"))
 
 
 def pool_features(table: DataFrame, channels: int, shape: tuple[int, int], keys=FRAME) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from driftgrid.operators import admm, consensus, metrics, normalize
+from driftgrid.operators import admm, consensus, metrics, normalize, pixels
 from driftgrid.plans import estimators, steps
 from driftgrid.plans.catalog_fields import FYX, _EPE, out
 from driftgrid.plans.catalog_patches import photometric_sql
@@ -41,6 +41,27 @@ def _(s, d):
     return out(consensus.oracle_coverage(masked), "coverage", keys=("frame_id",))
 
 
+@query(
+    "consensus_run_summary",
+    sql(
+        "masked8 field8 image8",
+        f"""SELECT count(*) AS frames, {r6('avg(coverage)', 'coverage_mean')}, {r6('max(coverage)', 'coverage_max')}, {r6('min(coverage)', 'coverage_min')},
+        {r6('avg(e)', 'epe_mean')}, {r6('max(e)', 'epe_max')}, {r6('min(e)', 'epe_min')}
+        FROM (SELECT frame_id, avg(hit) AS coverage FROM (SELECT frame_id, y, x, max(mask) AS hit FROM masked8 GROUP BY ALL) GROUP BY frame_id)
+        JOIN (SELECT frame_id, avg(sqrt((m.u - f.u) ** 2 + (m.v - f.v) ** 2)) AS e
+          FROM (SELECT frame_id, y, x, median(u) AS u, median(v) AS v FROM masked8 GROUP BY ALL) m JOIN field8 f USING (frame_id, y, x) GROUP BY frame_id) USING (frame_id)
+        WHERE frame_id IN (SELECT frame_id FROM image8 WHERE i > 200)""",
+    ),
+)
+def _(s, d):
+    ensemble, truth = A.ensemble8(s, d), A.field8(s, d)
+    coverage = consensus.oracle_coverage(consensus.oracle_mask(ensemble, truth, 1.5))
+    errors = metrics.frame_epe(metrics.paired(consensus.consensus_median(ensemble), truth))
+    bright = A.image8(s, d).withColumn("i", F.when(F.col("i") > 200, F.col("i")).otherwise(0.0))
+    result = consensus.run_summary(coverage, errors, pixels.nonzero_frames(bright))
+    return out(result, *[f"{n}_{k}" for n in ("coverage", "epe") for k in ("mean", "max", "min")], keys=("frames",))
+
+
 @query("weights_list", sql("listed8", "SELECT frame_id, estimator, y, x, w FROM listed8"))
 def _(s, d):
     return _listed(s, d).select(*EYX, "w")
@@ -496,3 +517,18 @@ def _(s, d):
     writer.trigger(availableNow=True).start().awaitTermination()
     stored = s.read.parquet(f"{target}/rows")
     return out(stored, "run_mean", "run_max", "run_min", keys=("event_type", "n"))
+
+
+@query(
+    "history_stream",
+    f"""WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)
+    SELECT a.user_id AS key, a.event_id AS seq, k::INT AS slot, {r6('b.value', 'value')}
+    FROM e a CROSS JOIN range(4) r(k) JOIN e b ON b.user_id = a.user_id AND b.n = greatest(a.n - 3 + k, 0)""",
+)
+def _(s, d):
+    target = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    rolled = streams.history_stream(_event_stream(s, d), 4, "user_id", seq="event_id")
+    writer = rolled.writeStream.format("parquet").option("checkpointLocation", f"{target}/state")
+    writer.trigger(availableNow=True).start(f"{target}/rows").awaitTermination()
+    stored = s.read.schema(rolled.schema).parquet(f"{target}/rows")
+    return out(stored.select("key", "seq", F.posexplode("hist").alias("slot", "value")), "value", keys=("key", "seq", "slot"))

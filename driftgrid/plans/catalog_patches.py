@@ -258,6 +258,25 @@ def _(s, d):
     return out(c.select(*FYX, F.posexplode("corr").alias("k", "corr")), "corr", keys=(*FYX, "k"))
 
 
+@query(
+    "feature_correlation_coarse",
+    sql(
+        "field8 truth8",
+        f"""SELECT a.frame_id, a.y, a.x, ((dy + 1) * 3 + dx + 1)::INT AS k,
+        {r6('coalesce(a.u * b.u + a.v * b.v, 0) / sqrt(2)', 'corr')}
+        FROM field8 a CROSS JOIN (SELECT unnest(range(-1, 2)) AS dy) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dx)
+        LEFT JOIN half b ON b.frame_id = a.frame_id AND b.y = a.y // 2 + dy AND b.x = a.x // 2 + dx""",
+        ("half", "SELECT frame_id, y // 2 AS y, x // 2 AS x, avg(u) AS u, avg(v) AS v FROM truth8 GROUP BY ALL"),
+    ),
+)
+def _(s, d):
+    def features(t):
+        return t.select(*FYX, F.array("u", "v").alias("f"))
+
+    c = correlation.feature_correlation(features(A.field8(s, d)), features(A.truth8(s, d)), 1, 2, 1, A.SMALL)
+    return out(c.select(*FYX, F.posexplode("corr").alias("k", "corr")), "corr", keys=(*FYX, "k"))
+
+
 # --- patches ----------------------------------------------------------------
 
 

@@ -32,10 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_ROOT[app]
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/driftgrid-{spark.sparkContext.applicationId}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the stored table."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/driftgrid-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     _PATHS[stored] = path
@@ -49,11 +53,17 @@ def release(stored: DataFrame) -> None:
     with the number of rounds.
     """
     path = _PATHS.pop(stored, None)
-    if path is None:
-        return
-    spark = stored.sparkSession
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
+    if path is not None:
+        _delete(stored.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table ``durable`` made in this application, at its end."""
+    _delete(spark, _scratch(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
 
 

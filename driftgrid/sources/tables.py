@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrid.functions.columns import mix
-from driftgrid.schema import FIELD, IMAGE, require
+from driftgrid.scale import attach, durable
+from driftgrid.schema import FIELD, FRAME, IMAGE, PIXEL, require
 
 
 def read_image(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +29,17 @@ def write_pixels(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     ordered.write.mode(mode).parquet(path)
 
 
+def save_bucketed(df: DataFrame, table: str, buckets: int, keys=FRAME, mode: str = "errorifexists") -> None:
+    """Save as a table bucketed by pixel.
+
+    Two tables with the same number of buckets join by pixel without a shuffle
+    (estimate with truth, image with field). Pixels of one frame spread over all
+    buckets, so a large frame does not make a large bucket.
+    """
+    by = [*keys, *PIXEL]
+    df.write.mode(mode).bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
+
+
 def select_truth(mode: str, fields: DataFrame, densities: DataFrame) -> DataFrame:
     """The ground truth that belongs to an estimate type."""
     if mode == "flow":
@@ -63,29 +75,20 @@ def assign_batches(
 def rank_all(df: DataFrame, order: Sequence, name: str) -> DataFrame:
     """0-based rank over the whole table without a single-partition window.
 
-    Rows are cut into ranges of the first sort key by exact quantiles; counts per
-    range give each range its offset, and ranks inside a range come from a window
-    over that range only.
+    A range shuffle sorts the rows; each keeps its partition and its place in
+    it. The stored result fixes that assignment, so that counting the partitions
+    and reading the rows agree even when tasks are repeated. One offset per
+    partition then makes the ranks global.
     """
-    from driftgrid.quantiles import quantiles
-    from pyspark.sql import Window
-
-    keyed = df.withColumn("_first", order[0].cast("double"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probs = [k / parts for k in range(1, parts)]
-    cuts = quantiles(keyed, "_first", probs).first() if probs else ()
-    edges = sorted({c for c in cuts if c is not None})
-    # position among the (at most `parts`) edges
-    slot = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("_first"))) if edges else F.lit(0)
-    keyed = keyed.withColumn("_slot", slot)
-    sizes = dict((r["_slot"], r["n"]) for r in keyed.groupBy("_slot").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, seen = [], 0
-    for s in range(len(edges) + 1):
-        offsets.append(F.lit(seen).cast("long"))
-        seen += sizes.get(s, 0)
-    inner = F.row_number().over(Window.partitionBy("_slot").orderBy(*order)) - 1
-    base = F.get(F.array(*offsets), F.col("_slot"))
-    return keyed.withColumn(name, base + inner).drop("_first", "_slot")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # upper bits: partition, lower 33 bits: place in the partition
+    stored = durable(placed.withColumn("_id", F.monotonically_increasing_id()))
+    stored = stored.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    # as many rows as the shuffle has partitions
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
+    return attach(stored, offsets, ["_part"]).withColumn(name, F.col("_base") + F.col("_place")).drop("_id", "_part", "_place", "_base")
 
 
 def metrics_union(tables: Sequence[DataFrame]) -> DataFrame:

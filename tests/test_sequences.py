@@ -122,6 +122,23 @@ def test_durable_tables_are_released(spark):
     release(stored)
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    rows = [(f, y, x, float(f), 0.0) for f in range(4) for y in range(5) for x in range(5)]
+    df = spark.createDataFrame(rows, "frame_id long, y int, x int, u double, v double")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name in ("estimate", "truth"):
+            tables.save_bucketed(df, f"bucketed_{name}", 4, mode="overwrite")
+        pairs = metrics.paired(spark.table("bucketed_estimate"), spark.table("bucketed_truth"))
+        assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert pairs.count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in ("estimate", "truth"):
+            spark.sql(f"DROP TABLE IF EXISTS bucketed_{name}")
+
+
 def test_angle_and_relative_error_literals(spark):
     df = spark.createDataFrame([(1.0, 0.0, 0.0, 1.0), (1.0, 0.0, -1.0, 0.0), (2.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 0.0)], "u double, v double, tu double, tv double")
     rows = df.select(metrics.angle_error().alias("a"), metrics.relative_error().alias("r"), metrics.epe().alias("e")).collect()
