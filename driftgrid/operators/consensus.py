@@ -10,12 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftgrid.operators.differential import div_vort, gradients, laplacian, sobel_within
+from driftgrid.operators.differential import div_vort, gradients, laplacian
 from driftgrid.operators.metrics import epe
-from driftgrid.operators.search import photometric_error
+from driftgrid.operators.search import previous_patches, with_photometric_error
 from driftgrid.scale import attach
 from driftgrid.schema import FRAME, PIXEL
-from driftgrid.tiles import TILE, box_sums, own, spread
 
 WEIGHTINGS = ("none", "list", "photometric", "photograd")
 NORMALIZATIONS = ("none", "per_batch", "per_pixel", "softmax_per_batch", "softmax_per_pixel", "max")
@@ -72,36 +71,20 @@ def weights_photometric(
     ensemble: DataFrame, prev: DataFrame, curr: DataFrame, shape: tuple[int, int], patch_size: int = 3, keys=FRAME
 ) -> DataFrame:
     """Weight ``1/max(error, 1)``; 0 where the patch leaves the frame."""
-    by = [*keys, "estimator"]
-    err = photometric_error(prev, curr, ensemble, patch_size, shape, keys=keys, field_keys=by)
-    joined = ensemble.join(err, [*by, *PIXEL], "left")
+    before = previous_patches(prev, patch_size, keys)
+    rows = with_photometric_error(ensemble, before, curr, patch_size, shape, keys=keys)
     w = F.coalesce(1.0 / F.greatest(F.col("err"), F.lit(1.0)), F.lit(0.0))
-    return joined.withColumn("w", w).drop("err")
+    return rows.withColumn("w", F.when(F.col("err").isNotNull(), w).otherwise(0.0)).drop("err")
 
 
 def weights_photograd(
-    ensemble: DataFrame,
-    prev: DataFrame,
-    curr: DataFrame,
-    shape: tuple[int, int],
-    patch_size: int = 3,
-    keys=FRAME,
-    tile: int = TILE,
+    ensemble: DataFrame, prev: DataFrame, curr: DataFrame, shape: tuple[int, int], patch_size: int = 3, keys=FRAME
 ) -> DataFrame:
-    """Gradient energy of the patch over its mean squared error.
-
-    Gradients at the frame's border count as 0, and so do border weights.
-    """
-    half = patch_size // 2
-    by = [*keys, "estimator"]
-    err = photometric_error(prev, curr, ensemble, patch_size, shape, True, keys=keys, field_keys=by)
-    tiled = sobel_within(spread(prev.select(*keys, *PIXEL, "i"), half + 1, keys, tile), "i", keys)
-    interior = F.col("y").between(1, shape[0] - 2) & F.col("x").between(1, shape[1] - 2)
-    power = F.when(interior, F.col("ix") * F.col("ix") + F.col("iy") * F.col("iy")).otherwise(0.0)
-    energy = own(box_sums(tiled.withColumn("_g", power), ["_g"], half, keys), tile).select(*keys, *PIXEL, "_g")
-    joined = ensemble.join(err, [*by, *PIXEL], "left").join(energy, [*keys, *PIXEL])
-    w = F.coalesce(F.col("_g") / (F.col("err") / float(patch_size**2) + F.lit(1e-4)), F.lit(0.0))
-    return joined.withColumn("w", w).drop("err", "_g")
+    """Gradient energy of the patch over its mean squared error; 0 where the patch leaves the frame."""
+    before = previous_patches(prev, patch_size, keys, energy=True, shape=shape)
+    rows = with_photometric_error(ensemble, before, curr, patch_size, shape, True, keys=keys)
+    w = F.coalesce(F.col("g") / (F.col("err") / float(patch_size**2) + F.lit(1e-4)), F.lit(0.0))
+    return rows.withColumn("w", w).drop("err", "g")
 
 
 def normalize_weights(weighted: DataFrame, kind: str = "none", epsilon: float = 1e-8, keys=FRAME) -> DataFrame:

@@ -81,7 +81,7 @@ def _images(s, d):
     "weights_photometric",
     sql(
         "ensemble8 image8",
-        f"SELECT frame_id, estimator, y, x, {r6('coalesce(1 / greatest(sqrt(e), 1), 0)', 'w')} FROM ensemble8 LEFT JOIN ph USING (frame_id, estimator, y, x)",
+        f"SELECT frame_id, estimator, y, x, {r6('CASE WHEN e IS NULL THEN 0 ELSE 1 / greatest(sqrt(e), 1) END', 'w')} FROM ensemble8 LEFT JOIN ph USING (frame_id, estimator, y, x)",
         *_PHOTO,
     ),
 )
