@@ -12,19 +12,27 @@ from driftgrid.schema import FRAME
 from driftgrid.tiles import TILE, box_sums, own, spread
 
 
+def tile_average_within(tiled: DataFrame, radius: int, keys=FRAME) -> DataFrame:
+    ok = F.col("valid")
+    tiled = tiled.withColumns(
+        {
+            "_n": ok.cast("double"),
+            "_u": F.when(ok, F.col("u")).otherwise(0.0),
+            "_v": F.when(ok, F.col("v")).otherwise(0.0),
+        }
+    )
+    summed = box_sums(tiled, ("_n", "_u", "_v"), radius, keys)
+    n = F.greatest(F.col("_n"), F.lit(1.0))
+    filled = {c: F.when(ok, F.col(c)).otherwise(F.col(f"_{c}") / n) for c in ("u", "v")}
+    return summed.withColumns({**filled, "valid": ok | (F.col("_n") > 0)}).drop("_n", "_u", "_v")
+
+
 def tile_average(field: DataFrame, radius: int, keys=FRAME, tile: int = TILE) -> DataFrame:
     """Invalid vectors become the mean of the valid ones in their window.
 
     A pixel without any valid neighbour becomes 0 and stays invalid.
     """
-    ok = F.col("valid").cast("double")
-    tiled = spread(field, radius, keys, tile).withColumns(
-        {"_n": ok, "_u": F.when(F.col("valid"), F.col("u")).otherwise(0.0), "_v": F.when(F.col("valid"), F.col("v")).otherwise(0.0)}
-    )
-    summed = own(box_sums(tiled, ("_n", "_u", "_v"), radius, keys), tile)
-    n = F.greatest(F.col("_n"), F.lit(1.0))
-    filled = {c: F.when(F.col("valid"), F.col(c)).otherwise(F.col(f"_{c}") / n) for c in ("u", "v")}
-    return summed.withColumns({**filled, "valid": F.col("valid") | (F.col("_n") > 0)}).drop("_n", "_u", "_v")
+    return own(tile_average_within(spread(field, radius, keys, tile), radius, keys), tile)
 
 
 def laplace(

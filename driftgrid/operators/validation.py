@@ -34,17 +34,14 @@ def adaptive_global(field: DataFrame, n_sigma: float, scope: str = "dataset", ke
     return attach(field, stats, keys).withColumn("is_outlier", (m < low) | (m > high)).drop("_mean", "_std")
 
 
-def adaptive_local(
-    field: DataFrame, n_sigma: float, radius: int = 1, keys=FRAME, tile: int = TILE
-) -> DataFrame:
-    """Magnitude outside mean ± ``n_sigma`` deviations of its window.
+# The ``*_within`` forms work on a table that is already spread over tiles.
 
-    Pixels beyond the frame count as 0, so the window always has ``(2r+1)**2`` values.
-    """
+
+def adaptive_local_within(tiled: DataFrame, n_sigma: float, radius: int = 1, keys=FRAME) -> DataFrame:
     area = float((2 * radius + 1) ** 2)
-    tiled = spread(field, radius, keys, tile).withColumn("_m", magnitude())
+    tiled = tiled.withColumn("_m", magnitude())
     tiled = tiled.withColumns({"_s": F.col("_m"), "_ss": F.col("_m") * F.col("_m")})
-    tiled = own(box_sums(tiled, ["_s", "_ss"], radius, keys), tile)
+    tiled = box_sums(tiled, ["_s", "_ss"], radius, keys)
     mean = F.col("_s") / area
     std = F.sqrt(F.greatest(F.col("_ss") / area - mean * mean, F.lit(0.0)))
     reach = F.lit(float(n_sigma)) * std
@@ -52,12 +49,19 @@ def adaptive_local(
     return tiled.withColumn("is_outlier", flag).drop("_m", "_s", "_ss")
 
 
-def median_scores(
-    field: DataFrame, epsilon: float = 0.1, radius: int = 1, keys=FRAME, tile: int = TILE
+def adaptive_local(
+    field: DataFrame, n_sigma: float, radius: int = 1, keys=FRAME, tile: int = TILE
 ) -> DataFrame:
-    """Normalised median residual of both channels (``score_u``, ``score_v``)."""
+    """Magnitude outside mean ± ``n_sigma`` deviations of its window.
+
+    Pixels beyond the frame count as 0, so the window always has ``(2r+1)**2`` values.
+    """
+    return own(adaptive_local_within(spread(field, radius, keys, tile), n_sigma, radius, keys), tile)
+
+
+def _scores_within(tiled: DataFrame, epsilon: float, radius: int, keys) -> DataFrame:
     size = (2 * radius + 1) ** 2
-    tiled = own(neighbourhoods(spread(field, radius, keys, tile), ["u", "v"], radius, keys), tile)
+    tiled = neighbourhoods(tiled, ["u", "v"], radius, keys)
     for c in ("u", "v"):
         others = without(F.col(f"{c}_nb"), size // 2, size)
         tiled = tiled.withColumn(f"{c}_nb", others).withColumn(f"{c}_med", array_median(F.col(f"{c}_nb"), size - 1))
@@ -67,6 +71,24 @@ def median_scores(
     return tiled.drop("u_nb", "v_nb", "u_med", "v_med")
 
 
+def median_scores(
+    field: DataFrame, epsilon: float = 0.1, radius: int = 1, keys=FRAME, tile: int = TILE
+) -> DataFrame:
+    """Normalised median residual of both channels (``score_u``, ``score_v``)."""
+    return own(_scores_within(spread(field, radius, keys, tile), epsilon, radius, keys), tile)
+
+
+def median_test_within(
+    tiled: DataFrame, r_threshold: float = 2.0, epsilon: float = 0.1, radius: int = 1, keys=FRAME
+) -> DataFrame:
+    if radius == 0:
+        raise ValueError("the median test needs neighbours: radius must be at least 1")
+    limit = F.lit(float(r_threshold))
+    scored = _scores_within(tiled, epsilon, radius, keys)
+    flag = (F.col("score_u") > limit) | (F.col("score_v") > limit)
+    return scored.withColumn("is_outlier", flag).drop("score_u", "score_v")
+
+
 def median_test(
     field: DataFrame,
     r_threshold: float = 2.0,
@@ -76,9 +98,4 @@ def median_test(
     tile: int = TILE,
 ) -> DataFrame:
     """Universal median test: outlier when either channel's score exceeds the threshold."""
-    if radius == 0:
-        raise ValueError("the median test needs neighbours: radius must be at least 1")
-    limit = F.lit(float(r_threshold))
-    scored = median_scores(field, epsilon, radius, keys, tile)
-    flag = (F.col("score_u") > limit) | (F.col("score_v") > limit)
-    return scored.withColumn("is_outlier", flag).drop("score_u", "score_v")
+    return own(median_test_within(spread(field, radius, keys, tile), r_threshold, epsilon, radius, keys), tile)

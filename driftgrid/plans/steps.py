@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.operators import filling, normalize, pixels, resample, sequences, smoothing, validation
 from driftgrid.schema import FRAME
+from driftgrid.tiles import own, spread
 
 
 @dataclass(frozen=True)
@@ -38,17 +39,30 @@ Apply = Callable[..., "DataFrame | tuple[DataFrame, Context]"]
 
 @dataclass(frozen=True)
 class Step:
+    """``apply(table, context, **params)`` and ``check(**params)``.
+
+    With ``reach(**params)`` given, ``apply`` works in place on a table spread
+    over tiles and looks that many pixels away.
+    """
+
     apply: Apply
     check: Callable[..., None]
+    reach: Callable[..., int] | None = None
+
+
+# Neighbouring steps share one exchange up to this halo.
+MAX_HALO = 32
 
 
 IMAGE_STEPS: dict[str, Step] = {}
 FIELD_STEPS: dict[str, Step] = {}
 
 
-def register_step(kind: str, name: str, apply: Apply, check: Callable[..., None]) -> None:
-    """Add a step: ``apply(table, context, **params)`` and ``check(**params)``."""
-    _registry(kind)[name] = Step(apply, check)
+def register_step(
+    kind: str, name: str, apply: Apply, check: Callable[..., None], reach: Callable[..., int] | None = None
+) -> None:
+    """Add a step (see ``Step``)."""
+    _registry(kind)[name] = Step(apply, check, reach)
 
 
 def _registry(kind: str) -> dict[str, Step]:
@@ -78,11 +92,37 @@ def run_steps(kind: str, table: DataFrame, steps: Sequence[dict], context: Conte
     known = _registry(kind)
     if kind == "field" and "valid" not in table.columns:
         table = table.withColumn("valid", F.lit(True))
+    together: list[tuple[Step, dict]] = []
     for step in steps:
         params = {k: v for k, v in step.items() if k != "name"}
-        result = known[step["name"]].apply(table, context, **params)
+        found = known[step["name"]]
+        if found.reach is not None:
+            if together and _halo(together) + found.reach(**params) > MAX_HALO:
+                table, together = _in_place(table, context, together), []
+            together.append((found, params))
+            continue
+        table, together = _in_place(table, context, together), []
+        result = found.apply(table, context, **params)
         table, context = result if isinstance(result, tuple) else (result, context)
-    return table
+    return _in_place(table, context, together)
+
+
+def _halo(steps: list[tuple[Step, dict]]) -> int:
+    return sum(step.reach(**params) for step, params in steps)
+
+
+def _in_place(table: DataFrame, context: Context, steps: list[tuple[Step, dict]]) -> DataFrame:
+    """Apply neighbourhood steps one after the other within one exchange.
+
+    Its halo is the sum of their reaches: what the missing outer pixels spoil
+    moves inwards by each step's reach and never arrives at a tile's own pixels.
+    """
+    halo = _halo(steps)
+    if halo:
+        table = spread(table, halo, context.keys)
+    for step, params in steps:
+        table = step.apply(table, context, **params)
+    return own(table) if halo else table
 
 
 def chain_from_config(config: dict) -> tuple[list[dict], list[dict]]:
@@ -249,43 +289,65 @@ for _name, _apply, _check in (
 ):
     register_step("image", _name, _apply, _check)
 
-for _name, _apply, _check in (
+def _of_radius(radius: int = 1, **_) -> int:
+    return radius
+
+
+for _name, _apply, _check, _reach in (
     (
         "constant_threshold_filter",
         _marking(lambda t, c, vel_min, vel_max: validation.constant_threshold(t, vel_min, vel_max)),
         _check_speed,
+        lambda **_: 0,
     ),
     (
         "adaptive_global_filter",
         _marking(lambda t, c, n_sigma: validation.adaptive_global(t, n_sigma, "dataset", c.keys)),
         _check_global,
+        None,
     ),
     (
         "adaptive_local_filter",
-        _marking(lambda t, c, n_sigma, radius=1: validation.adaptive_local(t, n_sigma, radius, c.keys)),
+        _marking(lambda t, c, n_sigma, radius=1: validation.adaptive_local_within(t, n_sigma, radius, c.keys)),
         _check_local,
+        _of_radius,
     ),
     (
         "universal_median_test",
-        _marking(
-            lambda t, c, r_threshold=2.0, epsilon=0.1, radius=1: validation.median_test(t, r_threshold, epsilon, radius, c.keys)
-        ),
+        _marking(lambda t, c, **p: validation.median_test_within(t, keys=c.keys, **p)),
         _check_median_test,
+        _of_radius,
+    ),
+    (
+        "tile_average_interpolation",
+        lambda t, c, radius: filling.tile_average_within(t, radius, c.keys),
+        _check_radius,
+        _of_radius,
+    ),
+    (
+        "laplace_interpolation",
+        lambda t, c, num_iter=512: filling.laplace(t, num_iter, keys=c.keys, shape=c.shape),
+        _check_iterations,
+        None,
+    ),
+    ("average_smoothing", lambda t, c, radius: smoothing.average_within(t, radius, c.keys), _check_radius, _of_radius),
+    (
+        "median_smoothing",
+        lambda t, c, radius=3: smoothing.median_within(t, radius, c.keys),
+        _check_radius,
+        lambda radius=3: radius,
     ),
-    ("tile_average_interpolation", lambda t, c, radius: filling.tile_average(t, radius, c.keys), _check_radius),
-    ("laplace_interpolation", lambda t, c, num_iter=512: filling.laplace(t, num_iter, keys=c.keys, shape=c.shape), _check_iterations),
-    ("average_smoothing", lambda t, c, radius: smoothing.average(t, radius, c.keys), _check_radius),
-    ("median_smoothing", lambda t, c, radius=3: smoothing.median(t, radius, c.keys), _check_radius),
     (
         "gaussian_smoothing",
-        lambda t, c, sigma, truncate=4.0: smoothing.gaussian(t, sigma, truncate, c.keys),
+        lambda t, c, sigma, truncate=4.0: smoothing.gaussian_within(t, sigma, truncate, c.keys),
         _check_sigma,
+        smoothing.gaussian_radius,
     ),
-    ("quantize", lambda t, c, **p: pixels.quantize(t, **p), _check_quantize),
-    ("resize_flow", _resize_flow, _check_size),
-    ("temporal_smoothing_ema", _ema, _check_alpha),
+    ("quantize", lambda t, c, **p: pixels.quantize(t, **p), _check_quantize, None),
+    ("resize_flow", _resize_flow, _check_size, None),
+    ("temporal_smoothing_ema", _ema, _check_alpha, None),
 ):
-    register_step("field", _name, _apply, _check)
+    register_step("field", _name, _apply, _check, _reach)
 
 
 # Published chains (fixed values).

@@ -94,22 +94,18 @@ def weighted(column: str, weights: Sequence[float], line, pad: str) -> Column:
     return total
 
 
-def separable(
-    df: DataFrame,
+def separable_within(
+    tiled: DataFrame,
     columns: Iterable[str],
     weights_y: Sequence[float],
     weights_x: Sequence[float],
     keys: Sequence[str] = FRAME,
     pad: str = "zero",
-    tile: int = TILE,
 ) -> DataFrame:
-    """Replace ``columns`` by their correlation with an outer-product kernel."""
+    """Replace ``columns`` of a spread table by their correlation with an outer-product kernel."""
     columns = list(columns)
-    halo = max(len(weights_y), len(weights_x)) // 2
-    out = spread(df, halo, keys, tile)
-    out = out.withColumns({c: weighted(c, weights_x, along_x(keys), pad) for c in columns})
-    out = out.withColumns({c: weighted(c, weights_y, along_y(keys), pad) for c in columns})
-    return own(out, tile)
+    tiled = tiled.withColumns({c: weighted(c, weights_x, along_x(keys), pad) for c in columns})
+    return tiled.withColumns({c: weighted(c, weights_y, along_y(keys), pad) for c in columns})
 
 
 def box_sums(tiled: DataFrame, columns: Iterable[str], radius: int, keys: Sequence[str] = FRAME) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_stencils import jacobi, window
 
 from driftgrid.operators import filling, normalize, pixels as px, smoothing, validation
+from driftgrid import tiles
 from driftgrid.plans import estimators, steps
 
 
@@ -72,6 +73,26 @@ def test_chain_equals_its_steps(field):
     np.testing.assert_allclose(grid(made, "u", u.shape), grid(t, "u", u.shape))
 
 
+def test_neighbouring_steps_share_an_exchange(field, monkeypatch):
+    df, u, v = field
+    four = [{"name": "median_smoothing", "radius": 2}] * 4 + [{"name": "average_smoothing", "radius": 2}]
+    made = steps.run_steps("field", df, four, CONTEXT)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    # the same chain over tiles of 3 pixels, and with the halo used up after every second step
+    monkeypatch.setattr(steps, "spread", lambda t, h, k: tiles.spread(t, h, k, 3))
+    monkeypatch.setattr(steps, "own", lambda t: tiles.own(t, 3))
+    small = steps.run_steps("field", df, four, CONTEXT)
+    monkeypatch.setattr(steps, "MAX_HALO", 4)
+    split = steps.run_steps("field", df, four, CONTEXT)
+    want = []
+    for f in u:
+        for _ in range(4):
+            f = np.median(window(f, 2), axis=-1)
+        want.append(window(f, 2, "edge").mean(axis=-1))
+    for got in (made, small, split):
+        np.testing.assert_allclose(grid(got, "u", u.shape), np.stack(want), atol=1e-12)
+
+
 def test_shape_follows_crop_and_resize(spark, rng):
     image = pixels(spark, i=rng.random((2, 20, 16)))
     got = steps.run_steps(
