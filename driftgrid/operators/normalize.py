@@ -79,56 +79,69 @@ def clahe(
     an eighth of the frame). Each region's histogram is clipped at
     ``max(clip_limit * pixels, 1)``, the excess is spread evenly over all bins,
     and a pixel blends the cumulative histograms of its four nearest regions.
-    A region has at most ``nbins`` rows, so nothing here grows with its area.
+    Those four are the same for all pixels of a cell between region centres, so
+    a pixel meets them in one join with a summary of a few arrays per region.
     """
-    height, width = shape
-    region = tile_grid_size or (max(height // 8, 1), max(width // 8, 1))
-    counts = tuple(-(-n // r) for n, r in zip(shape, region))
     keys = list(keys)
+    region = tuple(tile_grid_size or (max(shape[0] // 8, 1), max(shape[1] // 8, 1)))
+    counts = tuple(-(-n // r) for n, r in zip(shape, region))
     binned = stretch_contrast(image.select(*keys, "y", "x", "i"), keys).withColumn(
         "_bin", F.least(F.floor(F.col("i") * nbins).cast("int"), F.lit(nbins - 1))
     )
-    region_of = {"_gy": F.floor(F.col("y") / region[0]).cast("int"), "_gx": F.floor(F.col("x") / region[1]).cast("int")}
-    sized = (
-        binned.withColumns(region_of)
-        .groupBy(*keys, "_gy", "_gx", "_bin")
-        .agg(F.count(F.lit(1)).cast("double").alias("n"))
-    )
-    # one array of nbins counts per region
-    hist = sized.groupBy(*keys, "_gy", "_gx").agg(
+    levels = _region_levels(binned, region, clip_limit, nbins, keys)
+
+    def place(axis: str, size: int):
+        return (F.col(axis) + 0.5) / size - 0.5
+
+    spots = binned
+    for axis, size in zip(("y", "x"), region):
+        spots = spots.withColumn(f"_c{axis}", F.floor(place(axis, size)).cast("int"))
+        spots = spots.withColumn(f"_f{axis}", place(axis, size) - F.col(f"_c{axis}"))
+    met = attach(spots, _cells(levels, counts, keys), [*keys, "_cy", "_cx"])
+
+    def level(name: str):
+        return F.get(name, F.col("_bin"))
+
+    upper = (1.0 - F.col("_fx")) * level("l00") + F.col("_fx") * level("l01")
+    lower = (1.0 - F.col("_fx")) * level("l10") + F.col("_fx") * level("l11")
+    blended = (1.0 - F.col("_fy")) * upper + F.col("_fy") * lower
+    return met.select(*keys, "y", "x", blended.alias("i"))
+
+
+def _region_levels(binned: DataFrame, region: tuple[int, int], clip_limit: float, nbins: int, keys) -> DataFrame:
+    """Clipped cumulative histogram of every region: ``levels``, an array of ``nbins`` shares."""
+    at = [F.floor(F.col(a) / r).cast("int").alias(f"_g{a}") for a, r in zip(("y", "x"), region)]
+    by = [*keys, "_gy", "_gx"]
+    sized = binned.groupBy(*keys, *at, "_bin").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    hist = sized.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("_bin", "n"))).alias("m"), F.sum("n").alias("total")
     )
-    limit = F.greatest(F.col("total") * F.lit(float(clip_limit)), F.lit(1.0))
     bars = F.transform(F.sequence(F.lit(0), F.lit(nbins - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0.0)))
-    hist = hist.withColumn("bars", bars).withColumn("limit", limit)
+    limit = F.greatest(F.col("total") * F.lit(float(clip_limit)), F.lit(1.0))
+    hist = hist.select(*by, "total", limit.alias("limit"), bars.alias("bars"))
     excess = F.aggregate("bars", F.lit(0.0), lambda acc, n: acc + F.greatest(n - F.col("limit"), F.lit(0.0)))
     hist = hist.withColumn("share", excess / nbins)
-    clipped = hist.select(
-        *keys,
-        "_gy",
-        "_gx",
-        "total",
-        F.posexplode(F.transform("bars", lambda n: F.least(n, F.col("limit")) + F.col("share"))).alias("_bin", "n"),
-    )
-
-    upto = Window.partitionBy(*keys, "_gy", "_gx").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = clipped.select(*keys, "_gy", "_gx", "_bin", (F.sum("n").over(upto) / F.col("total")).alias("level"))
-
-    def neighbours(axis: str, size: int, count: int):
-        """The two nearest regions along one axis with their blending weights."""
-        place = (F.col(axis) + 0.5) / size - 0.5
-        low = F.floor(place).cast("int")
-        far = place - low
-        last = F.lit(count - 1)
-        return F.array(
-            F.struct(F.least(F.greatest(low, F.lit(0)), last).alias("g"), (1.0 - far).alias("w")),
-            F.struct(F.least(F.greatest(low + 1, F.lit(0)), last).alias("g"), far.alias("w")),
-        )
-
-    spots = (
-        binned.withColumn("_a", F.explode(neighbours("y", region[0], counts[0])))
-        .withColumn("_b", F.explode(neighbours("x", region[1], counts[1])))
-        .select(*keys, "y", "x", "_bin", F.col("_a.g").alias("_gy"), F.col("_b.g").alias("_gx"), (F.col("_a.w") * F.col("_b.w")).alias("_w"))
-    )
-    blended = attach(spots, cdf, [*keys, "_gy", "_gx", "_bin"])
-    return blended.groupBy(*keys, "y", "x").agg(F.sum(F.col("_w") * F.col("level")).alias("i"))
+    clipped = F.transform("bars", lambda n: F.least(n, F.col("limit")) + F.col("share"))
+    long = hist.select(*by, "total", F.posexplode(clipped).alias("_bin", "n"))
+    upto = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    summed = long.select(*by, F.struct("_bin", (F.sum("n").over(upto) / F.col("total")).alias("l")).alias("e"))
+    return summed.groupBy(*by).agg(F.sort_array(F.collect_list("e")).alias("e")).select(*by, F.col("e.l").alias("levels"))
+
+
+def _cells(levels: DataFrame, counts: tuple[int, int], keys) -> DataFrame:
+    """Per cell between region centres (-1 before the first): the arrays of its four regions."""
+
+    def roles(axis: str, count: int):
+        """Cells in which a region is the nearer (0) or farther (1) one; the outer ones repeat."""
+        g = F.col(f"_g{axis}")
+        role = [(g, 0, F.lit(True)), (g - 1, 1, F.lit(True)), (g - 1, 0, g == 0), (g, 1, g == count - 1)]
+        listed = F.array(*[F.when(ok, F.struct(cell.alias("c"), F.lit(k).alias("k"))) for cell, k, ok in role])
+        return F.explode(F.filter(listed, lambda s: s.isNotNull()))
+
+    placed = levels.withColumn("_ry", roles("y", counts[0])).withColumn("_rx", roles("x", counts[1]))
+    corners = [
+        F.first(F.when((F.col("_ry.k") == a) & (F.col("_rx.k") == b), F.col("levels")), ignorenulls=True).alias(f"l{a}{b}")
+        for a in (0, 1)
+        for b in (0, 1)
+    ]
+    return placed.groupBy(*keys, F.col("_ry.c").alias("_cy"), F.col("_rx.c").alias("_cx")).agg(*corners)

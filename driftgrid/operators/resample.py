@@ -209,6 +209,7 @@ def warp_forward(
     moved = moved.withColumns({"_y": F.col("y") + F.col("v") * dt, "_x": F.col("x") + F.col("u") * dt})
     moved = moved.withColumns({"_y0": F.floor("_y").cast("int"), "_x0": F.floor("_x").cast("int")})
     wy, wx = F.col("_y") - F.col("_y0"), F.col("_x") - F.col("_x0")
+    near = (F.col("y") - F.col("_y0")).isin(0, 1) & (F.col("x") - F.col("_x0")).isin(0, 1)
 
     def corner(dy: int, dx: int, w: Column) -> Column:
         return F.struct((F.col("_y0") + dy).alias("y"), (F.col("_x0") + dx).alias("x"), (w * F.col(column)).alias("d"))
@@ -218,7 +219,8 @@ def warp_forward(
         corner(0, 1, wx * (1.0 - wy)),
         corner(1, 0, (1.0 - wx) * wy),
         corner(1, 1, wx * wy),
-        F.struct(F.col("y"), F.col("x"), F.lit(0.0).alias("d")),
+        # a pixel whose own deposit does not reach it still appears, with 0
+        F.when(~near, F.struct(F.col("y"), F.col("x"), F.lit(0.0).alias("d"))),
     )
     inside = F.filter(deposits, lambda s: s["y"].between(0, height - 1) & s["x"].between(0, width - 1))
     spots = moved.select(*keys, F.explode(inside).alias("s")).select(*keys, "s.y", "s.x", "s.d")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from driftgrid.operators import admm, consensus, metrics, normalize, pixels
-from driftgrid.plans import estimators, steps
+from driftgrid.plans import estimators, evaluate, steps
 from driftgrid.plans.catalog_fields import FYX, _EPE, out
 from driftgrid.plans.catalog_patches import photometric_sql
 from driftgrid.plans.oracle import around, r6, sobel_sql, sql
@@ -479,6 +479,38 @@ def _(s, d):
     return out(fused, "u", "v")
 
 
+@query(
+    "evaluate_density_config",
+    sql(
+        "image8",
+        f"""SELECT count(*) AS frames, {r6('avg(l)', 'mean')}, {r6('max(l)', 'max')}, {r6('min(l)', 'min')} FROM (
+          SELECT frame_id, (d.e - t.e) ** 2 / t.e AS l
+          FROM (SELECT frame_id, avg(CASE WHEN least(i, med + 1.1 * sd) > 70 THEN 1.0 ELSE 0.0 END) AS e
+            FROM bs JOIN (SELECT frame_id, median(i) AS med, stddev_pop(i) AS sd FROM bs GROUP BY frame_id) USING (frame_id) GROUP BY frame_id) d
+          JOIN (SELECT frame_id, avg(CASE WHEN i > 110 THEN 1.0 ELSE 0.0 END) AS e FROM image8 GROUP BY frame_id) t USING (frame_id))""",
+        ("bs", "SELECT frame_id, y, x, greatest(i - 50, 0.0) AS i FROM image8"),
+    ),
+)
+def _(s, d):
+    image = A.image8(s, d)
+    config = {"estimate_type": "density", "threshold": 70, "preprocess": steps.DENSITY_CHAIN}
+    truth = normalize.density_threshold(image, 110)
+    return out(evaluate.evaluate_density(config, image, truth, A.SMALL), "mean", "max", "min", keys=("frames",))
+
+
+@query("evaluate_field_config")
+def _(s, d):
+    """Image steps, window correlation and field steps against a known displacement."""
+    pairs = A.pair32(s, d).withColumnRenamed("pair_id", "frame_id")
+    truth = A.mosaic32(s, d).select(*FYX, F.lit(2.0).alias("u"), F.lit(1.0).alias("v"))
+    config = {
+        "estimator": "window_piv", "window_size": 12, "search_size": 16, "overlap": 8,
+        "preprocess": [{"name": "intensity_capping", "n": 2.0}, {"name": "stretch_contrast"}],
+        "postprocess": [{"name": "universal_median_test", "radius": 1}, {"name": "tile_average_interpolation", "radius": 2}, {"name": "median_smoothing", "radius": 1}],
+    }
+    return out(evaluate.evaluate_field(config, pairs, truth, A.LARGE), "mean", "max", "min", keys=("frames",))
+
+
 # --- streams ----------------------------------------------------------------
 
 

@@ -25,13 +25,15 @@ class Context:
     ``keys`` identify a frame; for sequences the last one is the step number.
     ``mask_mode``: ``intent`` removes outliers from ``valid``; ``reference``
     keeps the literal convention in which a detected outlier is what the next
-    step reads as valid.
+    step reads as valid. For averages over time, either ``time`` names the step
+    number among the keys or ``previous`` is the final field of the step before.
     """
 
     shape: tuple[int, int]
     keys: tuple[str, ...] = FRAME
     mask_mode: str = "intent"
     time: str | None = None
+    previous: DataFrame | None = None
 
 
 Apply = Callable[..., "DataFrame | tuple[DataFrame, Context]"]
@@ -75,20 +77,28 @@ def validate_steps(kind: str, steps: Sequence[dict]) -> None:
     known = _registry(kind)
     if not isinstance(steps, (list, tuple)):
         raise ValueError("steps must be a list of dicts")
-    for position, step in enumerate(steps):
+    for step in steps:
         if not isinstance(step, dict) or "name" not in step:
             raise ValueError(f"each step must be a dict with a 'name', got {step!r}")
         if step["name"] not in known:
             raise ValueError(f"unknown {kind} step {step['name']!r}")
         params = {k: v for k, v in step.items() if k != "name"}
         known[step["name"]].check(**params)
-        if step["name"] == "temporal_smoothing_ema" and position != len(steps) - 1:
-            raise ValueError("temporal_smoothing_ema averages the chain's own output and must be the last step")
 
 
 def run_steps(kind: str, table: DataFrame, steps: Sequence[dict], context: Context) -> DataFrame:
     """Apply the steps in order. Fields start with every vector valid."""
+    return run_chain(kind, table, steps, context)[0]
+
+
+def run_chain(kind: str, table: DataFrame, steps: Sequence[dict], context: Context) -> tuple[DataFrame, Context]:
+    """``run_steps`` that also returns the context afterwards (crops and resizes change the shape)."""
     validate_steps(kind, steps)
+    if context.previous is None and any(s["name"] == "temporal_smoothing_ema" for s in steps[:-1]):
+        raise ValueError(
+            "temporal_smoothing_ema averages the chain's final output: as an inner step it needs the previous one "
+            "(see plans.evaluate.estimate_sequence)"
+        )
     known = _registry(kind)
     if kind == "field" and "valid" not in table.columns:
         table = table.withColumn("valid", F.lit(True))
@@ -104,7 +114,7 @@ def run_steps(kind: str, table: DataFrame, steps: Sequence[dict], context: Conte
         table, together = _in_place(table, context, together), []
         result = found.apply(table, context, **params)
         table, context = result if isinstance(result, tuple) else (result, context)
-    return _in_place(table, context, together)
+    return _in_place(table, context, together), context
 
 
 def _halo(steps: list[tuple[Step, dict]]) -> int:
@@ -267,8 +277,13 @@ def _marking(find: Callable[..., DataFrame]) -> Apply:
 
 
 def _ema(table, ctx, alpha):
+    if ctx.previous is not None:
+        before = ctx.previous.select(*ctx.keys, "y", "x", F.col("u").alias("_pu"), F.col("v").alias("_pv"))
+        joined = table.join(before, [*ctx.keys, "y", "x"], "left")
+        blend = {c: alpha * F.col(c) + (1.0 - alpha) * F.coalesce(F.col(f"_p{c}"), F.lit(0.0)) for c in ("u", "v")}
+        return joined.withColumns(blend).drop("_pu", "_pv")
     if ctx.time is None:
-        raise ValueError("temporal_smoothing_ema needs a context with a time column")
+        raise ValueError("temporal_smoothing_ema needs a context with a time column or a previous field")
     line = [k for k in ctx.keys if k != ctx.time]
     return sequences.ema(table, alpha, keys=[*line, "y", "x"], time=ctx.time)
 

@@ -6,7 +6,7 @@ from test_stencils import jacobi, window
 
 from driftgrid.operators import filling, normalize, pixels as px, smoothing, validation
 from driftgrid import tiles
-from driftgrid.plans import estimators, steps
+from driftgrid.plans import estimators, evaluate, steps
 
 
 @pytest.fixture
@@ -154,11 +154,40 @@ def test_bad_steps(kind, step, error):
         steps.validate_steps(kind, [step])
 
 
-def test_an_average_over_time_comes_last():
+def test_an_inner_average_over_time_needs_the_previous_field(field):
     ema = {"name": "temporal_smoothing_ema", "alpha": 0.5}
-    steps.validate_steps("field", [{"name": "median_smoothing", "radius": 1}, ema])
     with pytest.raises(ValueError):
-        steps.validate_steps("field", [ema, {"name": "median_smoothing", "radius": 1}])
+        steps.run_steps("field", field[0], [ema, {"name": "median_smoothing", "radius": 1}], CONTEXT)
+    with pytest.raises(ValueError):
+        steps.run_steps("field", field[0], [ema], CONTEXT)
+
+
+def test_sequences_read_the_field_before(spark, rng):
+    images = rng.normal(size=(2, 5, 7, 6))
+    rows = [(s, t, y, x, float(images[s, t, y, x])) for s, t, y, x in np.ndindex(images.shape)]
+    frames = spark.createDataFrame(rows, "seq_id long, t int, y int, x int, i double")
+
+    def difference(pairs, shape, start=None, keys=("frame_id",)):
+        out = pairs.select(*keys, "y", "x", (F.col("curr") - F.col("prev")).alias("u"), F.lit(1.0).alias("v"))
+        if start is None:
+            return out
+        before = start.select(*keys, "y", "x", F.col("v").alias("_b"))
+        return out.join(before, [*keys, "y", "x"]).withColumn("v", F.col("v") + F.col("_b")).drop("_b")
+
+    estimators.register_estimator("difference", difference)
+    try:
+        chain_ = [{"name": "temporal_smoothing_ema", "alpha": 0.3}, {"name": "average_smoothing", "radius": 1}]
+        got = evaluate.estimate_sequence({"estimator": "difference", "postprocess": chain_}, frames, (7, 6))
+        for s in range(2):
+            level = np.zeros((7, 6))
+            for t in range(1, 5):
+                level = window(0.3 * (images[s, t] - images[s, t - 1]) + 0.7 * level, 1, "edge").mean(axis=-1)
+                now = got.where(f"t = {t}").withColumnRenamed("seq_id", "frame_id")
+                np.testing.assert_allclose(grid(now, "u", (2, 7, 6))[s], level, atol=1e-12)
+        counted = evaluate.estimate_sequence({"estimator": "difference"}, frames, (7, 6), propagate=True)
+        assert sorted({(r["t"], r["v"]) for r in counted.select("t", "v").collect()}) == [(t, float(t)) for t in range(1, 5)]
+    finally:
+        del estimators.ESTIMATORS["difference"]
 
 
 def test_config_and_own_steps(field):
@@ -204,3 +233,25 @@ def test_quantize_cuts_fractions_off(spark):
     field = pixels(spark, u=np.array([[[-5.0, 0.0, 0.5, 1.0, 9.0]]]), v=np.array([[[0.0, 0.999, 1.0, 0.5, 0.1]]]))
     got = px.quantize(field, (0, 0), (1, 1), "uint4").orderBy("x").collect()
     assert [r["u"] for r in got] == [0, 0, 7, 15, 15] and [r["v"] for r in got] == [0, 14, 15, 7, 1]
+
+
+def test_configured_estimation(spark, rng):
+    first = rng.random((2, 32, 32)) * 255
+    pairs = pixels(spark, prev=first, curr=np.roll(first, (1, 2), axis=(1, 2)))
+    config = {
+        "estimator": "window_piv", "window_size": 16, "search_size": 16, "overlap": 8, "jit": True,
+        "preprocess": [{"name": "crop_special", "target_height": 24, "target_width": 32}, {"name": "stretch_contrast"}],
+        "postprocess": [{"name": "median_smoothing", "radius": 1}],
+    }
+    field = evaluate.estimate_field(config, pairs, (32, 32))
+    u = grid(field, "u", (2, 24, 32))
+    assert np.isfinite(u).all() and abs(np.median(u) - 2) < 0.3
+    truth = pixels(spark, u=np.full((2, 24, 32), 2.0), v=np.ones((2, 24, 32)))
+    row = evaluate.evaluate_field(config, pairs, truth, (32, 32)).first()
+    assert row["frames"] == 2 and row["mean"] < 1.5
+    same = evaluate.compare_configs(config, config, pairs, (32, 32)).first()
+    assert same["mean"] == 0 and same["fraction_below_threshold"] == 1
+    with pytest.raises(ValueError):
+        evaluate.estimate_field({"estimator": "odd"}, pairs, (32, 32))
+    with pytest.raises(ValueError):
+        evaluate.estimate_field({**config, "postprocess": [{"name": "median_smoothing", "radius": 0}]}, pairs, (32, 32))
