@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from driftgrid.operators import admm, consensus, metrics, normalize, pixels
 from driftgrid.plans import estimators, evaluate, steps
-from driftgrid.plans.catalog_fields import FYX, _EPE, out
+from driftgrid.plans.catalog_fields import FYX, _EPE, _median_scores, out
 from driftgrid.plans.catalog_patches import photometric_sql
-from driftgrid.plans.oracle import around, r6, sobel_sql, sql
+from driftgrid.plans.oracle import around, r6, relaxed_sql, sobel_sql, sql
 from driftgrid.plans.registry import query
 from driftgrid.scale import shared_folder
 from driftgrid.sources import adapters as A
@@ -293,12 +293,42 @@ _admm("consensus_admm", 4, "l2", 0.05)
 _admm("consensus_admm_l1", 3, "l1", 0.05)
 
 
-@query("consensus_admm_stopping")
+def _stopping_sql(rounds: int, inner: int, rate: float, eps_abs: float, eps_rel: float):
+    """All iterations without stopping, then the first at which a frame passes both tests."""
+    pixel = "WINDOW p AS (PARTITION BY frame_id, y, x)"
+    x = ", ".join(f"(2 * w * a{c} + {_RHO} * (z{c} - d{c})) / (2 * w + {_RHO}) AS x{c}" for c in "uv")
+    now = f"SELECT k, frame_id, estimator, y, x, w, au, av, du, dv, zu, zv, {x} FROM rs WHERE k < {rounds}"
+    now = "SELECT *, count(*) OVER p AS n, " + ", ".join(
+        f"sum(x{c} + d{c}) OVER p AS s{c}, z{c} AS o{c}, 0.0::DOUBLE AS m{c}, 0.0::DOUBLE AS q{c}" for c in "uv"
+    ) + f" FROM ({now}) {pixel}"
+    for k in range(1, inner + 1):
+        slope = {c: f"({_RHO} * (n * z{c} - s{c}))" for c in "uv"}
+        now = "SELECT * REPLACE (" + ", ".join(
+            f"0.9 * m{c} + 0.1 * {slope[c]} AS m{c}, 0.999 * q{c} + 0.001 * {slope[c]} ** 2 AS q{c}" for c in "uv"
+        ) + f") FROM ({now})"
+        now = "SELECT * REPLACE (" + ", ".join(
+            f"z{c} - {rate} * (m{c} / {1 - 0.9**k!r}) / (sqrt(q{c} / {1 - 0.999**k!r}) + 1e-8) AS z{c}" for c in "uv"
+        ) + f") FROM ({now})"
+    moved = ", ".join(f"d{c} + x{c} - z{c} AS d{c}" for c in "uv")
+    now = f"SELECT k + 1 AS k, frame_id, estimator, y, x, w, au, av, {moved}, zu, zv, xu, xv, ou, ov FROM ({now})"
+    start = """SELECT 0 AS k, frame_id, estimator, y, x, w, au, av, du, dv, zu, zv, u AS xu, v AS xv, zu AS ou, zv AS ov FROM s0"""
+    test = f"""SELECT frame_id, k - 1 AS k, sum((xu - zu) ** 2 + (xv - zv) ** 2) AS pr, sum(xu ** 2 + xv ** 2) AS xx, sum(du ** 2 + dv ** 2) AS dd,
+        sum(CASE WHEN estimator = 0 THEN (zu - ou) ** 2 + (zv - ov) ** 2 END) AS du, sum(CASE WHEN estimator = 0 THEN zu ** 2 + zv ** 2 END) AS zz,
+        count(*) * 2.0 AS total, max(estimator) + 1 AS n FROM rs WHERE k > 0 GROUP BY frame_id, k"""
+    met = f"""sqrt(pr) <= sqrt(total) * {eps_abs} + {eps_rel} * greatest(sqrt(xx), sqrt(n) * sqrt(zz))
+        AND {_RHO} * sqrt(n) * sqrt(du) <= sqrt(total) * {eps_abs} + {eps_rel} * {_RHO} * sqrt(dd)"""
+    return (_STATE, ("rs", f"{start} UNION ALL {now}"), ("tt", test), ("st", f"SELECT frame_id, min(CASE WHEN {met} THEN k END)::INT AS stop_iter FROM tt GROUP BY frame_id"))
+
+
+@query(
+    "consensus_admm_stopping",
+    sql("listed8", "SELECT frame_id, stop_iter IS NOT NULL AS stopped, stop_iter FROM st", *_stopping_sql(30, 5, 0.05, 0.02, 0.03)),
+)
 def _(s, d):
-    """Runs until the residual tests; checked against NumPy in the tests."""
+    """Stopping iterations by the residual tests."""
     options = {
         "rho": 2.0, "solver_consensus": "adam", "num_iterations_consensus": 5, "learning_rate_consensus": 0.05,
-        "max_admm_iterations": 30, "eps_abs_stopping": 1e-2, "eps_rel_stopping": 1e-2,
+        "max_admm_iterations": 30, "eps_abs_stopping": 0.02, "eps_rel_stopping": 0.03,
     }
     return admm.consensus_admm(_listed(s, d), options).stops
 
@@ -396,8 +426,6 @@ def _(s, d):
 
 def _flagged_chain_sql():
     """Median test (radius 1), two relaxation rounds, median, average."""
-    from driftgrid.plans.catalog_fields import _median_scores
-
     parts = list(_median_scores(1, 0.1))
     parts.append(("c0", "SELECT frame_id, y, x, u, v, NOT (su > 2 OR sv > 2) AS valid FROM spiky8 JOIN sc USING (frame_id, y, x)"))
     for k in range(2):
@@ -433,9 +461,28 @@ def _(s, d):
     return out(steps.run_steps("field", A.field8_spiky(s, d), chain, steps.Context(A.SMALL)), "u", "v")
 
 
-@query("field_chain_published")
+def _published_sql():
+    parts = list(_median_scores(2, 0.0001))
+    parts.append(("fl", "SELECT frame_id, y, x, u, v, NOT (su > 2 OR sv > 2) AS valid FROM spiky8 JOIN sc USING (frame_id, y, x)"))
+    parts += relaxed_sql("fl", 512)
+    last = "rl"
+    for k in range(4):
+        parts.append((f"m{k}", f"SELECT frame_id, y, x, median(u) AS u, median(v) AS v FROM ({around(last, 'u v', 2)}) GROUP BY ALL"))
+        last = f"m{k}"
+    return parts
+
+
+@query(
+    "field_chain_published",
+    sql(
+        "spiky8",
+        f"""SELECT a.frame_id, a.y, a.x, {r6('avg(b.u)', 'u')}, {r6('avg(b.v)', 'v')} FROM m3 a CROSS JOIN range(-2, 3) r1(dy) CROSS JOIN range(-2, 3) r2(dx)
+        JOIN m3 b ON b.frame_id = a.frame_id AND b.y = least(greatest(a.y + dy, 0), 7) AND b.x = least(greatest(a.x + dx, 0), 7) GROUP BY a.frame_id, a.y, a.x""",
+        *_published_sql(),
+    ),
+)
 def _(s, d):
-    """The published field chain at full depth; checked against NumPy in the tests."""
+    """The published field chain at full depth."""
     return out(steps.run_steps("field", A.field8_spiky(s, d), steps.FIELD_CHAIN, steps.Context(A.SMALL)), "u", "v")
 
 

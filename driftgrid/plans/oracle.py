@@ -86,7 +86,7 @@ def sql(views: str, body: str, *extra: tuple[str, str]) -> str:
     for name in views.split():
         add(name)
     parts = [f"{n} AS ({VIEWS[n][1]})" for n in order] + [f"{n} AS ({b})" for n, b in extra]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
 def r6(expression: str, name: str | None = None) -> str:
@@ -150,3 +150,22 @@ def sobel_sql(table: str, value: str = "i") -> str:
     return f"""SELECT frame_id, y, x,
         sum(0.125 * dx * (2 - abs(dy)) * {value}) AS ix, sum(0.125 * dy * (2 - abs(dx)) * {value}) AS iy
         FROM ({around(table, value, 1)}) GROUP BY ALL"""
+
+
+def relaxed_sql(table: str, rounds: int) -> tuple[tuple[str, str], tuple[str, str], tuple[str, str]]:
+    """CTE ``rl``: Jacobi relaxation of an 8x8 ``table`` with ``valid``, frames held as lists."""
+
+    def step(c: str) -> str:
+        near = " + ".join(
+            f"{c}[(least(greatest(i // 8 + ({dy}), 0), 7) * 8 + least(greatest(i % 8 + ({dx}), 0), 7) + 1)::INT]"
+            for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))
+        )
+        return f"list_transform(range(64), lambda i: CASE WHEN ok[i + 1] THEN {c}[i + 1] ELSE ({near}) / 4 END)"
+
+    packed = f"SELECT frame_id, " + ", ".join(
+        f"list({c} ORDER BY y, x) AS {n}" for c, n in (("u", "u"), ("v", "v"), ("valid", "ok"))
+    ) + f" FROM {table} GROUP BY frame_id"
+    walk = f"SELECT 0 AS k, frame_id, u, v, ok FROM rp UNION ALL SELECT k + 1, frame_id, {step('u')}, {step('v')}, ok FROM rw WHERE k < {rounds}"
+    flat = f"""SELECT frame_id, (p // 8)::INT AS y, (p % 8)::INT AS x, u[p + 1] AS u, v[p + 1] AS v
+        FROM rw CROSS JOIN range(64) r(p) WHERE k = {rounds}"""
+    return ("rp", packed), ("rw", walk), ("rl", flat)
