@@ -400,9 +400,51 @@ def _(s, d):
     return out(f.withColumns(total), "tpl", "gx", "gy", "h00", "h01", "h11", keys=("frame_id", "patch_id", "cy", "cx"))
 
 
-@query("patch_search")
+def _search_sql(size: int, stride: int, rounds: int):
+    """Patch templates and ``rounds`` unrolled updates; ``fin`` holds the moved patches."""
+    half, n = size // 2, search.centre_counts((32, 32), size, stride)[0]
+    parts = [
+        (
+            "pad",
+            """SELECT g.frame_id, y::INT AS y, x::INT AS x, coalesce(i, 0) AS i FROM (SELECT DISTINCT frame_id FROM mosaic32) g
+            CROSS JOIN range(-6, 46) r1(y) CROSS JOIN range(-6, 46) r2(x) LEFT JOIN mosaic32 m USING (frame_id, y, x)""",
+        ),
+        ("sx", sobel_sql("pad")),
+        (
+            "tpl",
+            f"""SELECT frame_id, r * {n} + c AS patch_id, r * {stride} AS cy, c * {stride} AS cx, y - r * {stride} AS dy, x - c * {stride} AS dx, i, ix, iy
+            FROM sx JOIN pad USING (frame_id, y, x) JOIN range({n}) r1(r) ON y BETWEEN r * {stride} - {half} AND r * {stride} + {half}
+            JOIN range({n}) r2(c) ON x BETWEEN c * {stride} - {half} AND c * {stride} + {half}""",
+        ),
+        (
+            "u0",
+            """SELECT frame_id, patch_id, cy, cx, syy / det AS h00, -sxy / det AS h01, sxx / det AS h11, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v
+            FROM (SELECT *, sxx * syy - sxy * sxy + 1e-4 AS det FROM (SELECT frame_id, patch_id, cy, cx, sum(ix * ix) AS sxx, sum(ix * iy) AS sxy, sum(iy * iy) AS syy FROM tpl GROUP BY ALL))""",
+        ),
+    ]
+    for k in range(rounds + 1):
+        at = f"u{k}"
+        if k == rounds:
+            parts.append(("fin", f"SELECT * REPLACE (CASE WHEN far THEN 0 ELSE u END AS u, CASE WHEN far THEN 0 ELSE v END AS v) FROM (SELECT *, sqrt(u * u + v * v) > {size} AS far FROM {at})"))
+            at = "fin"
+        parts.append((f"q{k}", f"SELECT t.*, s.cy + s.v + t.dy AS yf, s.cx + s.u + t.dx AS xf FROM tpl t JOIN {at} s USING (frame_id, patch_id)"))
+        parts.append((f"s{k}", bilinear_zero("moved32", f"q{k}")))
+        if k < rounds:
+            parts.append((f"b{k}", f"SELECT frame_id, patch_id, sum(ix * (s - i)) AS bx, sum(iy * (s - i)) AS by_ FROM s{k} GROUP BY ALL"))
+            parts.append((f"u{k + 1}", f"SELECT * EXCLUDE (bx, by_) REPLACE (u - (h00 * bx + h01 * by_) AS u, v - (h01 * bx + h11 * by_) AS v) FROM {at} JOIN b{k} USING (frame_id, patch_id)"))
+    return parts
+
+
+@query(
+    "patch_search",
+    sql(
+        "mosaic32 moved32",
+        f"""SELECT f.frame_id, f.patch_id::INT AS patch_id, f.cy::INT AS cy, f.cx::INT AS cx, {r6('f.u', 'u')}, {r6('f.v', 'v')}, {r6('sqrt(e)', 'err')}
+        FROM fin f JOIN (SELECT frame_id, patch_id, sum((i - s) ** 2) AS e FROM s6 GROUP BY ALL) USING (frame_id, patch_id)""",
+        *_search_sql(7, 5, 6),
+    ),
+)
 def _(s, d):
-    """Iterative; checked against NumPy in the tests."""
     f = search.patch_features(A.mosaic32(s, d), 7, 5, A.LARGE).withColumns({"u0": F.lit(0.0), "v0": F.lit(0.0)})
     found = search.patch_search(A.moved32(s, d), f, 6, 7, A.LARGE)
     size = F.sqrt(F.aggregate("err", F.lit(0.0), lambda a, v: a + v * v))
