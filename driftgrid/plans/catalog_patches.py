@@ -400,38 +400,62 @@ def _(s, d):
     return out(f.withColumns(total), "tpl", "gx", "gy", "h00", "h01", "h11", keys=("frame_id", "patch_id", "cy", "cx"))
 
 
-def _search_sql(size: int, stride: int, rounds: int):
-    """Patch templates and ``rounds`` unrolled updates; ``fin`` holds the moved patches."""
-    half, n = size // 2, search.centre_counts((32, 32), size, stride)[0]
+def _search_sql(
+    size: int, stride: int, rounds: int, prev: str, curr: str, side: int, mark: str = "", start: str | None = None
+):
+    """Patch templates and ``rounds`` unrolled updates.
+
+    ``<mark>fin`` holds the moved patches, ``<mark>err`` their pixel differences.
+    ``start`` names a table of ``u0, v0`` per patch.
+    """
+    half, n = size // 2, search.centre_counts((side, side), size, stride)[0]
+    m, reach = mark, size + stride
+    begin = f"LEFT JOIN {start} USING (frame_id, patch_id)" if start else ""
+    first = {c: f"coalesce({c}0, 0.0)::DOUBLE" if start else "0.0::DOUBLE" for c in "uv"}
     parts = [
         (
-            "pad",
-            """SELECT g.frame_id, y::INT AS y, x::INT AS x, coalesce(i, 0) AS i FROM (SELECT DISTINCT frame_id FROM mosaic32) g
-            CROSS JOIN range(-6, 46) r1(y) CROSS JOIN range(-6, 46) r2(x) LEFT JOIN mosaic32 m USING (frame_id, y, x)""",
+            f"{m}pad",
+            f"""SELECT g.frame_id, y::INT AS y, x::INT AS x, coalesce(i, 0) AS i FROM (SELECT DISTINCT frame_id FROM {prev}) g
+            CROSS JOIN range({-half - 2}, {side + reach}) r1(y) CROSS JOIN range({-half - 2}, {side + reach}) r2(x) LEFT JOIN {prev} m USING (frame_id, y, x)""",
         ),
-        ("sx", sobel_sql("pad")),
+        (f"{m}sx", sobel_sql(f"{m}pad")),
         (
-            "tpl",
+            f"{m}tpl",
             f"""SELECT frame_id, r * {n} + c AS patch_id, r * {stride} AS cy, c * {stride} AS cx, y - r * {stride} AS dy, x - c * {stride} AS dx, i, ix, iy
-            FROM sx JOIN pad USING (frame_id, y, x) JOIN range({n}) r1(r) ON y BETWEEN r * {stride} - {half} AND r * {stride} + {half}
+            FROM {m}sx JOIN {m}pad USING (frame_id, y, x) JOIN range({n}) r1(r) ON y BETWEEN r * {stride} - {half} AND r * {stride} + {half}
             JOIN range({n}) r2(c) ON x BETWEEN c * {stride} - {half} AND c * {stride} + {half}""",
         ),
         (
-            "u0",
-            """SELECT frame_id, patch_id, cy, cx, syy / det AS h00, -sxy / det AS h01, sxx / det AS h11, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v
-            FROM (SELECT *, sxx * syy - sxy * sxy + 1e-4 AS det FROM (SELECT frame_id, patch_id, cy, cx, sum(ix * ix) AS sxx, sum(ix * iy) AS sxy, sum(iy * iy) AS syy FROM tpl GROUP BY ALL))""",
+            f"{m}u0",
+            f"""SELECT frame_id, patch_id, cy, cx, syy / det AS h00, -sxy / det AS h01, sxx / det AS h11,
+            {first['u']} AS u, {first['v']} AS v, {first['u']} AS bu, {first['v']} AS bv
+            FROM (SELECT *, sxx * syy - sxy * sxy + 1e-4 AS det FROM (SELECT frame_id, patch_id, cy, cx, sum(ix * ix) AS sxx, sum(ix * iy) AS sxy, sum(iy * iy) AS syy
+              FROM {m}tpl GROUP BY ALL)) {begin}""",
         ),
     ]
     for k in range(rounds + 1):
-        at = f"u{k}"
+        at = f"{m}u{k}"
         if k == rounds:
-            parts.append(("fin", f"SELECT * REPLACE (CASE WHEN far THEN 0 ELSE u END AS u, CASE WHEN far THEN 0 ELSE v END AS v) FROM (SELECT *, sqrt(u * u + v * v) > {size} AS far FROM {at})"))
-            at = "fin"
-        parts.append((f"q{k}", f"SELECT t.*, s.cy + s.v + t.dy AS yf, s.cx + s.u + t.dx AS xf FROM tpl t JOIN {at} s USING (frame_id, patch_id)"))
-        parts.append((f"s{k}", bilinear_zero("moved32", f"q{k}")))
+            parts.append(
+                (
+                    f"{m}fin",
+                    f"""SELECT * REPLACE (CASE WHEN far THEN bu ELSE u END AS u, CASE WHEN far THEN bv ELSE v END AS v)
+                    FROM (SELECT *, sqrt((u - bu) ** 2 + (v - bv) ** 2) > {size} AS far FROM {at})""",
+                )
+            )
+            at = f"{m}fin"
+        parts.append((f"{m}q{k}", f"SELECT t.*, s.cy + s.v + t.dy AS yf, s.cx + s.u + t.dx AS xf FROM {m}tpl t JOIN {at} s USING (frame_id, patch_id)"))
+        parts.append((f"{m}s{k}", bilinear_zero(curr, f"{m}q{k}")))
         if k < rounds:
-            parts.append((f"b{k}", f"SELECT frame_id, patch_id, sum(ix * (s - i)) AS bx, sum(iy * (s - i)) AS by_ FROM s{k} GROUP BY ALL"))
-            parts.append((f"u{k + 1}", f"SELECT * EXCLUDE (bx, by_) REPLACE (u - (h00 * bx + h01 * by_) AS u, v - (h01 * bx + h11 * by_) AS v) FROM {at} JOIN b{k} USING (frame_id, patch_id)"))
+            parts.append((f"{m}b{k}", f"SELECT frame_id, patch_id, sum(ix * (s - i)) AS gx, sum(iy * (s - i)) AS gy FROM {m}s{k} GROUP BY ALL"))
+            parts.append(
+                (
+                    f"{m}u{k + 1}",
+                    f"""SELECT * EXCLUDE (gx, gy) REPLACE (u - (h00 * gx + h01 * gy) AS u, v - (h01 * gx + h11 * gy) AS v)
+                    FROM {at} JOIN {m}b{k} USING (frame_id, patch_id)""",
+                )
+            )
+    parts.append((f"{m}err", f"SELECT frame_id, patch_id, dy, dx, i - s AS e FROM {m}s{rounds}"))
     return parts
 
 
@@ -440,8 +464,8 @@ def _search_sql(size: int, stride: int, rounds: int):
     sql(
         "mosaic32 moved32",
         f"""SELECT f.frame_id, f.patch_id::INT AS patch_id, f.cy::INT AS cy, f.cx::INT AS cx, {r6('f.u', 'u')}, {r6('f.v', 'v')}, {r6('sqrt(e)', 'err')}
-        FROM fin f JOIN (SELECT frame_id, patch_id, sum((i - s) ** 2) AS e FROM s6 GROUP BY ALL) USING (frame_id, patch_id)""",
-        *_search_sql(7, 5, 6),
+        FROM fin f JOIN (SELECT frame_id, patch_id, sum(e * e) AS e FROM err GROUP BY ALL) USING (frame_id, patch_id)""",
+        *_search_sql(7, 5, 6, "mosaic32", "moved32", 32),
     ),
 )
 def _(s, d):
@@ -451,9 +475,32 @@ def _(s, d):
     return out(found.withColumn("err", size), "u", "v", "err", keys=("frame_id", "patch_id", "cy", "cx"))
 
 
-@query("coarse_to_fine")
+_FINE = search.centre_counts((32, 32), 7, 4)[0]
+
+
+@query(
+    "coarse_to_fine",
+    sql(
+        "mosaic32 moved32",
+        f"""SELECT m.frame_id, m.y, m.x, {r6('sum(w * u) / sum(w)', 'u')}, {r6('sum(w * v) / sum(w)', 'v')}
+        FROM mosaic32 m LEFT JOIN (SELECT frame_id, cy + dy AS y, cx + dx AS x, u, v, 1 / greatest(1, abs(e)) AS w FROM fin JOIN err USING (frame_id, patch_id)) s
+          USING (frame_id, y, x) GROUP BY ALL""",
+        ("p16", resize_sql("mosaic32", "i", (32, 32), (16, 16))),
+        ("c16", resize_sql("moved32", "i", (32, 32), (16, 16))),
+        *_search_sql(7, 4, 4, "p16", "c16", 16, "a"),
+        # start vectors at the finer centres from the coarse patches that cover them
+        (
+            "beg",
+            f"""SELECT frame_id, patch_id, 2 * sum(w * u) / sum(w) AS u0, 2 * sum(w * v) / sum(w) AS v0 FROM (
+              SELECT f.frame_id, r * {_FINE} + c AS patch_id, f.u, f.v, 1 / greatest(1, abs(e.e)) AS w
+              FROM afin f JOIN range({_FINE}) r1(r) ON r * 4 BETWEEN f.cy * 2 - 6 AND f.cy * 2 + 6 JOIN range({_FINE}) r2(c) ON c * 4 BETWEEN f.cx * 2 - 6 AND f.cx * 2 + 6
+              JOIN aerr e ON e.frame_id = f.frame_id AND e.patch_id = f.patch_id
+                AND e.dy = least(r * 4 - f.cy * 2 + 6, 6) - 3 AND e.dx = least(c * 4 - f.cx * 2 + 6, 6) - 3) GROUP BY ALL""",
+        ),
+        *_search_sql(7, 4, 4, "mosaic32", "moved32", 32, "", "beg"),
+    ),
+)
 def _(s, d):
-    """Iterative; checked against NumPy in the tests."""
     f = search.coarse_to_fine(A.mosaic32(s, d), A.moved32(s, d), A.LARGE, levels=2, iterations=4, patch_size=7, stride=4)
     return out(f, "u", "v")
 
