@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrid.operators.consensus import REGULARIZERS
+from driftgrid.deploy import ship
 from driftgrid.functions.grids import list_column
 from driftgrid.scale import durable, release
 from driftgrid.schema import FRAME, PIXEL, frame_shape
@@ -231,6 +232,7 @@ def consensus_admm(
     ``shape`` saves looking up the frame size when there are regularisers.
     """
     cfg = config_from(options or {})
+    ship(weighted.sparkSession)
     keys = list(keys)
     packed = weighted.groupBy(*keys, *PIXEL).agg(
         F.sort_array(F.collect_list(F.struct("estimator", "u", "v", "w"))).alias("e")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftgrid.deploy import ship
 from driftgrid.operators.filling import neighbor_mean
 from driftgrid.operators.patches import grid_shape, windows
 from driftgrid.operators.resample import resize_bilinear
@@ -57,6 +58,7 @@ def window_correlation(
     if search_size < window_size:
         raise ValueError("search_size must not be smaller than window_size")
     grid_shape(shape, search_size, overlap)
+    ship(pair.sparkSession)
     cut = windows(pair, ["prev", "curr"], shape, search_size, search_size - overlap, keys)
     place = F.col("py") * search_size + F.col("px")
     packed = cut.groupBy(*keys, "wy", "wx").agg(

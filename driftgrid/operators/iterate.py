@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftgrid.deploy import ship
 from driftgrid.functions.grids import list_column, stacks
 from driftgrid.scale import durable, release
 from driftgrid.schema import FRAME, PIXEL, frame_shape
@@ -110,6 +111,7 @@ def _superstep(table: DataFrame, step: Step, names: list[str], now: int, halo: i
                     arrays += [list_column(grids[n][mine][:, t:b, lf:r], kinds[n]) for n in names]
                     yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "_oy", "_ox", "_ow", *names])
 
+    ship(table.sparkSession)
     moved = packed.mapInArrow(run, schema)
     long = moved.select(*keys, "_oy", "_ox", "_ow", F.posexplode(F.arrays_zip(*names)).alias("_p", "_v"))
     return long.select(

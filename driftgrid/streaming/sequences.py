@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from driftgrid.deploy import ship
+
 EMA_OUTPUT = "key long, ts timestamp, seq long, value double, ema double, late long"
 EMA_STATE = "ema double, last_ts timestamp, last_seq long, late long"
 
@@ -33,6 +35,7 @@ def ema_stream(
     """
     if not 0 <= alpha <= 1:
         raise ValueError(f"alpha must be in the range [0, 1], got {alpha}")
+    ship(stream.sparkSession)
     timeout = GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.EventTimeTimeout
 
     def fold(group_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,6 +81,7 @@ def history_stream(stream: DataFrame, length: int, key: str, ts: str = "ts", seq
     """The last ``length`` values per key after every step, the first value filling the start."""
     if length < 1:
         raise ValueError("length must be positive")
+    ship(stream.sparkSession)
 
     def roll(group_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else None
