@@ -13,29 +13,53 @@ from driftgrid.scale import attach
 PIXEL_OF = ("seq_id", "y", "x")
 
 
-def _in_time(keys: Sequence[str], time: str):
-    return Window.partitionBy(*keys).orderBy(time)
+BLOCK = 4096
+
+
+def _blocks(table: DataFrame, time: str, reach: int, size: int) -> DataFrame:
+    """Cut the time axis into blocks; steps that a later block looks back at are copied to it.
+
+    ``time`` counts 0, 1, 2, … per key. A window over ``(keys, _block)`` then sees
+    at most ``size + reach`` rows, however long a sequence is.
+    """
+    first, last = F.floor(F.col(time) / size), F.floor((F.col(time) + reach) / size)
+    return table.withColumn("_block", F.explode(F.sequence(first, last)))
+
+
+def _own(table: DataFrame, time: str, size: int) -> DataFrame:
+    return table.where(F.col("_block") == F.floor(F.col(time) / size)).drop("_block")
+
+
+def _in_block(keys: Sequence[str], time: str):
+    return Window.partitionBy(*keys, "_block").orderBy(time)
 
 
 def history(
-    table: DataFrame, columns: Sequence[str], length: int, keys: Sequence[str] = PIXEL_OF, time: str = "t"
+    table: DataFrame,
+    columns: Sequence[str],
+    length: int,
+    keys: Sequence[str] = PIXEL_OF,
+    time: str = "t",
+    block: int = BLOCK,
 ) -> DataFrame:
     """Add ``hist``: the last ``length`` values, oldest first.
 
     Before enough steps have passed the first value fills the missing places.
     """
-    line = _in_time(keys, time)
-    entry = F.struct(*columns)
-    recent = F.collect_list(entry).over(line.rowsBetween(-(length - 1), 0))
-    out = table.withColumn("hist", recent)
+    size = max(block, length)
+    blocked = _blocks(table, time, length - 1, size)
+    recent = F.collect_list(F.struct(*columns)).over(_in_block(keys, time).rowsBetween(-(length - 1), 0))
+    out = _own(blocked.withColumn("hist", recent), time, size)
     fill = F.array_repeat(F.get("hist", F.lit(0)), length - F.size("hist"))
     return out.withColumn("hist", F.concat(fill, F.col("hist")))
 
 
-def temporal_init(field: DataFrame, keys: Sequence[str] = PIXEL_OF, time: str = "t") -> DataFrame:
+def temporal_init(field: DataFrame, keys: Sequence[str] = PIXEL_OF, time: str = "t", block: int = BLOCK) -> DataFrame:
     """Starting field of each step: the previous estimate, zero at the first step."""
-    line = _in_time(keys, time)
-    return field.withColumns({f"{c}0": F.coalesce(F.lag(c).over(line), F.lit(0.0)) for c in ("u", "v")})
+    line = _in_block(keys, time)
+    blocked = _blocks(field, time, 1, block)
+    begun = blocked.withColumns({f"{c}0": F.coalesce(F.lag(c).over(line), F.lit(0.0)) for c in ("u", "v")})
+    return _own(begun, time, block)
 
 
 def ema(
@@ -48,10 +72,10 @@ def ema(
 ) -> DataFrame:
     """Recursive average ``a*x + (1-a)*previous``; ``time`` counts 0, 1, 2, … per key.
 
-    The recursion is unrolled into window sums over blocks of steps. A block is
-    as long as the weights stay within double range (``(1-a)**length`` about
-    1e-200), so what an earlier block passes on beyond its successor is below
-    double precision and one carried value per block is exact.
+    The recursion is written out as a running sum of weighted values over blocks
+    of steps. A block is as long as the weights stay within double range
+    (``(1-a)**size`` about 1e-200) and looks back until they fall to 1e-60, far
+    below what a double can hold next to the recent values.
     """
     if not 0 <= alpha <= 1:
         raise ValueError(f"alpha must be in the range [0, 1], got {alpha}")
@@ -60,27 +84,15 @@ def ema(
     if alpha == 0.0:
         return field.withColumns({c: F.lit(float(initial)) for c in columns})
     keep = 1.0 - alpha
-    length = max(2, int(200.0 / -math.log10(keep)))
-    block = F.floor(F.col(time) / length)
-    at = F.col(time) - block * length
-    line = _in_time(keys, time)
-    out = field.withColumns({"_block": block, "_at": at})
-    inner = Window.partitionBy(*keys, "_block").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumns(
-        {
-            f"_{c}": F.sum(F.col(c) * F.pow(F.lit(keep), -F.col("_at"))).over(inner) * alpha * F.pow(F.lit(keep), F.col("_at"))
-            for c in columns
-        }
-    )
-    closing = F.col("_at") == length - 1
-    carried = {
-        c: F.coalesce(F.last(F.when(closing, F.col(f"_{c}")), ignorenulls=True).over(before), F.lit(float(initial)))
-        for c in columns
+    decades = -math.log10(keep)
+    size, reach = max(1, int(200.0 / decades)), math.ceil(60.0 / decades)
+    blocked = _blocks(field, time, reach, size)
+    weight = F.pow(F.lit(keep), F.col("_block") * size - F.col(time))
+    running_sum = {
+        c: F.sum(F.col(c) * weight).over(_in_block(keys, time).rowsBetween(Window.unboundedPreceding, 0)) for c in columns
     }
-    decay = F.pow(F.lit(keep), F.col("_at") + 1)
-    out = out.withColumns({c: F.col(f"_{c}") + decay * carried[c] for c in columns})
-    return out.drop("_block", "_at", *[f"_{c}" for c in columns])
+    faded = F.pow(F.lit(keep), F.col(time) + 1) * F.lit(float(initial))
+    return _own(blocked.withColumns({c: running_sum[c] * alpha / weight + faded for c in columns}), time, size)
 
 
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -145,6 +157,5 @@ def episode_metrics(table: DataFrame, values: Sequence[str], keys: Sequence[str]
 
 def consecutive_pairs(frames: DataFrame) -> DataFrame:
     """Previous and current frame of every step (``frame_prev, frame_curr``)."""
-    line = _in_time(["seq_id"], "t")
-    out = frames.withColumn("frame_prev", F.lag("frame_id").over(line)).where(F.col("frame_prev").isNotNull())
-    return out.withColumnRenamed("frame_id", "frame_curr")
+    before = frames.select("seq_id", (F.col("t") + 1).alias("t"), F.col("frame_id").alias("frame_prev"))
+    return frames.withColumnRenamed("frame_id", "frame_curr").join(before, ["seq_id", "t"])

@@ -213,3 +213,11 @@ def test_taper_is_symmetric_with_mean_one():
         w = patches.taper_weights(size)
         np.testing.assert_allclose(w, w[::-1])
         assert abs(np.mean(w) - 1) < 1e-12
+
+
+def test_uncovered_pixels_have_no_vector(spark):
+    rows = [(0, 0, 3, 3, 1.5, -0.5, [0.0] * 9)]
+    sparse = spark.createDataFrame(rows, "frame_id long, patch_id int, cy int, cx int, u double, v double, err array<double>")
+    got = search.densify(sparse, pixels(spark, i=np.zeros((1, 7, 7))), 3, (7, 7))
+    u = grid(got, "u", (1, 7, 7))[0]
+    assert got.count() == 49 and np.isfinite(u).sum() == 9 and (u[2:5, 2:5] == 1.5).all()

@@ -21,7 +21,7 @@ def folded(values, alpha, level=0.0):
 
 @pytest.mark.parametrize("alpha", [0.0, 0.05, 0.5, 0.9, 0.999999, 1.0])
 def test_ema_over_block_borders(spark, rng, alpha):
-    # at 0.999999 a block is 33 steps long
+    # at 0.999999 a block is 33 steps long and looks back 10
     x = rng.normal(size=(2, 150))
     df = spark.createDataFrame([(s, 0, 0, t, float(x[s, t]), -float(x[s, t])) for s in range(2) for t in range(150)], "seq_id long, y int, x int, t int, u double, v double")
     rows = sequences.ema(df, alpha, initial=3.0).orderBy("seq_id", "t").collect()
@@ -52,6 +52,15 @@ def test_history_starts_with_the_first_value(spark):
     assert [[h["u"] for h in r["hist"]] for r in rows] == [[5, 5, 5], [5, 5, 6], [5, 6, 7], [6, 7, 8]]
 
 
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_time_blocks_do_not_show(spark, block):
+    df = spark.createDataFrame([(0, 0, 0, t, float(t * t), -float(t)) for t in range(11)], "seq_id long, y int, x int, t int, u double, v double")
+    rows = sequences.history(df, ["u"], 3, block=block).orderBy("t").collect()
+    assert [[h["u"] for h in r["hist"]] for r in rows] == [[max(t - k, 0) ** 2 for k in (2, 1, 0)] for t in range(11)]
+    begun = sequences.temporal_init(df, block=block).orderBy("t").collect()
+    assert [r["u0"] for r in begun] == [0.0] + [t * t for t in range(10)]
+
+
 @pytest.fixture
 def buffers(spark):
     return spark.createDataFrame([(b, s, float(s)) for b, n in ((1, 500), (2, 12)) for s in range(n)], "buffer_id long, seq long, reward double")

@@ -260,3 +260,22 @@ def test_one_exchange_per_stencil(spark, rng):
     for out in (smoothing.median(df, 2), smoothing.average(df, 1), validation.adaptive_local(df, 1.5, 1), differential.div_vort(df)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1, plan
+
+
+def test_a_constant_field_has_no_local_outliers(spark):
+    u = np.full((1, 7, 7), 0.3)
+    flags = validation.adaptive_local(pixels(spark, u=u, v=u), 1.5, 1).where("is_outlier").select("y", "x").collect()
+    assert all(r["y"] in (0, 6) or r["x"] in (0, 6) for r in flags)
+
+
+def test_filters_and_columns_reach_the_files(spark, rng, tmp_path):
+    from driftgrid.operators import pixels as px
+    from driftgrid.sources import tables
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    tables.write_pixels(pixels(spark, i=rng.random((2, 8, 8))), str(tmp_path / "p"))
+    cropped = px.crop(tables.read_image(spark, str(tmp_path / "p")), (8, 8), 4, 4)
+    plan = cropped._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(y,2)" in plan and "LessThanOrEqual(x,5)" in plan
+    dense = normalize.density_threshold(tables.read_image(spark, str(tmp_path / "p")), 100)
+    assert "ReadSchema: struct<frame_id:bigint,i:double>" in dense._jdf.queryExecution().executedPlan().toString()
