@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from driftgrid.operators import admm, consensus, metrics, normalize, pixels
 from driftgrid.plans import estimators, evaluate, steps
 from driftgrid.plans.catalog_fields import FYX, _EPE, _median_scores, out
-from driftgrid.plans.catalog_patches import photometric_sql
-from driftgrid.plans.oracle import around, r6, relaxed_sql, sobel_sql, sql
+from driftgrid.plans.catalog_patches import VECTORS, corr_sql, photometric_sql, refill_sql
+from driftgrid.plans.oracle import around, r6, relaxed_sql, resize_sql, sobel_sql, sql
 from driftgrid.plans.registry import query
 from driftgrid.scale import shared_folder
 from driftgrid.sources import adapters as A
@@ -558,6 +558,50 @@ def _(s, d):
     return out(evaluate.evaluate_field(config, pairs, truth, A.LARGE), "mean", "max", "min", keys=("frames",))
 
 
+def _sequence_sql(steps_: int):
+    """Half the new vectors and half the previous result, averaged over 3x3, step by step."""
+    parts, last = [], None
+    for t in range(1, steps_ + 1):
+        before = "0.5 * n.u AS u, 0.5 * n.v AS v" if last is None else "0.5 * n.u + 0.5 * b.u AS u, 0.5 * n.v + 0.5 * b.v AS v"
+        join = "" if last is None else f"JOIN {last} b ON b.seq_id = n.seq_id AND b.y = n.y AND b.x = n.x"
+        parts.append((f"e{t}", f"SELECT n.seq_id, n.y, n.x, {before} FROM nw n {join} WHERE n.t = {t}"))
+        parts.append(
+            (
+                f"f{t}",
+                f"""SELECT a.seq_id, a.y, a.x, avg(b.u) AS u, avg(b.v) AS v FROM e{t} a CROSS JOIN range(-1, 2) r1(dy) CROSS JOIN range(-1, 2) r2(dx)
+            JOIN e{t} b ON b.seq_id = a.seq_id AND b.y = least(greatest(a.y + dy, 0), 31) AND b.x = least(greatest(a.x + dx, 0), 31)
+            GROUP BY a.seq_id, a.y, a.x""",
+            )
+        )
+        last = f"f{t}"
+    return parts
+
+
+@query(
+    "estimate_sequence",
+    sql(
+        "mosaic32",
+        " UNION ALL ".join(f"SELECT seq_id, {t} AS t, y, x, {r6('u', 'u')}, {r6('v', 'v')} FROM f{t}" for t in range(1, 8)),
+        ("prev32", "SELECT * FROM mosaic32 WHERE frame_id % 8 < 7 AND frame_id < (SELECT max(frame_id) FROM mosaic32)"),
+        ("next32", "SELECT frame_id - 1 AS frame_id, y, x, i FROM mosaic32 WHERE frame_id % 8 > 0"),
+        *corr_sql("prev32", "next32"),
+        *VECTORS,
+        *refill_sql(2),
+        ("nw", f"SELECT frame_id // 8 AS seq_id, frame_id % 8 + 1 AS t, y, x, u, v FROM ({resize_sql('r2', 'u v', (3, 3), (32, 32))})"),
+        *_sequence_sql(7),
+    ),
+)
+def _(s, d):
+    """Sequences of eight frames whose chain averages over time before it smooths."""
+    f = A.mosaic32(s, d)
+    frames = f.select(F.floor(F.col("frame_id") / 8).alias("seq_id"), (F.col("frame_id") % 8).cast("int").alias("t"), "y", "x", "i")
+    config = {
+        "estimator": "window_piv", "window_size": 12, "search_size": 16, "overlap": 8, "replace_iter": 2, "replace_radius": 1,
+        "postprocess": [{"name": "temporal_smoothing_ema", "alpha": 0.5}, {"name": "average_smoothing", "radius": 1}],
+    }
+    return out(evaluate.estimate_sequence(config, frames, A.LARGE), "u", "v", keys=("seq_id", "t", "y", "x"))
+
+
 # --- streams ----------------------------------------------------------------
 
 

@@ -134,34 +134,39 @@ def _normal(name: str, source: str, column: str):
     return steps
 
 
-_CORR = (
-    (
-        "wa",
-        f"""SELECT frame_id, wy::INT AS wy, wx::INT AS wx, (y - wy * 8)::INT AS py, (x - wx * 8)::INT AS px, i
-        FROM mosaic32 CROSS JOIN range(3) r1(wy) CROSS JOIN range(3) r2(wx)
-        WHERE y BETWEEN wy * 8 AND wy * 8 + {_S - 1} AND x BETWEEN wx * 8 AND wx * 8 + {_S - 1}""",
-    ),
-    (
-        "wb",
-        f"""SELECT frame_id, wy::INT AS wy, wx::INT AS wx, (y - wy * 8)::INT AS py, (x - wx * 8)::INT AS px, i
-        FROM moved32 CROSS JOIN range(3) r1(wy) CROSS JOIN range(3) r2(wx)
-        WHERE y BETWEEN wy * 8 AND wy * 8 + {_S - 1} AND x BETWEEN wx * 8 AND wx * 8 + {_S - 1}""",
-    ),
-    ("wm", "SELECT frame_id, wy, wx, py, px, CASE WHEN py BETWEEN 2 AND 13 AND px BETWEEN 2 AND 13 THEN i ELSE 0.0 END AS i FROM wa"),
-    *_normal("na", "wm", "i"),
-    *_normal("nb", "wb", "i"),
-    # normalised twice inside the correlation as well as before it: the second round above
-    (
-        "cc",
-        f"""SELECT a.frame_id, a.wy, a.wx, (b.py - a.py + {_S // 2 + _S}) % {_S} - {_S // 2} AS di, (b.px - a.px + {_S // 2 + _S}) % {_S} - {_S // 2} AS dj,
-        least(greatest(sum(a.i * b.i) / {_S * _S}, 0), 1) AS c
-        FROM na2 a JOIN nb2 b ON b.frame_id = a.frame_id AND b.wy = a.wy AND b.wx = a.wx GROUP BY ALL""",
-    ),
-    (
-        "pk",
-        "SELECT frame_id, wy, wx, di, dj, c FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, wy, wx ORDER BY c DESC, di, dj) AS k FROM cc) WHERE k = 1",
-    ),
-)
+def corr_sql(first: str, second: str):
+    """CTEs from two image tables to correlation cells ``cc`` and first peaks ``pk``."""
+    return (
+        (
+            "wa",
+            f"""SELECT frame_id, wy::INT AS wy, wx::INT AS wx, (y - wy * 8)::INT AS py, (x - wx * 8)::INT AS px, i
+            FROM {first} CROSS JOIN range(3) r1(wy) CROSS JOIN range(3) r2(wx)
+            WHERE y BETWEEN wy * 8 AND wy * 8 + {_S - 1} AND x BETWEEN wx * 8 AND wx * 8 + {_S - 1}""",
+        ),
+        (
+            "wb",
+            f"""SELECT frame_id, wy::INT AS wy, wx::INT AS wx, (y - wy * 8)::INT AS py, (x - wx * 8)::INT AS px, i
+            FROM {second} CROSS JOIN range(3) r1(wy) CROSS JOIN range(3) r2(wx)
+            WHERE y BETWEEN wy * 8 AND wy * 8 + {_S - 1} AND x BETWEEN wx * 8 AND wx * 8 + {_S - 1}""",
+        ),
+        ("wm", "SELECT frame_id, wy, wx, py, px, CASE WHEN py BETWEEN 2 AND 13 AND px BETWEEN 2 AND 13 THEN i ELSE 0.0 END AS i FROM wa"),
+        *_normal("na", "wm", "i"),
+        *_normal("nb", "wb", "i"),
+        # normalised twice inside the correlation as well as before it: the second round above
+        (
+            "cc",
+            f"""SELECT a.frame_id, a.wy, a.wx, (b.py - a.py + {_S // 2 + _S}) % {_S} - {_S // 2} AS di, (b.px - a.px + {_S // 2 + _S}) % {_S} - {_S // 2} AS dj,
+            least(greatest(sum(a.i * b.i) / {_S * _S}, 0), 1) AS c
+            FROM na2 a JOIN nb2 b ON b.frame_id = a.frame_id AND b.wy = a.wy AND b.wx = a.wx GROUP BY ALL""",
+        ),
+        (
+            "pk",
+            "SELECT frame_id, wy, wx, di, dj, c FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, wy, wx ORDER BY c DESC, di, dj) AS k FROM cc) WHERE k = 1",
+        ),
+    )
+
+
+_CORR = corr_sql("mosaic32", "moved32")
 
 
 def _fit(low: str, high: str) -> str:
@@ -170,7 +175,7 @@ def _fit(low: str, high: str) -> str:
         ELSE (ln({low}) - ln({high})) / (2 * ln({low}) - 4 * ln(m) + 2 * ln({high})) END"""
 
 
-_VEC = (
+VECTORS = (
     (
         "st",
         """SELECT p.frame_id, p.wy, p.wx, p.di, p.dj, p.c AS m, n.c AS n, s.c AS s, w.c AS w, e.c AS e FROM pk p """
@@ -204,12 +209,12 @@ def _(s, d):
     return out(p.withColumn("value", F.array_max("corr")), "value", keys=("pair_id", *WINDOW, "peak_i", "peak_j"))
 
 
-@query("subpixel_peak", sql("mosaic32 moved32", f"SELECT frame_id AS pair_id, y, x, {r6('u', 'u')}, {r6('v', 'v')} FROM vc", *_CORR, *_VEC))
+@query("subpixel_peak", sql("mosaic32 moved32", f"SELECT frame_id AS pair_id, y, x, {r6('u', 'u')}, {r6('v', 'v')} FROM vc", *_CORR, *VECTORS))
 def _(s, d):
     return out(correlation.window_vectors(A.pair32(s, d), A.LARGE, _WS, _S, _OV), "u", "v", keys=("pair_id", "y", "x"))
 
 
-def _refill(rounds: int):
+def refill_sql(rounds: int):
     steps = [("r0", "SELECT frame_id, y, x, coalesce(u, 0) AS u, coalesce(v, 0) AS v, u IS NULL OR v IS NULL AS bad FROM vc")]
     for k in range(rounds):
         steps.append(
@@ -231,8 +236,8 @@ def _refill(rounds: int):
         "mosaic32 moved32",
         f"SELECT frame_id AS pair_id, y, x, {r6('u', 'u')}, {r6('v', 'v')} FROM ({resize_sql('r2', 'u v', (3, 3), (32, 32))})",
         *_CORR,
-        *_VEC,
-        *_refill(2),
+        *VECTORS,
+        *refill_sql(2),
     ),
 )
 def _(s, d):
