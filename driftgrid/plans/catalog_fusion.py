@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftgrid.operators import admm, consensus, metrics, normalize, pixels
 from driftgrid.plans import estimators, evaluate, steps
 from driftgrid.plans.catalog_fields import FYX, _EPE, _median_scores, out
-from driftgrid.plans.catalog_patches import VECTORS, corr_sql, photometric_sql, refill_sql
+from driftgrid.plans.catalog_patches import COARSE_TO_FINE, CORRELATION, VECTORS, corr_sql, photometric_sql, refill_sql
 from driftgrid.plans.oracle import around, r6, relaxed_sql, resize_sql, sobel_sql, sql
 from driftgrid.plans.registry import query
 from driftgrid.scale import shared_folder
@@ -512,7 +512,25 @@ def _(s, d):
     return out(metrics.compare_sources(zero, A.mosaic_field32(s, d)), "mean_epe", keys=("frame_id",))
 
 
-@query("estimator_consensus")
+@query(
+    "estimator_consensus",
+    sql(
+        "mosaic32 moved32",
+        _mean_sql("nw"),
+        *CORRELATION,
+        *VECTORS,
+        *refill_sql(2),
+        *COARSE_TO_FINE,
+        (
+            "ens",
+            f"""SELECT frame_id, 0 AS estimator, y, x, u, v FROM ({resize_sql('r2', 'u v', (3, 3), (32, 32))})
+            UNION ALL SELECT frame_id, 1, y, x, u, v FROM dense UNION ALL SELECT frame_id, 2, y, x, 0.0, 0.0 FROM mosaic32""",
+        ),
+        *photometric_sql("ens", "frame_id, estimator", 1, "mosaic32", "moved32", 32),
+        ("wn", "SELECT frame_id, estimator, y, x, u, v, CASE WHEN e IS NULL THEN 0 ELSE 1 / greatest(sqrt(e), 1) END AS w FROM ens LEFT JOIN ph USING (frame_id, estimator, y, x)"),
+        ("nw", "SELECT * REPLACE (w / (sum(w) OVER (PARTITION BY frame_id, y, x) + 1e-8) AS w) FROM wn"),
+    ),
+)
 def _(s, d):
     """Window correlation and patch search fused by photometric weights."""
     pairs = A.pair32(s, d).withColumnRenamed("pair_id", "frame_id")

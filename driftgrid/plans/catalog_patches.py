@@ -166,7 +166,7 @@ def corr_sql(first: str, second: str):
     )
 
 
-_CORR = corr_sql("mosaic32", "moved32")
+CORRELATION = corr_sql("mosaic32", "moved32")
 
 
 def _fit(low: str, high: str) -> str:
@@ -197,19 +197,19 @@ def _correlated(s, d):
     return correlation.window_correlation(A.pair32(s, d), A.LARGE, _WS, _S, _OV)
 
 
-@query("window_correlation", sql("mosaic32 moved32", f"SELECT frame_id AS pair_id, wy, wx, di, dj, {r6('c', 'value')} FROM cc", *_CORR))
+@query("window_correlation", sql("mosaic32 moved32", f"SELECT frame_id AS pair_id, wy, wx, di, dj, {r6('c', 'value')} FROM cc", *CORRELATION))
 def _(s, d):
     cells = correlation.correlation_cells(_correlated(s, d), _S)
     return out(cells, "value", keys=("pair_id", *WINDOW, "di", "dj"))
 
 
-@query("correlation_peak", sql("mosaic32 moved32", f"SELECT frame_id AS pair_id, wy, wx, di + 8 AS peak_i, dj + 8 AS peak_j, {r6('c', 'value')} FROM pk", *_CORR))
+@query("correlation_peak", sql("mosaic32 moved32", f"SELECT frame_id AS pair_id, wy, wx, di + 8 AS peak_i, dj + 8 AS peak_j, {r6('c', 'value')} FROM pk", *CORRELATION))
 def _(s, d):
     p = correlation.first_peak(_correlated(s, d), _S)
     return out(p.withColumn("value", F.array_max("corr")), "value", keys=("pair_id", *WINDOW, "peak_i", "peak_j"))
 
 
-@query("subpixel_peak", sql("mosaic32 moved32", f"SELECT frame_id AS pair_id, y, x, {r6('u', 'u')}, {r6('v', 'v')} FROM vc", *_CORR, *VECTORS))
+@query("subpixel_peak", sql("mosaic32 moved32", f"SELECT frame_id AS pair_id, y, x, {r6('u', 'u')}, {r6('v', 'v')} FROM vc", *CORRELATION, *VECTORS))
 def _(s, d):
     return out(correlation.window_vectors(A.pair32(s, d), A.LARGE, _WS, _S, _OV), "u", "v", keys=("pair_id", "y", "x"))
 
@@ -235,7 +235,7 @@ def refill_sql(rounds: int):
     sql(
         "mosaic32 moved32",
         f"SELECT frame_id AS pair_id, y, x, {r6('u', 'u')}, {r6('v', 'v')} FROM ({resize_sql('r2', 'u v', (3, 3), (32, 32))})",
-        *_CORR,
+        *CORRELATION,
         *VECTORS,
         *refill_sql(2),
     ),
@@ -481,29 +481,32 @@ def _(s, d):
 
 
 _FINE = search.centre_counts((32, 32), 7, 4)[0]
+COARSE_TO_FINE = (
+    ("p16", resize_sql("mosaic32", "i", (32, 32), (16, 16))),
+    ("c16", resize_sql("moved32", "i", (32, 32), (16, 16))),
+    *_search_sql(7, 4, 4, "p16", "c16", 16, "a"),
+    # start vectors at the finer centres from the coarse patches that cover them
+    (
+        "beg",
+        f"""SELECT frame_id, patch_id, 2 * sum(w * u) / sum(w) AS u0, 2 * sum(w * v) / sum(w) AS v0 FROM (
+          SELECT f.frame_id, r * {_FINE} + c AS patch_id, f.u, f.v, 1 / greatest(1, abs(e.e)) AS w
+          FROM afin f JOIN range({_FINE}) r1(r) ON r * 4 BETWEEN f.cy * 2 - 6 AND f.cy * 2 + 6 JOIN range({_FINE}) r2(c) ON c * 4 BETWEEN f.cx * 2 - 6 AND f.cx * 2 + 6
+          JOIN aerr e ON e.frame_id = f.frame_id AND e.patch_id = f.patch_id
+            AND e.dy = least(r * 4 - f.cy * 2 + 6, 6) - 3 AND e.dx = least(c * 4 - f.cx * 2 + 6, 6) - 3) GROUP BY ALL""",
+    ),
+    *_search_sql(7, 4, 4, "mosaic32", "moved32", 32, "", "beg"),
+    (
+        "dense",
+        """SELECT m.frame_id, m.y, m.x, sum(w * u) / sum(w) AS u, sum(w * v) / sum(w) AS v
+        FROM mosaic32 m LEFT JOIN (SELECT frame_id, cy + dy AS y, cx + dx AS x, u, v, 1 / greatest(1, abs(e)) AS w FROM fin JOIN err USING (frame_id, patch_id)) s
+          USING (frame_id, y, x) GROUP BY ALL""",
+    ),
+)
 
 
 @query(
     "coarse_to_fine",
-    sql(
-        "mosaic32 moved32",
-        f"""SELECT m.frame_id, m.y, m.x, {r6('sum(w * u) / sum(w)', 'u')}, {r6('sum(w * v) / sum(w)', 'v')}
-        FROM mosaic32 m LEFT JOIN (SELECT frame_id, cy + dy AS y, cx + dx AS x, u, v, 1 / greatest(1, abs(e)) AS w FROM fin JOIN err USING (frame_id, patch_id)) s
-          USING (frame_id, y, x) GROUP BY ALL""",
-        ("p16", resize_sql("mosaic32", "i", (32, 32), (16, 16))),
-        ("c16", resize_sql("moved32", "i", (32, 32), (16, 16))),
-        *_search_sql(7, 4, 4, "p16", "c16", 16, "a"),
-        # start vectors at the finer centres from the coarse patches that cover them
-        (
-            "beg",
-            f"""SELECT frame_id, patch_id, 2 * sum(w * u) / sum(w) AS u0, 2 * sum(w * v) / sum(w) AS v0 FROM (
-              SELECT f.frame_id, r * {_FINE} + c AS patch_id, f.u, f.v, 1 / greatest(1, abs(e.e)) AS w
-              FROM afin f JOIN range({_FINE}) r1(r) ON r * 4 BETWEEN f.cy * 2 - 6 AND f.cy * 2 + 6 JOIN range({_FINE}) r2(c) ON c * 4 BETWEEN f.cx * 2 - 6 AND f.cx * 2 + 6
-              JOIN aerr e ON e.frame_id = f.frame_id AND e.patch_id = f.patch_id
-                AND e.dy = least(r * 4 - f.cy * 2 + 6, 6) - 3 AND e.dx = least(c * 4 - f.cx * 2 + 6, 6) - 3) GROUP BY ALL""",
-        ),
-        *_search_sql(7, 4, 4, "mosaic32", "moved32", 32, "", "beg"),
-    ),
+    sql("mosaic32 moved32", f"SELECT frame_id, y, x, {r6('u', 'u')}, {r6('v', 'v')} FROM dense", *COARSE_TO_FINE),
 )
 def _(s, d):
     f = search.coarse_to_fine(A.mosaic32(s, d), A.moved32(s, d), A.LARGE, levels=2, iterations=4, patch_size=7, stride=4)
