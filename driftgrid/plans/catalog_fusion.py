@@ -625,7 +625,7 @@ def _(s, d):
 
 def _event_stream(s, d):
     schema = s.read.parquet(f"{d}/events.parquet").schema
-    rows = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -131,6 +131,18 @@ def test_durable_tables_are_released(spark):
     release(stored)
 
 
+def test_the_shared_folder_is_the_clusters(spark):
+    from types import SimpleNamespace as NS
+
+    def session(folder, master):
+        return NS(conf=NS(get=lambda key, default: folder), sparkContext=NS(master=master, applicationId="app"))
+
+    assert shared_folder(session("/shared/ck/", "yarn")) == "/shared/ck"
+    assert shared_folder(session(None, "local[4]")) == shared_folder(session(None, "local[4]"))
+    with pytest.raises(RuntimeError):
+        shared_folder(session(None, "spark://host:7077"))
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark):
     rows = [(f, y, x, float(f), 0.0) for f in range(4) for y in range(5) for x in range(5)]
     df = spark.createDataFrame(rows, "frame_id long, y int, x int, u double, v double")
