@@ -430,7 +430,12 @@ def _tiled(pixels: DataFrame, cfg: Config, keys) -> Result:
         arrays = []
         for n in names:
             kind = kept.schema.field(n).type
-            arrays.append(pa.array(list(new[n]), type=kind) if n in new else kept.column(n))
+            if n not in new:
+                arrays.append(kept.column(n))
+            elif new[n].ndim == 1:
+                arrays.append(pa.array(new[n], type=kind))
+            else:
+                arrays.append(list_column(new[n], pa.float64()).cast(kind))
         arrays += [pa.array(sums[mine, k]) for k in range(len(SUMS))]
         return pa.Table.from_arrays(arrays, names=[*names, *SUMS])
 

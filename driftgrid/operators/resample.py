@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.functions.columns import clip, floor_int
 from driftgrid.schema import FRAME
-from driftgrid.tiles import TILE, along_x, along_y, own, shifted, spread
+from driftgrid.tiles import TILE, TX, TY, along_x, along_y, assign, own, shifted, spread
 
 
 def quads(image: DataFrame, columns: Sequence[str], keys=FRAME, tile: int = TILE) -> DataFrame:
@@ -197,6 +197,22 @@ def warp_backward(
     return out.select(*keys, "y", "x", F.col(f"s_{column}").alias(column))
 
 
+def beside(first: DataFrame, second: DataFrame, keys=FRAME, tile: int = TILE) -> DataFrame:
+    """Two pixel tables joined by pixel, with neighbouring pixels left in the same task.
+
+    A join would hash single pixels apart. Here both sides are shuffled by tile
+    and paired by a grouping that needs no further shuffle, so that sums over
+    nearby pixels that follow are mostly formed before their own shuffle.
+    """
+    by = [*keys, "y", "x"]
+    left = [c for c in first.columns if c not in by]
+    right = [c for c in second.columns if c not in by]
+    both = first.withColumn("_in", F.lit(1)).unionByName(second.withColumn("_in", F.lit(2)), allowMissingColumns=True)
+    tiled = assign(both, 0, tile).repartition(*keys, TY, TX)
+    found = tiled.groupBy(*keys, TY, TX, "y", "x").agg(F.bit_or("_in").alias("_in"), *[F.max(c).alias(c) for c in (*left, *right)])
+    return found.where(F.col("_in") == 3).drop("_in", TY, TX)
+
+
 def warp_forward(
     image: DataFrame, field: DataFrame, shape: tuple[int, int], dt: float = 1.0, column: str = "i", keys=FRAME
 ) -> DataFrame:
@@ -205,7 +221,7 @@ def warp_forward(
     Deposits outside the frame are lost; pixels that receive nothing are 0.
     """
     height, width = shape
-    moved = image.select(*keys, "y", "x", column).join(field.select(*keys, "y", "x", "u", "v"), [*keys, "y", "x"])
+    moved = beside(image.select(*keys, "y", "x", column), field.select(*keys, "y", "x", "u", "v"), keys)
     moved = moved.withColumns({"_y": F.col("y") + F.col("v") * dt, "_x": F.col("x") + F.col("u") * dt})
     moved = moved.withColumns({"_y0": F.floor("_y").cast("int"), "_x0": F.floor("_x").cast("int")})
     wy, wx = F.col("_y") - F.col("_y0"), F.col("_x") - F.col("_x0")

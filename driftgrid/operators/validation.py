@@ -65,7 +65,7 @@ def _scores_within(tiled: DataFrame, epsilon: float, radius: int, keys) -> DataF
     for c in ("u", "v"):
         others = without(F.col(f"{c}_nb"), size // 2, size)
         tiled = tiled.withColumn(f"{c}_nb", others).withColumn(f"{c}_med", array_median(F.col(f"{c}_nb"), size - 1))
-        residual = F.transform(f"{c}_nb", lambda z: F.abs(z - F.col(f"{c}_med")))
+        residual = F.transform(f"{c}_nb", lambda z: F.coalesce(F.abs(z - F.col(f"{c}_med")), F.lit(float("nan"))))
         level = array_median(residual, size - 1) + F.lit(float(epsilon))
         tiled = tiled.withColumn(f"score_{c}", F.abs(F.col(c) - F.col(f"{c}_med")) / level)
     return tiled.drop("u_nb", "v_nb", "u_med", "v_med")

@@ -129,9 +129,11 @@ def neighbourhoods(
     columns = list(columns)
     steps = range(-radius, (radius if after is None else after) + 1)
     zeros = F.array_repeat(F.lit(0.0), len(steps))
+    # a missing value inside the frame is NaN: arrays without NULL are sorted as primitives
+    missing = F.lit(float("nan"))
     rows, cols = along_x(keys), along_y(keys)
     tiled = tiled.withColumns(
-        {f"{c}_row": F.array(*[padded(c, k, rows, "zero") for k in steps]) for c in columns}
+        {f"{c}_row": F.array(*[F.coalesce(padded(c, k, rows, "zero"), missing) for k in steps]) for c in columns}
     )
     tiled = tiled.withColumns(
         {
