@@ -6,8 +6,9 @@ flight phase moves three probabilities at a time along the direction that
 keeps both the number of documents and their total size, until one of them is
 0 or 1; it stops when at most two are left. It runs in blocks of about
 ``BLOCK`` documents of a source; what the blocks leave open meets in blocks of
-the next level, until one block per source lands its last two documents on the
-outcome closest to the target. Only ids and sizes are shuffled.
+the next level, until one block per source is left. There ``LANDING`` documents
+stay out of the flight; they and the last two land on the outcome closest to
+the target. Only ids and sizes are shuffled.
 
 The random numbers depend on the seed, the source and the block alone, so
 reruns agree. The list of sources (not of documents) is held by the driver.
@@ -31,6 +32,8 @@ from driftgrid.scale import durable
 
 #: Documents of a block, and blocks that meet in one of the next level.
 BLOCK, FAN = 4096, 512
+#: Open documents of a source that the last flight leaves out, so that the landing can meet the target.
+LANDING = 14
 WORDS = r"[^\x20\x09-\x0D]+"
 EDGE = 1e-9
 
@@ -74,26 +77,26 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decides the last (at most two) fractions: least error in size, then in number."""
+    """Decides the last (at most ``LANDING`` + 2) fractions: least error in size, then in number."""
     p = np.where(p < EDGE, 0.0, np.where(p > 1 - EDGE, 1.0, p))
     at = np.flatnonzero((p > 0) & (p < 1))
-    best = None
-    for k in range(1 << len(at)):
-        x = np.array([k >> j & 1 for j in range(len(at))], float)
-        error = (abs(float(((x - p[at]) * size[at]).sum())), abs(float((x - p[at]).sum())), k)
-        if best is None or error < best[0]:
-            best = error, x
-    p[at] = best[1]
+    outcomes = (np.arange(1 << len(at))[:, None] >> np.arange(len(at)) & 1).astype(float)
+    off = outcomes - p[at]
+    p[at] = outcomes[np.lexsort((np.abs(off.sum(axis=1)), np.round(np.abs(off @ size[at]), 6)))[0]]
     return p
 
 
 def _step(seed: int):
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         source, block, level, last = (k.as_py() for k in key)
         table = table.sort_by([("order_", "ascending"), ("size", "ascending")])
         name = hashlib.sha256(repr((seed, source, block, level)).encode()).digest()
         p, size = table["p_"].to_numpy(), table["size"].to_numpy()
-        p = flight(p, size, np.random.default_rng(list(name)))
+        held = np.flatnonzero((p > EDGE) & (p < 1 - EDGE))[:LANDING] if last else []
+        moving = np.ones(len(p), bool)
+        moving[held] = False
+        p = p.copy()
+        p[moving] = flight(p[moving], size[moving], np.random.default_rng(list(name)))
         if last:
             p = land(p, size)
         return table.set_column(table.schema.get_field_index("p_"), "p_", pa.array(p))
