@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftgrid.llm import bpe, chat, mixing, ppm, simhash, warc
+from driftgrid.llm import bpe, chat, html_cut, mixing, ppm, simhash, warc
 from driftgrid.llm.registry import ORACLE, QUERIES, query
 from driftgrid.scale import shared_folder
 
@@ -113,3 +113,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = ppm.identify(docs, ppm.learn(docs), keep={"held_out": ppm.held_out()})
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op10_html")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.main_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
