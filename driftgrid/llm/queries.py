@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftgrid.llm import bpe, chat, html_cut, mixing, ppm, simhash, warc
+from driftgrid.llm import bpe, chat, html_cut, mixing, ppm, simhash, url_rules, warc
 from driftgrid.llm.registry import ORACLE, QUERIES, query
 from driftgrid.scale import shared_folder
 
@@ -118,3 +118,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_cut.main_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+HOST_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query("op9_urls")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the row of ``labels`` with its number: blocked if toxic or of no quality."""
+    pages, labels = _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels")
+    blocked = ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked")
+    labelled = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), blocked), "page_id").select("url", "blocked")
+    return url_rules.judge(pages, labelled, HOST_RULES).select("page_id", "host", "path", "rule", "verdict")
