@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftgrid.llm import bpe, chat, html_cut, mixing, ppm, simhash, url_rules, warc
+from driftgrid.llm import bpe, chat, html_cut, mixing, nndescent, ppm, simhash, url_rules, warc
 from driftgrid.llm.registry import ORACLE, QUERIES, query
 from driftgrid.scale import shared_folder
 
@@ -130,3 +130,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocked = ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked")
     labelled = pages.select("page_id", "url").join(labels.select(F.col("doc_id").alias("page_id"), blocked), "page_id").select("url", "blocked")
     return url_rules.judge(pages, labelled, HOST_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_nndescent")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(_read(spark, sf_dir, "embeddings"))
