@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftgrid.llm import bpe, chat, html_cut, mixing, nndescent, ppm, simhash, url_rules, warc
+from driftgrid.llm import bpe, chat, hilbert, html_cut, mixing, nndescent, ppm, simhash, url_rules, warc
 from driftgrid.llm.registry import ORACLE, QUERIES, query
 from driftgrid.scale import shared_folder
 
@@ -135,3 +135,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_nndescent")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+@query("op8_hilbert")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
