@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.deploy import ship
@@ -52,17 +52,19 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(count * 2 > len(spans)))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, keep: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id``, the columns of ``keep`` and ``fp``, the fingerprint as a signed long."""
     ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in (keep or {}).items()))
+    schema = rows.withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t.as_py() or b"", width, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            found = [fingerprint(t.as_py() or b"", width, seed) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(found, np.uint64).view(np.int64))], schema.names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    given = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in (keep or {}).items()), F.col(text).cast("binary").alias("input_"))
+    return given.mapInArrow(run, schema)
 
 
 def meeting_keys(fp, radius: int, bands: int, agree: int | None = None):
@@ -164,13 +166,14 @@ def forests(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[list[int],
     return a, b
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, bands: int = 6, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (signed) and ``component_id``, the smallest id reachable by links; one row per input row.
+def near_duplicates(docs: DataFrame, radius: int = 4, bands: int = 6, id_col: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id``, the columns of ``keep``, ``fp`` (signed), ``component_id``, the smallest id reachable by links, and
+    ``group_id``, which names the component even if it has no id; one row per input row.
 
     ``bands - radius`` of the bands are equal for any linked pair; more bands make more, smaller meeting places.
     """
     ship(docs.sparkSession)
-    prints = durable(fingerprints(docs, id_col, text))
+    prints = durable(fingerprints(docs, id_col, text, keep=keep))
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     met = nodes.select("fp", F.explode(F.array(*meeting_keys(F.col("fp"), radius, bands))).alias("key"))
     groups = cells(met, "key", F.xxhash64("fp"), BLOCK).groupBy("key", "cell").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
@@ -190,5 +193,5 @@ def near_duplicates(docs: DataFrame, radius: int = 4, bands: int = 6, id_col: st
     roots = components(groups.select("fps").mapInArrow(run, "a long, b long"))
     member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = member.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = durable(member.join(least, "root").select("fp", "component_id", F.col("root").alias("group_id")))
+    return prints.join(classes, "fp").select("doc_id", *(keep or {}), "fp", "component_id", "group_id")
