@@ -5,8 +5,8 @@ taken: the whole part for all, the fraction as an inclusion probability. The
 flight phase moves three probabilities at a time along the direction that
 keeps both the number of documents and their total size, until one of them is
 0 or 1; it stops when at most two are left. It runs in blocks of about
-``BLOCK`` documents of a source; what the blocks leave open meets in blocks of
-the next level, until one block per source is left. There ``LANDING`` documents
+``BLOCK`` documents of a source; what the blocks leave open (a few documents
+each) meets in blocks of the next level, until one block per source is left. There ``LANDING`` documents
 stay out of the flight; they and the last two land on the outcome closest to
 the target. Only ids and sizes are shuffled.
 
@@ -32,7 +32,7 @@ from driftgrid.scale import durable
 
 #: Documents of a block, and blocks that meet in one of the next level.
 BLOCK, FAN = 4096, 512
-#: Open documents of a source that the last flight leaves out, so that the landing can meet the target.
+#: Open documents of a source that the last flight leaves out, so that the landing can meet the target; blocks before leave half as many.
 LANDING = 14
 WORDS = r"[^\x20\x09-\x0D]+"
 EDGE = 1e-9
@@ -92,7 +92,7 @@ def _step(seed: int):
         table = table.sort_by([("order_", "ascending"), ("size", "ascending")])
         name = hashlib.sha256(repr((seed, source, block, level)).encode()).digest()
         p, size = table["p_"].to_numpy(), table["size"].to_numpy()
-        held = np.flatnonzero((p > EDGE) & (p < 1 - EDGE))[:LANDING] if last else []
+        held = np.flatnonzero((p > EDGE) & (p < 1 - EDGE))[: LANDING if last else LANDING // 2]
         moving = np.ones(len(p), bool)
         moving[held] = False
         p = p.copy()

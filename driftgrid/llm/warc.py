@@ -234,4 +234,4 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame | None = None, ba
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("name").repartition("name").mapInArrow(run, RECORDS)
+    return manifest.select("name").repartition(max(1, manifest.count()), "name").mapInArrow(run, RECORDS)  # a task per file
