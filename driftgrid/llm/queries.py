@@ -122,8 +122,43 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HOST_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
+OP9_SQL = r"""
+WITH RECURSIVE urls AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+parts AS (
+  SELECT *, list_distinct(list_concat(
+    list_transform(list_filter([host], lambda x: x <> ''), lambda x: 'host:' || x),
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'label:' || x),
+    list_transform(list_filter(string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/'), lambda x: x <> ''), lambda x: 'path:' || x),
+    list_transform(list_filter(list_transform(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda q: split_part(q, '=', 1)), lambda x: x <> ''), lambda x: 'key:' || x))) AS tokens
+  FROM urls),
+baskets AS (
+  SELECT row_number() OVER () AS basket, tokens, (toxic = 1 OR quality = 0) AS blocked
+  FROM parts JOIN labels ON doc_id = page_id WHERE (toxic = 1 OR quality = 0) IS NOT NULL),
+base AS (SELECT count(*) AS n, count(*) FILTER (blocked) AS b FROM baskets),
+single AS (SELECT basket, blocked, unnest(tokens) AS token FROM baskets),
+subsets AS (
+  SELECT basket, blocked, [token] AS items, token AS last FROM single
+  UNION ALL SELECT s.basket, s.blocked, list_append(s.items, t.token), t.token FROM subsets s JOIN single t ON s.basket = t.basket AND t.token > s.last),
+counted AS (SELECT items, count(*) AS n, count(*) FILTER (blocked) AS b FROM subsets GROUP BY items),
+rules AS (
+  SELECT items, c.b / c.n AS confidence FROM counted c, base
+  WHERE c.b >= greatest(ceil(0.002 * base.n), 1) AND c.b / c.n >= 0.8 AND c.b / c.n > base.b / base.n),
+given(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
+fits AS (
+  SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM (SELECT DISTINCT url, host, path FROM parts) p JOIN given
+    ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/')))
+  GROUP BY url),
+hits AS (SELECT DISTINCT url FROM parts JOIN rules ON list_has_all(tokens, items))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN h.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN fits f USING (url) LEFT JOIN hits h USING (url)
+"""
+
 
-@query("op9_urls")
+@query("op9_urls", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is labelled by the row of ``labels`` with its number: blocked if toxic or of no quality."""
     pages, labels = _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels")
@@ -132,7 +167,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, labelled, HOST_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op5_nndescent")
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+u AS (SELECT *, sqrt(list_inner_product(e, e)) AS n FROM v),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+component AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN component c USING (vec_id) LEFT JOIN degree d USING (vec_id)
+"""
+
+
+@query("op5_nndescent", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
