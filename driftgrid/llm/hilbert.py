@@ -30,8 +30,8 @@ from driftgrid.llm.vectors import matrix, usable
 from driftgrid.scale import durable
 
 CURVES, AXES, BITS = 4, 8, 7
-#: Ranks of a block; blocks whose queries are compared together.
-BLOCK, SPAN = 4096, 16
+#: Ranks of a block; blocks whose queries are compared together, and blocks they are compared with in one task.
+BLOCK, SPAN, WIDE = 4096, 4, 8
 AUDIT, RECALL = 128, 0.96
 #: Scores this close to the last one kept are compared by the exact sum.
 NEAR = 1e-9
@@ -178,24 +178,31 @@ def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = CURVES, r
     laid = durable(ranks.join(rows, "vec_id").select("curve", block.alias("block"), "vec_id", "vec"))
     most = F.lit(int(ranks.agg(F.max("rank")).first()[0] // BLOCK))
     low, high = F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, most)
-    span = lambda b: F.floor(b / SPAN).cast("int")
+    span, wide = (lambda b, n=n: F.floor(b / n).cast("int") for n in (SPAN, WIDE))
     asked = laid.where(is_query).select(
-        F.col("curve").alias("on"), span(F.col("block")).alias("span_"), F.explode(F.sequence(low, high)).alias("with"), F.col("vec_id").alias("query_id"), F.col("vec").alias("query")
+        F.col("curve").alias("on"), span(F.col("block")).alias("span_"), F.explode(F.sequence(wide(low), wide(high))).alias("with"), F.col("vec_id").alias("query_id"), F.col("vec").alias("query")
     )
     # a block goes to the groups of queries whose windows may hold it
-    stored = laid.select("curve", "block", F.explode(F.sequence(span(low), span(high))).alias("span"), "vec_id", "vec")
+    stored = laid.select("curve", F.explode(F.sequence(span(low), span(high))).alias("span"), wide(F.col("block")).alias("wide"), "vec_id", "vec")
 
     def compare(key: tuple[pa.Scalar, ...], own: pa.Table, against: pa.Table) -> pa.Table:
-        if not own.num_rows or not against.num_rows:
-            return _batch(np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], [])
-        ids, rows_ = against["vec_id"].to_numpy(), matrix(against["vec"])
-        query_ids, queries = own["query_id"].to_numpy(), matrix(own["query"])
-        parts = []
-        for i in range(0, len(query_ids), 512):
-            at = query_ids[i : i + 512]
-            parts.append(_batch(at, ids, *_top(ids, rows_, at, queries[i : i + 512], k)))
+        """Each query's best among the rows of up to ``WIDE`` blocks, one block's scores at a time."""
+        parts = [_batch(np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], [])]
+        if own.num_rows and against.num_rows:
+            ids, rows_ = against["vec_id"].to_numpy(), matrix(against["vec"])
+            query_ids, queries = own["query_id"].to_numpy(), matrix(own["query"])
+            for i in range(0, len(query_ids), 512):
+                at, best = slice(i, i + 512), []
+                for j in range(0, len(ids), BLOCK):
+                    q, v, score = _top(ids[j : j + BLOCK], rows_[j : j + BLOCK], query_ids[at], queries[at], k)
+                    best.append((q, v + j, score))
+                q, v, score = (np.concatenate(x) for x in zip(*best))
+                order = np.lexsort((ids[v], -score, q))
+                q, v, score = q[order], v[order], score[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+                parts.append(_batch(query_ids[at], ids, q[keep], v[keep], score[keep]))
         return pa.concat_tables(parts)
 
-    met = asked.groupBy("on", "span_", "with").cogroup(stored.groupBy("curve", "span", "block")).applyInArrow(compare, _FOUND)
+    met = asked.groupBy("on", "span_", "with").cogroup(stored.groupBy("curve", "span", "wide")).applyInArrow(compare, _FOUND)
     return _first(met, k).select("query_id", "rank", "vec_id", "score")
 

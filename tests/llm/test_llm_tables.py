@@ -199,6 +199,7 @@ def test_hilbert_curve_is_continuous(axes, bits):
 def test_search(spark, monkeypatch, block, least):
     monkeypatch.setattr(hilbert, "BLOCK", block)
     monkeypatch.setattr(hilbert, "SPAN", 3)
+    monkeypatch.setattr(hilbert, "WIDE", 2)
     rows, label = clustered(4, 400)
     rows[7] = rows[20] = rows[33] = rows[5]  # ties
     got = hilbert.search(table(spark, rows, label, ODD), F.col("vec_id") % 20 == 0, k=5).collect()
