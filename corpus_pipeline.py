@@ -30,8 +30,8 @@ def _row_key():
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; a missing ``lang`` is filled in. A null text or one without letters goes."""
-    carried = {c: F.col(c) for c in COLUMNS[1:]}
-    found = ppm.identify(docs, ppm.learn(docs), keep=carried)
+    carried = {c: F.col(c) for c in ("lang", "source", "n_chars")}
+    found = ppm.identify(docs, ppm.learn(docs), keep=carried, carry="text")
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrid.deploy import ship
+from driftgrid.llm.worker import held
 
 #: Bounds of the caches in a Python worker; a full cache is emptied.
 MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_PIECE_CHARS = 150_000, 250_000, 300_000, 64
@@ -269,20 +270,25 @@ class Decoder:
         return "".join(out)
 
 
-_BUILT: dict[tuple, object] = {}
+class _Tools:
+    """The transducer and the decoder of a worker, which keep their states from task to task."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.made = ranks, {}
 
-def _transducer(key: str, ranks, pattern: str) -> Transducer:
-    """One transducer per Python worker, which keeps its states from task to task."""
-    if (key, pattern) not in _BUILT:
-        _BUILT[key, pattern] = Transducer(ranks.value, pattern)
-    return _BUILT[key, pattern]
+    def transducer(self, pattern: str) -> Transducer:
+        if pattern not in self.made:
+            self.made[pattern] = Transducer(self.ranks, pattern)
+        return self.made[pattern]
 
+    def decoder(self) -> Decoder:
+        if None not in self.made:
+            self.made[None] = Decoder({rank: token for token, rank in self.ranks.items()})
+        return self.made[None]
 
-def _decoder(key: str, ranks) -> Decoder:
-    if (key,) not in _BUILT:
-        _BUILT[key,] = Decoder({rank: token for token, rank in ranks.value.items()})
-    return _BUILT[key,]
+
+def _tools(path: str, ranks) -> _Tools:
+    return held(("bpe", path), lambda: _Tools(ranks.value))
 
 
 def _schema(df: DataFrame, keep: list[str], name: str, kind: T.DataType) -> T.StructType:
@@ -301,7 +307,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: lis
     ranks = spark.sparkContext.broadcast(read_ranks(path))
 
     rows = _last(df, keep, F.coalesce(F.col(text), F.lit("")))
-    run = lambda batches: _encoded(batches, _transducer(path, ranks, pattern), [*keep, out])
+    run = lambda batches: _encoded(batches, _tools(path, ranks).transducer(pattern), [*keep, out])
     return rows.mapInArrow(run, _schema(df, keep, out, T.ArrayType(T.IntegerType())))
 
 
@@ -344,7 +350,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] = ("doc_i
     ranks = spark.sparkContext.broadcast(read_ranks(path))
 
     rows = _last(df, keep, F.coalesce(F.col(ids), F.array().cast("array<int>")))
-    run = lambda batches: _decoded(batches, _decoder(path, ranks), [*keep, out])
+    run = lambda batches: _decoded(batches, _tools(path, ranks).decoder(), [*keep, out])
     return rows.mapInArrow(run, _schema(df, keep, out, T.StringType()))
 
 
@@ -355,7 +361,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep:
     ranks = spark.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        transducer, decoder = _transducer(path, ranks, pattern), _decoder(path, ranks)
+        transducer, decoder = _tools(path, ranks).transducer(pattern), _tools(path, ranks).decoder()
         for batch in _encoded(batches, transducer, [*keep, "ids"]):
             again = batch.select(["ids"])
             (texts,) = pa.Table.from_batches(_decoded([again], decoder, ["decoded"])).combine_chunks().to_batches() if len(again) else ()

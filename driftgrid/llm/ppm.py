@@ -26,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.deploy import ship
+from driftgrid.llm.worker import held
 
 ORDER = 4
 #: The sample: about so many documents a language, of at most so many characters; the most frequent languages.
 PER_LANG, SAMPLE_CHARS, LANGS = 250, 8000, 64
 #: Words remembered by a Python worker; words scored at a time; characters of texts taken together.
-MAX_WORDS, PART_WORDS, PART_CHARS = 250_000, 20_000, 1 << 22
+MAX_WORDS, PART_WORDS, PART_CHARS = 150_000, 20_000, 1 << 21
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -169,30 +170,25 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     return Model({name: w for name, w in words.items() if w})
 
 
-_WORDS: dict[str, _Words] = {}
-
-
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """``doc_id``, the columns of ``keep``, ``lang_pred`` and ``score``, the posterior of that language."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None, carry: str | None = None) -> DataFrame:
+    """``doc_id``, the columns of ``keep``, the text as ``carry`` if asked for, ``lang_pred`` and ``score``, the posterior of that language."""
     spark, keep = docs.sparkSession, keep or {}
-    if set(keep) & {"doc_id", "lang_pred", "score"}:
+    if {*keep, carry} & {"doc_id", "lang_pred", "score"} or carry in keep:
         raise ValueError("a kept column has the name of a result")
     ship(spark)
     shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     has = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)) if model.langs else F.lit(False)
-    rows = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in keep.items()), has.alias("has_"), F.when(has, F.col(text)).otherwise("").alias("text_"))
-    schema = rows.drop("has_", "text_").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    # the text goes to Python once, whether it comes back or not
+    rows = docs.select(has.alias("has_"), F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in keep.items()), F.col(text).alias(carry or "text_"))
+    schema = (rows if carry else rows.drop("text_")).drop("has_").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def run(batches):
-        if token not in _WORDS:
-            _WORDS.clear()
-            _WORDS[token] = _Words(shared.value)
-        words = _WORDS[token]
+        words = held(token, lambda: _Words(shared.value))
         names = words.model.langs
         for batch in batches:
-            flags, column, begun, part, chars = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1), 0, [], 0
+            flags, column, begun, part, chars = batch.column(0).to_pylist(), batch.column(batch.num_columns - 1), 0, [], 0
             for i in range(batch.num_rows):
-                part.append(column[i].as_py())
+                part.append(column[i].as_py() if flags[i] else "")
                 chars += len(part[-1])
                 if chars >= PART_CHARS or i == batch.num_rows - 1:
                     own = flags[begun : i + 1]
@@ -204,7 +200,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str =
                         best = [names[k] if f else "und" for k, f in zip(first.tolist(), own)]
                         sure = np.where(own, post, 0.0)
                     rows_ = batch.slice(begun, i + 1 - begun)
-                    yield pa.RecordBatch.from_arrays([*rows_.columns[:-2], pa.array(best, pa.string()), pa.array(sure)], schema.names)
+                    columns = rows_.columns[1:] if carry else rows_.columns[1:-1]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(sure)], schema.names)
                     begun, part, chars = i + 1, [], 0
 
     return rows.mapInArrow(run, schema)
