@@ -13,8 +13,28 @@ def magnitude(u="u", v="v") -> Column:
     return F.sqrt(u * u + v * v)
 
 
+def missing(*values) -> Column:
+    """Whether any value is NULL or NaN; both mean that there is no measurement."""
+    columns = [F.col(v) if isinstance(v, str) else v for v in values]
+    out = F.lit(False)
+    for c in columns:
+        out = out | c.isNull() | F.coalesce(F.isnan(c), F.lit(False))
+    return out
+
+
+def at_least(value: Column, low) -> Column:
+    """The larger of the two. ``greatest`` would put the bound in a missing value's place."""
+    return F.when(~missing(value), F.greatest(value, low if isinstance(low, Column) else F.lit(float(low)))).otherwise(value)
+
+
+def at_most(value: Column, high) -> Column:
+    """The smaller of the two; a missing value stays as it is."""
+    return F.when(~missing(value), F.least(value, high if isinstance(high, Column) else F.lit(float(high)))).otherwise(value)
+
+
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+    """``value`` within the bounds; a missing value stays as it is."""
+    return F.when(~missing(value), F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))).otherwise(value)
 
 
 def floor_int(value: Column) -> Column:

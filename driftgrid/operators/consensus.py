@@ -64,7 +64,8 @@ def weights_list(ensemble: DataFrame, weights: Sequence[float] | None) -> DataFr
     if weights is None:
         return ensemble.withColumn("w", F.lit(1.0))
     table = F.array(*[F.lit(float(w)) for w in weights])
-    return ensemble.withColumn("w", F.get(table, F.col("estimator")))
+    lacking = F.raise_error(F.concat(F.lit(f"{len(weights)} weights were given, none for estimator "), F.col("estimator").cast("string")))
+    return ensemble.withColumn("w", F.when(F.col("estimator").between(0, len(weights) - 1), F.get(table, F.col("estimator"))).otherwise(lacking.cast("double")))
 
 
 def weights_photometric(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.columns import clip, magnitude
+from driftgrid.functions.columns import at_least, clip, magnitude, missing
 from driftgrid.operators.differential import div_vort
 from driftgrid.quantiles import BOUND, quantiles
 from driftgrid.schema import FRAME, PIXEL
@@ -27,12 +27,12 @@ def epe() -> Column:
 def angle_error() -> Column:
     """Angle between the vectors as a share of a half turn."""
     dot = F.col("u") * F.col("tu") + F.col("v") * F.col("tv")
-    norms = F.greatest(magnitude() * magnitude("tu", "tv"), F.lit(1e-3))
+    norms = at_least(magnitude() * magnitude("tu", "tv"), 1e-3)
     return F.acos(clip(dot / norms, -1.0, 1.0)) / F.pi()
 
 
 def relative_error() -> Column:
-    return F.abs(magnitude() - magnitude("tu", "tv")) / F.greatest(magnitude("tu", "tv"), F.lit(1e-10))
+    return F.abs(magnitude() - magnitude("tu", "tv")) / at_least(magnitude("tu", "tv"), 1e-10)
 
 
 def squared_epe() -> Column:
@@ -80,20 +80,27 @@ def error_stats(
 
 
 def frame_epe(pairs: DataFrame, keys=FRAME) -> DataFrame:
-    return pairs.groupBy(*keys).agg(F.avg(epe()).alias("mean_epe"))
+    """``mean_epe`` over the pixels of a frame where both vectors are there, and how many are ``missing``.
+
+    NULL and NaN both count as missing; a frame without a measured pixel has a NULL mean.
+    """
+    gone = missing("u", "v", "tu", "tv")
+    return pairs.groupBy(*keys).agg(F.avg(F.when(~gone, epe())).alias("mean_epe"), F.count_if(gone).alias("missing"), F.count("*").alias("pixels"))
 
 
 def summary(per_frame: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    return per_frame.groupBy(*by).agg(
-        F.count(value).alias("frames"),
-        F.avg(value).alias("mean"),
-        F.max(value).alias("max"),
-        F.min(value).alias("min"),
-    )
+    """Statistics over frames with a value; with ``missing`` and ``pixels`` per frame also their sums and the share measured."""
+    parts = [F.count(value).alias("frames"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min")]
+    if {"missing", "pixels"} <= set(per_frame.columns):
+        parts += [F.sum("missing").alias("missing"), (1 - F.sum("missing") / F.sum("pixels")).alias("coverage")]
+    return per_frame.groupBy(*by).agg(*parts)
 
 
 def eval_dataset(estimate: DataFrame, truth: DataFrame, keys=FRAME, by: Sequence[str] = ()) -> DataFrame:
-    """Mean endpoint error per frame, then its mean, maximum and minimum over the data set."""
+    """Mean endpoint error per frame, then its mean, maximum and minimum over the data set.
+
+    ``missing`` and ``coverage`` say how many pixels had no vector and what share entered the means.
+    """
     pairs = paired(estimate, truth, keys)
     if "is_padding" in pairs.columns:
         pairs = pairs.where(~F.col("is_padding"))
@@ -109,7 +116,7 @@ def constraint_violation(
 ) -> DataFrame:
     """Statistics of excess speed and squared divergence, one row per constraint."""
     limits = thresholds or {}
-    speed = field.select(F.greatest(magnitude() - F.lit(float(max_speed)), F.lit(0.0)).alias("value"))
+    speed = field.select(at_least(magnitude() - F.lit(float(max_speed)), 0.0).alias("value"))
     squared = div_vort(field.select(*keys, *PIXEL, "u", "v"), keys).select((F.col("div") * F.col("div")).alias("value"))
     parts = []
     for name, table in (("speed", speed), ("divergence", squared)):
@@ -147,6 +154,6 @@ def unmatched_frames(first: DataFrame, second: DataFrame, keys=FRAME) -> DataFra
 
 def disagreeing_truth(first: DataFrame, second: DataFrame, atol: float = 1e-4, keys=FRAME) -> DataFrame:
     """Frames whose two truths differ by more than ``atol`` anywhere."""
-    gap = F.greatest(F.abs(F.col("u") - F.col("tu")), F.abs(F.col("v") - F.col("tv")))
+    gap = at_least(F.abs(F.col("u") - F.col("tu")), F.abs(F.col("v") - F.col("tv")))
     worst = paired(first, second, keys).groupBy(*keys).agg(F.max(gap).alias("gap"))
     return worst.where(F.col("gap") > F.lit(atol))

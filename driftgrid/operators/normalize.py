@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftgrid.functions.columns import clip, gaussian_weights
+from driftgrid.functions.columns import at_least, at_most, clip, gaussian_weights
 from driftgrid.quantiles import quantiles
 from driftgrid.scale import attach
 from driftgrid.schema import FRAME
@@ -31,14 +31,14 @@ def intensity_capping(image: DataFrame, n: float = 2.0, keys=FRAME) -> DataFrame
     """Cap bright pixels at the frame's median plus ``n`` population deviations."""
     joined = attach(image, _centre_and_spread(image, keys), keys)
     cap = F.col("_med") + F.lit(float(n)) * F.col("_std")
-    return joined.withColumn("i", F.least(F.col("i"), cap)).drop("_med", "_std")
+    return joined.withColumn("i", at_most(F.col("i"), cap)).drop("_med", "_std")
 
 
 def intensity_clipping(image: DataFrame, n: float = 2.0, keys=FRAME) -> DataFrame:
     joined = attach(image, _centre_and_spread(image, keys), keys)
     reach = F.lit(float(n)) * F.col("_std")
     low, high = F.col("_med") - reach, F.col("_med") + reach
-    return joined.withColumn("i", F.least(F.greatest(F.col("i"), low), high)).drop("_med", "_std")
+    return joined.withColumn("i", at_most(at_least(F.col("i"), low), high)).drop("_med", "_std")
 
 
 def high_pass(

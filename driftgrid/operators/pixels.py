@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.columns import clip, magnitude
+from driftgrid.functions.columns import at_least, clip, magnitude
 from driftgrid.scale import attach
 from driftgrid.schema import FRAME
 
@@ -16,7 +16,7 @@ CODE_MAX = {"uint8": 255, "uint4": 15}
 def background_suppression(image: DataFrame, threshold: float = 0.0) -> DataFrame:
     if threshold <= 0:
         return image
-    return image.withColumn("i", F.greatest(F.col("i") - F.lit(float(threshold)), F.lit(0.0)))
+    return image.withColumn("i", at_least(F.col("i") - F.lit(float(threshold)), 0.0))
 
 
 def crop(

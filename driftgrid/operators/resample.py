@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.columns import clip, floor_int
+from driftgrid.functions.columns import clip, floor_int, missing
 from driftgrid.schema import FRAME
 from driftgrid.tiles import TILE, TX, TY, along_x, along_y, assign, own, shifted, spread
 
@@ -68,15 +68,18 @@ def sample(
 ) -> DataFrame:
     """Bilinear values of ``image`` at each point's ``yf, xf``, added as ``s_<column>``.
 
-    ``clamp`` moves positions into the frame, ``zero`` treats the outside as 0.
-    Points and quads meet in one equi-join; nothing is exploded.
+    ``clamp`` moves positions into the frame, ``zero`` treats the outside as 0; a
+    position that is NULL or NaN has the value NULL. Points and quads meet in one
+    equi-join; nothing is exploded.
     """
     height, width = shape
+    lost = missing("yf", "xf")
     store = quads(image, columns, keys, tile).withColumnsRenamed({"y": "_qy", "x": "_qx"})
     yf, xf = F.col("yf"), F.col("xf")
     if pad == "clamp":
         yc, xc = clip(yf, 0.0, height - 1.0), clip(xf, 0.0, width - 1.0)
-        at = points.withColumns({"_qy": floor_int(yc), "_qx": floor_int(xc)})
+        # a missing position looks at some pixel, so that its row stays, and is blanked below
+        at = points.withColumns({"_qy": F.when(lost, 0).otherwise(floor_int(yc)), "_qx": F.when(lost, 0).otherwise(floor_int(xc))})
         at = at.withColumns({"_wy": yc - F.col("_qy"), "_wx": xc - F.col("_qx")})
         found = at.join(store, [*keys, "_qy", "_qx"])
         made = {f"s_{c}": _clamped(f"{c}_q", F.col("_wy"), F.col("_wx")) for c in columns}
@@ -96,6 +99,7 @@ def sample(
     else:
         raise ValueError(f"pad must be 'clamp' or 'zero', got {pad!r}")
     helpers = ("_qy", "_qx", "_wy", "_wx", "_fy", "_fx")
+    made = {name: F.when(~lost, value) for name, value in made.items()}
     return found.withColumns(made).drop(*helpers, *[f"{c}_q" for c in columns])
 
 
@@ -218,27 +222,26 @@ def warp_forward(
 ) -> DataFrame:
     """Every pixel deposits its value around ``(y + v*dt, x + u*dt)``; overlaps add up.
 
-    Deposits outside the frame are lost; pixels that receive nothing are 0.
+    Deposits outside the frame are lost, and so is what a pixel without a vector
+    (NULL or NaN) or value would deposit; pixels that receive nothing are 0.
     """
     height, width = shape
     moved = beside(image.select(*keys, "y", "x", column), field.select(*keys, "y", "x", "u", "v"), keys)
     moved = moved.withColumns({"_y": F.col("y") + F.col("v") * dt, "_x": F.col("x") + F.col("u") * dt})
     moved = moved.withColumns({"_y0": F.floor("_y").cast("int"), "_x0": F.floor("_x").cast("int")})
     wy, wx = F.col("_y") - F.col("_y0"), F.col("_x") - F.col("_x0")
-    near = (F.col("y") - F.col("_y0")).isin(0, 1) & (F.col("x") - F.col("_x0")).isin(0, 1)
+    lost = missing("u", "v", column)
+    near = ~lost & (F.col("y") - F.col("_y0")).isin(0, 1) & (F.col("x") - F.col("_x0")).isin(0, 1)
 
     def corner(dy: int, dx: int, w: Column) -> Column:
         return F.struct((F.col("_y0") + dy).alias("y"), (F.col("_x0") + dx).alias("x"), (w * F.col(column)).alias("d"))
 
     deposits = F.array(
-        corner(0, 0, (1.0 - wx) * (1.0 - wy)),
-        corner(0, 1, wx * (1.0 - wy)),
-        corner(1, 0, (1.0 - wx) * wy),
-        corner(1, 1, wx * wy),
+        *[F.when(~lost, c) for c in (corner(0, 0, (1.0 - wx) * (1.0 - wy)), corner(0, 1, wx * (1.0 - wy)), corner(1, 0, (1.0 - wx) * wy), corner(1, 1, wx * wy))],
         # a pixel whose own deposit does not reach it still appears, with 0
         F.when(~near, F.struct(F.col("y"), F.col("x"), F.lit(0.0).alias("d"))),
     )
-    inside = F.filter(deposits, lambda s: s["y"].between(0, height - 1) & s["x"].between(0, width - 1))
+    inside = F.filter(deposits, lambda s: s.isNotNull() & s["y"].between(0, height - 1) & s["x"].between(0, width - 1))
     spots = moved.select(*keys, F.explode(inside).alias("s")).select(*keys, "s.y", "s.x", "s.d")
     return spots.groupBy(*keys, "y", "x").agg(F.sum("d").alias(column))
 

@@ -69,13 +69,16 @@ def ema(
     initial: float = 0.0,
     keys: Sequence[str] = PIXEL_OF,
     time: str = "t",
+    block: int = BLOCK,
+    steps: int | None = None,
 ) -> DataFrame:
     """Recursive average ``a*x + (1-a)*previous``; ``time`` counts 0, 1, 2, … per key.
 
-    The recursion is written out as a running sum of weighted values over blocks
-    of steps. A block is as long as the weights stay within double range
-    (``(1-a)**size`` about 1e-200) and looks back until they fall to 1e-60, far
-    below what a double can hold next to the recent values.
+    Blocks of steps are averaged independently; what a block leaves at its end is
+    averaged over the blocks in the same way and fades into the next block. So
+    nothing is cut off and no task sees more than ``block`` steps of a key. As in
+    the recursion, a NULL makes all later values NULL and a NaN or infinity stays.
+    ``steps``, the length of the longest sequence, saves a pass if it is known.
     """
     if not 0 <= alpha <= 1:
         raise ValueError(f"alpha must be in the range [0, 1], got {alpha}")
@@ -83,16 +86,54 @@ def ema(
         return field
     if alpha == 0.0:
         return field.withColumns({c: F.lit(float(initial)) for c in columns})
-    keep = 1.0 - alpha
-    decades = -math.log10(keep)
-    size, reach = max(1, int(200.0 / decades)), math.ceil(60.0 / decades)
-    blocked = _blocks(field, time, reach, size)
-    weight = F.pow(F.lit(keep), F.col("_block") * size - F.col(time))
-    running_sum = {
-        c: F.sum(F.col(c) * weight).over(_in_block(keys, time).rowsBetween(Window.unboundedPreceding, 0)) for c in columns
-    }
-    faded = F.pow(F.lit(keep), F.col(time) + 1) * F.lit(float(initial))
-    return _own(blocked.withColumns({c: running_sum[c] * alpha / weight + faded for c in columns}), time, size)
+    if steps is None:
+        steps = (field.agg(F.max(time)).first()[0] or 0) + 1
+    keys, keep, parts = list(keys), 1.0 - alpha, {}
+    for c in columns:
+        x = F.col(c).cast("double")
+        kind = F.when(x.isNull(), _NULL).when(F.isnan(x), _NAN).when(x == math.inf, _HIGH).when(x == -math.inf, _LOW).otherwise(0)
+        parts |= {f"_f_{c}": kind, c: F.when(kind == 0, x).otherwise(0.0)}
+    faded = _faded(field.withColumns(parts), columns, keep, keys, time, block, steps)
+    result = {}
+    for c in columns:
+        seen = lambda bit: F.col(f"_f_{c}").bitwiseAND(bit) > 0  # noqa: B023, E731
+        value = F.col(c) * alpha + F.pow(F.lit(keep), F.col(time) + 1) * F.lit(float(initial))
+        nan = seen(_NAN) | (seen(_HIGH) & seen(_LOW))
+        result[c] = F.when(~seen(_NULL), F.when(nan, math.nan).when(seen(_HIGH), math.inf).when(seen(_LOW), -math.inf).otherwise(value))
+    return faded.withColumns(result).drop(*[f"_f_{c}" for c in columns])
+
+
+# What a sequence has met so far.
+_NULL, _NAN, _HIGH, _LOW = 1, 2, 4, 8
+
+
+def _faded(table: DataFrame, columns: Sequence[str], keep: float, keys: list[str], time: str, block: int, steps: int) -> DataFrame:
+    """``c`` becomes ``c + keep * c of the step before + …``, ``_f_c`` the union of all flags up to the step."""
+    # within a block weights stay inside the range of a double
+    span = int(200.0 / -math.log10(keep)) if keep > 0 else 0
+    size = min(block, span) if span > 1 else block
+    out = table.withColumn("_block", F.floor(F.col(time) / size))
+    place = F.col(time) - F.col("_block") * size
+    line = _in_block(keys, time)
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    if span > 1:
+        weight = F.pow(F.lit(keep), -place.cast("double"))
+        within = {c: F.sum(F.col(c) * weight).over(upto) / weight for c in columns}
+    else:  # few steps count: seven back the weight takes even the largest double to 0
+        lagged = lambda c, k: F.coalesce(F.lag(c, k).over(line), F.lit(0.0)) * keep**k
+        within = {c: sum((lagged(c, k) for k in range(1, 7)), F.col(c)) for c in columns}
+    flags = {f"_f_{c}": F.bit_or(f"_f_{c}").over(upto) for c in columns}
+    if steps <= size:
+        return out.withColumns(within | flags).drop("_block")
+    left = F.pow(F.lit(keep), F.lit(size - 1) - place)
+    ends = out.groupBy(*keys, "_block").agg(*[F.sum(F.col(c) * left).alias(c) for c in columns], *[F.bit_or(f).alias(f) for f in flags])
+    carried = _faded(ends.withColumnRenamed("_block", "_b"), columns, keep**size, keys, "_b", block, -(-steps // size))
+    carried = carried.select(*keys, (F.col("_b") + 1).alias("_block"), *[F.col(c).alias(f"_p_{c}") for c in columns], *[F.col(f).alias(f"_p{f}") for f in flags])
+    joined = out.withColumns(within | flags).join(carried, [*keys, "_block"], "left")
+    fade = F.pow(F.lit(keep), F.col(time) - F.col("_block") * size + 1)
+    merged = {c: F.col(c) + F.coalesce(f"_p_{c}", F.lit(0.0)) * fade for c in columns}
+    merged |= {f: F.col(f).bitwiseOR(F.coalesce(f"_p{f}", F.lit(0))) for f in flags}
+    return joined.withColumns(merged).drop("_block", *[f"_p_{c}" for c in columns], *[f"_p{f}" for f in flags])
 
 
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}

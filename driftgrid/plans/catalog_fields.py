@@ -512,6 +512,20 @@ def _(s, d):
     return out(resample.warp_backward(A.mosaic32(s, d), A.mosaic_field32(s, d), A.LARGE), "i")
 
 
+_GONE = "(y * 32 + x + frame_id) % 37 = 0"
+
+
+@query(
+    "warp_backward_missing",
+    sql("mosaic32 mfield32", f"SELECT frame_id, y, x, CASE WHEN {_GONE} THEN NULL ELSE {r6('s_i')} END AS i FROM ({bilinear_clamped('mosaic32', 'back', (32, 32))})", _BACK),
+)
+def _(s, d):
+    """Pixels without a vector (NULL in u, NaN in v) have no value."""
+    gone = F.expr(_GONE)
+    field = A.mosaic_field32(s, d).select(*FYX, F.when(~gone | (F.col("y") % 2 == 1), F.col("u")).alias("u"), F.when(gone, F.lit(float("nan"))).otherwise(F.col("v")).alias("v"))
+    return out(resample.warp_backward(A.mosaic32(s, d), field, A.LARGE), "i")
+
+
 _SPLAT = (
     ("mv", "SELECT m.frame_id, m.i, m.y + f.v AS yf, m.x + f.u AS xf FROM mosaic32 m JOIN mfield32 f USING (frame_id, y, x)"),
     (
@@ -722,6 +736,16 @@ def _(s, d):
     return out(metrics.error_stats(_pairs(s, d).select(metrics.epe().alias("e")), "e"), *STATS, keys=())
 
 
+_NO_VECTOR = "(frame_id * 131 + y * 17 + x * 7) % 23 = 0"
+
+
+@query("error_stats_missing", sql("pairs8", f"SELECT {stats_sql('e', 0.5)} FROM (SELECT {_EPE} AS e FROM pairs8 WHERE NOT ({_NO_VECTOR}))"))
+def _(s, d):
+    """NULL errors are left out; the bound is low so that the distributed quantiles run at every size."""
+    errors = _pairs(s, d).select(F.when(~F.expr(_NO_VECTOR), metrics.epe()).alias("e"))
+    return out(metrics.error_stats(errors, "e", bound=1000), *STATS, keys=())
+
+
 @query("error_stats_by_frame", sql("pairs8", f"SELECT frame_id, {stats_sql('e', 1.5)} FROM (SELECT frame_id, {_EPE} AS e FROM pairs8) GROUP BY frame_id"))
 def _(s, d):
     e = _pairs(s, d).select("frame_id", metrics.epe().alias("e"))
@@ -750,6 +774,22 @@ def _(s, d):
     return out(metrics.eval_dataset(A.field8(s, d), A.truth8(s, d)), "mean", "max", "min", keys=("frames",))
 
 
+@query(
+    "eval_dataset_missing",
+    sql(
+        "pairs8",
+        f"""SELECT {_SUMMARY}, sum(gone)::BIGINT AS missing, {r6('1 - sum(gone) / sum(n)', 'coverage')}
+        FROM (SELECT frame_id, avg({_EPE}) FILTER (NOT ({_NO_VECTOR})) AS e, count(*) FILTER ({_NO_VECTOR}) AS gone, count(*) AS n FROM pairs8 GROUP BY frame_id)""",
+    ),
+)
+def _(s, d):
+    """NULL and NaN vectors enter no mean and are counted."""
+    gone, field = F.expr(_NO_VECTOR), A.field8(s, d)
+    u = F.when(gone & (F.col("x") % 2 == 0), F.lit(float("nan"))).when(~gone, F.col("u"))
+    result = metrics.eval_dataset(field.select(*FYX, u.alias("u"), "v"), A.truth8(s, d))
+    return out(result, "mean", "max", "min", "coverage", keys=("frames", "missing"))
+
+
 @query(
     "eval_dataset_by_sequence",
     sql(
@@ -823,6 +863,20 @@ def _(s, d):
     return out(sequences.ema(A.sequence8(s, d), 0.7), "u", "v", keys=SEQ)
 
 
+@query(
+    "ema_long",
+    sql(
+        "image8",
+        f"""SELECT a.frame_id AS t, a.y, a.x, {r6('sum(0.05 * pow(0.95, a.frame_id - b.frame_id) * b.i) + pow(0.95, a.frame_id + 1) * 100', 'i')}
+        FROM image8 a JOIN image8 b ON b.y = a.y AND b.x = a.x AND b.frame_id <= a.frame_id GROUP BY a.frame_id, a.y, a.x""",
+    ),
+)
+def _(s, d):
+    """All images as one sequence, averaged over many blocks."""
+    line = A.image8(s, d).select(F.col("frame_id").alias("t"), "y", "x", "i")
+    return out(sequences.ema(line, 0.05, ["i"], 100.0, ("y", "x"), block=16), "i", keys=("t", "y", "x"))
+
+
 @query(
     "history",
     sql(

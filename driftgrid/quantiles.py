@@ -5,7 +5,8 @@ whose buffer holds one entry per distinct value; the groups are sized first.
 Larger groups are narrowed by histograms: each round
 counts values per bin (combined map-side, so only ``bins`` rows per group are
 shuffled), finds the bin of every wanted rank and continues inside it, until
-the bin holds one distinct value. A round shrinks the range by ``bins`` and
+the bin holds one distinct value. Infinities and NaN are counted apart, in the
+order of ``percentile`` (NaN last), so histograms see finite values only. A round shrinks the range by ``bins`` and
 always separates its smallest from its largest value, so it ends for every
 distribution; about ``log(n)/log(bins)`` rounds are needed. After the first round
 only the values inside the wanted bins are kept, in a table of their own.
@@ -52,10 +53,12 @@ def quantiles(
     rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
     # 1.2 covers the sketch's error; it only decides how, not what, is computed
     held = F.least(F.count(v), (F.approx_count_distinct(v) * 1.2).cast("long"))
-    sizing = [F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), held.alias("held"), *extras]
+    finite = F.when(~F.isnan(v) & (F.abs(v) < math.inf), v)
+    sizing = [F.count(v).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"), held.alias("held"), *extras]
+    sizing += [F.count_if(v == -math.inf).alias("n_low"), F.count_if(v == math.inf).alias("n_high"), F.count_if(F.isnan(v)).alias("n_nan")]
     sizes = durable(df.groupBy(*keys).agg(*sizing))
     largest = sizes.agg(F.max("held")).first()[0] or 0
-    kept = [c for c in sizes.columns if c not in ("n", "lo", "hi", "held")]
+    kept = [c for c in sizes.columns if c not in ("n", "lo", "hi", "held", "n_low", "n_high", "n_nan")]
     if not keys:
         found = _built_in(rows, probs, []) if largest <= bound else _whole_table(rows, sizes, probs, bins)
         if not extras:
@@ -81,8 +84,14 @@ def _by_histogram(rows: DataFrame, sizes: DataFrame, probs, keys, bins: int) ->
             F.array(*[F.array(F.floor((F.col("n") - 1) * float(p)), F.ceil((F.col("n") - 1) * float(p))) for p in probs])
         )
     )
-    spans = durable(sizes.select(*keys, "lo", "hi", F.lit(0).cast("long").alias("base"), wanted.alias("ranks")))
-    solved, narrowed = [], False
+    n, n_low, n_high, n_nan = (F.col(c) for c in ("n", "n_low", "n_high", "n_nan"))
+    inner = lambda r: (r >= n_low) & (r < n - n_high - n_nan)
+    ends = sizes.select(*keys, "n", "n_low", "n_high", "n_nan", F.explode(F.filter(wanted, lambda r: ~inner(r))).alias("rank"))
+    outer = F.when(F.col("rank") < n_low, -math.inf).when(F.col("rank") < n - n_nan, math.inf).otherwise(math.nan)
+    spans = sizes.select(*keys, "lo", "hi", n_low.alias("base"), F.filter(wanted, inner).alias("ranks"))
+    spans = durable(spans.where(F.size("ranks") > 0))
+    rows = rows.where(~F.isnan("_v") & (F.abs("_v") < math.inf))
+    solved, narrowed = [ends.select(*keys, "rank", outer.alias("value"))], False
     while True:
         solved.append(
             spans.where("lo = hi").select(*keys, F.explode("ranks").alias("rank"), F.col("lo").alias("value"))
@@ -114,15 +123,17 @@ def _by_histogram(rows: DataFrame, sizes: DataFrame, probs, keys, bins: int) ->
 def _interpolated(p: float) -> Column:
     position = (F.col("n") - 1) * F.lit(p)
     low, high = F.element_at("m", F.floor(position)), F.element_at("m", F.ceil(position))
-    return low + (position - F.floor(position)) * (high - low)
+    # an infinity must not be subtracted from itself
+    return F.when(low == high, low).otherwise((F.ceil(position) - position) * low + (position - F.floor(position)) * high)
 
 
 def _whole_table(rows: DataFrame, sizes: DataFrame, probs, bins: int) -> DataFrame:
-    n, lo, hi = sizes.select("n", "lo", "hi").first()
+    n, lo, hi, n_low, n_high, n_nan = sizes.select("n", "lo", "hi", "n_low", "n_high", "n_nan").first()
     positions = [(n - 1) * float(p) for p in probs]
     ranks = {math.floor(p) for p in positions} | {math.ceil(p) for p in positions}
-    value_at: dict[int, float] = {}
-    spans, narrowed = [(lo, hi, 0, sorted(ranks))], False
+    value_at = {r: -math.inf if r < n_low else math.inf if r < n - n_nan else math.nan for r in ranks}
+    inner = sorted(r for r in ranks if n_low <= r < n - n_high - n_nan)
+    spans, narrowed = [(lo, hi, n_low, inner)] if inner else [], False
     while spans:
         for low, high, _, held in spans:
             if low == high:
@@ -158,6 +169,6 @@ def _whole_table(rows: DataFrame, sizes: DataFrame, probs, bins: int) -> DataFra
     result = []
     for p in positions:
         low, high = value_at[math.floor(p)], value_at[math.ceil(p)]
-        result.append(low + (p - math.floor(p)) * (high - low))
+        result.append(low if low == high or p.is_integer() else (math.ceil(p) - p) * low + (p - math.floor(p)) * high)
     schema = ", ".join(f"q{i} double" for i in range(len(probs)))
     return rows.sparkSession.createDataFrame([tuple(result)], schema)

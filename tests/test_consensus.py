@@ -174,3 +174,10 @@ def test_mask_needs_an_oracle(spark, flows):
         consensus.oracle_mask(table, table, 1.0, oracle=False)
     with pytest.raises(ValueError):
         consensus.oracle_mask(table, table, -1.0)
+
+
+def test_short_weight_list_raises(spark):
+    ensemble = spark.createDataFrame([(0, e, 0, 0, 1.0, 1.0) for e in range(3)], "frame_id long, estimator int, y int, x int, u double, v double")
+    with pytest.raises(Exception, match="none for estimator 2"):
+        consensus.weights_list(ensemble, [0.5, 0.5]).collect()
+    assert [r["w"] for r in consensus.weights_list(ensemble, [1.0, 2.0, 3.0]).orderBy("estimator").collect()] == [1.0, 2.0, 3.0]

@@ -65,3 +65,22 @@ def test_rank_all_is_a_global_rank(spark, rng):
     rows = rank_all(df, [F.col("v"), F.col("pair_id")], "r").collect()
     want = {i: r for r, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
     assert {r["pair_id"]: r["r"] for r in rows} == want
+
+
+ODD = [float("nan"), float("inf"), float("-inf")]
+
+
+@pytest.mark.parametrize("specials", [[ODD[0]], [ODD[1], ODD[1]], [ODD[2]], ODD * 3, ODD[:1] * 40])
+@pytest.mark.parametrize(("bound", "bins"), [(3, 2), (3, 8)])
+def test_infinities_and_nan(spark, specials, bound, bins):
+    """Below and above the bound the answers are those of ``percentile``, in few rounds."""
+    for finite in ([float(v) for v in range(20)], []):
+        df = spark.createDataFrame([(k, v) for k in (1, 2) for v in [*finite, *specials, None][k - 1 :]], "k long, v double")
+        names = [f"q{i}" for i in range(len(PROBS))]
+        want = {r["k"]: [r[q] for q in names] for r in quantiles(df, "v", PROBS, ["k"]).collect()}
+        got = {r["k"]: [r[q] for q in names] for r in quantiles(df, "v", PROBS, ["k"], bound, bins).collect()}
+        assert want.keys() == got.keys()
+        for k in want:
+            np.testing.assert_equal(got[k], want[k])
+        one = df.where("k = 1").select("v")
+        np.testing.assert_equal(list(quantiles(one, "v", PROBS, bound=bound, bins=bins).first()), list(quantiles(one, "v", PROBS).first()))

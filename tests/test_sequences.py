@@ -21,7 +21,7 @@ def folded(values, alpha, level=0.0):
 
 @pytest.mark.parametrize("alpha", [0.0, 0.05, 0.5, 0.9, 0.999999, 1.0])
 def test_ema_over_block_borders(spark, rng, alpha):
-    # at 0.999999 a block is 33 steps long and looks back 10
+    # at 0.999999 a block is 33 steps long
     x = rng.normal(size=(2, 150))
     df = spark.createDataFrame([(s, 0, 0, t, float(x[s, t]), -float(x[s, t])) for s in range(2) for t in range(150)], "seq_id long, y int, x int, t int, u double, v double")
     rows = sequences.ema(df, alpha, initial=3.0).orderBy("seq_id", "t").collect()
@@ -30,6 +30,31 @@ def test_ema_over_block_borders(spark, rng, alpha):
         np.testing.assert_allclose(got, folded(x[s], alpha, 3.0), rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize(("alpha", "block"), [(0.9, 4096), (0.9, 7), (0.001, 5), (1 - 1e-12, 9), (1e-6, 4096)])
+def test_ema_equals_the_recursion_over_all_steps(spark, rng, alpha, block):
+    """Nothing is cut off: early values and missing ones count at every later step."""
+    steps = 700
+    lines = {
+        "plain": rng.normal(size=steps).tolist(),
+        "nan": [float("nan"), *rng.normal(size=steps - 1).tolist()],
+        "null": [*rng.normal(size=200).tolist(), None, *rng.normal(size=steps - 201).tolist()],
+        "high": [1.0, float("inf"), *rng.normal(size=steps - 2).tolist()],
+        "both": [float("inf"), 0.0, *rng.normal(size=400).tolist(), float("-inf"), *rng.normal(size=steps - 403).tolist()],
+        "early": [1e200, *[0.0] * (steps - 1)],
+    }
+    df = spark.createDataFrame([(k, t, x) for k, line in lines.items() for t, x in enumerate(line)], "k string, t int, u double")
+    got = {}
+    for r in sequences.ema(df, alpha, ["u"], 2.0, ["k"], block=block).orderBy("t").collect():
+        got.setdefault(r["k"], []).append(r["u"])
+    for k, line in lines.items():
+        want, level = [], 2.0
+        for x in line:
+            level = None if level is None or x is None else alpha * x + (1 - alpha) * level
+            want.append(level)
+        assert [v is None for v in got[k]] == [v is None for v in want]
+        np.testing.assert_allclose([v for v in got[k] if v is not None], [v for v in want if v is not None], rtol=1e-8, atol=1e-150)
+
+
 def test_ema_rejects_bad_alpha(spark):
     with pytest.raises(ValueError):
         sequences.ema(spark.range(1), 1.5)

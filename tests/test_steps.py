@@ -4,7 +4,7 @@ from conftest import grid, pixels
 from pyspark.sql import functions as F
 from test_stencils import jacobi, window
 
-from driftgrid.operators import filling, normalize, pixels as px, smoothing, validation
+from driftgrid.operators import filling, metrics, normalize, pixels as px, resample, smoothing, validation
 from driftgrid import tiles
 from driftgrid.plans import estimators, evaluate, steps
 
@@ -255,3 +255,23 @@ def test_configured_estimation(spark, rng):
         evaluate.estimate_field({"estimator": "odd"}, pairs, (32, 32))
     with pytest.raises(ValueError):
         evaluate.estimate_field({**config, "postprocess": [{"name": "median_smoothing", "radius": 0}]}, pairs, (32, 32))
+
+
+def test_missing_values_stay_missing(spark):
+    """NULL and NaN are not replaced by a bound or by the pixel at a border."""
+    nan = float("nan")
+    image = spark.createDataFrame([(0, y, x, float(10 * y + x)) for y in range(3) for x in range(3)], "frame_id long, y int, x int, i double")
+    field = spark.createDataFrame([(0, y, x, nan if (y, x) == (0, 1) else 0.0, None if (y, x) == (2, 2) else 0.0) for y in range(3) for x in range(3)], "frame_id long, y int, x int, u double, v double")
+    back = {(r["y"], r["x"]): r["i"] for r in resample.warp_backward(image, field, (3, 3)).collect()}
+    assert len(back) == 9 and back[0, 1] is None and back[2, 2] is None and back[1, 1] == 11.0
+    forth = {(r["y"], r["x"]): r["i"] for r in resample.warp_forward(image, field, (3, 3)).collect()}
+    assert len(forth) == 9 and forth[0, 1] == forth[2, 2] == 0.0 and forth[1, 1] == 11.0
+    holes = image.withColumn("i", F.when(F.col("x") == 1, None).when(F.col("x") == 2, nan).otherwise(F.col("i")))
+    for made in (px.background_suppression(holes, 5.0), normalize.stretch_contrast(holes)):
+        found = made.collect()
+        assert all(r["i"] is None for r in found if r["x"] == 1)
+        assert all(r["i"] != r["i"] for r in found if r["x"] == 2)
+    per_frame = metrics.frame_epe(metrics.paired(field, field.fillna(0.0))).first()
+    assert (per_frame["mean_epe"], per_frame["missing"], per_frame["pixels"]) == (0.0, 2, 9)
+    total = metrics.eval_dataset(field, field.fillna(0.0)).first()
+    assert total["missing"] == 2 and total["coverage"] == pytest.approx(7 / 9)
