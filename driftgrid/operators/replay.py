@@ -7,33 +7,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.functions.columns import mix
+from driftgrid.scale import attach, durable
+from driftgrid.sources.tables import rank_all
 
 BUFFER = ("buffer_id",)
 _SALTS = 64
+#: Up to so many rows of one buffer may meet in a task.
+MEET = 1 << 18
 
 
-def _first_n(table: DataFrame, n: int, order, keys) -> DataFrame:
-    """The first ``n`` rows per key under ``order`` (a total order).
+def _ranked(table: DataFrame, order: dict[str, Column], keys) -> DataFrame:
+    """Keys and order columns of every row with its ``_place`` in its buffer (from 0), by a range shuffle of these columns alone."""
+    light = table.select(*keys, *[c.alias(name) for name, c in order.items()])
+    ranks = rank_all(light, [*keys, *order], "_rank")
+    first = ranks.groupBy(*keys).agg(F.min("_rank").alias("_first"))
+    return attach(ranks, first, keys).withColumn("_place", F.col("_rank") - F.col("_first"))
 
-    Each salt keeps its own first ``n``, which contain the key's first ``n``;
-    only those meet, so a hot key never lands whole in one task.
+
+def _first_n(table: DataFrame, n: int, order: dict[str, Column], keys) -> DataFrame:
+    """The first ``n`` rows per key under ``order`` (a total order; ascending).
+
+    For small ``n`` each salt keeps its own first ``n``, which contain the key's
+    first ``n``, and only those meet. Otherwise every key's ``n``-th row is found
+    by ranks, and rows are kept by comparing with it where they are.
     """
-    salted = table.withColumn("_salt", F.pmod(mix("seq", 7), F.lit(_SALTS)))
-    part = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
-    few = salted.withColumn("_rn", part).where(F.col("_rn") <= n).drop("_rn", "_salt")
-    whole = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return few.withColumn("_rn", whole).where(F.col("_rn") <= n).drop("_rn")
+    if n * _SALTS <= MEET:
+        by = list(order.values())
+        salted = table.withColumn("_salt", F.pmod(mix("seq", 7), F.lit(_SALTS)))
+        part = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*by))
+        few = salted.withColumn("_rn", part).where(F.col("_rn") <= n).drop("_rn", "_salt")
+        whole = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+        return few.withColumn("_rn", whole).where(F.col("_rn") <= n).drop("_rn")
+    last = _ranked(table, order, keys).where(F.col("_place") == n - 1).select(*keys, F.struct(*order).alias("_last"))
+    own = F.struct(*[c.alias(name) for name, c in order.items()])
+    return table.join(durable(last), list(keys), "left").where(F.col("_last").isNull() | (own <= F.col("_last"))).drop("_last")
 
 
 def retain(table: DataFrame, capacity: int, keys: Sequence[str] = BUFFER) -> DataFrame:
     """The newest ``capacity`` rows of every buffer."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    return _first_n(table, capacity, [F.desc("seq")], keys)
+    return _first_n(table, capacity, {"_o": -F.col("seq")}, keys)
 
 
 def _smallest(table: DataFrame, keys) -> int:
@@ -46,7 +64,7 @@ def sample(table: DataFrame, n: int, seed: int, keys: Sequence[str] = BUFFER) ->
     held = _smallest(table, keys)
     if n > held:
         raise ValueError(f"requested batch size {n} exceeds buffer size {held}")
-    return _first_n(table, n, [mix("seq", seed), F.col("seq")], keys)
+    return _first_n(table, n, {"_o": mix("seq", seed), "_p": F.col("seq")}, keys)
 
 
 def sample_at(table: DataFrame, positions: int | Sequence[int], keys: Sequence[str] = BUFFER) -> DataFrame:
@@ -55,7 +73,10 @@ def sample_at(table: DataFrame, positions: int | Sequence[int], keys: Sequence[s
     held = _smallest(table, keys)
     if max(wanted) >= held or min(wanted) < 0:
         raise IndexError(f"positions {wanted} out of range for a buffer of length {held}")
-    oldest = _first_n(table, max(wanted) + 1, [F.col("seq")], keys)
+    if (max(wanted) + 1) * _SALTS > MEET:
+        found = _ranked(table, {"seq": F.col("seq")}, keys).where(F.col("_place").isin(wanted))
+        return attach(table, found.select(*keys, "seq", F.col("_place").cast("int").alias("position")), [*keys, "seq"])
+    oldest = _first_n(table, max(wanted) + 1, {"_o": F.col("seq")}, keys)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) - 1
     return oldest.withColumn("position", place).where(F.col("position").isin(wanted))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,37 @@ EMA_OUTPUT = "key long, ts timestamp, seq long, value double, ema double, late l
 EMA_STATE = "ema double, last_ts timestamp, last_seq long, late long"
 
 
+def _in_order(batches: Iterator[pd.DataFrame], last_ts, last_seq: int, late: int) -> tuple[pd.DataFrame, int]:
+    """The new rows of one key in one micro-batch (which the trigger bounds) by ``(ts, seq)``, and the count of late ones.
+
+    Late is what is not after the last row consumed, including repeats; ``late`` of a row counts those up to it.
+    """
+    rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable", ignore_index=True)
+    old = (rows["ts"] < last_ts) | ((rows["ts"] == last_ts) & (rows["seq"] <= last_seq)) | rows["ts"].isna() | rows.duplicated(["ts", "seq"])
+    rows["late"] = late + old.cumsum()
+    return rows[~old].copy(), late + int(old.sum())
+
+
+def _recursion(values: np.ndarray, alpha: float, level: float) -> np.ndarray:
+    """``a*x + (1-a)*previous`` in pieces short enough for the weights to stay within a double."""
+    keep = 1.0 - alpha
+    if keep <= 0.0:
+        return values.copy()
+    size = max(1, min(4096, int(100.0 / max(-math.log10(keep), 1e-9))))
+    out = np.empty(len(values))
+    for i in range(0, len(values), size):
+        x = values[i : i + size]
+        weight = keep ** np.arange(len(x), dtype=float)
+        out[i : i + len(x)] = weight * (keep * level + np.cumsum(alpha * x / weight))
+        level = out[i + len(x) - 1]
+    return out
+
+
+def _expire(state: GroupState, last_ts, expiry_ms: int | None) -> None:
+    if expiry_ms is not None:
+        state.setTimeoutTimestamp(max(int(last_ts.timestamp() * 1000), state.getCurrentWatermarkMs()) + expiry_ms)
+
+
 def ema_stream(
     stream: DataFrame,
     alpha: float,
@@ -43,20 +76,13 @@ def ema_stream(
             state.remove()
             return
         level, last_ts, last_seq, late = state.get if state.exists else (initial, pd.Timestamp.min, -1, 0)
-        # the rows of one key in one micro-batch, which the trigger bounds
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
-        out = []
-        for row in rows.itertuples(index=False):
-            if (row.ts, row.seq) <= (last_ts, last_seq):
-                late += 1
-                continue
-            level = alpha * row.value + (1.0 - alpha) * level
-            last_ts, last_seq = row.ts, row.seq
-            out.append((group_key[0], row.ts, row.seq, row.value, level, late))
-        state.update((level, last_ts, last_seq, late))
-        if expiry_ms is not None:
-            state.setTimeoutTimestamp(max(int(last_ts.timestamp() * 1000), state.getCurrentWatermarkMs()) + expiry_ms)
-        yield pd.DataFrame(out, columns=["key", "ts", "seq", "value", "ema", "late"])
+        rows, late = _in_order(batches, last_ts, last_seq, late)
+        if len(rows):
+            rows["ema"] = _recursion(rows["value"].to_numpy(float), alpha, level)
+            level, last_ts, last_seq = rows["ema"].iloc[-1], rows["ts"].iloc[-1], rows["seq"].iloc[-1]
+        state.update((float(level), last_ts, int(last_seq), late))
+        _expire(state, last_ts, expiry_ms)
+        yield rows.assign(key=group_key[0])[["key", "ts", "seq", "value", "ema", "late"]] if len(rows) else pd.DataFrame(columns=["key", "ts", "seq", "value", "ema", "late"])
 
     rows = stream.select(
         F.col(key).cast("long").alias("key"),
@@ -77,21 +103,44 @@ def running_metrics_stream(stream: DataFrame, value: str, keys=()) -> DataFrame:
     )
 
 
-def history_stream(stream: DataFrame, length: int, key: str, ts: str = "ts", seq: str = "seq", value: str = "value", watermark: str = "1 hour") -> DataFrame:
-    """The last ``length`` values per key after every step, the first value filling the start."""
+HISTORY_OUTPUT = "key long, ts timestamp, seq long, hist array<double>, late long"
+HISTORY_STATE = "hist array<double>, last_ts timestamp, last_seq long, late long"
+
+
+def history_stream(
+    stream: DataFrame,
+    length: int,
+    key: str,
+    ts: str = "ts",
+    seq: str = "seq",
+    value: str = "value",
+    watermark: str = "1 hour",
+    expiry_ms: int | None = None,
+) -> DataFrame:
+    """The last ``length`` values per key after every step, the first value filling the start.
+
+    Late rows are left out and counted, and silent keys expire, as in ``ema_stream``.
+    """
     if length < 1:
         raise ValueError("length must be positive")
     ship(stream.sparkSession)
+    timeout = GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.EventTimeTimeout
 
     def roll(group_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
-        out = []
-        for row in rows.itertuples(index=False):
-            recent = [row.value] * length if recent is None else [*recent[1:], row.value]
-            out.append((group_key[0], row.ts, row.seq, recent))
-        state.update((recent,))
-        yield pd.DataFrame(out, columns=["key", "ts", "seq", "hist"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        recent, last_ts, last_seq, late = state.get if state.exists else (None, pd.Timestamp.min, -1, 0)
+        rows, late = _in_order(batches, last_ts, last_seq, late)
+        if len(rows):
+            values = rows["value"].to_numpy(float)
+            before = [values[0]] * length if recent is None or not len(recent) else list(recent)
+            line = np.concatenate([np.array(before[1:], float), values])
+            rows["hist"] = list(np.lib.stride_tricks.sliding_window_view(line, length))
+            recent, last_ts, last_seq = line[-length:].tolist(), rows["ts"].iloc[-1], rows["seq"].iloc[-1]
+        state.update(([] if recent is None else list(recent), last_ts, int(last_seq), late))
+        _expire(state, last_ts, expiry_ms)
+        yield rows.assign(key=group_key[0])[["key", "ts", "seq", "hist", "late"]] if len(rows) else pd.DataFrame(columns=["key", "ts", "seq", "hist", "late"])
 
     rows = stream.select(
         F.col(key).cast("long").alias("key"),
@@ -99,6 +148,4 @@ def history_stream(stream: DataFrame, length: int, key: str, ts: str = "ts", seq
         F.col(seq).cast("long").alias("seq"),
         F.col(value).cast("double").alias("value"),
     ).withWatermark("ts", watermark)
-    return rows.groupBy("key").applyInPandasWithState(
-        roll, "key long, ts timestamp, seq long, hist array<double>", "hist array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+    return rows.groupBy("key").applyInPandasWithState(roll, HISTORY_OUTPUT, HISTORY_STATE, "append", timeout)

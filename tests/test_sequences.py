@@ -104,6 +104,19 @@ def test_replay_buffer(buffers):
     assert replay.push(kept, buffers.where("seq = 0")).count() == 22
 
 
+def test_replay_by_ranks_equals_replay_by_windows(spark, buffers, monkeypatch):
+    """A buffer that holds nearly all rows, with a capacity close to its size."""
+    everything = lambda df: sorted(map(tuple, df.collect()))
+    want = [everything(replay.retain(buffers, 490)), everything(replay.sample(buffers.where("buffer_id = 1"), 300, 5)), everything(replay.sample_at(buffers.where("buffer_id = 1"), [0, 7, 499]))]
+    monkeypatch.setattr(replay, "MEET", 1)
+    got = [everything(replay.retain(buffers, 490)), everything(replay.sample(buffers.where("buffer_id = 1"), 300, 5))]
+    assert got == want[:2] and len(got[0]) == 502
+    at = replay.sample_at(buffers.where("buffer_id = 1"), [0, 7, 499]).select("buffer_id", "seq", "reward", "position")
+    assert everything(at) == want[2]
+    plan = replay.retain(buffers, 490)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+
+
 def test_replay_errors(buffers):
     kept = replay.retain(buffers, 10)
     with pytest.raises(ValueError):
@@ -227,8 +240,17 @@ def test_ema_stream_over_batches_with_late_rows(spark, tmp_path, rng):
 
 def test_history_stream(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    for rows in ([(1, 0, 5.0), (1, 1, 6.0)], [(1, 2, 7.0), (1, 3, 8.0)]):
+    for rows in ([(1, 0, 5.0), (1, 1, 6.0)], [(1, 2, 7.0), (1, 0, 99.0), (1, 3, 8.0), (1, 3, 98.0), (2, 1, 4.0)]):
         batch(spark, source, rows)
-        drain(streams.history_stream(spark.readStream.schema(SCHEMA).parquet(source), 3, "user"), target)
-    got = spark.read.schema("key long, ts timestamp, seq long, hist array<double>").parquet(target).orderBy("seq").collect()
-    assert [r["hist"] for r in got] == [[5, 5, 5], [5, 5, 6], [5, 6, 7], [6, 7, 8]]
+        drain(streams.history_stream(spark.readStream.schema(SCHEMA).parquet(source), 3, "user", watermark="1 day"), target)
+    got = spark.read.schema(streams.HISTORY_OUTPUT).parquet(target).orderBy("key", "seq").collect()
+    assert [r["hist"] for r in got] == [[5, 5, 5], [5, 5, 6], [5, 6, 7], [6, 7, 8], [4, 4, 4]]
+    assert [r["late"] for r in got] == [0, 0, 1, 1, 0]
+
+
+@pytest.mark.parametrize("alpha", [0.0, 1e-12, 0.3, 0.999999, 1.0])
+def test_stream_recursion_in_pieces(rng, alpha):
+    x = rng.normal(size=9000)
+    np.testing.assert_allclose(streams._recursion(x, alpha, 2.0), folded(x, alpha, 2.0), rtol=1e-9, atol=1e-12)
+    x[5000] = np.nan
+    assert np.isnan(streams._recursion(x, alpha, 2.0)[5000 + (alpha == 1.0) * 4000 :]).all() or alpha == 1.0
