@@ -949,7 +949,7 @@ def _(s, d):
 
 @query(
     "until_any_done",
-    sql("sequence8", "SELECT seq_id, count(*) AS n FROM sequence8 WHERE t <= 9 GROUP BY seq_id"),
+    sql("sequence8", "SELECT seq_id, count(*) AS n FROM sequence8 s WHERE t <= coalesce((SELECT min(t) FROM sequence8 d WHERE d.done AND d.seq_id = s.seq_id), t) GROUP BY seq_id"),
 )
 def _(s, d):
     return sequences.until_any_done(A.sequence8(s, d), ["seq_id"]).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
