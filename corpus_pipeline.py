@@ -22,6 +22,8 @@ from driftgrid.scale import durable
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its best language is less likely than this.
 LEAST_SCORE = 0.5
+#: The last stage runs in executors whose heap the stages before have filled, so its workers remember less.
+CACHE = 0.4
 
 
 def _row_key():
@@ -56,7 +58,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"]).select(
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"], cache=CACHE).select(
         "doc_id",
         "lang",
         "source",

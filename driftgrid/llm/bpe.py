@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import codecs
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -54,7 +55,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces of text; its states appear as they are needed."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: float = 1.0):
+        self.max_pieces, self.max_states, self.max_pairs = (int(n * cache) for n in (MAX_PIECES, MAX_STATES, MAX_PAIRS))
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
@@ -77,17 +79,34 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._number((-1, (((), 0),)))
-
-    def _number(self, state: tuple) -> int:
+        self.numbers: dict[bytes, int] = {}
+        self.states: list[bytes] = []
+        #: (state, byte) -> the next state, or that and the tokens put out
+        self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
+        self._number(-1, [((), 0)])
+
+    def _number(self, context: int, hypotheses: list[tuple[tuple[int, ...], int]]) -> int:
+        """The number of a state; its hypotheses are packed, as there are many states."""
+        flat = array("i", [context])
+        for pending, node in hypotheses:
+            flat.append(node)
+            flat.append(len(pending))
+            flat.extend(pending)
+        state = flat.tobytes()
         if state not in self.numbers:
             self.numbers[state] = len(self.states)
             self.states.append(state)
         return self.numbers[state]
 
+    def _hypotheses(self, state: int) -> tuple[int, list[tuple[tuple[int, ...], int]]]:
+        flat = array("i", self.states[state])
+        found, at = [], 1
+        while at < len(flat):
+            end = at + 2 + flat[at + 1]
+            found.append((tuple(flat[at + 2 : end]), flat[at]))
+            at = end
+        return flat[0], found
+
     def merge(self, data: bytes) -> tuple[int, ...]:
         """The definition: join the neighbours of least rank, leftmost first."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -122,7 +141,7 @@ class Transducer:
         across their border comes before the merges inside them."""
         if (key := (last, token)) in self.pairs:
             return self.pairs[key]
-        if len(self.pairs) >= MAX_PAIRS:
+        if len(self.pairs) >= self.max_pairs:
             self.pairs.clear()
         right, left = self._edge(token), self._edge(last) if last >= 0 else None
         fits = right is not None
@@ -143,18 +162,17 @@ class Transducer:
         self.pairs[key] = fits
         return fits
 
-    def _move(self, state: int, b: int) -> tuple[int, tuple[int, ...]]:
-        context, hypotheses = self.states[state]
+    def _move(self, state: int, b: int) -> int | tuple[int, tuple[int, ...]]:
+        context, hypotheses = self._hypotheses(state)
         alive, full = [], None
         for pending, node in hypotheses:
             node = self.child.get(node << 8 | b)
             if node is None:
                 continue
-            last = pending[-1] if pending else context
             if self.inner[node]:
                 alive.append((pending, node))
             token = self.ends[node]
-            if token >= 0 and self._fits(last, token):
+            if token >= 0 and self._fits(pending[-1] if pending else context, token):
                 if full is not None:
                     raise ValueError("the ranks allow two encodings of a prefix")
                 full = (*pending, token)
@@ -165,27 +183,32 @@ class Transducer:
         while all(len(p) > common and p[common] == full[common] for p, _ in alive):
             common += 1
         out = full[:common]
-        rest = tuple(sorted([(p[common:], n) for p, n in alive])) if common else tuple(sorted(alive))
+        rest = sorted([(p[common:], n) for p, n in alive] if common else alive)
         # only a hypothesis without pending tokens looks at what went before
-        after = (-2 if rest[0][0] else out[-1] if out else context, rest)
-        move = self.moves[state << 8 | b] = self._number(after), out
+        after = self._number(-2 if rest[0][0] else out[-1] if out else context, rest)
+        move = self.moves[state << 8 | b] = (after, out) if out else after
         return move
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8")
         if (whole := self.ranks.get(data)) is not None:
             return (whole,)
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.max_states:
             self._forget()
         moves, state, out = self.moves, 0, []
         try:
             for b in data:
-                state, tokens = moves.get(state << 8 | b) or self._move(state, b)
-                if tokens:
+                move = moves.get(state << 8 | b)
+                if move is None:
+                    move = self._move(state, b)
+                if move.__class__ is int:
+                    state = move
+                else:
+                    state, tokens = move
                     out += tokens
         except ValueError:  # ranks without the property that the automaton rests on
             return self.merge(data)
-        return (*out, *next(p for p, node in self.states[state][1] if node == 0))
+        return (*out, *next(p for p, node in self._hypotheses(state)[1] if node == 0))
 
     def encode(self, text: str) -> Iterator[int]:
         """The ids of a text. No piece crosses from one run of ``_RUNS`` into the next."""
@@ -206,7 +229,7 @@ class _Pieces(dict):
         words = self.transducer.words
         ids = tuple(chain.from_iterable(map(words.__getitem__, self.transducer.split(self.lead + run))))
         if len(run) <= MAX_PIECE_CHARS:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.transducer.max_pieces:
                 self.clear()
             self[run] = ids
         return ids
@@ -222,7 +245,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         ids = self.transducer.encode_piece(word)
         if len(word) <= MAX_PIECE_CHARS:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.transducer.max_pieces:
                 self.clear()
             self[word] = ids
         return ids
@@ -276,10 +299,10 @@ class _Tools:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.made = ranks, {}
 
-    def transducer(self, pattern: str) -> Transducer:
-        if pattern not in self.made:
-            self.made[pattern] = Transducer(self.ranks, pattern)
-        return self.made[pattern]
+    def transducer(self, pattern: str, cache: float) -> Transducer:
+        if (pattern, cache) not in self.made:
+            self.made[pattern, cache] = Transducer(self.ranks, pattern, cache)
+        return self.made[pattern, cache]
 
     def decoder(self) -> Decoder:
         if None not in self.made:
@@ -297,17 +320,18 @@ def _schema(df: DataFrame, keep: list[str], name: str, kind: T.DataType) -> T.St
     return T.StructType([*(df.schema[c] for c in keep), T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] = ("doc_id",), out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] = ("doc_id",), out: str = "ids", cache: float = 1.0) -> DataFrame:
     """``keep`` and the ids of the whole text as an array of ints, by the ranks in the file ``path``.
 
-    The ranks (one file of a vocabulary, about 1 MB) are broadcast. One pass, no shuffle.
+    The ranks (one file of a vocabulary, about 1 MB) are broadcast. One pass, no shuffle. ``cache`` scales the
+    bounds on what a worker remembers: less memory against more time, with the same ids.
     """
     spark, keep = df.sparkSession, list(keep)
     ship(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(path))
 
     rows = _last(df, keep, F.coalesce(F.col(text), F.lit("")))
-    run = lambda batches: _encoded(batches, _tools(path, ranks).transducer(pattern), [*keep, out])
+    run = lambda batches: _encoded(batches, _tools(path, ranks).transducer(pattern, cache), [*keep, out])
     return rows.mapInArrow(run, _schema(df, keep, out, T.ArrayType(T.IntegerType())))
 
 
@@ -354,14 +378,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids", keep: list[str] = ("doc_i
     return rows.mapInArrow(run, _schema(df, keep, out, T.StringType()))
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] = ("doc_id",), cache: float = 1.0) -> DataFrame:
     """``keep``, ``ids`` and ``decoded``: ``encode`` and then ``decode`` of its ids, in one Python process."""
     spark, keep = df.sparkSession, list(keep)
     ship(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        transducer, decoder = _tools(path, ranks).transducer(pattern), _tools(path, ranks).decoder()
+        transducer, decoder = _tools(path, ranks).transducer(pattern, cache), _tools(path, ranks).decoder()
         for batch in _encoded(batches, transducer, [*keep, "ids"]):
             again = batch.select(["ids"])
             (texts,) = pa.Table.from_batches(_decoded([again], decoder, ["decoded"])).combine_chunks().to_batches() if len(again) else ()
