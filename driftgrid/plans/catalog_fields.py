@@ -900,7 +900,7 @@ def _(s, d):
 
 @query(
     "consecutive_pairs",
-    sql("sequence8", "SELECT seq_id, t, frame_id - 1 AS frame_prev, frame_id AS frame_curr FROM sequence8 WHERE t > 0 AND y = 0 AND x = 0"),
+    sql("sequence8", "SELECT * FROM (SELECT seq_id, t, lag(frame_id) OVER (PARTITION BY seq_id ORDER BY t) AS frame_prev, frame_id AS frame_curr FROM sequence8 WHERE y = 0 AND x = 0) WHERE frame_prev IS NOT NULL"),
 )
 def _(s, d):
     frames = A.sequence8(s, d).where("y = 0 AND x = 0").select("seq_id", "t", "frame_id")

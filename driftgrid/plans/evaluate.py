@@ -61,15 +61,21 @@ def estimate_sequence(
     before (the estimator takes ``start``), and an average over time may stand
     anywhere in the chain, since it reads the field the whole chain produced.
     That dependence allows one time step after the other; each handles all
-    sequences together.
+    sequences together and reads only its own step's rows. Without it the steps
+    are estimated all at once.
     """
     image_steps, field_steps, params = _checked(config)
-    keys = (key,)
     prepared, after = run_chain("image", frames, image_steps, Context(shape, (key, time), mask_mode))
-    prepared = durable(prepared.select(key, time, *PIXEL, "i"))
+    prepared = durable(prepared.select(key, *PIXEL, "i", F.col(time).cast("int").alias(time)), by=time)
     last = prepared.agg(F.max(time)).first()[0]
     if not last:
         raise ValueError("a sequence needs at least two frames")
+    if not propagate and all(step["name"] != "temporal_smoothing_ema" for step in field_steps):
+        before = prepared.select(key, (F.col(time) + 1).alias(time), *PIXEL, F.col("i").alias("prev"))
+        pairs = prepared.withColumnRenamed("i", "curr").join(before, [key, time, *PIXEL])
+        field = estimate(config["estimator"], pairs, after.shape, keys=(key, time), **params)
+        field, _ = run_chain("field", field, field_steps, Context(after.shape, (key, time), mask_mode))
+        return field.select(key, *PIXEL, "u", "v", time)
 
     def side(t: int, name: str) -> DataFrame:
         return prepared.where(F.col(time) == t).select(key, *PIXEL, F.col("i").alias(name))
@@ -79,8 +85,8 @@ def estimate_sequence(
     for t in range(1, last + 1):
         pairs = side(t - 1, "prev").join(side(t, "curr"), [key, *PIXEL])
         begun = {"start": previous} if propagate and t > 1 else {}
-        field = estimate(config["estimator"], pairs, after.shape, keys=keys, **params, **begun)
-        context = Context(after.shape, keys, mask_mode, previous=previous)
+        field = estimate(config["estimator"], pairs, after.shape, keys=(key,), **params, **begun)
+        context = Context(after.shape, (key,), mask_mode, previous=previous)
         field, _ = run_chain("field", field, field_steps, context)
         previous = durable(field.select(key, *PIXEL, "u", "v"))
         fields.append(previous.withColumn(time, F.lit(t)))
