@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as contract
+from driftgrid.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -55,4 +55,5 @@ def test_entry(spark):
 
 
 def test_oracle_keys_are_queries():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES) <= set(contract.queries())
+    assert set(ORACLE) <= set(contract.oracle_sql()) <= set(contract.queries())
