@@ -23,7 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its best language is less likely than this.
 LEAST_SCORE = 0.5
 #: The last stage runs in executors whose heap the stages before have filled, so its workers remember less.
-CACHE = 0.4
+CACHE = 0.25
 
 
 def _row_key():

@@ -35,7 +35,7 @@ from driftgrid.deploy import ship
 from driftgrid.llm.worker import held
 
 #: Bounds of the caches in a Python worker; a full cache is emptied.
-MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_PIECE_CHARS = 150_000, 250_000, 300_000, 64
+MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_PIECE_CHARS = 250_000, 400_000, 450_000, 64
 NEVER = 1 << 60
 #: A result batch is handed over once it holds so many ids (or decoded characters).
 BATCH_IDS = 1 << 20
