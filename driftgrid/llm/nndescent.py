@@ -7,12 +7,14 @@ those that name it, to a join in which they are compared with each other, and
 better neighbours replace worse ones until few change. Neighbours at or above
 the threshold are links; their components are found.
 
-Neighbour lists are bounded and the lists of dense groups are saturated. So the
-lists are enlarged at the end: within each component all nodes are compared,
-block by block, and every link is counted. A link is missed only if nothing
-joins its ends' components. An audit of ``AUDIT`` nodes against all rows of
+Neighbour lists are bounded and the lists of dense groups are saturated, so the
+graph alone may miss links. An audit of ``AUDIT`` nodes against all rows of
 their label measures that; below ``recall`` the search goes on with twice the
-codes and longer lists.
+codes and longer lists. Whatever it reached, an exact check follows: the nodes
+of a label are put into blocks, large components apart, and every two blocks
+are compared, unless the angle between their centres rules a link out. Links
+and components come from the exact check alone; the graph only makes the
+blocks tight, so that more pairs of blocks are left out.
 
 Defined cases: null, zero, empty and non-finite vectors and those without a
 label link with nothing; vectors of different lengths never link; a null id is
@@ -22,6 +24,8 @@ other. Other columns are not carried.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -33,8 +37,10 @@ from driftgrid.llm.components import components
 from driftgrid.llm.vectors import matrix, unit, usable
 from driftgrid.scale import durable
 
-#: Nodes that a code should gather, at most in one group; nodes of a block inside a component.
-GROUP, MOST, BLOCK = 256, 512, 512
+#: Nodes that a code should gather, at most in one group.
+GROUP, MOST = 256, 512
+#: Nodes of a block of the exact check; parts in which the pairs of blocks of a label are formed.
+BLOCK, SALTS = 2048, 16
 CODES, NEIGHBOURS, ROUNDS, AUDIT = 6, 8, 4, 256
 EDGES = "u long, v long, sim double"
 
@@ -123,33 +129,99 @@ def _descend(nodes: DataFrame, graph: DataFrame, keep: int) -> DataFrame:
     return better.join(graph, ["u", "v"], "left_anti")
 
 
-def _count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """``u`` and ``n``: the weight of its links with other nodes, exact within each component."""
-    rows = durable(nodes.join(roots, nodes.u == roots.node).select("root", "u", "vec", "weight"))
-    large = durable(rows.groupBy("root").agg(F.count("*").alias("n_")).where(F.col("n_") > BLOCK))
-    blocks = F.coalesce(F.ceil(F.col("n_") / BLOCK), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("u"), blocks).cast("int")
-    cell = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(i, own).alias("a"), F.greatest(i, own).alias("b"))))
-    dealt = rows.join(large, "root", "left").select("root", cell.alias("cell"), F.struct("u", "weight", own.alias("own"), "vec").alias("row"))
-    groups = dealt.groupBy("root", "cell").agg(F.collect_list("row").alias("rows"))
+def _blocked(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``id``, ``label``, ``size`` and ``rows``: every node in one block of at most about ``BLOCK`` nodes.
+
+    A component of many nodes has blocks of its own, the other nodes of a label meet by a short sign code.
+    """
+    less = F.greatest(F.col("bits") - math.ceil(math.log2(BLOCK / GROUP)), F.lit(0)).cast("int")
+    codes = _coded(nodes.withColumn("bits", less), 0, 1).select("u", "code")
+    large = durable(roots.groupBy("root").agg(F.count("*").alias("n_")).where(F.col("n_") >= GROUP).select("root"))
+    own = roots.join(large, "root").select(F.col("node").alias("u"), "root")
+    place = F.when(F.col("root").isNotNull(), F.xxhash64(F.lit("component"), "root")).otherwise(F.xxhash64(F.lit("code"), "code"))
+    placed = durable(nodes.join(codes, "u").join(own, "u", "left").select("label", "size", place.alias("place"), "u", "weight", "vec"))
+    keys = ["label", "size", "place"]
+    crowded = durable(placed.groupBy(*keys).agg(F.count("*").alias("n_")).where(F.col("n_") > BLOCK))
+    part = F.pmod(F.xxhash64("u"), F.coalesce(F.ceil(F.col("n_") / BLOCK), F.lit(1)))
+    groups = placed.join(crowded, keys, "left").withColumn("part", part).groupBy(*keys, "part").agg(F.collect_list(F.struct("u", "weight", "vec")).alias("rows"))
+    return durable(groups.select(F.monotonically_increasing_id().alias("id"), "label", "size", "rows"))
+
+
+def _block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
+    """``a`` and ``b``: the pairs of blocks of one label that may hold a link.
+
+    By the triangle inequality of angles, blocks whose centres are further apart than both radii and the link's angle hold none.
+    """
+
+    def run(batches):
+        for batch in batches:
+            centres, radii = [], []
+            for row in range(batch.num_rows):
+                rows = unit(matrix(batch.column(3).slice(row, 1).flatten().field("vec")))
+                centre = rows.sum(axis=0)
+                centre = centre / np.linalg.norm(centre) if centre.any() else rows[0]
+                centres.append(centre)
+                radii.append(float(np.arccos(np.clip(rows @ centre, -1, 1)).max()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(centres, pa.list_(pa.float64())), pa.array(radii)], ["id", "label", "size", "centre", "radius"])
+
+    label = blocks.schema["label"].dataType.simpleString()
+    balls = durable(blocks.mapInArrow(run, f"id long, label {label}, size int, centre array<double>, radius double"))
+    a = balls.select("label", "size", F.col("id").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    b = balls.select("label", "size", F.col("id").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    cosine = F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    angle = F.acos(F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))
+    # the slack covers the rounding of the angles
+    near = (F.col("a") == F.col("b")) | (angle <= F.col("ra") + F.col("rb") + float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6)
+    return durable(a.join(b, ["label", "size", "salt"]).where(F.col("a") <= F.col("b")).where(near).select("a", "b"))
+
+
+def _forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of a symmetric matrix of links: two lists of indices."""
+    a, b, open_ = [], [], linked.any(axis=1)
+    for start in np.flatnonzero(open_).tolist():
+        if not open_[start]:
+            continue
+        open_[start], stack = False, [start]
+        while stack:
+            i = stack.pop()
+            new = np.flatnonzero(linked[i] & open_).tolist()
+            open_[new] = False
+            a += [i] * len(new)
+            b += new
+            stack += new
+    return a, b
+
+
+def _exact_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Every link of every label: rows ``u, v`` of spanning forests, and rows ``u, n`` that add up to the weight of a node's links."""
+    blocks = _blocked(nodes, roots)
+    pairs = _block_pairs(blocks, threshold)
+    sides = durable(pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("id")))
+    cells = blocks.join(sides, "id").groupBy("a", "b").agg(F.collect_list(F.struct("id", "rows")).alias("sides"))
 
     def run(batches):
         for batch in batches:
-            out = []
             for row in range(batch.num_rows):
-                a, b = batch.column(0)[row]["a"].as_py(), batch.column(0)[row]["b"].as_py()
-                own = batch.column(1).slice(row, 1).flatten()
-                ids, weight, side = own.field("u").to_numpy(), own.field("weight").to_numpy(), own.field("own").to_numpy()
-                rows_ = unit(matrix(own.field("vec")))
-                linked = rows_ @ rows_.T >= threshold
+                sides = batch.column(0).slice(row, 1).flatten()
+                lists = sides.field("rows")
+                own = lists.flatten()
+                ids, weight = own.field("u").to_numpy(), own.field("weight").to_numpy()
+                rows = unit(matrix(own.field("vec")))
+                linked = rows @ rows.T >= threshold
                 np.fill_diagonal(linked, False)
-                if a != b:  # links within a block are counted in its own cell
+                if len(sides) > 1:  # links within a block are counted in its own cell
+                    side = np.repeat(np.arange(len(sides)), lists.value_lengths().to_numpy())
                     linked &= side[:, None] != side[None, :]
-                out.append((ids, linked @ weight))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["u", "n"])
+                some = np.flatnonzero(linked.any(axis=1))
+                if len(some):
+                    linked = linked[np.ix_(some, some)]
+                    ids, weight = ids[some], weight[some]
+                    a, b = _forest(linked)
+                    none = pa.nulls(len(ids), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), none, pa.array(linked @ weight)], ["u", "v", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(np.zeros(len(a), np.int64))], ["u", "v", "n"])
 
-    return groups.select("cell", "rows").mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
+    return durable(cells.select("sides").mapInArrow(run, "u long, v long, n long"))
 
 
 def _audit(nodes: DataFrame, roots: DataFrame, threshold: float) -> float:
@@ -204,7 +276,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, recall: float = 0.99
         if _audit(nodes, roots, threshold) >= recall or keep >= 8 * NEIGHBOURS:
             break
         first, codes, keep = first + codes, 2 * codes, 2 * keep
-    counted = _count_links(nodes, roots, threshold)
+    links = _exact_links(nodes, roots, threshold)
+    roots, counted = durable(components(links, "u", "v")), links.groupBy("u").agg(F.sum("n").alias("n"))
     known = nodes.join(counted, "u", "left").join(roots, nodes.u == roots.node, "left").select("label", "vec", "u", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "u").alias("component_id"))
     out = rows.withColumn("ok_", linkable).join(known.withColumn("ok_", F.lit(True)), ["ok_", "label", "vec"], "left")
     component = F.coalesce("component_id", "vec_id")

@@ -181,6 +181,22 @@ def test_nn_descent(spark, monkeypatch):
     assert all((r.n_links, r.component_id, r.kept) == (0, r.vec_id, r.vec_id is not None) for r in got if r.vec_id is None or 900 <= r.vec_id <= 950)
 
 
+@pytest.mark.parametrize("block", [40, 2048])
+def test_links_between_saturated_groups(spark, monkeypatch, block):
+    """Two groups tighter inside than between: the neighbour lists never hold a link from one to the other."""
+    monkeypatch.setattr(nndescent, "BLOCK", block)
+    rng, size = np.random.default_rng(12), 32
+    base, away = np.linalg.qr(rng.standard_normal((size, 2)))[0].T
+    other = 0.985 * base + np.sqrt(1 - 0.985**2) * away
+    rows = np.concatenate([c + rng.standard_normal((90, size)) * 0.0005 for c in (base, other)] + [rng.standard_normal((60, size))])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert want[:180].min() == 179 and want[180:].max() == 0
+    got = {r.vec_id: r for r in nndescent.near_duplicates(table(spark, rows, np.ones(240))).collect()}
+    assert [got[i].n_links for i in range(240)] == want.tolist()
+    assert [got[i].component_id for i in range(240)] == [0] * 180 + list(range(180, 240))
+
+
 def test_vectors_empty(spark):
     none = table(spark, [], []).limit(0)
     assert nndescent.near_duplicates(none).count() == 0
