@@ -52,15 +52,25 @@ HARD, SOFT, MAIN, NAMED, LINKS, LENGTH, HEADING, SENTENCE, SHORT, RIGHTS, BASE =
 NEAR, SIBLING = 0.8, 1.0
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|iframe|textarea|svg|math)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
+    r"|<(script|style|noscript|template|title|iframe|textarea|svg|math)(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]*+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether the attribute ``hidden`` is set or the style shows nothing; the word in a value hides nothing."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    return any(name.lower() == "hidden" or name.lower() == "style" and _UNSEEN.search(a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attributes))
+
+
 class Element:
     __slots__ = ("tag", "number", "depth", "state", "parent", "silent", "link")
 
@@ -174,7 +184,7 @@ def blocks(page: str) -> list[Block]:
         number += 1
         if not attributes.endswith("/") or tag in BLOCKS:
             opened[tag] += 1
-            top = Element(tag, number, top, names, bool(attributes) and _HIDDEN.search(attributes) is not None)
+            top = Element(tag, number, top, names, bool(attributes) and _hidden(attributes))
     if at < len(page) and not top.silent:
         pieces.append(page[at:])
     flush()

@@ -347,6 +347,18 @@ def test_extract():
         assert isinstance(html_cut.extract(bad), str)
 
 
+@pytest.mark.parametrize("mark", ['<svg viewBox="0 0 1 1"/>', "<svg/>", "<math />", '<svg data-x="a>b"/>', "<svg-icon></svg-icon>", "<title-bar></title-bar>", "<template-x></template-x>"])
+def test_extract_goes_on_after_small_elements(mark):
+    said = "A first paragraph that is long enough to be one, and it ends."
+    assert html_cut.extract(f"<article><p>{said}{mark}</p><p>{said}</p></article>") == f"{said}\n{said}"
+
+
+@pytest.mark.parametrize("attribute, shown", [('data-title="The hidden cost of X"', True), ('class="w-64 hidden md:block"', True), ("title='a hidden = b'", True), ('data-css="display:none"', True), ("hidden", False), ("id=a HIDDEN=''", False), ("hidden/", False), ('class="x"hidden', False), ('style="color:red; display : none"', False), ("style=display:none", False)])
+def test_extract_hides_by_attribute(attribute, shown):
+    said = "A first paragraph that is long enough to be one, and it ends."
+    assert html_cut.extract(f"<article {attribute}><p>{said}</p></article>") == (said if shown else "")
+
+
 def test_page_query(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = QUERIES["op10_html"](spark, SF).collect()
