@@ -22,15 +22,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.deploy import ship
 from driftgrid.llm.worker import held
+from driftgrid.scale import durable
 
 ORDER = 4
-#: The sample: about so many documents a language, of at most so many characters; the most frequent languages.
-PER_LANG, SAMPLE_CHARS, LANGS = 250, 8000, 64
+#: The sample: at most so many documents of every language, of each at most so many characters from its start.
+PER_LANG, SAMPLE_CHARS = 250, 8000
+#: Languages up to which the bounds of a worker hold; with more they shrink, so that its memory does not grow.
+LANGS = 64
 #: Words remembered by a Python worker; words scored at a time; characters of texts taken together.
 MAX_WORDS, PART_WORDS, PART_CHARS = 150_000, 20_000, 1 << 21
 
@@ -118,6 +121,11 @@ class Model:
         return np.add.reduceat(cost, begins, axis=0, dtype=np.float64)
 
 
+def fitting(bound: int, model: Model) -> int:
+    """``bound``, less in proportion if there are more than ``LANGS`` languages."""
+    return max(1, bound * LANGS // max(LANGS, len(model.langs)))
+
+
 class _Words(dict):
     """Word -> row of ``bits``; rows of new words are filled by ``settle``."""
 
@@ -131,11 +139,11 @@ class _Words(dict):
         return row
 
     def settle(self) -> None:
-        at = len(self) - len(self.new)
+        at, step = len(self) - len(self.new), fitting(PART_WORDS, self.model)
         if len(self) > len(self.bits):
             self.bits = np.concatenate([self.bits[:at], np.zeros((len(self) * 2 - at, self.bits.shape[1]))])
-        for i in range(0, len(self.new), PART_WORDS):
-            part = [w.encode() for w in self.new[i : i + PART_WORDS]]
+        for i in range(0, len(self.new), step):
+            part = [w.encode() for w in self.new[i : i + step]]
             self.bits[at + i : at + i + len(part)] = self.model.code_lengths(part)
         self.new.clear()
 
@@ -151,23 +159,40 @@ def score(texts: list[str], words: _Words) -> np.ndarray:
     for i, own in enumerate(ids):
         if len(own):
             total[i] = words.bits[own].sum(axis=0)
-    if len(words) > MAX_WORDS:
+    if len(words) > fitting(MAX_WORDS, words.model):
         words.clear()
     return total
 
 
+def sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``lang`` and ``text`` of at most ``PER_LANG`` rows of every language, chosen by a hash of the row; only the start of a long text."""
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(text).rlike(r"\S"))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(id_col).alias("id_"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), id_col, text).alias("hash_"))
+    often = durable(rows.groupBy("lang").agg(F.count("*").alias("n_")))
+    # about twice the bound passes the first draw, the window keeps the bound itself
+    drawn = rows.join(often, "lang").where(F.pmod("hash_", F.lit(1 << 40)) / (1 << 40) < 2 * PER_LANG / F.col("n_"))
+    begun = drawn.withColumn("text", F.substring(F.regexp_replace("text", r"^\s+", ""), 1, SAMPLE_CHARS))
+    order = Window.partitionBy("lang").orderBy("hash_", "id_", "text")
+    return begun.withColumn("at_", F.row_number().over(order)).where(F.col("at_") <= PER_LANG).select("lang", "text")
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model from a sample of the rows that are not held out: its bound is ``PER_LANG``, ``SAMPLE_CHARS`` and ``LANGS``."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    found = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGS).collect()
-    if not found:
-        return Model({})
-    share = F.create_map(*(x for name, n in found for x in (F.lit(name), F.lit(min(1.0, PER_LANG / n)))))
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20)
-    words: dict[str, Counter] = {name: Counter() for name, _ in found}
-    for name, sample in labelled.where(drawn & (F.length(text) <= SAMPLE_CHARS)).select(lang, text).collect():
-        words[name].update(w.encode() for w in sample.lower().split())
-    return Model({name: w for name, w in words.items() if w})
+    """A model of every language from a ``sample`` of the rows that are not held out."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found: Counter = Counter()
+            for name, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found.update((name, w.encode()) for w in own.as_py().lower().split())
+            names, kinds = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.binary()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
+
+    words: dict[str, dict[bytes, int]] = {}
+    counted = sample(docs, id_col, text, lang).mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    for name, word, n in counted.collect():
+        words.setdefault(name, {})[bytes(word)] = n
+    return Model(words)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None, carry: str | None = None) -> DataFrame:

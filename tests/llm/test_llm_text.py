@@ -282,6 +282,21 @@ def test_language_query(spark):
     assert (got.lang_pred == docs.lang.reindex(got.index))[got.held_out].mean() > 0.97
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than were once learned, one of long texts only, one whose rows share their number."""
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(ids[3 * k + j], f"{chr(0x4E00 + k)}{chr(0x4E00 + k)} word " * 5, f"l{k:02d}") for k in range(70) for j in range(3)]
+    rows += [(ids[300 + j], "langertext wort " * 1000, "long") for j in range(2)] + [(ids[400], f"same number {j}", "same") for j in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(ppm, "PER_LANG", 7)
+    taken = ppm.sample(docs).groupBy("lang").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("chars")).collect()
+    assert {r.lang: r.n for r in taken} == {f"l{k:02d}": 3 for k in range(70)} | {"long": 2, "same": 7}
+    assert max(r.chars for r in taken) == ppm.SAMPLE_CHARS
+    model = ppm.learn(docs)
+    assert model.langs == sorted({r[2] for r in rows})
+    assert {(r.lang, r.lang_pred) for r in ppm.identify(docs, model, keep={"lang": F.col("lang")}).collect()} == {(x, x) for x in model.langs}
+
+
 def test_language_odd_rows(odd):
     model = ppm.learn(odd)
     got = {}
