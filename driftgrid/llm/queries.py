@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftgrid.llm import bpe, chat, hilbert, html_cut, mixing, nndescent, ppm, simhash, url_rules, warc
+from driftgrid.llm import bpe, chat, hilbert, html_cut, mixing, nndescent, packing, ppm, simhash, url_rules, warc
 from driftgrid.llm.registry import ORACLE, QUERIES, query
 from driftgrid.scale import shared_folder
 
@@ -192,3 +192,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_hilbert")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
