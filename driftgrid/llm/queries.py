@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftgrid.llm import bpe, chat, hilbert, html_cut, mixing, nndescent, packing, ppm, simhash, url_rules, warc
+from driftgrid.llm import bpe, chat, hilbert, html_cut, merkle, mixing, nndescent, packing, ppm, simhash, url_rules, warc
 from driftgrid.llm.registry import ORACLE, QUERIES, query
 from driftgrid.scale import shared_folder
 
@@ -198,3 +198,65 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+#: The CRC-32 of an ASCII string in plain SQL, bit by bit.
+def _crc_sql(text: str) -> str:
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c0, b), range(8)::BIGINT[]), lambda c, k: {bit})"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ord(substr({text}, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c0, b: {byte}), 4294967295)"
+
+
+_LEAF_SQL = "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+_TAMPERED_SQL = _LEAF_SQL.replace("text::VARCHAR", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+OP12_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, {_LEAF_SQL} AS leaf,
+    CASE WHEN ({_crc_sql("doc_id::VARCHAR")}) % 5 = 0 THEN {_TAMPERED_SQL} ELSE {_LEAF_SQL} END AS shown FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS width FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS lev, place AS pos, leaf AS node, width FROM placed
+  UNION ALL
+  SELECT tree, lev + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (any_value(width) + 15) // 16 FROM nodes WHERE width > 1 GROUP BY tree, lev, pos // 16),
+subroots AS (SELECT tree, node AS subroot, lev AS height, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS width FROM nodes WHERE width = 1),
+tops AS (
+  SELECT '^' AS tree, 0 AS lev, place AS pos, subroot AS node, width FROM subroots
+  UNION ALL
+  SELECT tree, lev + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (any_value(width) + 15) // 16 FROM tops WHERE width > 1 GROUP BY tree, lev, pos // 16),
+steps AS (
+  SELECT p.tree, p.place, n.lev AS step, coalesce(string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos < (p.place // (16 ** n.lev)::BIGINT)), '') AS l,
+    coalesce(string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos > (p.place // (16 ** n.lev)::BIGINT)), '') AS r
+  FROM placed p JOIN nodes n ON n.tree = p.tree AND n.width > 1 AND n.pos // 16 = p.place // (16 ** (n.lev + 1))::BIGINT GROUP BY p.tree, p.place, n.lev
+  UNION ALL
+  SELECT s.tree, p.place, s.height + n.lev, coalesce(string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos < (s.place // (16 ** n.lev)::BIGINT)), ''),
+    coalesce(string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos > (s.place // (16 ** n.lev)::BIGINT)), '')
+  FROM subroots s JOIN placed p ON p.tree = s.tree JOIN tops n ON n.width > 1 AND n.pos // 16 = s.place // (16 ** (n.lev + 1))::BIGINT GROUP BY s.tree, p.place, s.height, n.lev),
+proofs AS (SELECT tree, place, count(*) AS n, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY tree, place),
+climbs AS (
+  SELECT tree, place, 0 AS step, shown AS node FROM placed
+  UNION ALL
+  SELECT c.tree, c.place, c.step + 1, sha256(s.l || c.node || s.r) FROM climbs c JOIN steps s ON s.tree = c.tree AND s.place = c.place AND s.step = c.step)
+SELECT p.doc_id, p.leaf, s.subroot, t.node AS root, coalesce(f.proof_sha256, sha256('')) AS proof_sha256, c.node AS folded_root, c.node = t.node AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN (SELECT node FROM tops WHERE width = 1) t ON TRUE
+LEFT JOIN proofs f ON f.tree = p.tree AND f.place = p.place JOIN climbs c ON c.tree = p.tree AND c.place = p.place AND c.step = coalesce(f.n, 0)
+"""
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op12_merkle", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document whose number has a CRC divisible by 5 is shown with its text in small letters; a null number has none."""
+    docs = _read(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.digest(*fields, F.col("text"))
+    tampered = merkle.digest(*fields, F.translate("text", UPPER, LOWER))
+    shown = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, tampered)
+    proved = merkle.prove(merkle.manifest(docs, leaf, "source", ["doc_id"], {"doc_id": F.col("doc_id"), "shown": shown}))
+    folded = proved.withColumn("folded_root", merkle.fold(F.coalesce("shown", "leaf"), F.col("proof")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", sha(merkle.siblings(F.col("proof"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
