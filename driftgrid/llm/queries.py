@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftgrid.llm import bpe, chat, hilbert, html_cut, merkle, mixing, nndescent, packing, ppm, simhash, url_rules, warc
+from driftgrid.llm import bpe, chat, hilbert, html_cut, merkle, mixing, nndescent, packing, ppm, repair, simhash, url_rules, warc
 from driftgrid.llm.registry import ORACLE, QUERIES, query
 from driftgrid.scale import shared_folder
 
@@ -260,3 +260,81 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select(
         "doc_id", "leaf", "subroot", "root", sha(merkle.siblings(F.col("proof"))).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
     )
+
+
+_BACK_SQL = ", ".join(f"least(g{q}, 2 + g{f}, 4 + g{ff}) AS b{q}" for q, f, ff in ((0, 2, 3), (1, 2, 3), (2, 3, 2), (3, 2, 3)))
+_STEP_SQL = ", ".join(
+    f"CASE WHEN gone THEN 3 + b{q} ELSE least(3 + b{q}, CASE {keep} ELSE 99999999 END + cut, 2 + cut + b{f}) END AS g{q}"
+    for q, f, keep in ((0, 2, "kind WHEN 's' THEN b1 WHEN 'u' THEN b2"), (1, 2, "kind WHEN 'u' THEN b2"), (2, 3, "kind WHEN 'a' THEN b3"), (3, 2, "kind WHEN 'u' THEN b2"))
+)
+
+OP13_SQL = rf"""
+WITH RECURSIVE source AS (
+  SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    ({_crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")}) % 20 AS harm FROM conversations),
+damaged AS (
+  SELECT conv, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN harm = 1 THEN '' WHEN harm = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM source, range(2) copies(c) WHERE harm <> 0 AND (c = 0 OR harm = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, count(*) OVER (PARTITION BY conv) AS n FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS kind, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS again,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS short,
+    lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY pos) || left(role, 1) AS pair FROM placed),
+rows_ AS (SELECT *, blank OR again AS gone, (NOT blank AND NOT again AND short)::INT AS cut FROM marked),
+counts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+    sum(cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv),
+back AS (
+  SELECT conv, n AS pos, 0::BIGINT AS b0, 4::BIGINT AS b1, 2::BIGINT AS b2, 0::BIGINT AS b3 FROM placed WHERE pos = 0
+  UNION ALL
+  SELECT conv, pos, {_BACK_SQL} FROM (
+    SELECT r.conv, r.pos, {_STEP_SQL} FROM back b JOIN rows_ r ON r.conv IS NOT DISTINCT FROM b.conv AND r.pos = b.pos - 1)),
+costs AS (SELECT conv, pos, [b0, b1, b2, b3] AS b FROM back),
+walk AS (
+  SELECT conv, 0::BIGINT AS pos, 0 AS q, '' AS audit, []::VARCHAR[] AS said, FALSE AS done FROM placed WHERE pos = 0
+  UNION ALL
+  SELECT conv, CASE WHEN e IN ('D', 'K', 'R') THEN pos + 1 ELSE pos END, CASE e WHEN 'K' THEN kept WHEN 'I' THEN nxt WHEN 'R' THEN nxt ELSE q END,
+    audit || e, CASE WHEN e = 'K' THEN list_append(said, role || ':' || text)
+      WHEN e IN ('I', 'R') THEN list_append(said, CASE nxt WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || CASE e WHEN 'R' THEN text ELSE '' END) ELSE said END, e = ''
+  FROM (
+    SELECT *, CASE WHEN role IS NOT NULL AND 3 + after[q + 1] = b[q + 1] THEN 'D' WHEN 2 + b[nxt + 1] = b[q + 1] THEN 'I'
+      WHEN role IS NULL THEN '' WHEN NOT gone AND kept IS NOT NULL AND cut + after[kept + 1] = b[q + 1] THEN 'K' ELSE 'R' END AS e
+    FROM (
+      SELECT w.*, c.b, d.b AS after, r.role, r.text, r.gone, r.cut, CASE q WHEN 2 THEN 3 ELSE 2 END AS nxt,
+        CASE WHEN q = 0 AND kind = 's' THEN 1 WHEN q <> 2 AND kind = 'u' THEN 2 WHEN q = 2 AND kind = 'a' THEN 3 END AS kept
+      FROM walk w JOIN costs c ON c.conv IS NOT DISTINCT FROM w.conv AND c.pos = w.pos
+      LEFT JOIN costs d ON d.conv IS NOT DISTINCT FROM w.conv AND d.pos = w.pos + 1
+      LEFT JOIN rows_ r ON r.conv IS NOT DISTINCT FROM w.conv AND r.pos = w.pos WHERE NOT w.done))),
+results AS (SELECT w.conv, w.audit, sha256(array_to_string(w.said, chr(10))) AS repaired_sha256, c.b[1] AS cost FROM walk w JOIN costs c ON c.conv IS NOT DISTINCT FROM w.conv AND c.pos = 0 WHERE w.done)
+SELECT o.conv AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv FROM source) o LEFT JOIN counts c ON c.conv IS NOT DISTINCT FROM o.conv LEFT JOIN results r ON r.conv IS NOT DISTINCT FROM o.conv
+"""
+
+
+def damaged(talks: DataFrame) -> DataFrame:
+    """The rows with faults put in: by the CRC of ``conv_id:turn`` some are dropped, emptied, cut, repeated or given to the user."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    rows = talks.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), harm.alias("harm_")).where("harm_ <> 0")
+    text = F.when(F.col("harm_") == 1, "").when(F.col("harm_") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.withColumns({"text": text, "role": F.when(F.col("harm_") == 4, "user").otherwise(F.col("role"))})
+    return rows.withColumn("copy_", F.explode(F.when(F.col("harm_") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select("conv_id", "turn", "role", "text")
+
+
+def repair_digests(talks: DataFrame, chunk: int = repair.CHUNK) -> DataFrame:
+    reports, repaired = repair.repair(damaged(talks), chunk=chunk)
+    name = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-")).alias("conv_")
+    digests = repair.hashed(repaired, F.concat("role", F.lit(":"), "text"))
+    every = talks.select(name, "conv_id").distinct()
+    met = every.join(reports.select(name, *reports.columns[1:]), "conv_", "left").join(digests, "conv_", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return met.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", sha(F.lit(""))).alias("repaired_sha256"))
+
+
+@query("op13_repair", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(_read(spark, sf_dir, "conversations"))
