@@ -9,6 +9,12 @@ hypotheses becomes a numbered state the first time it is met, and a transition
 outputs the tokens on which all hypotheses agree. A hypothesis lives at most
 as long as the longest token, which bounds the lookahead.
 
+Texts are taken by the slice: arrays of code points and their classes give all
+matches of the splitting pattern at once, the distinct ones are walked (or
+remembered), and their ids are laid out by offsets. Decoding lays out the bytes
+of a bounded run of ids the same way and feeds the UTF-8 machine once per run; an unfinished
+character waits for the next run.
+
 Defined cases: null text is empty text and gives no ids; a piece that is a
 token as a whole is that token; special tokens are ordinary text; rows are
 handled one by one, so repeated rows repeat. Only the named columns and those
@@ -32,14 +38,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrid.deploy import ship
+from driftgrid.llm.memo import Memo, spans
 from driftgrid.llm.worker import held
 
 #: Bounds of the caches in a Python worker; a full cache is emptied.
-MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_PIECE_CHARS = 250_000, 400_000, 450_000, 64
+MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_PIECE_CHARS = 600_000, 400_000, 450_000, 64
+MAX_RECENT = 20_000
 NEVER = 1 << 60
 #: A result batch is handed over once it holds so many ids (or decoded characters).
 BATCH_IDS = 1 << 20
 
+#: Characters that are split at a time, and ids that are decoded at a time.
+SLICE, RUN = 1 << 22, 1 << 18
+
+# Fixed value: the splitting pattern that ``_split`` stands for; others are matched text by text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_TAILS = ("s", "t", "re", "ve", "m", "ll", "d")
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+
 # White space by the Unicode property, as the splitting pattern means it.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _RUNS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -57,7 +73,8 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: float = 1.0):
         self.max_pieces, self.max_states, self.max_pairs = (int(n * cache) for n in (MAX_PIECES, MAX_STATES, MAX_PAIRS))
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.split, self.by_arrays = ranks, regex.compile(pattern).findall, pattern == PATTERN
+        self.kinds: np.ndarray | None = None
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
         self.ends: list[int] = [-1]
@@ -76,6 +93,7 @@ class Transducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.pieces, self.spaced, self.words = _Pieces(self, ""), _Pieces(self, " "), _Words(self)
+        self.memo = Memo(self._packed, self.max_pieces, 4 * MAX_PIECE_CHARS)
         self._forget()
 
     def _forget(self) -> None:
@@ -83,6 +101,10 @@ class Transducer:
         self.states: list[bytes] = []
         #: (state, byte) -> the next state, or that and the tokens put out
         self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
+        #: the tokens that a piece still has where it ends in a state
+        self.rests: dict[int, tuple[int, ...]] = {}
+        #: states met lately, unpacked: a walk goes on from the state it has just made
+        self.recent: dict[int, tuple[int, list[tuple[tuple[int, ...], int]]]] = {}
         self._number(-1, [((), 0)])
 
     def _number(self, context: int, hypotheses: list[tuple[tuple[int, ...], int]]) -> int:
@@ -93,12 +115,18 @@ class Transducer:
             flat.append(len(pending))
             flat.extend(pending)
         state = flat.tobytes()
-        if state not in self.numbers:
-            self.numbers[state] = len(self.states)
+        number = self.numbers.get(state)
+        if number is None:
+            number = self.numbers[state] = len(self.states)
             self.states.append(state)
-        return self.numbers[state]
+        if len(self.recent) >= MAX_RECENT:
+            self.recent.clear()
+        self.recent[number] = context, hypotheses
+        return number
 
     def _hypotheses(self, state: int) -> tuple[int, list[tuple[tuple[int, ...], int]]]:
+        if (known := self.recent.get(state)) is not None:
+            return known
         flat = array("i", self.states[state])
         found, at = [], 1
         while at < len(flat):
@@ -164,24 +192,30 @@ class Transducer:
 
     def _move(self, state: int, b: int) -> int | tuple[int, tuple[int, ...]]:
         context, hypotheses = self._hypotheses(state)
-        alive, full = [], None
+        alive, full, child, inner, ends, pairs = [], None, self.child, self.inner, self.ends, self.pairs
         for pending, node in hypotheses:
-            node = self.child.get(node << 8 | b)
+            node = child.get(node << 8 | b)
             if node is None:
                 continue
-            if self.inner[node]:
+            if inner[node]:
                 alive.append((pending, node))
-            token = self.ends[node]
-            if token >= 0 and self._fits(pending[-1] if pending else context, token):
-                if full is not None:
-                    raise ValueError("the ranks allow two encodings of a prefix")
-                full = (*pending, token)
+            token = ends[node]
+            if token >= 0:
+                last = pending[-1] if pending else context
+                fits = pairs.get((last, token))
+                if fits is None:
+                    fits = self._fits(last, token)
+                if fits:
+                    if full is not None:
+                        raise ValueError("the ranks allow two encodings of a prefix")
+                    full = (*pending, token)
         if full is None:
             raise ValueError("the ranks leave a prefix without an encoding")
         alive.append((full, 0))
-        common = 0
-        while all(len(p) > common and p[common] == full[common] for p, _ in alive):
-            common += 1
+        common = len(full)
+        for pending, _ in alive:
+            if pending[:common] != full[:common]:
+                common = next(k for k in range(common) if k >= len(pending) or pending[k] != full[k])
         out = full[:common]
         rest = sorted([(p[common:], n) for p, n in alive] if common else alive)
         # only a hypothesis without pending tokens looks at what went before
@@ -189,6 +223,9 @@ class Transducer:
         move = self.moves[state << 8 | b] = (after, out) if out else after
         return move
 
+    def _packed(self, points: bytes) -> bytes:
+        return np.array(self.encode_piece(points.decode("utf-32-le")), np.int32).tobytes()
+
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8")
         if (whole := self.ranks.get(data)) is not None:
@@ -208,7 +245,87 @@ class Transducer:
                     out += tokens
         except ValueError:  # ranks without the property that the automaton rests on
             return self.merge(data)
-        return (*out, *next(p for p, node in self._hypotheses(state)[1] if node == 0))
+        rest = self.rests.get(state)
+        if rest is None:
+            rest = self.rests[state] = next(p for p, node in self._hypotheses(state)[1] if node == 0)
+        return (*out, *rest)
+
+    def _split(self, points: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Where the matches of ``PATTERN`` start in the joined code points of texts that start at ``heads``."""
+        if self.kinds is None:
+            self.kinds = _kinds()
+        n, kind, blank = len(points), self.kinds[points], points == 32
+        head = np.zeros(n + 1, bool)
+        head[heads[heads < n]] = head[n] = True
+        prior = np.empty(n, np.uint8)
+        prior[1:] = kind[:-1]
+        prior[head[:n]] = _NONE
+        space = kind == _SPACE
+        ends = head[1:]  # whether a text ends with this character
+        follows = np.empty(n, bool)  # whether another than white space comes next in the same text
+        follows[:-1] = ~space[1:]
+        follows[ends] = False
+        led = np.zeros(n, bool)  # taken up by the blank before
+        led[1:] = blank[:-1]
+        led &= ~head[:n]
+        starts = np.where(space, (prior != _SPACE) | follows, (kind != prior) & ~led)
+        marks = np.flatnonzero(starts & (points == ord("'")))
+        if len(marks):
+            ahead = np.concatenate([points, np.zeros(2, points.dtype)])
+            near = ~head[np.minimum(marks + 1, n)]
+            far = near & ~head[np.minimum(marks + 2, n)]
+            taken = np.zeros(len(marks), np.int64)
+            for tail in _TAILS:
+                fits = near & (ahead[marks + 1] == ord(tail[0]))
+                if len(tail) == 2:
+                    fits &= far & (ahead[marks + 2] == ord(tail[1]))
+                taken[fits] = len(tail)
+            marks, taken = marks[taken > 0], taken[taken > 0]
+            starts[marks + 1] = False
+            after = marks + taken + 1
+            starts[after[after < n]] = True
+        return np.flatnonzero(starts)
+
+    def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's end."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes)
+        if not len(points):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        starts = self._split(points, ends - sizes)
+        offsets = np.append(starts, len(points)).astype(np.int32) * 4
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(points)]).dictionary_encode()
+        flat, size = self.memo.look(coded.dictionary)
+        index = coded.indices.to_numpy()
+        place, total = spans((np.cumsum(size) - size)[index], size[index])
+        ids = flat[place]
+        return ids, total[np.searchsorted(starts, ends, "left")]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's end. A long text goes slice by slice."""
+        if not self.by_arrays:
+            each = [np.fromiter(self.encode(t), np.int32) for t in texts]
+            return np.concatenate([*each, np.zeros(0, np.int32)]), np.cumsum([len(e) for e in each], dtype=np.int64)
+        out, ends, wait, held_ = [], [], [], 0
+        done = 0
+        for text in [*texts, None]:
+            if wait and (text is None or held_ + len(text) > SLICE):
+                ids, upto = self._slice(wait)
+                out.append(ids)
+                ends.append(upto + done)
+                done, wait, held_ = done + len(ids), [], 0
+            if text is None:
+                break
+            if len(text) <= SLICE:
+                wait.append(text)
+                held_ += len(text)
+                continue
+            for part in _parts(text):
+                out.append(self._slice([part])[0])
+                done += len(out[-1])
+            ends.append(np.array([done]))
+        return np.concatenate([*out, np.zeros(0, np.int32)]), np.concatenate([*ends, np.zeros(0, np.int64)])
 
     def encode(self, text: str) -> Iterator[int]:
         """The ids of a text. No piece crosses from one run of ``_RUNS`` into the next."""
@@ -251,6 +368,33 @@ class _Words(dict):
         return ids
 
 
+_NONE = 9
+
+
+def _kinds() -> np.ndarray:
+    """The class of every code point."""
+    out = np.full(0x110000, _OTHER, np.uint8)
+    for first, last in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(first, last)))
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_SPACE, r"\s+")):
+            for found in regex.finditer(pattern, every):
+                out[first + found.start() : first + found.end()] = kind
+    return out
+
+
+_BREAK = re.compile(f"(?<=[^{_WS}])[{_WS}]")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts of about ``SLICE`` characters that start with the first of a run of white space."""
+    begun = 0
+    while begun < len(text):
+        found = _BREAK.search(text, begun + SLICE)
+        upto = found.start() if found else len(text)
+        yield text[begun:upto]
+        begun = upto
+
+
 class _Utf8(dict):
     """A state of the UTF-8 machine: the bytes of a character begun. Token -> (text, next state)."""
 
@@ -269,13 +413,18 @@ class _Utf8(dict):
 
 
 class Decoder:
-    """Turns ids into text token by token; a character may span tokens."""
+    """Turns ids into text run by run; a character may span runs."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
         machine: dict[bytes, _Utf8] = {}
         self.start = machine[b""] = _Utf8(machine, b"", bytes_of)
+        size = max(bytes_of, default=-1) + 1
+        self.flat = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in range(size)), np.uint8)
+        self.lengths = np.fromiter((len(bytes_of.get(i, b"")) for i in range(size)), np.int64, size)
+        self.begins = np.cumsum(self.lengths) - self.lengths
 
     def stream(self, ids) -> Iterator[str]:
+        """Text as it becomes known, token by token."""
         state = self.start
         for token in ids:
             text, state = state[token]
@@ -283,15 +432,37 @@ class Decoder:
         if state.pending:
             yield codecs.utf_8_decode(state.pending, "replace", True)[0]
 
+    def laid(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where those of each id begin (and the last ones end)."""
+        place, total = spans(self.begins[ids], self.lengths[ids])
+        return self.flat[place], total
+
     def decode(self, ids) -> str:
-        out, state = [], self.start
-        for token in ids:
-            text, state = state[token]
+        ids, out, pending = np.asarray(ids, np.int64), [], b""
+        for begun in range(0, len(ids), RUN):
+            data = pending + self.laid(ids[begun : begun + RUN])[0].tobytes()
+            text, used = codecs.utf_8_decode(data, "replace", False)
             out.append(text)
-        if state.pending:
-            out.append(codecs.utf_8_decode(state.pending, "replace", True)[0])
+            pending = data[used:]
+        if pending:
+            out.append(codecs.utf_8_decode(pending, "replace", True)[0])
         return "".join(out)
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids laid one after the other, text k ending at ``ends[k + 1]``."""
+        out, row = [], 0
+        while row < len(ends) - 1:
+            upto = max(int(np.searchsorted(ends, ends[row] + RUN, "right")) - 1, row)
+            if upto == row:  # longer than a run
+                out.append(self.decode(ids[ends[row] : ends[row + 1]]))
+                row += 1
+                continue
+            data, total = self.laid(ids[ends[row] : ends[upto]])
+            raw, cuts = data.tobytes(), total[ends[row : upto + 1] - ends[row]].tolist()
+            out += [codecs.utf_8_decode(raw[a:b], "replace", True)[0] for a, b in zip(cuts, cuts[1:])]
+            row = upto
+        return out
+
 
 class _Tools:
     """The transducer and the decoder of a worker, which keep their states from task to task."""
@@ -338,29 +509,29 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: lis
 def _encoded(batches, transducer: Transducer, names: list[str]):
     """Batches of (kept columns, text) -> batches of (kept columns, ids), each of bounded size."""
     for batch in batches:
-        texts, begun, ids, ends = batch.column(batch.num_columns - 1), 0, [], [0]
-        for i in range(batch.num_rows):
-            ids.append(np.fromiter(transducer.encode(texts[i].as_py()), np.int32))
-            ends.append(ends[-1] + len(ids[-1]))
-            if ends[-1] >= BATCH_IDS or i == batch.num_rows - 1:
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-                rows = batch.slice(begun, i + 1 - begun)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], column], names)
-                begun, ids, ends = i + 1, [], [0]
+        texts, begun = batch.column(batch.num_columns - 1), 0
+        while begun < batch.num_rows:
+            some, size = [], 0
+            while begun + len(some) < batch.num_rows and (size < SLICE or not some):
+                some.append(texts[begun + len(some)].as_py())
+                size += len(some[-1])
+            ids, ends = transducer.encode_all(some)
+            column = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
+            rows = batch.slice(begun, len(some))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], column], names)
+            begun += len(some)
 
 
 def _decoded(batches, decoder: Decoder, names: list[str]):
     """Batches of (kept columns, ids) -> batches of (kept columns, text), each of bounded size."""
     for batch in batches:
-        column, begun, texts, size = batch.column(batch.num_columns - 1), 0, [], 0
-        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
-        for i in range(batch.num_rows):
-            texts.append(decoder.decode(flat[ends[i] : ends[i + 1]].tolist()))
-            size += len(texts[-1])
-            if size >= BATCH_IDS or i == batch.num_rows - 1:
-                rows = batch.slice(begun, i + 1 - begun)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(texts, pa.string())], names)
-                begun, texts, size = i + 1, [], 0
+        column, begun = batch.column(batch.num_columns - 1), 0
+        ends, flat = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
+        while begun < batch.num_rows:
+            upto = max(int(np.searchsorted(ends, ends[begun] + BATCH_IDS, "right")) - 1, begun + 1)
+            rows = batch.slice(begun, upto - begun)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(decoder.decode_all(flat, ends[begun : upto + 1]), pa.string())], names)
+            begun = upto
 
 
 def _last(df: DataFrame, keep: list[str], column) -> DataFrame:

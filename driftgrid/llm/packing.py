@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrid.deploy import ship
+from driftgrid.llm.memo import Memo, spans
 from driftgrid.llm.places import before
 from driftgrid.llm.worker import held
 from driftgrid.scale import durable
@@ -50,8 +51,8 @@ from driftgrid.scale import durable
 SIZE, LEAST, BLOCK = 2048, 64, 1 << 19
 #: Sequence ids of a block start at its number times this.
 STRIDE = 1 << 20
-#: Words that a worker remembers (a full memory is emptied), their longest form, and characters encoded at a time.
-MAX_WORDS, MAX_WORD_CHARS, SLICE = 400_000, 64, 1 << 21
+#: Words that a worker remembers, their longest form, and characters encoded at a time.
+MAX_WORDS, MAX_WORD_CHARS, SLICE = 600_000, 64, 1 << 22
 
 # The classes of the first 256 characters that the tokenizer's splitting pattern tells apart.
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
@@ -73,7 +74,7 @@ class Words:
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         self.special = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
+        self.memo = Memo(self._ids, MAX_WORDS, MAX_WORD_CHARS)
         one = [chr(i) for i in range(256)]
         self.lower = np.array([ord(c.lower()) for c in one], np.uint8)
         kind = [_SPACE if c in _SPACES else _DIGIT if c in _DIGITS else _LETTER if c.isalpha() else _OTHER for c in one]
@@ -85,15 +86,8 @@ class Words:
 
     def _ids(self, word: bytes) -> bytes:
         """The ids of a lower-cased word, packed; ``word`` is in Latin-1."""
-        found = self.known.get(word)
-        if found is None:
-            text = word.decode("latin-1").encode("utf-8").decode("latin-1").translate(self.written)
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
-            if len(word) <= MAX_WORD_CHARS:
-                if len(self.known) >= MAX_WORDS:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+        text = word.decode("latin-1").encode("utf-8").decode("latin-1").translate(self.written)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(text)], np.int32).tobytes()
 
     def _split(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the words in lower-cased Latin-1 text."""
@@ -130,17 +124,13 @@ class Words:
         starts, lengths = self._split(data)
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(len(cuts), np.int64)
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        kept = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
+        kept, offsets = spans(starts, lengths)
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[kept].tobytes())])
         coded = words.dictionary_encode()
-        packed = [self._ids(w) for w in coded.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        flat, begin = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(sizes) - sizes
+        flat, size = self.memo.look(coded.dictionary)
         index = coded.indices.to_numpy()
-        each = sizes[index]
-        total = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(begin[index] - total[:-1], each) + np.arange(total[-1])]
+        place, total = spans((np.cumsum(size) - size)[index], size[index])
+        ids = flat[place].astype("<u4")
         return ids, total[np.searchsorted(starts, cuts, "left")]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -218,7 +208,7 @@ def tokenize(df: DataFrame, path: str, end: int = 1, text: str = "text", keep: l
             texts, begun = batch.column(batch.num_columns - 1), 0
             while begun < batch.num_rows:
                 rows, size = [], 0
-                while begun + len(rows) < batch.num_rows and (size < 2 * SLICE or not rows):
+                while begun + len(rows) < batch.num_rows and (size < SLICE or not rows):
                     rows.append(texts[begun + len(rows)].as_py())
                     size += len(rows[-1])
                 part = batch.slice(begun, len(rows))
