@@ -36,18 +36,20 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/driftgrid-{spark.sparkContext.applicationId}"
 
 
-def durable(df: DataFrame, by: str | None = None) -> DataFrame:
+def durable(df: DataFrame, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the stored table.
 
     With ``by`` a filter on that column reads only its own files; the rows are
     rebalanced first, so that a value has few files and a large one several.
+    ``codec`` names another compression than the session's.
     """
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    options = {"compression": codec} if codec else {}
     if by is None:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     else:
-        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+        df.hint("rebalance", by).write.options(**options).partitionBy(by).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     _PATHS[stored] = path
     return stored
