@@ -52,7 +52,7 @@ SIZE, LEAST, BLOCK = 2048, 64, 1 << 19
 #: Sequence ids of a block start at its number times this.
 STRIDE = 1 << 20
 #: Words that a worker remembers, their longest form, and characters encoded at a time.
-MAX_WORDS, MAX_WORD_CHARS, SLICE = 600_000, 64, 1 << 22
+MAX_WORDS, MAX_WORD_CHARS, SLICE = 600_000, 64, 1 << 21
 
 # The classes of the first 256 characters that the tokenizer's splitting pattern tells apart.
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
@@ -373,7 +373,7 @@ def pack(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), *(c.alias(k) for k, c in keep.items()), F.col(text).alias("text_"))
     ids = tokenize(rows, path, end, "text_", ["doc_id", "source", *keep])
     counted = ids.withColumns({"n": (F.octet_length("ids") / 4).cast("long"), "order_": F.xxhash64("doc_id", "ids")})
-    stored = durable(counted.withColumn("row_", F.monotonically_increasing_id()))
+    stored = durable(counted.withColumn("row_", F.monotonically_increasing_id()), codec="zstd")
     pieces = plan(stored.select("row_", "source", "n", "order_"), size, weights, least, block)
     cut = F.substring("ids", (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))
     whole = stored.select("row_", "doc_id", *keep, "ids", F.col("n").alias("doc_tokens"))
