@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.operators.differential import div_vort, gradients, laplacian
+from driftgrid.operators.displaced import with_patch_error
 from driftgrid.operators.metrics import epe
-from driftgrid.operators.search import previous_patches, with_photometric_error
 from driftgrid.scale import attach
 from driftgrid.schema import FRAME, PIXEL
 
@@ -72,8 +72,7 @@ def weights_photometric(
     ensemble: DataFrame, prev: DataFrame, curr: DataFrame, shape: tuple[int, int], patch_size: int = 3, keys=FRAME
 ) -> DataFrame:
     """Weight ``1/max(error, 1)``; 0 where the patch leaves the frame."""
-    before = previous_patches(prev, patch_size, keys)
-    rows = with_photometric_error(ensemble, before, curr, patch_size, shape, keys=keys)
+    rows = with_patch_error(ensemble, prev, curr, patch_size, shape, keys=keys)
     w = F.coalesce(1.0 / F.greatest(F.col("err"), F.lit(1.0)), F.lit(0.0))
     return rows.withColumn("w", F.when(F.col("err").isNotNull(), w).otherwise(0.0)).drop("err")
 
@@ -82,8 +81,7 @@ def weights_photograd(
     ensemble: DataFrame, prev: DataFrame, curr: DataFrame, shape: tuple[int, int], patch_size: int = 3, keys=FRAME
 ) -> DataFrame:
     """Gradient energy of the patch over its mean squared error; 0 where the patch leaves the frame."""
-    before = previous_patches(prev, patch_size, keys, energy=True, shape=shape)
-    rows = with_photometric_error(ensemble, before, curr, patch_size, shape, True, keys=keys)
+    rows = with_patch_error(ensemble, prev, curr, patch_size, shape, True, energy=True, keys=keys)
     w = F.coalesce(F.col("g") / (F.col("err") / float(patch_size**2) + F.lit(1e-4)), F.lit(0.0))
     return rows.withColumn("w", w).drop("err", "g")
 
