@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftgrid.deploy import ship
+from driftgrid.functions.grids import as_grid, list_column
 from driftgrid.operators.filling import neighbor_mean
-from driftgrid.operators.patches import grid_shape, windows
+from driftgrid.operators.patches import grid_shape
 from driftgrid.operators.resample import resize_bilinear
 from driftgrid.schema import FRAME
-from driftgrid.tiles import TILE, along_x, along_y, own, shifted, spread
+from driftgrid.tiles import TILE, TX, TY, along_x, along_y, own, shifted, spread
+
+#: Windows transformed at a time in a task.
+AT_ONCE = 256
 
 
 def _normalised(w: np.ndarray) -> np.ndarray:
@@ -25,46 +28,62 @@ def _normalised(w: np.ndarray) -> np.ndarray:
     return np.maximum(np.where(std == 0, 0.0, (w - mean) / safe), 0.0)
 
 
-def correlator(window_size: int, search_size: int) -> Callable[[Column, Column], Column]:
-    """Arrow UDF over batches of windows: circular correlation, zero shift in the middle."""
-    s = search_size
-    margin = (search_size - window_size) // 2
-
-    @F.pandas_udf("array<double>")
-    def correlate(a: pd.Series, b: pd.Series) -> pd.Series:
-        if len(a) == 0:
-            return pd.Series([], dtype=object)
-        first = np.stack([np.asarray(w, dtype=float) for w in a]).reshape(-1, s, s)
-        second = np.stack([np.asarray(w, dtype=float) for w in b]).reshape(-1, s, s)
-        mask = np.zeros((s, s))
-        mask[margin : s - margin, margin : s - margin] = 1.0
-        # both sides are normalised twice, which is part of the measure's definition
-        first = _normalised(_normalised(first * mask))
-        second = _normalised(_normalised(second))
-        spectrum = np.conj(np.fft.rfft2(first)) * np.fft.rfft2(second)
-        corr = np.fft.fftshift(np.fft.irfft2(spectrum, s=(s, s)), axes=(1, 2)) / (s * s)
-        return pd.Series(list(np.clip(corr, 0.0, 1.0).reshape(-1, s * s)))
-
-    return correlate
+def correlate(first: np.ndarray, second: np.ndarray, window_size: int) -> np.ndarray:
+    """Circular correlation of windows (n, s, s), zero shift in the middle; of the first only the inner window counts."""
+    s = first.shape[-1]
+    margin = (s - window_size) // 2
+    mask = np.zeros((s, s))
+    mask[margin : s - margin, margin : s - margin] = 1.0
+    # both sides are normalised twice, which is part of the measure's definition
+    first = _normalised(_normalised(first * mask))
+    second = _normalised(_normalised(second))
+    spectrum = np.conj(np.fft.rfft2(first)) * np.fft.rfft2(second)
+    corr = np.fft.fftshift(np.fft.irfft2(spectrum, s=(s, s)), axes=(1, 2)) / (s * s)
+    return np.clip(corr, 0.0, 1.0)
+
+
+def window_tiles(table: DataFrame, shape: tuple[int, int], size: int, step: int, per_side: int) -> DataFrame:
+    """Copies every pixel to the tiles (``_ty, _tx``) of ``per_side`` by ``per_side`` windows that need it.
+
+    Tiles overlap by what the last window reaches beyond the next tile's start, so a pixel belongs to
+    one tile, or to a few near their borders.
+    """
+    for name, axis, count in zip((TY, TX), ("y", "x"), grid_shape(shape, size, size - step)):
+        c = F.col(axis)
+        first = F.greatest(F.ceil((c - (size - 1)) / step), F.lit(0)).cast("int")
+        last = F.least(F.floor(c / step), F.lit(count - 1)).cast("int")
+        tiles = F.sequence(F.floor(first / per_side).cast("int"), F.floor(last / per_side).cast("int"))
+        table = table.withColumn(name, F.explode(F.when(first <= last, tiles)))
+    return table
 
 
 def window_correlation(
-    pair: DataFrame, shape: tuple[int, int], window_size: int, search_size: int, overlap: int, keys=("pair_id",)
+    pair: DataFrame, shape: tuple[int, int], window_size: int, search_size: int, overlap: int, keys=("pair_id",), tile: int = TILE
 ) -> DataFrame:
     """One row per window: ``corr``, the row-major correlation map of ``search_size**2`` values.
 
-    A window is a bounded group; windows are correlated in batches inside tasks.
+    The unit of work is a tile of windows: one exchange brings its pixels together, its windows are views of them.
     """
     if search_size < window_size:
         raise ValueError("search_size must not be smaller than window_size")
     grid_shape(shape, search_size, overlap)
     ship(pair.sparkSession)
-    cut = windows(pair, ["prev", "curr"], shape, search_size, search_size - overlap, keys)
-    place = F.col("py") * search_size + F.col("px")
-    packed = cut.groupBy(*keys, "wy", "wx").agg(
-        F.sort_array(F.collect_list(F.struct(place.alias("p"), "prev", "curr"))).alias("px")
-    )
-    return packed.select(*keys, "wy", "wx", correlator(window_size, search_size)(F.col("px.prev"), F.col("px.curr")).alias("corr"))
+    size, step = search_size, search_size - overlap
+    per_side = max(1, tile // step)
+    tiled = window_tiles(pair.select(*keys, "y", "x", *(F.col(c).cast("double").alias(c) for c in ("prev", "curr"))), shape, size, step, per_side)
+    types = [tiled.schema[k] for k in keys] + [T.StructField(n, T.IntegerType()) for n in ("wy", "wx")] + [T.StructField("corr", T.ArrayType(T.DoubleType()))]
+
+    def run(table: pa.Table) -> pa.Table:
+        grids, y0, x0 = as_grid(table.select(["y", "x", "prev", "curr"]))
+        first, second = (np.lib.stride_tricks.sliding_window_view(grids[c], (size, size))[::step, ::step] for c in ("prev", "curr"))
+        ny, nx = first.shape[:2]
+        wy, wx = (a.ravel() for a in np.meshgrid(y0 // step + np.arange(ny), x0 // step + np.arange(nx), indexing="ij"))
+        a, b = (v.reshape(ny * nx, size, size) for v in (first, second))
+        maps = [correlate(a[k : k + AT_ONCE], b[k : k + AT_ONCE], window_size) for k in range(0, ny * nx, AT_ONCE)]
+        names = [pa.array([table[k][0].as_py()] * (ny * nx), table.schema.field(k).type) for k in keys]
+        return pa.table([*names, pa.array(wy, pa.int32()), pa.array(wx, pa.int32()), list_column(np.concatenate(maps), pa.float64())], names=[*keys, "wy", "wx", "corr"])
+
+    return tiled.groupBy(*keys, TY, TX).applyInArrow(run, T.StructType(types))
 
 
 def correlation_cells(correlated: DataFrame, search_size: int, keys=("pair_id",)) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from driftgrid.deploy import ship
 from driftgrid.functions.grids import as_grid
@@ -31,10 +32,10 @@ MEET, AT_ONCE = 1 << 19, 4096
 _HOME = ("_hy", "_hx", "_n")
 
 
-def samples(grid: np.ndarray, y0: int, x0: int, yc: np.ndarray, xc: np.ndarray, half: int) -> np.ndarray:
-    """Bilinear patches (n, p, p) around float centres; what lies outside the grid is 0."""
+def samples(grid: np.ndarray, y0: int, x0: int, yc: np.ndarray, xc: np.ndarray, half: int, size: int | None = None) -> np.ndarray:
+    """Bilinear patches (n, p, p) around float centres, p being ``size`` (default: odd); what lies outside the grid is 0."""
     h, w = grid.shape
-    span = np.arange(-half, half + 1)
+    span = np.arange(size or 2 * half + 1) - half
     yf, xf = yc[:, None] + span - y0, xc[:, None] + span - x0
     fy, fx = np.floor(yf), np.floor(xf)
     wy, wx = (yf - fy)[:, :, None], (xf - fx)[:, None, :]
@@ -78,12 +79,12 @@ def target(axis: Column, shift: Column, length: int, tile: int) -> Column:
     return F.floor(F.least(F.greatest(place, F.lit(0)), F.lit(length - 1)) / tile).cast("int")
 
 
-def shared(rows: DataFrame, pixels: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``_part``: a tile met by more than ``MEET`` rows is dealt to several tasks, a tile met by none to none."""
+def shared(rows: DataFrame, pixels: DataFrame, keys: list[str], by=_HOME) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_part``: a tile met by more than ``MEET`` rows is dealt to several tasks (rows by their columns ``by``), a tile met by none to none."""
     loads = durable(rows.groupBy(*keys, TY, TX).agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("_parts")))
     on = [*keys, TY, TX]
     dealt = pixels.join(loads, on).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    return rows.join(loads, on).withColumn("_part", F.pmod(F.xxhash64(*_HOME), F.col("_parts")).cast("int")).drop("_parts"), dealt
+    return rows.join(loads, on).withColumn("_part", F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int")).drop("_parts"), dealt
 
 
 def both_images(prev: DataFrame, curr: DataFrame, keys, halo: int, tile: int, column: str = "i") -> DataFrame:
@@ -103,7 +104,7 @@ def image_of(pixels: pa.Table, which: int) -> tuple[np.ndarray, int, int] | None
     return grids["_i"], y0, x0
 
 
-def _numbers(table: pa.Table, name: str) -> np.ndarray:
+def numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(float)
 
 
@@ -156,7 +157,7 @@ def with_patch_error(
         second = image_of(pixels, 1)
         b, by, bx = second if second is not None else (np.zeros((1, 1)), 0, 0)
         box = (by, bx, by + b.shape[0], bx + b.shape[1]) if second is not None else (0, 0, height, width)
-        y, x, dy, dx = (_numbers(rows_, c) for c in ("y", "x", down, right))
+        y, x, dy, dx = (numbers(rows_, c) for c in ("y", "x", down, right))
         lost = pc.or_(pc.is_null(rows_["u"]), pc.is_null(rows_["v"])).to_numpy()
         sits, here = inside(y, x) & ~lost, within(y + dy, x + dx, half, shape, box)
         err, ringed = np.full(len(y), np.nan), np.pad(a, half)
@@ -186,9 +187,9 @@ def with_patch_error(
             return pa.Table.from_batches([], schema=away_schema)
         rows_ = rows_.sort_by([(c, "ascending") for c in (*_HOME, "_k")])
         heads = rows_.take(pa.array(np.arange(0, rows_.num_rows, p * p)))
-        patches = _numbers(rows_, "_a").reshape(-1, p, p)
+        patches = numbers(rows_, "_a").reshape(-1, p, p)
         grids, by, bx = as_grid(pixels.select(["y", "x", "_i"]))
-        y, x, dy, dx = (_numbers(heads, c) for c in ("y", "x", down, right))
+        y, x, dy, dx = (numbers(heads, c) for c in ("y", "x", down, right))
         total = np.empty(len(y))
         for at in range(0, len(y), AT_ONCE):
             cut = slice(at, at + AT_ONCE)
@@ -197,8 +198,6 @@ def with_patch_error(
         done = heads.select([f.name for f in out])
         return done.set_column(done.schema.get_field_index("err"), "err", pa.array(finished(total)))
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     near_schema, away_schema = to_arrow_schema(T.StructType([*out, *extra])), to_arrow_schema(T.StructType(out))
     home = rows.select(*[F.col(n).alias(n) for n in names]).withColumns({TY: F.floor(F.col("y") / tile).cast("int"), TX: F.floor(F.col("x") / tile).cast("int")})
     on = [*keys, TY, TX]
