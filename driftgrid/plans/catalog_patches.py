@@ -474,8 +474,9 @@ def _search_sql(
     ),
 )
 def _(s, d):
-    f = search.patch_features(A.mosaic32(s, d), 7, 5, A.LARGE).withColumns({"u0": F.lit(0.0), "v0": F.lit(0.0)})
-    found = search.patch_search(A.moved32(s, d), f, 6, 7, A.LARGE)
+    first = A.mosaic32(s, d)
+    heads = search.patch_heads(first, 7, 5, A.LARGE).withColumns({"u0": F.lit(0.0), "v0": F.lit(0.0)})
+    found = search.patch_search(A.moved32(s, d), heads, 6, 7, A.LARGE, prev=first)
     size = F.sqrt(F.aggregate("err", F.lit(0.0), lambda a, v: a + v * v))
     return out(found.withColumn("err", size), "u", "v", "err", keys=("frame_id", "patch_id", "cy", "cx"))
 
