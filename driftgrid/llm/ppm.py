@@ -30,12 +30,14 @@ from driftgrid.llm.worker import held
 from driftgrid.scale import durable
 
 ORDER = 4
-#: The sample: at most so many documents of every language, of each at most so many characters from its start.
-PER_LANG, SAMPLE_CHARS = 250, 8000
+#: The sample: at most so many documents of every language, with their whole texts.
+PER_LANG = 250
 #: Languages up to which the bounds of a worker hold; with more they shrink, so that its memory does not grow.
 LANGS = 64
-#: Words remembered by a Python worker; words scored at a time; characters of texts taken together.
-MAX_WORDS, PART_WORDS, PART_CHARS = 150_000, 20_000, 1 << 21
+#: Words (and their characters) remembered by a Python worker; bytes scored at a time; characters of texts taken together.
+MAX_WORDS, MAX_CHARS, PART_BYTES, PART_CHARS = 150_000, 4 << 20, 1 << 18, 1 << 21
+#: Longer words are scored in pieces and not remembered.
+LONG_WORD = 256
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -56,7 +58,7 @@ def _keys(data: np.ndarray, place: np.ndarray):
     key = np.zeros(len(data), np.uint64)
     for n in range(1, ORDER + 2):
         moved = np.zeros(len(data), np.uint64)
-        moved[n - 1 :] = data[: len(data) - n + 1]
+        moved[n - 1 :] = data[: max(0, len(data) - n + 1)]
         key = key | moved << np.uint64(8 * (n - 1))
         yield n, key, place >= n - 1
 
@@ -99,6 +101,19 @@ class Model:
     def code_lengths(self, words: list[bytes]) -> np.ndarray:
         """Bits of each word in each language."""
         data, place, begins = _positions(words)
+        return np.add.reduceat(self._costs(data, place), begins, axis=0, dtype=np.float64)
+
+    def long_code_length(self, word: bytes, step: int) -> np.ndarray:
+        """Bits of one word of any length in each language, ``step`` bytes at a time; a piece starts with the ``ORDER`` bytes before it."""
+        data, total = np.frombuffer(b" " + word + b" ", np.uint8), np.zeros(len(self.langs))
+        for at in range(0, len(data), step):
+            begun = max(0, at - ORDER)
+            piece = data[begun : at + step].astype(np.uint64)
+            total += self._costs(piece, np.arange(begun, begun + len(piece)))[at - begun :].sum(axis=0, dtype=np.float64)
+        return total
+
+    def _costs(self, data: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Bits of every byte in each language, given its place in its word."""
         keys = [(key, inside & (place >= 1)) for _, key, inside in _keys(data, place)]
         cost = np.zeros((len(data), len(self.langs)), np.float32)
         open_ = np.broadcast_to((place >= 1)[:, None], cost.shape).copy()
@@ -118,7 +133,7 @@ class Model:
             cost[at] += np.where(open_[at], add, 0)
             open_[at] &= ~hit
         cost += open_ * np.float32(8)
-        return np.add.reduceat(cost, begins, axis=0, dtype=np.float64)
+        return cost
 
 
 def fitting(bound: int, model: Model) -> int:
@@ -131,7 +146,7 @@ class _Words(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.new, self.bits = model, [], np.zeros((1024, len(model.langs)))
+        self.model, self.new, self.chars, self.bits = model, [], 0, np.zeros((1024, len(model.langs)))
 
     def __missing__(self, word: str) -> int:
         self[word] = row = len(self)
@@ -139,41 +154,71 @@ class _Words(dict):
         return row
 
     def settle(self) -> None:
-        at, step = len(self) - len(self.new), fitting(PART_WORDS, self.model)
+        at, most = len(self) - len(self.new), fitting(PART_BYTES, self.model)
         if len(self) > len(self.bits):
             self.bits = np.concatenate([self.bits[:at], np.zeros((len(self) * 2 - at, self.bits.shape[1]))])
-        for i in range(0, len(self.new), step):
-            part = [w.encode() for w in self.new[i : i + step]]
-            self.bits[at + i : at + i + len(part)] = self.model.code_lengths(part)
+        part, size = [], 0
+        for k, word in enumerate(self.new, 1):
+            part.append(word.encode())
+            size += len(part[-1]) + 2
+            if size >= most or k == len(self.new):
+                self.bits[at : at + len(part)] = self.model.code_lengths(part)
+                at, part, size = at + len(part), [], 0
+        self.chars += sum(map(len, self.new))
         self.new.clear()
 
+    def full(self) -> bool:
+        return len(self) > fitting(MAX_WORDS, self.model) or self.chars > fitting(MAX_CHARS, self.model)
+
+    def forget(self) -> None:
+        self.clear()
+        self.chars = 0
+
 
 def score(texts: list[str], words: _Words) -> np.ndarray:
     """Code lengths in bits, texts by languages."""
     ids, ends = [], [0]
-    for text in texts:
-        ids.append(np.fromiter(map(words.__getitem__, text.lower().split()), np.int64))
+    total = np.zeros((len(texts), len(words.model.langs)))
+    for i, text in enumerate(texts):
+        own = text.lower().split()
+        if own and max(map(len, own)) > LONG_WORD:
+            for word in own:
+                if len(word) > LONG_WORD:
+                    total[i] += words.model.long_code_length(word.encode(), fitting(PART_BYTES, words.model))
+            own = [w for w in own if len(w) <= LONG_WORD]
+        ids.append(np.fromiter(map(words.__getitem__, own), np.int64))
         ends.append(ends[-1] + len(ids[-1]))
     words.settle()
-    total = np.zeros((len(texts), len(words.model.langs)))
     for i, own in enumerate(ids):
         if len(own):
-            total[i] = words.bits[own].sum(axis=0)
-    if len(words) > fitting(MAX_WORDS, words.model):
-        words.clear()
+            total[i] += words.bits[own].sum(axis=0)
+    if words.full():
+        words.forget()
     return total
 
 
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """The first ``PER_LANG`` rows of every language by hash; tasks and then salts keep their own first ones, so only those meet."""
+    order = ["hash_", "id_", "text"]
+    part = Window.partitionBy("lang", "salt_").orderBy(*order)
+    some = rows.withColumn("salt_", F.pmod(F.spark_partition_id(), F.lit(64)))
+    some = some.withColumn("at_", F.row_number().over(part)).where(F.col("at_") <= PER_LANG).drop("salt_", "at_")
+    whole = Window.partitionBy("lang").orderBy(*order)
+    return some.withColumn("at_", F.row_number().over(whole)).where(F.col("at_") <= PER_LANG).select("lang", "text")
+
+
 def sample(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang`` and ``text`` of at most ``PER_LANG`` rows of every language, chosen by a hash of the row; only the start of a long text."""
+    """``lang`` and the whole ``text`` of ``PER_LANG`` rows of every language (all, if there are fewer), chosen by a hash of the row."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(text).rlike(r"\S"))
     rows = labelled.select(F.col(lang).alias("lang"), F.col(id_col).alias("id_"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), id_col, text).alias("hash_"))
     often = durable(rows.groupBy("lang").agg(F.count("*").alias("n_")))
-    # about twice the bound passes the first draw, the window keeps the bound itself
+    # about twice the bound passes the first draw, the windows keep the bound itself
     drawn = rows.join(often, "lang").where(F.pmod("hash_", F.lit(1 << 40)) / (1 << 40) < 2 * PER_LANG / F.col("n_"))
-    begun = drawn.withColumn("text", F.substring(F.regexp_replace("text", r"^\s+", ""), 1, SAMPLE_CHARS))
-    order = Window.partitionBy("lang").orderBy("hash_", "id_", "text")
-    return begun.withColumn("at_", F.row_number().over(order)).where(F.col("at_") <= PER_LANG).select("lang", "text")
+    taken = durable(_first_rows(drawn.drop("n_")))
+    # repeated rows share their hash and are drawn or left together: a language that falls short gives its first rows
+    got = taken.groupBy("lang").agg(F.count("*").alias("got_"))
+    short = durable(often.join(got, "lang", "left").where(F.coalesce("got_", F.lit(0)) < F.least("n_", F.lit(PER_LANG))).select("lang"))
+    return taken.join(short, "lang", "left_anti").unionByName(_first_rows(rows.join(short, "lang", "left_semi")))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:

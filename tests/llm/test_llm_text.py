@@ -291,12 +291,37 @@ def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(ppm, "PER_LANG", 7)
     taken = ppm.sample(docs).groupBy("lang").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("chars")).collect()
     assert {r.lang: r.n for r in taken} == {f"l{k:02d}": 3 for k in range(70)} | {"long": 2, "same": 7}
-    assert max(r.chars for r in taken) == ppm.SAMPLE_CHARS
+    assert max(r.chars for r in taken) == len("langertext wort " * 1000)
     model = ppm.learn(docs)
     assert model.langs == sorted({r[2] for r in rows})
     assert {(r.lang, r.lang_pred) for r in ppm.identify(docs, model, keep={"lang": F.col("lang")}).collect()} == {(x, x) for x in model.langs}
 
 
+@pytest.mark.parametrize("first", [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:6])
+def test_language_of_repeated_rows_is_learned(spark, first):
+    """Copies of a row are drawn or left together; either way their language is learned."""
+    rows = [(first, "wort fuer wort", "same")] * 3000 + [(first + 1000 * k, f"word{k} for word", "en") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {"same": ppm.PER_LANG, "en": sum(zlib.crc32(str(r[0]).encode()) % 4 != 2 for r in rows[3000:])}
+    assert {r.lang: r["count"] for r in ppm.sample(docs).groupBy("lang").count().collect()} == want
+
+
+def test_long_words_are_scored_in_pieces(monkeypatch):
+    words = {"en": {b"the": 5, b"then": 2, b"cat": 1}, "fr": {b"le": 4, b"chat": 2}}
+    model = ppm.Model(words)
+    word = "thechatthen" * 40
+    for step in (1, 5, 7, 1000):
+        np.testing.assert_allclose(model.long_code_length(word.encode(), step), model.code_lengths([word.encode()])[0], rtol=1e-6)
+    texts = [f"the {word} cat", word, "", "le chat " + "x" * 300]
+    want = ppm.score(texts, ppm._Words(model))
+    monkeypatch.setattr(ppm, "LONG_WORD", 10_000)
+    monkeypatch.setattr(ppm, "PART_BYTES", 50)
+    monkeypatch.setattr(ppm, "MAX_CHARS", 10)
+    memory = ppm._Words(model)
+    np.testing.assert_allclose(ppm.score(texts, memory), want, rtol=1e-6)
+    assert len(memory) == 0
+
+
 def test_language_odd_rows(odd):
     model = ppm.learn(odd)
     got = {}
