@@ -6,12 +6,14 @@ Rows carry ``seq``, increasing with age of arrival within a buffer.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.functions.columns import mix
-from driftgrid.scale import attach, durable
+from driftgrid.scale import durable
 from driftgrid.sources.tables import rank_all
 
 BUFFER = ("buffer_id",)
@@ -20,31 +22,51 @@ _SALTS = 64
 MEET = 1 << 18
 
 
-def _ranked(table: DataFrame, order: dict[str, Column], keys) -> DataFrame:
-    """Keys and order columns of every row with its ``_place`` in its buffer (from 0), by a range shuffle of these columns alone."""
-    light = table.select(*keys, *[c.alias(name) for name, c in order.items()])
-    ranks = rank_all(light, [*keys, *order], "_rank")
-    first = ranks.groupBy(*keys).agg(F.min("_rank").alias("_first"))
-    return attach(ranks, first, keys).withColumn("_place", F.col("_rank") - F.col("_first"))
+def _tie(table: DataFrame) -> Column:
+    """Tells rows with equal keys and order apart; rows that it does not are equal in every column."""
+    return F.xxhash64(*[F.col(c) for c in sorted(table.columns)])
+
+
+def _same(keys) -> Column:
+    """A row's keys are those of a summary (``_of_`` columns); NULL is a key like any other."""
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+
+
+def _of(keys) -> list[Column]:
+    return [F.col(k).alias(f"_of_{k}") for k in keys]
+
+
+def _placed(table: DataFrame, order: dict[str, Column], keys) -> tuple[DataFrame, DataFrame]:
+    """The stored rows with a number ``_row`` of their own, and keys, order columns, ``_row`` and the place (from 0) in its buffer of every row.
+
+    Only keys and order columns go through the range shuffle.
+    """
+    stored = durable(table.withColumns({"_tie": _tie(table), "_row": F.monotonically_increasing_id()}))
+    light = stored.select(*keys, *[c.alias(name) for name, c in order.items()], "_tie", "_row")
+    ranks = rank_all(light, [*keys, *order, "_tie", "_row"], "_rank")
+    first = durable(ranks.groupBy(*_of(keys)).agg(F.min("_rank").alias("_first")))
+    return stored, ranks.join(first, _same(keys)).drop(*[f"_of_{k}" for k in keys]).withColumn("_place", F.col("_rank") - F.col("_first"))
 
 
 def _first_n(table: DataFrame, n: int, order: dict[str, Column], keys) -> DataFrame:
-    """The first ``n`` rows per key under ``order`` (a total order; ascending).
+    """The first ``n`` rows per key under ``order`` (ascending; ties by the other columns): exactly n, or all if there are fewer.
 
-    For small ``n`` each salt keeps its own first ``n``, which contain the key's
-    first ``n``, and only those meet. Otherwise every key's ``n``-th row is found
-    by ranks, and rows are kept by comparing with it where they are.
+    For small ``n`` each salt keeps its own first ``n``, which contain the key's first ``n``, and only those meet.
+    Otherwise ranks tell every key's ``n``-th row, and rows compare with it where they are. Both ways keep the same rows.
     """
     if n * _SALTS <= MEET:
-        by = list(order.values())
-        salted = table.withColumn("_salt", F.pmod(mix("seq", 7), F.lit(_SALTS)))
+        by = [*order.values(), F.col("_tie")]
+        salted = table.withColumns({"_salt": F.pmod(F.coalesce(mix("seq", 7), F.lit(0)), F.lit(_SALTS)), "_tie": _tie(table)})
         part = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*by))
         few = salted.withColumn("_rn", part).where(F.col("_rn") <= n).drop("_rn", "_salt")
         whole = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
-        return few.withColumn("_rn", whole).where(F.col("_rn") <= n).drop("_rn")
-    last = _ranked(table, order, keys).where(F.col("_place") == n - 1).select(*keys, F.struct(*order).alias("_last"))
-    own = F.struct(*[c.alias(name) for name, c in order.items()])
-    return table.join(durable(last), list(keys), "left").where(F.col("_last").isNull() | (own <= F.col("_last"))).drop("_last")
+        return few.withColumn("_rn", whole).where(F.col("_rn") <= n).drop("_rn", "_tie")
+    stored, places = _placed(table, order, keys)
+    # every buffer's n-th row; rows compare with it where they are
+    last = durable(places.where(F.col("_place") == n - 1).select(*_of(keys), F.struct(*order, "_tie", "_row").alias("_last")))
+    own = F.struct(*[c.alias(name) for name, c in order.items()], "_tie", "_row")
+    kept = stored.join(last, _same(keys), "left").where(F.col("_last").isNull() | (own <= F.col("_last")))
+    return kept.drop("_last", "_row", "_tie", *[f"_of_{k}" for k in keys])
 
 
 def retain(table: DataFrame, capacity: int, keys: Sequence[str] = BUFFER) -> DataFrame:
@@ -74,10 +96,11 @@ def sample_at(table: DataFrame, positions: int | Sequence[int], keys: Sequence[s
     if max(wanted) >= held or min(wanted) < 0:
         raise IndexError(f"positions {wanted} out of range for a buffer of length {held}")
     if (max(wanted) + 1) * _SALTS > MEET:
-        found = _ranked(table, {"seq": F.col("seq")}, keys).where(F.col("_place").isin(wanted))
-        return attach(table, found.select(*keys, "seq", F.col("_place").cast("int").alias("position")), [*keys, "seq"])
+        stored, places = _placed(table, {"_o": F.col("seq")}, keys)
+        found = places.where(F.col("_place").isin(wanted)).select("_row", F.col("_place").cast("int").alias("position"))
+        return stored.join(durable(found), "_row").drop("_row", "_tie")
     oldest = _first_n(table, max(wanted) + 1, {"_o": F.col("seq")}, keys)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) - 1
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("seq", _tie(oldest))) - 1
     return oldest.withColumn("position", place).where(F.col("position").isin(wanted))
 
 

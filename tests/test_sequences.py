@@ -117,6 +117,22 @@ def test_replay_by_ranks_equals_replay_by_windows(spark, buffers, monkeypatch):
     assert "Window" not in plan and "hashpartitioning" not in plan
 
 
+def test_replay_keeps_the_same_rows_either_way(spark, monkeypatch):
+    """A buffer without a number, repeated ``seq``, equal rows, and one buffer that holds nearly all rows."""
+    rows = [(None, k, k % 3, float(k)) for k in range(20)] + [(1, 15, k, 0.5) for k in range(3)] + [(1, 15, 0, 0.5)] + [(1, k, 0, 1.0) for k in range(10)]
+    rows += [(2, k // 2, k % 2, float(k)) for k in range(600)]
+    df = spark.createDataFrame(rows, "buffer_id long, seq long, action long, reward double")
+
+    def everything():
+        taken = [replay.retain(df, n) for n in (5, 25)] + [replay.sample(df, 7, 3), replay.sample_at(df, [0, 2, 9])]
+        return [sorted(map(str, t.select(*sorted(t.columns)).collect())) for t in taken]
+
+    few = everything()
+    monkeypatch.setattr(replay, "MEET", 1)
+    assert everything() == few
+    assert [len(x) for x in few] == [15, 20 + 14 + 25, 21, 9]
+
+
 def test_replay_errors(buffers):
     kept = replay.retain(buffers, 10)
     with pytest.raises(ValueError):
