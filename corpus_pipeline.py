@@ -71,7 +71,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language_id), ("SimHash near-dedup", near_duplicates), ("source mix", source_mix), ("BPE tokens", tokens)]
 
-#: The stages have no SQL form; tests hold them against brute force.
+#: The stages have no SQL form.
 ORACLE_SQL = None
 
 
