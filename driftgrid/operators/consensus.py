@@ -10,13 +10,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftgrid.operators.differential import div_vort, gradients, laplacian
 from driftgrid.operators.displaced import with_patch_error
 from driftgrid.operators.metrics import epe
 from driftgrid.scale import attach
 from driftgrid.schema import FRAME, PIXEL
+from driftgrid.tiles import TILE, along_x, along_y, own, shifted, spread
 
-WEIGHTINGS = ("none", "list", "photometric", "photograd")
+WEIGHTINGS = ("none", "list", "table", "photometric", "photograd")
 NORMALIZATIONS = ("none", "per_batch", "per_pixel", "softmax_per_batch", "softmax_per_pixel", "max")
 
 
@@ -68,6 +68,24 @@ def weights_list(ensemble: DataFrame, weights: Sequence[float] | None) -> DataFr
     return ensemble.withColumn("w", F.when(F.col("estimator").between(0, len(weights) - 1), F.get(table, F.col("estimator"))).otherwise(lacking.cast("double")))
 
 
+def weights_table(ensemble: DataFrame, weights: DataFrame, keys=FRAME) -> DataFrame:
+    """A weight of its own for every frame, estimator and pixel, from a table with the column ``w``.
+
+    A row of the ensemble without exactly one weight, or with a NULL one, raises
+    an error; weights of pixels that the ensemble does not have are ignored.
+    Both tables are placed by pixel once, and the normalisation and fusion of
+    pixels that follow need no further exchange.
+    """
+    at = [*keys, "estimator", *PIXEL]
+    given = weights.select(*at, F.col("w").cast("double").alias("_given"), F.lit(False).alias("_row"))
+    rows = ensemble.withColumn("_row", F.lit(True)).unionByName(given, allowMissingColumns=True).repartition(*keys, *PIXEL)
+    met = rows.withColumns({"_n": F.count("_given").over(Window.partitionBy(*at)), "_given": F.max("_given").over(Window.partitionBy(*at))})
+    place = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))) for c in at])
+    wrong = F.raise_error(F.concat(F.col("_n").cast("string"), F.lit(" weights where one is needed: "), place)).cast("double")
+    out = met.where("_row").withColumn("w", F.when(F.col("_n") == 1, F.col("_given")).otherwise(wrong))
+    return out.drop("_row", "_n", "_given")
+
+
 def weights_photometric(
     ensemble: DataFrame, prev: DataFrame, curr: DataFrame, shape: tuple[int, int], patch_size: int = 3, keys=FRAME
 ) -> DataFrame:
@@ -147,6 +165,10 @@ def make_weights(
         if "weights" not in cfg:
             raise ValueError("weights must be provided when weights_type is 'list'")
         weighted = weights_list(ensemble, cfg["weights"])
+    elif kind == "table":
+        if not isinstance(cfg.get("weights"), DataFrame):
+            raise ValueError("weights must be a table when weights_type is 'table'")
+        weighted = weights_table(ensemble, cfg["weights"], keys)
     else:
         weighted = weights_list(ensemble, None)
     return normalize_weights(weighted, normalization, keys=keys)
@@ -174,38 +196,51 @@ def consensus_median(ensemble: DataFrame, keys=FRAME) -> DataFrame:
     return ensemble.groupBy(*keys, *PIXEL).agg(F.median("u").alias("u"), F.median("v").alias("v"))
 
 
-def regularizer(field: DataFrame, name: str, eps: float = 1e-4, keys=FRAME) -> DataFrame:
-    """A roughness measure summed over the interior of every frame, as ``loss``."""
-    table = field.select(*keys, *PIXEL, "u", "v")
+REGULARIZERS = ("smoothness", "divergence", "tv", "laplacian")
 
-    def sq(c: str) -> Column:
-        return F.col(c) * F.col(c)
 
+def _roughness(name: str, eps: float = 1e-4) -> Column:
+    """One pixel's part of a regulariser, from the columns of ``_stencils``."""
+    square = lambda c: c * c
+    slopes = {c: square(F.col(f"{c}_dx")) + square(F.col(f"{c}_dy")) for c in ("u", "v")}
     if name == "smoothness":
-        g, value = gradients(table, keys=keys), sq("u_dx") + sq("u_dy") + sq("v_dx") + sq("v_dy")
-    elif name == "divergence":
-        g, value = div_vort(table, keys), sq("div")
-    elif name == "tv":
-        e = F.lit(float(eps))
-        g = gradients(table, keys=keys)
-        value = F.sqrt(sq("u_dx") + sq("u_dy") + e) + F.sqrt(sq("v_dx") + sq("v_dy") + e)
-    elif name == "laplacian":
-        g, value = laplacian(table, keys=keys), sq("u_lap") + sq("v_lap")
-    else:
-        raise ValueError(f"unknown regularizer {name!r}")
-    return g.groupBy(*keys).agg(F.sum(value).alias("loss"))
+        return slopes["u"] + slopes["v"]
+    if name == "divergence":
+        return square(F.col("u_dx") + F.col("v_dy"))
+    if name == "tv":
+        return F.sqrt(slopes["u"] + F.lit(float(eps))) + F.sqrt(slopes["v"] + F.lit(float(eps)))
+    if name == "laplacian":
+        return square(F.col("u_lap")) + square(F.col("v_lap"))
+    raise ValueError(f"unknown regularizer {name!r}")
+
+
+def _stencils(field: DataFrame, keys, tile: int) -> DataFrame:
+    """Central differences and Laplacians of interior pixels, all from one exchange of tiles."""
+    x, y = along_x(keys), along_y(keys)
+    made = {}
+    for c in ("u", "v"):
+        right, left, below, above = shifted(c, 1, x), shifted(c, -1, x), shifted(c, 1, y), shifted(c, -1, y)
+        made[f"{c}_dx"], made[f"{c}_dy"] = (right - left) / 2.0, (below - above) / 2.0
+        made[f"{c}_lap"] = right + left + below + above - 4.0 * F.col(c)
+    tiled = own(spread(field.select(*keys, *PIXEL, "u", "v"), 1, keys, tile).withColumns(made), tile)
+    return tiled.where(F.col("u_dx").isNotNull() & F.col("u_dy").isNotNull())
+
+
+def regularizer(field: DataFrame, name: str, eps: float = 1e-4, keys=FRAME, tile: int = TILE) -> DataFrame:
+    """A roughness measure summed over the interior of every frame, as ``loss``."""
+    return _stencils(field, keys, tile).groupBy(*keys).agg(F.sum(_roughness(name, eps)).alias("loss"))
 
 
-REGULARIZERS = ("smoothness", "divergence", "tv", "laplacian")
+def total_regularization(field: DataFrame, weights: dict[str, float], keys=FRAME, tile: int = TILE) -> DataFrame:
+    """Weighted sum of several regularisers per frame.
 
-
-def total_regularization(field: DataFrame, weights: dict[str, float], keys=FRAME) -> DataFrame:
-    """Weighted sum of several regularisers per frame."""
-    parts = None
-    for name, weight in weights.items():
-        one = regularizer(field, name, keys=keys).withColumn("loss", F.col("loss") * float(weight))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy(*keys).agg(F.sum("loss").alias("loss"))
+    All of them are read off one tiled pass; what is exchanged after it is one partial sum per regulariser and frame.
+    """
+    parts = [float(weight) * F.sum(_roughness(name)) for name, weight in weights.items()]
+    total = F.lit(0.0)
+    for part in parts:
+        total = total + part
+    return _stencils(field, keys, tile).groupBy(*keys).agg(total.alias("loss"))
 
 
 def flows_objective(state: DataFrame, rho: float, kind: str = "l2", keys=FRAME) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from driftgrid.operators import admm, consensus, metrics, normalize, pixels
-from driftgrid.plans import estimators, evaluate, steps
+from driftgrid.plans import estimators, evaluate, steps, sweep
 from driftgrid.plans.catalog_fields import FYX, _EPE, _median_scores, out
 from driftgrid.plans.catalog_patches import COARSE_TO_FINE, CORRELATION, VECTORS, corr_sql, photometric_sql, refill_sql
 from driftgrid.plans.oracle import around, r6, relaxed_sql, resize_sql, sobel_sql, sql
@@ -293,7 +293,7 @@ _admm("consensus_admm", 4, "l2", 0.05)
 _admm("consensus_admm_l1", 3, "l1", 0.05)
 
 
-def _stopping_sql(rounds: int, inner: int, rate: float, eps_abs: float, eps_rel: float):
+def _stopping_sql(rounds: int, inner: int, rate: float, eps_abs: float, eps_rel: float, adam: bool = True):
     """All iterations without stopping, then the first at which a frame passes both tests."""
     pixel = "WINDOW p AS (PARTITION BY frame_id, y, x)"
     x = ", ".join(f"(2 * w * a{c} + {_RHO} * (z{c} - d{c})) / (2 * w + {_RHO}) AS x{c}" for c in "uv")
@@ -303,6 +303,9 @@ def _stopping_sql(rounds: int, inner: int, rate: float, eps_abs: float, eps_rel:
     ) + f" FROM ({now}) {pixel}"
     for k in range(1, inner + 1):
         slope = {c: f"({_RHO} * (n * z{c} - s{c}))" for c in "uv"}
+        if not adam:
+            now = "SELECT * REPLACE (" + ", ".join(f"z{c} - {rate} * {slope[c]} AS z{c}" for c in "uv") + f") FROM ({now})"
+            continue
         now = "SELECT * REPLACE (" + ", ".join(
             f"0.9 * m{c} + 0.1 * {slope[c]} AS m{c}, 0.999 * q{c} + 0.001 * {slope[c]} ** 2 AS q{c}" for c in "uv"
         ) + f") FROM ({now})"
@@ -382,6 +385,60 @@ def _(s, d):
     return out(sweep, "mean", "max", "min", keys=("epe_limit",))
 
 
+# weights by pixel: those of a list, less at odd places
+_ODD = "(y + 2 * x + estimator) % 3"
+
+
+@query(
+    "weights_table",
+    sql(
+        "listed8",
+        f"SELECT frame_id, estimator, y, x, {r6('w / (sum(w) OVER (PARTITION BY frame_id, y, x) + 1e-8)', 'w')} FROM tw",
+        ("tw", f"SELECT frame_id, estimator, y, x, w / (1 + {_ODD}) AS w FROM listed8"),
+    ),
+)
+def _(s, d):
+    """A weight table by frame, estimator and pixel, normalised per pixel."""
+    table = _listed(s, d).withColumn("w", F.col("w") / (1 + F.expr(_ODD))).select(*EYX, "w")
+    options = {"weights_type": "table", "weights": table, "normalization": "per_pixel"}
+    return out(consensus.make_weights(A.ensemble8(s, d), config=options), "w", keys=EYX)
+
+
+_RUN = (30, 3, 0.05, 0.02, 0.03)
+
+
+@query(
+    "consensus_metrics",
+    sql(
+        "masked8 field8 image8",
+        f"""SELECT frame_id, valid, {r6('coverage', 'coverage')}, stop_iter, {r6('mean_epe', 'mean_epe')} FROM st
+        JOIN (SELECT frame_id - 1 AS frame_id, max(i) > 200 AS valid FROM image8 GROUP BY frame_id) USING (frame_id)
+        JOIN (SELECT frame_id, avg(hit) AS coverage FROM (SELECT frame_id, y, x, max(mask) AS hit FROM masked8 GROUP BY ALL) GROUP BY frame_id) USING (frame_id)
+        JOIN (SELECT r.frame_id, avg(sqrt((zu - f.u) ** 2 + (zv - f.v) ** 2)) AS mean_epe FROM rs r JOIN st USING (frame_id)
+          JOIN field8 f ON f.frame_id = r.frame_id AND f.y = r.y AND f.x = r.x
+          WHERE estimator = 0 AND k = coalesce(stop_iter + 1, {_RUN[0]}) GROUP BY r.frame_id) USING (frame_id)""",
+        ("listed9", "SELECT *, ([1.0, 2.0, 0.5])[estimator + 1]::DOUBLE * mask AS w FROM masked8"),
+        (_STATE[0], _STATE[1].replace("listed8", "listed9")),
+        *_stopping_sql(*_RUN, adam=False)[1:],
+    ),
+)
+def _(s, d):
+    """Coverage, stopping iteration and error of every frame of a run masked by the truth.
+
+    Plain descent: where every estimator is masked the slope is rounding noise, which ``adam`` would blow up.
+    """
+    prev, curr = _images(s, d)
+    dark = curr.withColumn("i", F.when(F.col("i") > 200, F.col("i")).otherwise(0.0))
+    pairs = prev.withColumnRenamed("i", "prev").join(dark.withColumnRenamed("i", "curr"), list(FYX))
+    options = {
+        "weights_type": "list", "weights": LIST, "rho": _RHO, "solver_consensus": "sgd",
+        "num_iterations_consensus": _RUN[1], "learning_rate_consensus": _RUN[2],
+        "max_admm_iterations": _RUN[0], "eps_abs_stopping": _RUN[3], "eps_rel_stopping": _RUN[4],
+    }
+    run = estimators.fuse_ensemble(A.ensemble8(s, d), pairs, A.SMALL, "admm", options, 1.5, A.field8(s, d))
+    return out(run.frames.where("coverage IS NOT NULL"), "coverage", "mean_epe", keys=("frame_id", "valid", "stop_iter"))
+
+
 # --- named chains and estimators --------------------------------------------
 
 
@@ -544,6 +601,96 @@ def _(s, d):
     return out(fused, "u", "v")
 
 
+_MEMBERS = [
+    {"name": "window_piv", "window_size": 12, "search_size": 16, "overlap": 8, "replace_iter": 2, "replace_radius": 1},
+    {"name": "dummy"},
+]
+
+
+def _moved_truth(s, d):
+    """The displacement between the images of ``pair32``."""
+    return A.mosaic32(s, d).select(*FYX, F.lit(2.0).alias("u"), F.lit(1.0).alias("v"))
+
+
+@query(
+    "evaluate_oracle_config",
+    sql(
+        "mosaic32 moved32",
+        f"""SELECT count(*) AS frames, {r6('avg(e)', 'mean')}, {r6('max(e)', 'max')}, {r6('min(e)', 'min')} FROM (
+          SELECT a.frame_id, avg(a.e) AS e FROM (
+            SELECT a.frame_id, a.y, a.x, sqrt((avg(b.u) - 2) ** 2 + (avg(b.v) - 1) ** 2) AS e FROM fused a CROSS JOIN range(-1, 2) r1(dy) CROSS JOIN range(-1, 2) r2(dx)
+            JOIN fused b ON b.frame_id = a.frame_id AND b.y = least(greatest(a.y + dy, 0), 31) AND b.x = least(greatest(a.x + dx, 0), 31)
+            GROUP BY a.frame_id, a.y, a.x) a GROUP BY a.frame_id)""",
+        *CORRELATION,
+        *VECTORS,
+        *refill_sql(2),
+        ("ens", f"SELECT frame_id, y, x, u, v FROM ({resize_sql('r2', 'u v', (3, 3), (32, 32))}) UNION ALL SELECT frame_id, y, x, 0.0, 0.0 FROM mosaic32"),
+        ("kept", "SELECT *, CASE WHEN sqrt((u - 2) ** 2 + (v - 1) ** 2) > 1.7 THEN 0.0 ELSE 1.0 END AS w FROM ens"),
+        (
+            "fused",
+            "SELECT frame_id, y, x, "
+            + ", ".join(f"CASE WHEN max(w) = 0 THEN sum({c}) / (count(*) + 1e-8) ELSE sum(w * {c}) / (sum(w) + 1e-8) END AS {c}" for c in "uv")
+            + " FROM kept GROUP BY ALL",
+        ),
+    ),
+)
+def _(s, d):
+    """A configured oracle ensemble: members masked by the truth, fused, smoothed and measured."""
+    pairs = A.pair32(s, d).withColumnRenamed("pair_id", "frame_id")
+    config = {
+        "estimator": "consensus", "estimators": _MEMBERS, "algorithm": "mean", "oracle": True,
+        "experiment_params": {"epe_limit": 1.7}, "postprocess": [{"name": "average_smoothing", "radius": 1}],
+    }
+    return out(evaluate.evaluate_field(config, pairs, _moved_truth(s, d), A.LARGE), "mean", "max", "min", keys=("frames",))
+
+
+_GRID = {"preprocess.0.n": [0.5, 2.0], "config.weights.1": [0.25, 1.0], "postprocess.0.radius": [1, 2]}
+_VARIED = (
+    (
+        "capped",
+        """SELECT frame_id * 2 + k AS frame_id, y, x, least(i, med + [0.5, 2.0][k + 1] * sd) AS i FROM mosaic32
+        JOIN (SELECT frame_id, median(i) AS med, stddev_pop(i) AS sd FROM mosaic32 GROUP BY frame_id) USING (frame_id) CROSS JOIN range(2) r(k)""",
+    ),
+    ("capped2", "SELECT frame_id, (y + 1) % 32 AS y, (x + 2) % 32 AS x, i FROM capped"),
+    *corr_sql("capped", "capped2"),
+    *VECTORS,
+    *refill_sql(2),
+    # the second member is the zero field
+    (
+        "fused",
+        f"""SELECT frame_id, w, y, x, u / (1 + w + 1e-8) AS u, v / (1 + w + 1e-8) AS v
+        FROM ({resize_sql('r2', 'u v', (3, 3), (32, 32))}) CROSS JOIN (VALUES (0.25), (1.0)) t(w)""",
+    ),
+    (
+        "smooth",
+        """SELECT a.frame_id, a.w, q.radius, a.y, a.x, avg(b.u) AS u, avg(b.v) AS v FROM fused a CROSS JOIN (VALUES (1), (2)) q(radius)
+        CROSS JOIN range(-2, 3) r1(dy) CROSS JOIN range(-2, 3) r2(dx)
+        JOIN fused b ON b.frame_id = a.frame_id AND b.w = a.w AND b.y = least(greatest(a.y + dy, 0), 31) AND b.x = least(greatest(a.x + dx, 0), 31)
+        WHERE abs(dy) <= radius AND abs(dx) <= radius GROUP BY ALL""",
+    ),
+)
+
+
+@query(
+    "sweep_config",
+    sql(
+        "mosaic32",
+        f"""SELECT ((frame_id % 2) * 4 + (w = 1)::INT * 2 + radius - 1)::INT AS setting, count(*) AS frames, {r6('avg(e)', 'mean')}, {r6('max(e)', 'max')}, {r6('min(e)', 'min')}
+        FROM (SELECT frame_id, w, radius, avg(sqrt((u - 2) ** 2 + (v - 1) ** 2)) AS e FROM smooth GROUP BY ALL) GROUP BY frame_id % 2, w, radius""",
+        *_VARIED,
+    ),
+)
+def _(s, d):
+    """An image step's, the ensemble's and a field step's parameter, all combinations in one job."""
+    pairs = A.pair32(s, d).withColumnRenamed("pair_id", "frame_id")
+    config = {
+        "estimator": "consensus", "estimators": _MEMBERS, "config": {"weights_type": "list", "weights": [1.0, 1.0]},
+        "preprocess": [{"name": "intensity_capping", "n": 1.0}], "postprocess": [{"name": "average_smoothing", "radius": 1}],
+    }
+    swept = sweep.sweep(config, _GRID, pairs, _moved_truth(s, d), A.LARGE)
+    return out(swept, "mean", "max", "min", keys=("setting", "frames"))
+
+
 @query(
     "evaluate_density_config",
     sql(

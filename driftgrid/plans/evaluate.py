@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.operators import metrics, normalize
-from driftgrid.plans.estimators import ESTIMATORS, estimate
+from driftgrid.plans.estimators import ESTIMATORS, Run, estimate, estimate_run
 from driftgrid.plans.steps import Context, chain_from_config, run_chain
 from driftgrid.scale import durable
 from driftgrid.schema import FRAME, PIXEL
@@ -23,28 +23,45 @@ def _checked(config: dict) -> tuple[list[dict], list[dict], dict]:
     return image_steps, field_steps, {k: v for k, v in config.items() if k not in NOT_PARAMETERS}
 
 
+def prepare_pairs(pairs: DataFrame, image_steps: list[dict], context: Context) -> tuple[DataFrame, Context]:
+    """Both images of every pair after the image steps, and the context afterwards."""
+    if not image_steps:
+        return pairs, context
+    keys = context.keys
+    pairs = durable(pairs)  # read by the steps of both sides
+    sides = []
+    for name in ("prev", "curr"):
+        image = pairs.select(*keys, *PIXEL, F.col(name).alias("i"))
+        image, after = run_chain("image", image, image_steps, context)
+        sides.append(image.select(*keys, *PIXEL, F.col("i").alias(name)))
+    return sides[0].join(sides[1], [*keys, *PIXEL]), after
+
+
 def estimate_field(
-    config: dict, pairs: DataFrame, shape: tuple[int, int], keys=FRAME, mask_mode: str = "intent"
+    config: dict, pairs: DataFrame, shape: tuple[int, int], keys=FRAME, mask_mode: str = "intent", truth: DataFrame | None = None
 ) -> DataFrame:
     """Run a configured estimator with its image and field steps.
 
     ``config``: ``estimator``, its parameters, and optional ``preprocess`` and
     ``postprocess`` step lists. Everything is checked before Spark is used.
+    The truth reaches estimators that ask for it, such as an oracle ensemble.
     """
     image_steps, field_steps, params = _checked(config)
-    context = Context(shape, tuple(keys), mask_mode)
-    if image_steps:
-        pairs = durable(pairs)  # read by the steps of both sides
-        sides = []
-        for name in ("prev", "curr"):
-            image = pairs.select(*keys, *PIXEL, F.col(name).alias("i"))
-            image, after = run_chain("image", image, image_steps, context)
-            sides.append(image.select(*keys, *PIXEL, F.col("i").alias(name)))
-        pairs, context = sides[0].join(sides[1], [*keys, *PIXEL]), after
-    field = estimate(config["estimator"], pairs, context.shape, keys=keys, **params)
+    pairs, context = prepare_pairs(pairs, image_steps, Context(shape, tuple(keys), mask_mode))
+    field = estimate(config["estimator"], pairs, context.shape, truth, keys=keys, **params)
     return run_chain("field", field, field_steps, context)[0]
 
 
+def evaluate_run(
+    config: dict, pairs: DataFrame, truth: DataFrame | None, shape: tuple[int, int], keys=FRAME, mask_mode: str = "intent"
+) -> Run:
+    """A configured run: the field after its field steps, and the metrics of the estimator's own field per frame."""
+    image_steps, field_steps, params = _checked(config)
+    pairs, context = prepare_pairs(pairs, image_steps, Context(shape, tuple(keys), mask_mode))
+    run = estimate_run(config["estimator"], pairs, context.shape, truth, keys, **params)
+    return Run(run_chain("field", run.field, field_steps, context)[0], run.frames)
+
+
 def estimate_sequence(
     config: dict,
     frames: DataFrame,
@@ -105,7 +122,7 @@ def estimate_density(config: dict, image: DataFrame, shape: tuple[int, int], key
 
 def evaluate_field(config: dict, pairs: DataFrame, truth: DataFrame, shape: tuple[int, int], keys=FRAME) -> DataFrame:
     """Mean endpoint error per frame, summed up over the data set."""
-    return metrics.eval_dataset(estimate_field(config, pairs, shape, keys), truth, keys)
+    return metrics.eval_dataset(estimate_field(config, pairs, shape, keys, truth=truth), truth, keys)
 
 
 def evaluate_density(config: dict, image: DataFrame, truth: DataFrame, shape: tuple[int, int], keys=FRAME) -> DataFrame:

@@ -44,12 +44,14 @@ class Step:
     """``apply(table, context, **params)`` and ``check(**params)``.
 
     With ``reach(**params)`` given, ``apply`` works in place on a table spread
-    over tiles and looks that many pixels away.
+    over tiles and looks that many pixels away. A ``whole`` step reads statistics
+    of the whole table, so that it sees one setting of a sweep at a time.
     """
 
     apply: Apply
     check: Callable[..., None]
     reach: Callable[..., int] | None = None
+    whole: bool = False
 
 
 # Neighbouring steps share one exchange up to this halo.
@@ -61,10 +63,14 @@ FIELD_STEPS: dict[str, Step] = {}
 
 
 def register_step(
-    kind: str, name: str, apply: Apply, check: Callable[..., None], reach: Callable[..., int] | None = None
+    kind: str, name: str, apply: Apply, check: Callable[..., None], reach: Callable[..., int] | None = None, whole: bool = False
 ) -> None:
     """Add a step (see ``Step``)."""
-    _registry(kind)[name] = Step(apply, check, reach)
+    _registry(kind)[name] = Step(apply, check, reach, whole)
+
+
+def reads_whole_table(kind: str, steps: Sequence[dict]) -> bool:
+    return any(_registry(kind)[step["name"]].whole for step in steps)
 
 
 def _registry(kind: str) -> dict[str, Step]:
@@ -362,7 +368,7 @@ for _name, _apply, _check, _reach in (
     ("resize_flow", _resize_flow, _check_size, None),
     ("temporal_smoothing_ema", _ema, _check_alpha, None),
 ):
-    register_step("field", _name, _apply, _check, _reach)
+    register_step("field", _name, _apply, _check, _reach, whole=_name == "adaptive_global_filter")
 
 
 # Published chains (fixed values).

@@ -181,3 +181,47 @@ def test_short_weight_list_raises(spark):
     with pytest.raises(Exception, match="none for estimator 2"):
         consensus.weights_list(ensemble, [0.5, 0.5]).collect()
     assert [r["w"] for r in consensus.weights_list(ensemble, [1.0, 2.0, 3.0]).orderBy("estimator").collect()] == [1.0, 2.0, 3.0]
+
+
+def test_weight_table(spark, flows):
+    fields, weights = flows
+    rows = ensemble(spark, fields, weights)
+    table = rows.select("frame_id", "estimator", "y", "x", F.col("w") * 2)
+    table = table.toDF("frame_id", "estimator", "y", "x", "w")
+    bare = rows.drop("w").withColumn("extra", F.lit("kept"))
+    far = table.where("frame_id = 0").withColumn("frame_id", F.lit(99).cast("long"))  # no such frame: ignored
+    got = consensus.weights_table(bare, table.unionByName(far))
+    assert got.columns == [*bare.columns, "w"] and got.count() == rows.count()
+    both = got.alias("a").join(rows.alias("b"), ["frame_id", "estimator", "y", "x"])
+    assert both.where("abs(a.w - 2 * b.w) > 1e-12 OR a.extra <> 'kept'").count() == 0
+    normal = consensus.normalize_weights(got, "per_pixel")
+    fused = consensus.consensus_mean(normal)
+    assert fused._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("harm", ["lacking", "repeated", "null"])
+def test_weight_table_must_be_complete(spark, flows, harm):
+    fields, weights = flows
+    rows = ensemble(spark, fields, weights)
+    table = rows.select("frame_id", "estimator", "y", "x", "w")
+    one = "frame_id = 1 AND estimator = 2 AND y = 3 AND x = 4"
+    if harm == "lacking":
+        table = table.where(f"NOT ({one})")
+    elif harm == "repeated":
+        table = table.unionByName(table.where(one))
+    else:
+        table = table.withColumn("w", F.when(F.expr(f"NOT ({one})"), F.col("w")))
+    with pytest.raises(Exception, match="where one is needed: frame_id=1, estimator=2, y=3, x=4"):
+        consensus.weights_table(rows.drop("w"), table).collect()
+
+
+def test_total_regularization_reads_pixels_once(spark, rng):
+    z = rng.normal(size=(2, 9, 8, 2))
+    field = pixels(spark, u=z[..., 0], v=z[..., 1])
+    weights = {"smoothness": 0.3, "divergence": 2.0, "laplacian": 0.5, "tv": 0.1}
+    total = consensus.total_regularization(field, weights, tile=4)
+    plan = total._jdf.queryExecution().executedPlan().toString()
+    for row in total.collect():
+        assert row["loss"] == pytest.approx(loss(z[row["frame_id"]], weights))
+    assert plan.count("Exchange hashpartitioning") == 2  # pixels to tiles, then one partial sum per frame
+    assert {r["loss"] for r in consensus.total_regularization(field, {}).collect()} == {0.0}
