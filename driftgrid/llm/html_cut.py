@@ -13,7 +13,8 @@ not learned, since no table labels blocks.
 
 Defined cases: a null or empty page has empty text; unclosed and stray tags are
 repaired as browsers do for the common cases; a page without markup is one
-block; rows are independent, so repeated rows repeat. Other columns are not
+block; a drawing or formula without an end tag ends at the next block tag of the
+page; rows are independent, so repeated rows repeat. Other columns are not
 carried unless named in ``keep``.
 """
 
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter, deque
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,12 +54,20 @@ HARD, SOFT, MAIN, NAMED, LINKS, LENGTH, HEADING, SENTENCE, SHORT, RIGHTS, BASE =
 #: Strength of smoothness edges: neighbours in page order, followers under one parent.
 NEAR, SIBLING = 0.8, 1.0
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
-    r"|<(script|style|noscript|template|title|iframe|textarea|svg|math)(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+>|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+#: Elements whose content is not markup, and the two whose content is another language.
+RAW = frozenset("script style noscript template title iframe textarea svg math".split())
+FOREIGN = frozenset("svg math".split())
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_MARKS = re.compile(r"[>\"']")
+_CLOSED = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW - FOREIGN}
+#: What ends a drawing or a formula: its end tag, or a block tag that only a document can hold.
+_LEFT = {
+    name: re.compile(rf"</{name}\s*+>|<(?=(?:blockquote|body|center|dd|div|dl|dt|h[1-6]|hr|li|menu|ol|p|pre|table|ul)[\s/>])|<(?:foreignobject|annotation-xml)(?=[\s/>])", re.I)
+    for name in FOREIGN
+}
+_HELD = re.compile(r"</(?:foreignobject|annotation-xml)\s*+>", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _MAY_HIDE = re.compile(r"hidden|display", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]*+)))?")
@@ -71,6 +82,88 @@ def _hidden(attributes: str) -> bool:
     return any(name.lower() == "hidden" or name.lower() == "style" and _UNSEEN.search(a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attributes))
 
 
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """The places of ``>`` and quotes, and for each where a tag ends that meets it outside quotes (-1: nowhere)."""
+    places = [m.start() for m in _MARKS.finditer(page)]
+    ends = [-1] * (len(places) + 1)
+    later = {}
+    for k in range(len(places) - 1, -1, -1):
+        mark = page[places[k]]
+        if mark == ">":
+            ends[k] = places[k]
+            continue
+        if mark in later:
+            ends[k] = ends[later[mark] + 1]
+        later[mark] = k
+    return places, ends
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the element ends whose content starts at ``at``; one that is never closed lasts to the end of the page."""
+    if name not in FOREIGN:
+        m = _CLOSED[name].search(page, at)
+        return m.end() if m else len(page)
+    while (m := _LEFT[name].search(page, at)) is not None:
+        if m[0] == "<" or m[0].startswith("</"):
+            return m.end() if m[0] != "<" else m.start()
+        held = _HELD.search(page, m.end())  # blocks inside belong to the drawing
+        if held is None:
+            return len(page)
+        at = held.end()
+    return len(page)
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """Start, end, whether it closes, name and attributes of the pieces of markup; the name is empty where no tag is meant.
+
+    A walk that finds no end of its tag runs once per page: from then on the
+    ends are read off a table, so the time grows with the page's length only.
+    """
+    last, known, at = page.rfind(">"), None, 0
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(page)
+            yield at, end, False, "", ""
+            at = end
+            continue
+        if at > last:  # nothing but a comment can follow
+            at = page.find("<!--", at)
+            if at < 0:
+                return
+            continue
+        m = _TAG.match(page, at) if known is None else None
+        name = m[2] if m else (n[1] if (n := _NAME.match(page, at)) else "")
+        if not name:
+            if page[at + 1] in "!?/":
+                end = page.find(">", at + 2) + 1
+                if end:
+                    yield at, end, False, "", ""
+                    at = end
+                    continue
+            at += 1
+            continue
+        closes = page[at + 1] == "/"
+        after = at + 1 + closes + len(name)
+        if m is not None:
+            end, attributes = m.end(), m[3]
+        else:
+            if known is None:
+                known = _tag_ends(page)
+            end = known[1][bisect_left(known[0], after)] + 1
+            attributes = page[after : end - 1] if end else ""
+        tag = name.lower()
+        if not closes and tag in RAW and not (end and tag in FOREIGN and attributes.endswith("/")):
+            end = _raw_end(page, tag, page.find(">", after) + 1)
+            yield at, end, False, "", ""
+        elif not end or tag in FOREIGN and not closes:
+            end = end or page.find(">", after) + 1
+            yield at, end, False, "", ""
+        else:
+            yield at, end, closes, tag, attributes
+        at = end
+
+
 class Element:
     __slots__ = ("tag", "number", "depth", "state", "parent", "silent", "link")
 
@@ -142,17 +235,16 @@ def blocks(page: str) -> list[Block]:
         return None
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not top.silent:
-            piece = page[at : m.start()]
+    for start, end, closes, tag, attributes in tokens(page):
+        if start > at and not top.silent:
+            piece = page[at:start]
             pieces.append(piece)
             if top.link:
                 linked += len(piece)
-        at = m.end()
-        if not m[3]:
+        at = end
+        if not tag:
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if closes:
             if tag == "br" or tag == "p" and find({"p"}, SCOPE) is None:
                 flush() if tag == "p" else pieces.append(" ")
             elif (e := find({tag}, () if tag in BLOCKS else SCOPE)) is not None:
@@ -179,7 +271,6 @@ def blocks(page: str) -> list[Block]:
             leave(e)
         if tag in VOID:
             continue
-        attributes = m[4]
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if "=" in attributes else ""
         number += 1
         if not attributes.endswith("/") or tag in BLOCKS:
