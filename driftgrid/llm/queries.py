@@ -57,13 +57,45 @@ FROM sized GROUP BY conv_id
 """
 
 
+#: Code points of a streamed piece of a message.
+STREAMED = 48
+
+
+def event_log(messages: DataFrame) -> DataFrame:
+    """The log that a chat service would have kept of finished messages.
+
+    Every message is streamed in pieces. By the CRC of its conversation and turn
+    a third of them first has another draft, which is regenerated, and a third
+    is streamed in capitals and then edited to the text it has now. Folding
+    the log gives the messages back.
+    """
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STREAMED}}}"), F.lit(0))
+    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))
+
+    def event(kind, role, text) -> F.Column:
+        return F.struct(kind.alias("kind"), role.alias("role"), text.alias("text"))
+
+    def stream(kind: str, texts) -> F.Column:
+        return F.transform(texts, lambda t, i: event(F.when(i == 0, kind).otherwise("delta"), F.when(i == 0, F.col("role")), t))
+
+    edit = F.array(event(F.lit("edit"), F.lit(None).cast("string"), F.col("text")))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    history = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 3
+    events = (
+        F.when(history == 0, stream("message", pieces))
+        .when(history == 1, F.concat(stream("message", F.reverse(pieces)), stream("regenerate", pieces)))
+        .otherwise(F.concat(stream("message", F.transform(pieces, F.upper)), edit))
+    )
+    return messages.select(*[c for c in messages.columns if c not in ("role", "text")], F.posexplode(events).alias("seq", "event")).select("*", "event.*").drop("event")
+
+
 @query("op2_chat", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row is a message of its own; rows with the same turn are ordered by role and text."""
+    """The rows as an event log, folded to messages again; rows with the same turn are ordered by role and text."""
     forged = spark.createDataFrame([(-1, turn, role, FORGED_TEXT) for turn, role in FORGED], "conv_id long, turn long, role string, text string")
     log = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).union(forged)
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    events = log.withColumn("part", F.row_number().over(same)).withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
+    events = event_log(log.withColumn("part", F.row_number().over(same)))
     segments = chat.render(chat.fold(events, ("conv_id", "turn", "part")), ("turn", "part"))
     turns = chat.read_turns(F.col("formatted"))
     read = segments.select(

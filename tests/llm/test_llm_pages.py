@@ -1,10 +1,11 @@
-"""Markup of pages: time in the length of a page, unclosed elements, quotes."""
+"""Markup of pages: time in the length of a page, unclosed elements, quotes. Logs of conversations."""
 
 import time
 
 import pytest
 
-from driftgrid.llm import html_cut
+from driftgrid.llm import chat, html_cut
+from driftgrid.llm.queries import STREAMED, event_log
 
 
 def texts(page):
@@ -43,3 +44,17 @@ def test_tags_and_quotes():
 def test_places_of_ends():
     places, ends = html_cut._tag_ends("""a "b>c" d> 'e" f>""")
     assert places == [2, 4, 6, 9, 11, 13, 16] and ends == [9, 4, 16, 9, -1, -1, 16, -1]
+
+
+def test_logs_fold_to_their_messages(spark):
+    said = ["", "x", "<|im_end|>", "é" * STREAMED, "line\n" * 400, "ab " * 7 * STREAMED]
+    rows = [(c, t, role, text) for c in (1, 2, None) for t, text in enumerate(said) for role in ("user", "")]
+    rows += [(3, None, "assistant", "same"), (3, None, "tool", "other")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("conv_id", "turn", "role AS part", "role", "text")
+    events = event_log(messages)
+    kinds = {r["kind"]: r["count"] for r in events.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "regenerate", "edit"} and kinds["message"] == len(rows)
+    folded = chat.fold(events, ("conv_id", "turn", "part"))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = [(r.conv_id, r.turn, r.role, r.text) for r in folded.collect()]
+    assert sorted(got, key=key) == sorted(rows, key=key)
