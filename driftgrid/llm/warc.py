@@ -1,11 +1,13 @@
 """A deterministic, sharded WARC writer and its reader.
 
-Which record goes to which shard depends on the data alone: a histogram of
-``page_id`` over ``BINS`` equal ranges is cut into shards of about
-``shard_bytes``; a range that is larger than a shard is cut further by
-position. Each shard is sorted by ``page_id`` and digest and written by one
-task as gzip members, one per record, in files that roll at ``roll_bytes``.
-Headers, record ids and digests are made from the rows.
+Which record goes to which shard depends on the data alone. The bytes before
+each ``page_id`` are measured exactly, and the ids are cut into ranges of
+``shard_bytes``, or of a ``BINS``-th of the whole if that is more. A range is a
+shard; one that holds more than ``shard_bytes``, because the table is large or
+one id has many rows, is dealt to several shards by a hash of the row. There is
+no bound on the number of shards. Each is sorted by ``page_id`` and digest and
+written by one task as gzip members, one per record, in files that roll at
+``roll_bytes``. Headers, record ids and digests are made from the rows.
 
 A file is written under a temporary name of the attempt. The attempts that
 count are those whose rows reach the stored list of files; a second job moves
@@ -16,7 +18,8 @@ files of lost or repeated attempts are never seen.
 Defined cases: a null html is an empty payload; a null url has no target
 header; a null ``page_id`` sorts first and is never referred to unless all
 equal payloads have none; rows that repeat the smallest ``page_id`` of a payload
-are all responses. Other columns are not carried.
+are all responses. Any long is a ``page_id``. Rows equal in id, url and payload
+share a shard, which its task writes as a stream. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -28,13 +31,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgrid.deploy import ship
+from driftgrid.llm import places
 from driftgrid.scale import durable
 
-BINS, MAX_SHARDS = 4096, 10_000
+#: Ranges of ids at most; their edges are held by the driver.
+BINS = 1 << 15
+#: Tasks at most, beyond the session's shuffle partitions; a task with several shards writes one after the other.
+TASKS = 20_000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "name string, temporary string, records long, bytes long, sha256 string"
@@ -99,16 +107,32 @@ class _File:
         return pa.RecordBatch.from_pylist([row])
 
 
-def _shards(meta: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int, int]:
-    """The bins with their first shard and number of shards, the least id, the width and the number of shards."""
-    low, high, total = meta.agg(F.min("page_id"), F.max("page_id"), F.sum(F.col("size") + 512)).first()
-    low, width = low or 0, ((high or 0) - (low or 0)) // BINS + 1
-    shard_bytes = max(shard_bytes, -(-(total or 1) // MAX_SHARDS))
-    bins = meta.groupBy(F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(-1)).alias("bin")).agg(F.sum(F.col("size") + 512).alias("bytes"))
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # BINS + 1 rows
-    parts = F.greatest(F.ceil(F.col("bytes") / shard_bytes), F.lit(1))
-    placed = bins.select("bin", F.floor(before / shard_bytes).alias("first"), parts.alias("parts"))
-    return durable(placed), low, width, -(-(total or 1) // shard_bytes)
+def _ranged(rows: DataFrame, edges: list[float]) -> DataFrame:
+    """``rows`` with ``bin``, the range of their ``page_id``: 0 without one, then one for each edge it reaches."""
+    number = rows.withColumn("number_", F.coalesce(F.col("page_id").cast("double"), F.lit(0.0)))
+    cuts = [-float("inf"), *edges[1:], float("inf")]  # all ids reach the first edge
+    if len(cuts) > 2:
+        number = Bucketizer(splits=cuts, inputCol="number_", outputCol="range_").transform(number)
+    else:
+        number = number.withColumn("range_", F.lit(0.0))
+    return number.withColumn("bin", F.when(F.col("page_id").isNull(), 0).otherwise(F.col("range_").cast("int") + 1)).drop("number_", "range_")
+
+
+def _shards(meta: DataFrame, shard_bytes: int) -> tuple[list[float], DataFrame, int]:
+    """The first ids of the ranges, the ranges with their first shard and number of shards, and the number of shards.
+
+    Ids count as doubles here, so very long ones that lie close together are of one range.
+    """
+    sized = meta.select("page_id", (F.col("size") + 512).alias("bytes"))
+    ids = durable(sized.where(F.col("page_id").isNotNull()).groupBy(F.col("page_id").cast("double").alias("number")).agg(F.sum("bytes").alias("bytes")))
+    step = max(shard_bytes, -(-(ids.agg(F.sum("bytes")).first()[0] or 1) // BINS))
+    cut = places.before(ids, [], ["number"], "before", "bytes").groupBy(F.floor(F.col("before") / step)).agg(F.min("number").alias("edge"))
+    edges = sorted(r.edge for r in cut.select("edge").collect())  # at most BINS + 1
+    held = _ranged(sized, edges).groupBy("bin").agg(F.sum("bytes").alias("bytes"))
+    parts = F.when(F.col("bytes") <= 2 * shard_bytes, 1).otherwise(F.ceil(F.col("bytes") / shard_bytes)).cast("long")
+    earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS + 2 rows
+    bins = durable(held.select("bin", parts.alias("parts")).withColumn("first", F.coalesce(F.sum("parts").over(earlier), F.lit(0))))
+    return edges, bins, bins.agg(F.sum("parts")).first()[0] or 1
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes: int = 1 << 30, least: int = 100) -> DataFrame:
@@ -122,17 +146,13 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes
     rows = pages.select("page_id", "url", body.cast("binary").alias("payload"), F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).cast("long").alias("size"))
     meta = durable(rows.select("page_id", "digest", "size"))
     again = durable(meta.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    bins, low, width, count = _shards(meta, shard_bytes)
-    place = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(-1))
-    part = F.floor(F.col("parts") * F.coalesce(F.pmod(F.col("page_id") - low, F.lit(width)), F.lit(0)) / width)
+    edges, bins, count = _shards(meta, shard_bytes)
     revisit = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
     placed = (
-        rows.join(again, "digest", "left")
-        .withColumn("bin", place)
-        .join(F.broadcast(bins), "bin")  # at most BINS + 1 rows
+        _ranged(rows.join(again, "digest", "left"), edges)
+        .join(F.broadcast(bins), "bin")  # at most BINS + 2 rows
         .select(
-            (F.col("first") * (BINS + 1) + F.when(F.col("parts") > 1, (F.col("bin") + 1) % (BINS + 1)).otherwise(0)).alias("group"),
-            F.when(F.col("parts") > 1, part).otherwise(0).alias("part"),
+            (F.col("first") + F.pmod(F.xxhash64("page_id", "digest", "url"), F.col("parts"))).alias("shard"),
             "page_id",
             "url",
             F.when(~revisit, F.col("payload")).alias("payload"),
@@ -141,19 +161,20 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes
             F.when(revisit, F.col("first_page")).alias("refers_to"),
         )
     )
-    placed = placed.repartition(max(count, int(spark.conf.get("spark.sql.shuffle.partitions"))), "group", "part").sortWithinPartitions("group", "part", "page_id", "digest", "url")
+    tasks = min(count, max(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    placed = placed.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "page_id", "digest", "url")
 
     def run(batches):
         file, shard, roll = None, None, 0
         for batch in batches:
             for i in range(batch.num_rows):
-                group, part, page_id, url, payload, size, digest, refers_to = (c[i].as_py() for c in batch.columns)
-                if file is None or (group, part) != shard or file.bytes >= roll_bytes:
+                place, page_id, url, payload, size, digest, refers_to = (c[i].as_py() for c in batch.columns)
+                if file is None or place != shard or file.bytes >= roll_bytes:
                     if file is not None:
                         yield file.close()
-                    roll = roll + 1 if (group, part) == shard else 0
-                    shard = group, part
-                    file = _File(folder, f"pages-{group // (BINS + 1):06d}-{group % (BINS + 1):04d}-{part:06d}-{roll:04d}.warc.gz")
+                    roll = roll + 1 if place == shard else 0
+                    shard = place
+                    file = _File(folder, f"pages-{shard:08d}-{roll:04d}.warc.gz")
                 file.put(record(page_id, url, payload, size, digest, refers_to))
         if file is not None:
             yield file.close()
