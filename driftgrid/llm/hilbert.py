@@ -12,14 +12,19 @@ are found among all rows, and the window is the smallest that holds
 ``RECALL`` of them on at least one curve. Data without structure get wide
 windows, up to all blocks, so recall does not depend on the data.
 
-Defined cases: null, zero, empty and non-finite vectors, null ids, and vectors
-whose length is not the most frequent one take no part; rows with a query's own
-id are not its candidates; repeated rows count once; ties go to smaller ids.
+Vectors are compared with those of their own length. Every length with more
+than ``BLOCK`` rows has its own curves and window; the rows of any other length
+are one block, in which every query is compared with every row.
+
+Defined cases: null, zero, empty and non-finite vectors and null ids take no
+part; rows with a query's own id are not its candidates; repeated rows count once; ties go to smaller ids.
 Other columns are not carried.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -156,34 +161,8 @@ def window(ranks: DataFrame, true: DataFrame, recall: float) -> int:
     return 0
 
 
-def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = CURVES, recall: float = RECALL, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``, the inner product in double precision.
-
-    ``is_query`` is a condition on ``vec_id``.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector).cast(kind).alias("vec"))
-    rows = durable(rows.where(usable(F.col("vec")) & F.col("vec_id").isNotNull()))
-    found = rows.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("vec") == found["size"])
-    ranks = _ranked(rows, found["size"], curves)
-    sample = rows.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT).collect()
-    reach = window(ranks, exact(rows, [(r.vec_id, r.vec) for r in sample], k), recall)
-
-    block = F.floor(F.col("rank") / BLOCK).cast("int")
-    laid = durable(ranks.join(rows, "vec_id").select("curve", block.alias("block"), "vec_id", "vec"))
-    most = F.lit(int(ranks.agg(F.max("rank")).first()[0] // BLOCK))
-    low, high = F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, most)
-    span, wide = (lambda b, n=n: F.floor(b / n).cast("int") for n in (SPAN, WIDE))
-    asked = laid.where(is_query).select(
-        F.col("curve").alias("on"), span(F.col("block")).alias("span_"), F.explode(F.sequence(wide(low), wide(high))).alias("with"), F.col("vec_id").alias("query_id"), F.col("vec").alias("query")
-    )
-    # a block goes to the groups of queries whose windows may hold it
-    stored = laid.select("curve", F.explode(F.sequence(span(low), span(high))).alias("span"), wide(F.col("block")).alias("wide"), "vec_id", "vec")
+def _comparison(k: int):
+    """A function of a cogroup: queries of one length and rows of that length."""
 
     def compare(key: tuple[pa.Scalar, ...], own: pa.Table, against: pa.Table) -> pa.Table:
         """Each query's best among the rows of up to ``WIDE`` blocks, one block's scores at a time."""
@@ -203,6 +182,47 @@ def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = CURVES, r
                 parts.append(_batch(query_ids[at], ids, q[keep], v[keep], score[keep]))
         return pa.concat_tables(parts)
 
-    met = asked.groupBy("on", "span_", "with").cogroup(stored.groupBy("curve", "span", "wide")).applyInArrow(compare, _FOUND)
-    return _first(met, k).select("query_id", "rank", "vec_id", "score")
+    return compare
+
 
+def _along_curves(rows: DataFrame, size: int, is_query: Column, k: int, curves: int, recall: float) -> DataFrame:
+    """Pairs found among the vectors of one length, in rows of ``_FOUND``; each query's nearest are among them."""
+    ranks = _ranked(rows, size, curves)
+    sample = rows.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT).collect()
+    reach = window(ranks, exact(rows, [(r.vec_id, r.vec) for r in sample], k), recall)
+
+    block = F.floor(F.col("rank") / BLOCK).cast("int")
+    laid = durable(ranks.join(rows, "vec_id").select("curve", block.alias("block"), "vec_id", "vec"))
+    most = F.lit(int(ranks.agg(F.max("rank")).first()[0] // BLOCK))
+    low, high = F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, most)
+    span, wide = (lambda b, n=n: F.floor(b / n).cast("int") for n in (SPAN, WIDE))
+    asked = laid.where(is_query).select(
+        F.col("curve").alias("on"), span(F.col("block")).alias("span_"), F.explode(F.sequence(wide(low), wide(high))).alias("with"), F.col("vec_id").alias("query_id"), F.col("vec").alias("query")
+    )
+    # a block goes to the groups of queries whose windows may hold it
+    stored = laid.select("curve", F.explode(F.sequence(span(low), span(high))).alias("span"), wide(F.col("block")).alias("wide"), "vec_id", "vec")
+
+    return asked.groupBy("on", "span_", "with").cogroup(stored.groupBy("curve", "span", "wide")).applyInArrow(_comparison(k), _FOUND)
+
+
+def search(df: DataFrame, is_query: Column, k: int = 20, curves: int = CURVES, recall: float = RECALL, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``, the inner product in double precision.
+
+    ``is_query`` is a condition on ``vec_id``.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector).cast(kind).alias("vec"))
+    rows = durable(rows.where(usable(F.col("vec")) & F.col("vec_id").isNotNull()))
+    sizes = durable(rows.groupBy(F.size("vec").alias("size")).count())
+    many = [r["size"] for r in sizes.where(F.col("count") > BLOCK).orderBy("size").collect()]
+    met = [_along_curves(rows.where(F.size("vec") == size), size, is_query, k, curves, recall) for size in many]
+    if not sizes.where(F.col("count") <= BLOCK).isEmpty():
+        few = rows.where(~F.size("vec").isin(many)) if many else rows
+        asked = few.where(is_query).select(F.size("vec").alias("size"), F.col("vec_id").alias("query_id"), F.col("vec").alias("query"))
+        stored = few.select(F.size("vec").alias("size"), "vec_id", "vec")
+        met.append(asked.groupBy("size").cogroup(stored.groupBy("size")).applyInArrow(_comparison(k), _FOUND))
+    if not met:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return _first(reduce(DataFrame.unionByName, met), k).select("query_id", "rank", "vec_id", "score")
