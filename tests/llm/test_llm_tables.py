@@ -2,6 +2,8 @@
 
 import glob
 import hashlib
+import itertools
+import math
 import os
 import random
 import re
@@ -127,6 +129,38 @@ def test_warc_is_deterministic(spark, pages):
     assert sums[0] == sums[1]
 
 
+def test_warc_any_ids_and_hot_ids(spark):
+    """Far ids do not crowd the others into one shard, one id's rows are split, and every row is written once."""
+    far = [-(1 << 62) - 5, -(1 << 63), 1 << 62, (1 << 63) - 1]
+    rows = [(i, f"http://a/{i}", f"<p>{i}</p>" * 40) for i in [*range(200), *far]] + [(77, f"http://b/{i}", f"<b>{i}</b>" * 40) for i in range(100)]
+    at = folder()
+    manifest = warc.write(spark.createDataFrame([(*r, "d", 1) for r in rows], PAGES), at, shard_bytes=8192)
+    got = warc.read(spark, at, manifest).collect()
+    assert sorted((r.page_id, r.url, r.payload.decode()) for r in got) == sorted(rows)
+    assert 15 <= manifest.count() <= 60 and manifest.agg(F.max("records")).first()[0] <= 40
+
+
+def test_warc_ranges_in_order(spark):
+    """Shards are ranges of ids; ranges beyond their number are dealt by hash and lose nothing."""
+    rows = [(i, "u", f"{i} " * 200, "d", 1) for i in range(300)]
+    at = folder()
+    files = warc.write(spark.createDataFrame(rows, PAGES), at, shard_bytes=16384)
+    kept, base = [], at.removeprefix("file://")
+    for name in sorted(r.name for r in files.collect()):
+        with open(f"{base}/{name}", "rb") as f:
+            kept += [r["page_id"] for m in warc.members(f) if (r := warc.parse(m))]
+    assert kept == list(range(300)) and files.count() > 5
+
+
+def test_warc_more_shards_than_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BINS", 4)
+    monkeypatch.setattr(warc, "TASKS", 3)
+    at = folder()
+    files = warc.write(spark.createDataFrame([(i, "u", f"{i} " * 200, "d", 1) for i in range(300)], PAGES), at, shard_bytes=8192)
+    assert sorted(r.page_id for r in warc.read(spark, at, files).collect()) == list(range(300))
+    assert files.count() > 12
+
+
 def test_warc_empty_and_damaged(spark, pages):
     at = folder()
     assert warc.write(pages.limit(0), at).count() == 0 and warc.read(spark, at).count() == 0
@@ -232,6 +266,26 @@ def test_search(spark, monkeypatch, block, least):
     assert hits >= least * 100
 
 
+@pytest.mark.parametrize("block, least", [(16, 0.9), (4096, 1.0)])
+def test_search_of_several_lengths(spark, monkeypatch, block, least):
+    """Rows of every length are searched, rare and frequent ones, among their own."""
+    monkeypatch.setattr(hilbert, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    rows = [rng.standard_normal(size).tolist() for size in [4] * 90 + [7] * 60 + [3] * 10 + [1]]
+    order = rng.permutation(len(rows)).tolist()
+    df = spark.createDataFrame([(i, rows[j]) for i, j in enumerate(order)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hilbert.search(df, F.col("vec_id") % 5 == 0, k=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    hits = total = 0
+    for q in range(0, len(order), 5):
+        own = np.array(rows[order[q]])
+        near = sorted((-float(own @ rows[j]), i) for i, j in enumerate(order) if i != q and len(rows[j]) == len(own))[:4]
+        assert len(got.get(q, [])) == len(near)
+        hits, total = hits + len({v for _, v in got.get(q, [])} & {v for _, v in near}), total + len(near)
+    assert hits >= least * total
+
+
 def test_search_query_recall(spark):
     data = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     rows, ids = np.stack(data.embedding).astype(np.float64), data.vec_id.to_numpy()
@@ -306,6 +360,57 @@ def test_mined_rules_equal_brute_force(spark):
         assert r.verdict == (plain_rule(urls[r.page_id])[1] or want)
 
 
+def brute_rules(baskets, blocked, support, confidence):
+    """Kept rules by extending sets only with tokens of a blocked basket; sets that are as sure as a subset end there."""
+    n, b = len(baskets), sum(blocked)
+    least = max(math.ceil(support * n), 1)
+    kept, level = {}, {frozenset([t]) for s in baskets for t in s}
+    while level:
+        open_ = set()
+        for items in level:
+            has = [k for k, s in enumerate(baskets) if items <= s]
+            hit = sum(blocked[k] for k in has)
+            if hit < least:
+                continue
+            share = hit / len(has)
+            if share >= confidence and share > b / n and not any(s < items and v[0] >= share for s, v in kept.items()):
+                kept[items] = share, hit / n
+            if share < 1:
+                open_.add(items)
+        tokens_ = {t for items in open_ for t in items}
+        level = {items | {t} for items in open_ for t in tokens_ if t not in items}
+    return kept
+
+
+def test_long_urls_are_mined(spark):
+    """A URL of 40 parts, repeated and with mixed labels, neither stops the mining nor changes the kept rules."""
+    long = "http://long.example.org/" + "/".join(f"part{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    sure = "http://sure.example.org/" + "/".join(f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    rows = [(long, True)] * 9 + [(long, False)] + [(sure, True)] + [("http://a.example.org/en/ok", False)] * 12 + [("http://a.example.org/en/bad", True)] * 3
+    rows += [("http://b.example.org/fr/bad?z=1", False), ("http://b.example.org/fr/bad", True), ("http://b.example.net/bad?z=1", True)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    baskets, blocked = [plain_tokens(u) for u, _ in rows], [b for _, b in rows]
+    # brute force over one token of each set of tokens with the same URLs, then written out
+    where = {}
+    for t in set().union(*baskets):
+        where.setdefault(frozenset(k for k, s in enumerate(baskets) if t in s), []).append(t)
+    same = {min(v): v for v in where.values()}
+    kept = brute_rules([{t for t in s if t in same} for s in baskets], blocked, 0.002, 0.8)
+    want = {frozenset(c): v for items, v in kept.items() for c in itertools.product(*[same[t] for t in items])}
+    got = {frozenset(r.tokens): (r.confidence, r.support) for r in url_rules.mine(labelled).collect()}
+    assert len(want) > 80 and got.keys() == want.keys() and all(got[r] == pytest.approx(want[r]) for r in want)
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    for r in url_rules.judge(pages, labelled, HOST_RULES).collect():
+        url = rows[r.page_id][0]
+        assert r.verdict == (plain_rule(url)[1] or ("block" if any(w <= plain_tokens(url) for w in want) else "allow"))
+
+
+@pytest.mark.parametrize("labels", [[True, True], [False, False], []])
+def test_labels_of_one_kind_give_no_rules(spark, labels):
+    labelled = spark.createDataFrame([("http://a.org/x", b) for b in labels], "url string, blocked boolean")
+    assert url_rules.mine(labelled).count() == 0
+
+
 def test_urls_odd_rows(spark):
     rows = [(1, None), (1, None), (None, "http://A.Example.COM/en/x"), (2, ""), (3, "no scheme/en/"), (4, "a://b://c/d"), (5, "http://example.com"), (6, "http://notexample.net/es/"), (7, "http://net/es/"), (8, "x\ny://É.net/fr/\nz?q"), (9, "http://" + "a." * 5000 + "net/fr/1")]
     pages = spark.createDataFrame([(*r, "v", 1) for r in rows], "page_id long, url string, verdict string, host int")
