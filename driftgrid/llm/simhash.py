@@ -11,7 +11,8 @@ A group returns a spanning forest of its links, never all of its pairs.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like
 any other; a null ``doc_id`` keeps its row and counts only if its component has
-no other; repeated rows repeat. Other columns are not carried.
+no other; repeated rows repeat. Other columns are not carried; ``keep`` must not
+name one of the operator's own.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from driftgrid.scale import durable
 #: Fingerprints of a block of a crowded meeting place; rows compared at a time; shingles counted at a time.
 BLOCK, ROWS, SHINGLES = 1024, 1 << 17, 1 << 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Names of columns that a result has, or that are used on the way to it.
+OWN = {"doc_id", "fp", "component_id", "group_id", "input_"}
 
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -54,6 +57,8 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, keep: dict[str, Column] | None = None) -> DataFrame:
     """``doc_id``, the columns of ``keep`` and ``fp``, the fingerprint as a signed long."""
+    if taken := OWN & {k.lower() for k in keep or {}}:
+        raise ValueError(f"keep must not have columns called {', '.join(sorted(taken))}")
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in (keep or {}).items()))
     schema = rows.withColumn("fp", F.lit(0).cast("long")).schema
@@ -166,14 +171,16 @@ def forests(fps: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[list[int],
     return a, b
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, bands: int = 6, id_col: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, bands: int = 6, id_col: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None, width: int = 4) -> DataFrame:
     """``doc_id``, the columns of ``keep``, ``fp`` (signed), ``component_id``, the smallest id reachable by links, and
     ``group_id``, which names the component even if it has no id; one row per input row.
 
     ``bands - radius`` of the bands are equal for any linked pair; more bands make more, smaller meeting places.
     """
+    if not 0 <= radius <= 7 or bands <= radius:
+        raise ValueError(f"radius must be from 0 to 7 and less than bands, got {radius} and {bands}")
     ship(docs.sparkSession)
-    prints = durable(fingerprints(docs, id_col, text, keep=keep))
+    prints = durable(fingerprints(docs, id_col, text, width, keep=keep))
     nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     met = nodes.select("fp", F.explode(F.array(*meeting_keys(F.col("fp"), radius, bands))).alias("key"))
     groups = cells(met, "key", F.xxhash64("fp"), BLOCK).groupBy("key", "cell").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
