@@ -12,10 +12,11 @@ import tempfile
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftgrid.llm import chat, hilbert, html_cut, nndescent, url_rules, warc
+from driftgrid.llm import chat, hilbert, html_cut, nndescent, simhash, url_rules, warc
 from driftgrid.llm.queries import HOST_RULES, ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -484,6 +485,26 @@ def test_pages_odd_rows(spark):
 # --- pipeline ----------------------------------------------------------------------------------------------------------
 
 
+def plain_five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_row_keys(spark):
+    rows = [(1, "a"), (1, None), (None, "a"), (None, None), (1, ""), (None, ""), (11, "a"), (1, "A"), (1, "a")]
+    keys = [r[0] for r in spark.createDataFrame(rows, "doc_id long, text string").select(corpus_pipeline._row_key()).collect()]
+    assert None not in keys and len(set(keys)) == 8 and keys[0] == keys[-1]
+
+
+@pytest.mark.parametrize("name", ["fp", "doc_id", "component_id", "group_id", "GROUP_ID"])
+def test_simhash_rejects_own_names(spark, name):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(docs, keep={name: F.lit(1)})
+
+
 def test_pipeline_stages(spark):
     text = "the cat sat on the mat and looked at the dog that was asleep in the sun "
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -494,12 +515,21 @@ def test_pipeline_stages(spark):
     kept = corpus_pipeline.near_duplicates(spark, first, SF)
     assert kept.columns == docs.columns
     got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
-    from driftgrid.llm import simhash
-
-    groups = {}
-    for r in simhash.near_duplicates(first, keep={"t": F.xxhash64("text")}).collect():
-        groups.setdefault(r.group_id, []).append((r.doc_id is None, r.doc_id or 0, r.t))
-    assert len(got) == len(groups) and {i for i, _ in got} == {min(g)[1] for g in groups.values()}
+    # brute force: every two fingerprints, each counted bit by bit
+    rows = [(r.doc_id is None, r.doc_id or 0, r.text) for r in first.select("doc_id", "text").collect()]
+    prints = np.array([plain_five_words(t) for _, _, t in rows], np.uint64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    left, want = set(range(len(rows))), []
+    while left:
+        group, stack = set(), [left.pop()]
+        while stack:
+            i = stack.pop()
+            group.add(i)
+            more = left & set(np.flatnonzero(near[i]).tolist())
+            left -= more
+            stack += more
+        want.append(min(rows[i][:2] for i in group)[1])
+    assert len(got) < len(rows) and [i for i, _ in got] == sorted(want)
     mixed = corpus_pipeline.source_mix(spark, kept, SF)
     assert mixed.columns == docs.columns and set(mixed.collect()) <= set(kept.collect())
     tokens = corpus_pipeline.tokens(spark, mixed, SF)
