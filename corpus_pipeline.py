@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents are linked whose SimHashes of five-word shingles differ in at most four of 64 bits, which is a similarity of
     some 0.95. A wider radius would find more near copies in a small corpus, but in one of 10^10 documents chance alone
-    brings most of them within 7 bits of another.
+    brings a third of them within 7 bits of another.
     """
     rows = docs.withColumn("row_", _row_key())
     found = simhash.near_duplicates(rows, keep={"row_": F.col("row_")}, width=WIDTH)
