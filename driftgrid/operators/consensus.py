@@ -61,11 +61,16 @@ def run_summary(coverage: DataFrame, errors: DataFrame, images: DataFrame, keys=
 
 def weights_list(ensemble: DataFrame, weights: Sequence[float] | None) -> DataFrame:
     """One given weight per estimator, or 1 for all."""
+    return ensemble.withColumn("w", listed_weight(weights))
+
+
+def listed_weight(weights: Sequence[float] | None) -> Column:
+    """The weight of a row's estimator in a list."""
     if weights is None:
-        return ensemble.withColumn("w", F.lit(1.0))
+        return F.lit(1.0)
     table = F.array(*[F.lit(float(w)) for w in weights])
     lacking = F.raise_error(F.concat(F.lit(f"{len(weights)} weights were given, none for estimator "), F.col("estimator").cast("string")))
-    return ensemble.withColumn("w", F.when(F.col("estimator").between(0, len(weights) - 1), F.get(table, F.col("estimator"))).otherwise(lacking.cast("double")))
+    return F.when(F.col("estimator").between(0, len(weights) - 1), F.get(table, F.col("estimator"))).otherwise(lacking.cast("double"))
 
 
 def weights_table(ensemble: DataFrame, weights: DataFrame, keys=FRAME) -> DataFrame:
@@ -176,19 +181,22 @@ def make_weights(
 
 def consensus_mean(weighted: DataFrame, epsilon: float = 1e-8, keys=FRAME) -> DataFrame:
     """Weighted mean per pixel; pixels whose weights are all 0 use equal weights."""
-    sums = weighted.groupBy(*keys, *PIXEL).agg(
-        F.sum("w").alias("w"),
-        F.max(F.abs("w")).alias("top"),
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col("w") * F.col(c)).alias(f"w{c}") for c in ("u", "v")],
-        *[F.sum(c).alias(f"s{c}") for c in ("u", "v")],
-    )
-    eps, blind = F.lit(float(epsilon)), F.col("top") == 0
-
-    def mean(c: str) -> Column:
-        return F.when(blind, F.col(f"s{c}") / (F.col("n") + eps)).otherwise(F.col(f"w{c}") / (F.col("w") + eps)).alias(c)
-
-    return sums.select(*keys, *PIXEL, mean("u"), mean("v"))
+    return consensus_means(weighted, [F.col("w")], epsilon, keys).withColumnsRenamed({"u0": "u", "v0": "v"})
+
+
+def consensus_means(ensemble: DataFrame, weights: Sequence[Column], epsilon: float = 1e-8, keys=FRAME) -> DataFrame:
+    """``consensus_mean`` for several weights of the same rows at once, as ``u0, v0, u1, v1, …``."""
+    made = [F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in ("u", "v")]]
+    for k, w in enumerate(weights):
+        made += [F.sum(w).alias(f"w{k}"), F.max(F.abs(w)).alias(f"top{k}")]
+        made += [F.sum(w * F.col(c)).alias(f"w{c}{k}") for c in ("u", "v")]
+    sums, eps = ensemble.groupBy(*keys, *PIXEL).agg(*made), F.lit(float(epsilon))
+
+    def mean(c: str, k: int) -> Column:
+        plain = F.col(f"s{c}") / (F.col("n") + eps)
+        return F.when(F.col(f"top{k}") == 0, plain).otherwise(F.col(f"w{c}{k}") / (F.col(f"w{k}") + eps)).alias(f"{c}{k}")
+
+    return sums.select(*keys, *PIXEL, *[mean(c, k) for k in range(len(weights)) for c in ("u", "v")])
 
 
 def consensus_median(ensemble: DataFrame, keys=FRAME) -> DataFrame:

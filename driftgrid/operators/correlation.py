@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrid.deploy import ship
-from driftgrid.functions.grids import as_grid, list_column
+from driftgrid.functions.grids import list_column, stacks
 from driftgrid.operators.filling import neighbor_mean
 from driftgrid.operators.patches import grid_shape
 from driftgrid.operators.resample import resize_bilinear
@@ -18,6 +20,8 @@ from driftgrid.tiles import TILE, TX, TY, along_x, along_y, own, shifted, spread
 
 #: Windows transformed at a time in a task.
 AT_ONCE = 256
+#: Bytes of maps that a task hands over at a time.
+RUN_BYTES = 4 << 20
 
 
 def _normalised(w: np.ndarray) -> np.ndarray:
@@ -70,20 +74,33 @@ def window_correlation(
     ship(pair.sparkSession)
     size, step = search_size, search_size - overlap
     per_side = max(1, tile // step)
-    tiled = window_tiles(pair.select(*keys, "y", "x", *(F.col(c).cast("double").alias(c) for c in ("prev", "curr"))), shape, size, step, per_side)
+    sides = ("prev", "curr")
+    tiled = window_tiles(pair.select(*keys, "y", "x", *(F.col(c).cast("double").alias(c) for c in sides)), shape, size, step, per_side)
     types = [tiled.schema[k] for k in keys] + [T.StructField(n, T.IntegerType()) for n in ("wy", "wx")] + [T.StructField("corr", T.ArrayType(T.DoubleType()))]
-
-    def run(table: pa.Table) -> pa.Table:
-        grids, y0, x0 = as_grid(table.select(["y", "x", "prev", "curr"]))
-        first, second = (np.lib.stride_tricks.sliding_window_view(grids[c], (size, size))[::step, ::step] for c in ("prev", "curr"))
-        ny, nx = first.shape[:2]
-        wy, wx = (a.ravel() for a in np.meshgrid(y0 // step + np.arange(ny), x0 // step + np.arange(nx), indexing="ij"))
-        a, b = (v.reshape(ny * nx, size, size) for v in (first, second))
-        maps = [correlate(a[k : k + AT_ONCE], b[k : k + AT_ONCE], window_size) for k in range(0, ny * nx, AT_ONCE)]
-        names = [pa.array([table[k][0].as_py()] * (ny * nx), table.schema.field(k).type) for k in keys]
-        return pa.table([*names, pa.array(wy, pa.int32()), pa.array(wx, pa.int32()), list_column(np.concatenate(maps), pa.float64())], names=[*keys, "wy", "wx", "corr"])
-
-    return tiled.groupBy(*keys, TY, TX).applyInArrow(run, T.StructType(types))
+    packed = (
+        tiled.groupBy(*keys, TY, TX)
+        .agg(F.collect_list(F.struct("y", "x", *sides)).alias("_px"))
+        .select(*keys, *[F.col(f"_px.{c}").alias(c) for c in ("y", "x", *sides)])
+    )
+    at_once = max(AT_ONCE, RUN_BYTES // (8 * size * size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            for stack in stacks(batch, sides):
+                views = [np.lib.stride_tricks.sliding_window_view(stack.grids[c], (size, size), axis=(1, 2))[:, ::step, ::step] for c in sides]
+                many = views[0].shape[:3]
+                for k in range(0, int(np.prod(many)), at_once):
+                    # the windows of many small tiles leave together
+                    n, i, j = np.unravel_index(np.arange(k, min(k + at_once, int(np.prod(many)))), many)
+                    a, b = (v[n, i, j] for v in views)
+                    maps = [correlate(a[m : m + AT_ONCE], b[m : m + AT_ONCE], window_size) for m in range(0, len(n), AT_ONCE)]
+                    arrays = [batch.column(c).take(pa.array(stack.rows[n])) for c in keys]
+                    arrays += [pa.array((at // step + w).astype(np.int32)) for at, w in ((stack.y0[n], i), (stack.x0[n], j))]
+                    yield pa.RecordBatch.from_arrays([*arrays, list_column(np.concatenate(maps), pa.float64())], names=[*keys, "wy", "wx", "corr"])
+
+    return packed.mapInArrow(run, T.StructType(types))
 
 
 def correlation_cells(correlated: DataFrame, search_size: int, keys=("pair_id",)) -> DataFrame:

@@ -101,7 +101,11 @@ def eval_dataset(estimate: DataFrame, truth: DataFrame, keys=FRAME, by: Sequence
 
     ``missing`` and ``coverage`` say how many pixels had no vector and what share entered the means.
     """
-    pairs = paired(estimate, truth, keys)
+    return eval_pairs(paired(estimate, truth, keys), keys, by)
+
+
+def eval_pairs(pairs: DataFrame, keys=FRAME, by: Sequence[str] = ()) -> DataFrame:
+    """``eval_dataset`` of an estimate that has its truth (``tu, tv``) beside it."""
     if "is_padding" in pairs.columns:
         pairs = pairs.where(~F.col("is_padding"))
     return summary(frame_epe(pairs, list(dict.fromkeys([*by, *keys]))), "mean_epe", by)

@@ -6,7 +6,9 @@ join whose broadcast is decided on the measured size of the summary.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.functions.columns import at_least, at_most, clip, gaussian_weights
@@ -16,29 +18,52 @@ from driftgrid.schema import FRAME
 from driftgrid.tiles import along_x, along_y, inside, mirror, own, spread, weighted, TILE
 
 
-def stretch_contrast(image: DataFrame, keys=FRAME) -> DataFrame:
-    bounds = image.groupBy(*keys).agg(F.min("i").alias("_lo"), F.max("i").alias("_hi"))
-    scaled = (F.col("i") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1e-22))
-    return attach(image, bounds, keys).withColumn("i", clip(scaled, 0.0, 1.0)).drop("_lo", "_hi")
+# The statistics of several image columns (``prev`` and ``curr`` of a pair) are
+# one row per frame, ``_<what>_<column>``; what a step makes of a pixel is an
+# expression of them. A sweep thus takes them once for all parameters.
+
+
+def bounds(image: DataFrame, columns=("i",), keys=FRAME) -> DataFrame:
+    """Smallest and largest value per frame."""
+    made = [f(c).alias(f"_{what}_{c}") for c in columns for what, f in (("lo", F.min), ("hi", F.max))]
+    return image.groupBy(*keys).agg(*made)
+
+
+def centre_and_spread(image: DataFrame, columns=("i",), keys=FRAME) -> DataFrame:
+    """Median and population deviation per frame."""
+    parts = [
+        quantiles(image, c, [0.5], keys, extras=[F.stddev_pop(c).alias(f"_std_{c}")]).withColumnRenamed("q0", f"_med_{c}")
+        for c in columns
+    ]
+    return reduce(lambda a, b: a.join(b, list(keys)), parts)
 
 
-def _centre_and_spread(image: DataFrame, keys) -> DataFrame:
-    found = quantiles(image, "i", [0.5], keys, extras=[F.stddev_pop("i").alias("_std")])
-    return found.withColumnRenamed("q0", "_med")
+def stretched(column: str = "i") -> Column:
+    low, high = F.col(f"_lo_{column}"), F.col(f"_hi_{column}")
+    return clip((F.col(column) - low) / (high - low + F.lit(1e-22)), 0.0, 1.0)
+
+
+def capped(column: str = "i", n: float = 2.0) -> Column:
+    return at_most(F.col(column), F.col(f"_med_{column}") + F.lit(float(n)) * F.col(f"_std_{column}"))
+
+
+def clipped(column: str = "i", n: float = 2.0) -> Column:
+    reach = F.lit(float(n)) * F.col(f"_std_{column}")
+    low, high = F.col(f"_med_{column}") - reach, F.col(f"_med_{column}") + reach
+    return at_most(at_least(F.col(column), low), high)
+
+
+def stretch_contrast(image: DataFrame, keys=FRAME) -> DataFrame:
+    return attach(image, bounds(image, keys=keys), keys).withColumn("i", stretched()).drop("_lo_i", "_hi_i")
 
 
 def intensity_capping(image: DataFrame, n: float = 2.0, keys=FRAME) -> DataFrame:
     """Cap bright pixels at the frame's median plus ``n`` population deviations."""
-    joined = attach(image, _centre_and_spread(image, keys), keys)
-    cap = F.col("_med") + F.lit(float(n)) * F.col("_std")
-    return joined.withColumn("i", at_most(F.col("i"), cap)).drop("_med", "_std")
+    return attach(image, centre_and_spread(image, keys=keys), keys).withColumn("i", capped(n=n)).drop("_med_i", "_std_i")
 
 
 def intensity_clipping(image: DataFrame, n: float = 2.0, keys=FRAME) -> DataFrame:
-    joined = attach(image, _centre_and_spread(image, keys), keys)
-    reach = F.lit(float(n)) * F.col("_std")
-    low, high = F.col("_med") - reach, F.col("_med") + reach
-    return joined.withColumn("i", at_most(at_least(F.col("i"), low), high)).drop("_med", "_std")
+    return attach(image, centre_and_spread(image, keys=keys), keys).withColumn("i", clipped(n=n)).drop("_med_i", "_std_i")
 
 
 def high_pass(

@@ -110,10 +110,15 @@ def patch_flow(pairs: DataFrame, shape, start: DataFrame | None = None, keys=FRA
 
 def members(pairs: DataFrame, shape: tuple[int, int], estimators: Sequence[dict], keys=FRAME) -> DataFrame:
     """The fields of several estimators as one stored ensemble."""
+    return durable(stacked(pairs, shape, estimators, keys))
+
+
+def stacked(pairs: DataFrame, shape: tuple[int, int], estimators: Sequence[dict], keys=FRAME) -> DataFrame:
+    """``members`` without storing them, to be read once."""
     if not estimators:
         raise ValueError("an ensemble needs at least one estimator")
     fields = [estimate(e["name"], pairs, shape, keys=keys, **{k: v for k, v in e.items() if k != "name"}) for e in estimators]
-    return durable(consensus.stack(fields))
+    return consensus.stack(fields)
 
 
 def _limit(epe_limit, experiment_params, oracle):

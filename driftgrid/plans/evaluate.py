@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from driftgrid.operators import metrics, normalize
 from driftgrid.plans.estimators import ESTIMATORS, Run, estimate, estimate_run
-from driftgrid.plans.steps import Context, chain_from_config, run_chain
-from driftgrid.scale import durable
+from driftgrid.plans.steps import Context, adjusted, chain_from_config, measured, run_chain, validate_steps, with_statistics
+from driftgrid.scale import durable, kept
 from driftgrid.schema import FRAME, PIXEL
 
+SIDES = ("prev", "curr")
+
 # Keys of a config that are not parameters of its estimator (fixed values).
 NOT_PARAMETERS = ("estimator", "estimate_type", "preprocess", "postprocess", "jit")
 
@@ -24,13 +26,22 @@ def _checked(config: dict) -> tuple[list[dict], list[dict], dict]:
 
 
 def prepare_pairs(pairs: DataFrame, image_steps: list[dict], context: Context) -> tuple[DataFrame, Context]:
-    """Both images of every pair after the image steps, and the context afterwards."""
+    """Both images of every pair after the image steps, and the context afterwards.
+
+    Steps that need a frame's statistics only are done on the pairs themselves; for others the two
+    images part and meet again by pixel.
+    """
+    validate_steps("image", image_steps)
+    keys = context.keys
+    while image_steps and measured(image_steps[0]):
+        pairs = with_statistics(kept(pairs), image_steps[0], SIDES, keys)
+        pairs = adjusted(pairs, image_steps[0], SIDES).select(*keys, *PIXEL, *SIDES)
+        image_steps = image_steps[1:]
     if not image_steps:
         return pairs, context
-    keys = context.keys
-    pairs = durable(pairs)  # read by the steps of both sides
+    pairs = kept(pairs)  # read by the steps of both sides
     sides = []
-    for name in ("prev", "curr"):
+    for name in SIDES:
         image = pairs.select(*keys, *PIXEL, F.col(name).alias("i"))
         image, after = run_chain("image", image, image_steps, context)
         sides.append(image.select(*keys, *PIXEL, F.col("i").alias(name)))

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.operators import filling, normalize, pixels, resample, sequences, smoothing, validation
+from driftgrid.scale import attach
 from driftgrid.schema import FRAME
 from driftgrid.tiles import own, spread
 
@@ -27,6 +28,7 @@ class Context:
     keeps the literal convention in which a detected outlier is what the next
     step reads as valid. For averages over time, either ``time`` names the step
     number among the keys or ``previous`` is the final field of the step before.
+    Chains with the same least ``halo`` begin with the same exchange.
     """
 
     shape: tuple[int, int]
@@ -34,6 +36,7 @@ class Context:
     mask_mode: str = "intent"
     time: str | None = None
     previous: DataFrame | None = None
+    halo: int = 0
 
 
 Apply = Callable[..., "DataFrame | tuple[DataFrame, Context]"]
@@ -45,13 +48,17 @@ class Step:
 
     With ``reach(**params)`` given, ``apply`` works in place on a table spread
     over tiles and looks that many pixels away. A ``whole`` step reads statistics
-    of the whole table, so that it sees one setting of a sweep at a time.
+    of the whole table, so that it sees one setting of a sweep at a time. With
+    ``measure(table, columns, keys)`` an image step is ``adjust(column, **params)``,
+    an expression of a pixel and of those statistics of its frame.
     """
 
     apply: Apply
     check: Callable[..., None]
     reach: Callable[..., int] | None = None
     whole: bool = False
+    measure: Callable[..., DataFrame] | None = None
+    adjust: Callable[..., Column] | None = None
 
 
 # Neighbouring steps share one exchange up to this halo.
@@ -63,10 +70,37 @@ FIELD_STEPS: dict[str, Step] = {}
 
 
 def register_step(
-    kind: str, name: str, apply: Apply, check: Callable[..., None], reach: Callable[..., int] | None = None, whole: bool = False
-) -> None:
+    kind: str, name: str, apply: Apply, check: Callable[..., None], reach: Callable[..., int] | None = None, whole: bool = False,
+    measure: Callable[..., DataFrame] | None = None, adjust: Callable[..., Column] | None = None,
+) -> None:
     """Add a step (see ``Step``)."""
-    _registry(kind)[name] = Step(apply, check, reach, whole)
+    _registry(kind)[name] = Step(apply, check, reach, whole, measure, adjust)
+
+
+def measured(step: dict) -> bool:
+    """Whether an image step is an expression of a pixel and its frame's statistics."""
+    return IMAGE_STEPS[step["name"]].measure is not None
+
+
+def with_statistics(table: DataFrame, step: dict, columns: Sequence[str], keys) -> DataFrame:
+    """The pixels with what ``adjusted`` needs of their frames."""
+    return attach(table, IMAGE_STEPS[step["name"]].measure(table, columns, keys), keys)
+
+
+def adjusted(table: DataFrame, step: dict, columns: Sequence[str]) -> DataFrame:
+    """A measured step done on several image columns in place; the statistics stay."""
+    params = {k: v for k, v in step.items() if k != "name"}
+    return table.withColumns({c: IMAGE_STEPS[step["name"]].adjust(c, **params) for c in columns})
+
+
+def widest_halo(chains: Sequence[Sequence[dict]]) -> int:
+    """The halo with which chains of field steps done in place can share their first exchange."""
+    return min(MAX_HALO, max(sum(FIELD_STEPS[s["name"]].reach(**{k: v for k, v in s.items() if k != "name"}) for s in chain) for chain in chains))
+
+
+def keeps_columns(kind: str, steps: Sequence[dict]) -> bool:
+    """Whether other columns of a table pass through all the steps (those done in place)."""
+    return all(_registry(kind)[step["name"]].reach is not None for step in steps)
 
 
 def reads_whole_table(kind: str, steps: Sequence[dict]) -> bool:
@@ -133,7 +167,7 @@ def _in_place(table: DataFrame, context: Context, steps: list[tuple[Step, dict]]
     Its halo is the sum of their reaches: what the missing outer pixels spoil
     moves inwards by each step's reach and never arrives at a tile's own pixels.
     """
-    halo = _halo(steps)
+    halo = _halo(steps) and max(_halo(steps), context.halo)
     if halo:
         table = spread(table, halo, context.keys)
     for step, params in steps:
@@ -294,6 +328,11 @@ def _ema(table, ctx, alpha):
     return sequences.ema(table, alpha, keys=[*line, "y", "x"], time=ctx.time)
 
 
+_STATISTICS = {
+    "stretch_contrast": (normalize.bounds, normalize.stretched),
+    "intensity_capping": (normalize.centre_and_spread, normalize.capped),
+    "intensity_clipping": (normalize.centre_and_spread, normalize.clipped),
+}
 for _name, _apply, _check in (
     ("background_suppression", lambda t, c, threshold=0.0: pixels.background_suppression(t, threshold), _check_threshold),
     ("stretch_contrast", lambda t, c: normalize.stretch_contrast(t, c.keys), _no_parameters),
@@ -308,7 +347,7 @@ for _name, _apply, _check in (
     ("crop_special", _crop, _check_crop),
     ("resize_image", _resize_image, _check_size),
 ):
-    register_step("image", _name, _apply, _check)
+    register_step("image", _name, _apply, _check, measure=_STATISTICS.get(_name, (None, None))[0], adjust=_STATISTICS.get(_name, (None, None))[1])
 
 def _of_radius(radius: int = 1, **_) -> int:
     return radius

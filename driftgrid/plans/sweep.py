@@ -12,20 +12,23 @@ from __future__ import annotations
 import itertools
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.operators import metrics
+from driftgrid.operators import consensus, metrics
 from driftgrid.plans import estimators
-from driftgrid.plans.evaluate import _checked, prepare_pairs
-from driftgrid.plans.steps import Context, reads_whole_table, run_chain
+from driftgrid.plans.evaluate import SIDES, _checked, prepare_pairs
+from driftgrid.plans.steps import Context, adjusted, keeps_columns, measured, reads_whole_table, run_chain, widest_halo, with_statistics
 from driftgrid.scale import durable
-from driftgrid.schema import FRAME
+from driftgrid.schema import FRAME, PIXEL
 
 #: The key that tells images apart which were prepared differently.
 VARIANT = "variant_"
+#: Marks pixels that have a truth.
+KNOWN = "known_"
 
 
 def with_value(config, key: str, value):
@@ -84,30 +87,76 @@ def _prepared(pairs: DataFrame, chains: Sequence[list[dict]], context: Context)
     pairs, context = prepare_pairs(pairs, chains[0][:same], context)
     if len(chains) > 1:
         pairs = durable(pairs)
-    made = [prepare_pairs(pairs, chain[same:], context) for chain in chains]
+    first = [chain[same] for chain in chains if len(chain) > same]
+    if len(first) > 1 and len(first) == len(chains) and len({step["name"] for step in first}) == 1 and measured(first[0]):
+        # the same statistics whatever the parameters
+        told = with_statistics(pairs, first[0], SIDES, context.keys)
+        begun = [adjusted(told, step, SIDES).select(*context.keys, *PIXEL, *SIDES) for step in first]
+        made = [prepare_pairs(side, chain[same + 1 :], context) for side, chain in zip(begun, chains)]
+    else:
+        made = [prepare_pairs(pairs, chain[same:], context) for chain in chains]
     if len({after.shape for _, after in made}) > 1:
         raise ValueError("a sweep cannot mix image sizes; sweep each size by itself")
     rows = _union([side.withColumn(VARIANT, F.lit(k)) for k, (side, _) in enumerate(made)])
-    return durable(rows), Context(made[0][1].shape, (VARIANT, *context.keys), context.mask_mode)
+    # the frame comes first: rows are told apart by the first key they are sorted by
+    return durable(rows), Context(made[0][1].shape, (*context.keys, VARIANT), context.mask_mode)
+
+
+def _beside(field: DataFrame, truth: DataFrame, keys) -> DataFrame:
+    """The field with its truth (``tu, tv``), and in ``KNOWN`` whether a pixel has one."""
+    known = truth.select(*keys, *PIXEL, F.col("u").alias("tu"), F.col("v").alias("tv"), F.lit(True).alias(KNOWN))
+    return field.join(known, [*keys, *PIXEL], "left")
+
 
+def _estimates(name: str, params: Sequence[dict], pairs: DataFrame, truth: DataFrame, context: Context, ride: bool) -> list[tuple[DataFrame, bool]]:
+    """A field per parameter set and whether it is stored; ensembles with the same members are computed once.
 
-def _estimates(name: str, params: Sequence[dict], pairs: DataFrame, truth: DataFrame, context: Context) -> list[DataFrame]:
-    """A field per parameter set; ensembles with the same members are computed once."""
+    With ``ride`` the truth stands beside every field.
+    """
     keys, shape = context.keys, context.shape
     if name != "consensus":
-        return [estimators.estimate(name, pairs, shape, truth, keys=keys, **p) for p in params]
+        fields = [estimators.estimate(name, pairs, shape, truth, keys=keys, **p) for p in params]
+        return [(_beside(f, truth, keys) if ride else f, False) for f in fields]
     ensembles, number = _numbered([p.get("estimators") for p in params])
-    stored = [estimators.members(pairs, shape, e, keys) for e in ensembles]
-    fields = []
-    for p, k in zip(params, number):
+    fields: list = [None] * len(params)
+    stored: list = [None] * len(ensembles)
+    for k, e in enumerate(ensembles):
+        mine = [j for j in range(len(params)) if number[j] == k]
+        weights = [_constant_weight(params[j]) for j in mine]
+        if all(w is not None for w in weights):
+            # weights that are the same everywhere: all means in one pass over the members
+            means = consensus.consensus_means(estimators.stacked(pairs, shape, e, keys), weights, keys=keys)
+            means = durable(_beside(means, truth, keys) if ride else means)
+            told = ("tu", "tv", KNOWN) if ride else ()
+            for n, j in enumerate(mine):
+                fields[j] = means.select(*keys, *PIXEL, F.col(f"u{n}").alias("u"), F.col(f"v{n}").alias("v"), *told), True
+        else:
+            stored[k] = estimators.members(pairs, shape, e, keys)
+    for j, (p, k) in enumerate(zip(params, number)):
+        if fields[j] is not None:
+            continue
         given = {key: value for key, value in p.items() if key not in ("estimators", "epe_limit", "experiment_params", "oracle")}
         limit = estimators._limit(p.get("epe_limit"), p.get("experiment_params"), p.get("oracle", True))
-        fields.append(estimators.fuse_fields(stored[k], pairs, shape, epe_limit=limit, truth=truth, keys=keys, **given))
+        field = estimators.fuse_fields(stored[k], pairs, shape, epe_limit=limit, truth=truth, keys=keys, **given)
+        fields[j] = (_beside(field, truth, keys) if ride else field), False
     return fields
 
 
-def _finished(field: DataFrame, chains: Sequence[list[dict]], variants: int, context: Context) -> list[DataFrame]:
-    """The field after each chain; their common beginning is stored once."""
+def _constant_weight(params: dict) -> Column | None:
+    """A mean's weight as a number per estimator; ``None`` where it depends on more than that."""
+    config = params.get("config") or {}
+    plain = {"config", "estimators", "algorithm", "experiment_params", "epe_limit", "oracle"}.issuperset(params)
+    limit = estimators._limit(params.get("epe_limit"), params.get("experiment_params"), params.get("oracle", True))
+    if not plain or limit is not None or params.get("algorithm", "mean") != "mean" or config.get("normalization", "none") != "none":
+        return None
+    kind = config.get("weights_type") or "none"
+    if kind == "list" and "weights" in config:
+        return consensus.listed_weight(config["weights"])
+    return consensus.listed_weight(None) if kind == "none" else None
+
+
+def _finished(field: DataFrame, stored: bool, chains: Sequence[list[dict]], variants: int, context: Context) -> list[DataFrame]:
+    """The field after each chain; their common beginning is stored once (nothing, if the field is and they have none)."""
 
     def apply(table: DataFrame, steps: list[dict]) -> DataFrame:
         if variants == 1 or not reads_whole_table("field", steps):
@@ -115,10 +164,12 @@ def _finished(field: DataFrame, chains: Sequence[list[dict]], variants: int, con
         return _union([run_chain("field", table.where(F.col(VARIANT) == k), steps, context)[0] for k in range(variants)])
 
     same = _shared(chains)
+    if len(chains) > 1 and all(keeps_columns("field", chain) for chain in chains):
+        context = replace(context, halo=widest_halo([chain[same:] for chain in chains]))
     if any(step["name"] == "resize_flow" for chain in chains for step in chain[:same]) and len(chains) > 1:
         same = 0  # the shape changes on the way
     if len(chains) > 1:
-        field = durable(apply(field, chains[0][:same]))
+        field = field if stored and same == 0 else durable(apply(field, chains[0][:same]))
         return [apply(field, chain[same:]) for chain in chains]
     return [apply(field, chains[0])]
 
@@ -144,13 +195,18 @@ def sweep(
     params, params_of = _numbered([c[2] for c in checked])
     prepared, context = _prepared(pairs, images, Context(shape, tuple(keys), mask_mode))
     every = truth.withColumn(VARIANT, F.explode(F.array(*[F.lit(k) for k in range(len(images))])))  # read only where an estimator asks for it
+    # the truth goes with the fields through steps that keep it, and need not meet every setting's field by pixel
+    ride = all(keeps_columns("field", c[1]) for c in checked)
     parts = []
-    for k, field in enumerate(_estimates(names.pop(), params, prepared, every, context)):
+    for k, (field, stored) in enumerate(_estimates(names.pop(), params, prepared, every, context, ride)):
         mine = [s for s in range(len(chosen)) if params_of[s] == k]
         chains, chain_of = _numbered([checked[s][1] for s in mine])
-        for j, done in enumerate(_finished(field, chains, len(images), context)):
+        for j, done in enumerate(_finished(field, stored, chains, len(images), context)):
             wanted = [s for s, c in zip(mine, chain_of) if c == j]
             numbers = [F.array(*[F.lit(s) for s in wanted if image_of[s] == v]).cast("array<int>") for v in range(len(images))]
-            measured = metrics.eval_dataset(done, truth, keys, by=(VARIANT,))
-            parts.append(measured.withColumn("setting", F.explode(F.get(F.array(*numbers), F.col(VARIANT)))).drop(VARIANT))
+            if ride:
+                result = metrics.eval_pairs(done.where(KNOWN), keys, by=(VARIANT,))
+            else:
+                result = metrics.eval_dataset(done, truth, keys, by=(VARIANT,))
+            parts.append(result.withColumn("setting", F.explode(F.get(F.array(*numbers), F.col(VARIANT)))).drop(VARIANT))
     return _union(parts).withColumn("parameters", F.get(F.array(*[F.lit(x) for x in labels]), F.col("setting")))

@@ -55,6 +55,11 @@ def durable(df: DataFrame, by: str | None = None, codec: str | None = None) -> D
     return stored
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a durable table: itself if it is one already."""
+    return df if df in _PATHS else durable(df)
+
+
 def release(stored: DataFrame) -> None:
     """Delete a table made by ``durable`` once nothing reads it any more.
 

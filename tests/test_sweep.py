@@ -8,6 +8,7 @@ from conftest import pixels
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from driftgrid.operators import normalize
 from driftgrid.plans import estimators, evaluate, sweep
 
 
@@ -108,3 +109,35 @@ def test_sweep_keeps_to_one_estimator_and_size(pairs, truth, shift):
     config = {"estimator": "dummy", "preprocess": [{"name": "resize_image", "target_height": 8, "target_width": 8}]}
     with pytest.raises(ValueError, match="image sizes"):
         sweep.sweep(config, {"preprocess.0.target_height": [8, 4]}, pairs, truth, (8, 8))
+
+
+def test_sweep_takes_statistics_and_members_once(pairs, truth, shift, monkeypatch):
+    """Work does not grow with the settings that share it, and truth that lacks pixels is left out as in a single run."""
+    counts = {"quantiles": 0, "constant": 0}
+
+    def counted(name, f):
+        def call(*args, **kwargs):
+            counts[name] += 1
+            return f(*args, **kwargs)
+
+        return call
+
+    monkeypatch.setattr(normalize, "quantiles", counted("quantiles", normalize.quantiles))
+    monkeypatch.setitem(estimators.ESTIMATORS, "constant", counted("constant", estimators.ESTIMATORS["constant"]))
+    config = {
+        "estimator": "consensus", "estimators": MEMBERS, "config": {"weights_type": "list", "weights": [1.0, 1.0]},
+        "preprocess": [{"name": "intensity_capping", "n": 1.0}, {"name": "stretch_contrast"}],
+        "postprocess": [{"name": "average_smoothing", "radius": 1}],
+    }
+    grid = {"preprocess.0.n": [0.1, 1.0, 5.0], "config.weights.1": [0.25, 1.0], "postprocess.0.radius": [1, 2]}
+    part = truth.where("y + x < 9")
+    swept = sweep.sweep(config, grid, pairs, part, (8, 8))
+    joins = swept._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    rows = {r["setting"]: r for r in swept.collect()}
+    assert counts == {"quantiles": 2, "constant": 1}  # one for either image of a pair
+    assert joins == 0  # no setting's field meets the truth by pixel
+    for k, (values, one) in enumerate(sweep.settings(config, grid)):
+        alone = evaluate.evaluate_field(one, pairs, part, (8, 8)).first()
+        assert (rows[k]["frames"], rows[k]["missing"]) == (alone["frames"], alone["missing"])
+        for name in ("mean", "max", "min", "coverage"):
+            assert rows[k][name] == pytest.approx(alone[name], abs=1e-9), (values, name)
