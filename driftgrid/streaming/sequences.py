@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -14,18 +16,106 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from driftgrid.deploy import ship
 
 EMA_OUTPUT = "key long, ts timestamp, seq long, value double, ema double, late long"
-EMA_STATE = "ema double, last_ts timestamp, last_seq long, late long"
+# What a group's state holds of every key, besides the operator's own.
+MARKS = {"keys": "array<long>", "last_us": "array<long>", "last_seq": "array<long>", "late": "array<long>", "due": "array<long>"}
+#: Keys that share a call and a state: a call costs as much as some thousand rows.
+KEYS = 16
+#: Before every time, and a row without one (sorted last).
+NEVER, NO_TIME = -(2**63), 2**63 - 1
 
 
-def _in_order(batches: Iterator[pd.DataFrame], last_ts, last_seq: int, late: int) -> tuple[pd.DataFrame, int]:
-    """The new rows of one key in one micro-batch (which the trigger bounds) by ``(ts, seq)``, and the count of late ones.
+@dataclass
+class _Group:
+    """The rows of a group's keys in one micro-batch (which the trigger bounds), and what the keys leave to the next.
 
-    Late is what is not after the last row consumed, including repeats; ``late`` of a row counts those up to it.
+    ``rows`` are the new ones by ``(key, ts, seq)``, with ``late``. Late is what is not after the last row its key
+    consumed, including repeats; ``late`` of a row counts those up to it. Per key of the rows: its ``names``,
+    ``starts`` (of its rows, and their end), its number in ``before`` or -1.
     """
-    rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable", ignore_index=True)
-    old = (rows["ts"] < last_ts) | ((rows["ts"] == last_ts) & (rows["seq"] <= last_seq)) | rows["ts"].isna() | rows.duplicated(["ts", "seq"])
-    rows["late"] = late + old.cumsum()
-    return rows[~old].copy(), late + int(old.sum())
+
+    rows: pd.DataFrame
+    names: list
+    starts: np.ndarray
+    before: np.ndarray
+
+
+def _new_rows(batches: Iterator[pd.DataFrame], held: dict[str, list]) -> tuple[_Group, dict[str, list]]:
+    """The group of a micro-batch and the keys' new marks (``held`` has those of before: ``MARKS`` without ``due``)."""
+    rows = pd.concat(list(batches)).sort_values(["key", "us", "seq"], kind="stable", ignore_index=True)
+    number, found = pd.factorize(rows["key"], use_na_sentinel=False)
+    names = [None if pd.isna(k) else int(k) for k in found]
+    place = {k: n for n, k in enumerate(held["keys"])}
+    before = np.array([place.get(k, -1) for k in names])
+
+    def of(name: str, first: int) -> np.ndarray:
+        return np.array([*held[name], first], np.int64)[before]  # -1: a new key
+
+    us, last_us, last_seq, late = rows["us"], of("last_us", NEVER), of("last_seq", -1), of("late", 0)
+    seen = last_us[number]
+    old = (us < seen) | ((us == seen) & (rows["seq"] <= last_seq[number])) | (us == NO_TIME) | rows.duplicated(["key", "us", "seq"])
+    counted = old.to_numpy().astype(np.int64)
+    upto = np.cumsum(counted)
+    ends = np.searchsorted(number, np.arange(len(names)), side="right")
+    begins = np.append(0, ends[:-1])
+    earlier = upto[begins] - counted[begins]
+    rows["late"] = (late - earlier)[number] + upto
+    late = late + upto[ends - 1] - earlier
+    rows = rows[~old].reset_index(drop=True)
+    starts = np.searchsorted(number[~old.to_numpy()], np.arange(len(names) + 1))
+    fresh = np.flatnonzero(np.diff(starts))
+    last_us[fresh] = rows["us"].to_numpy()[starts[fresh + 1] - 1]
+    last_seq[fresh] = rows["seq"].to_numpy()[starts[fresh + 1] - 1]
+    marks = {"keys": names, "last_us": last_us.tolist(), "last_seq": last_seq.tolist(), "late": late.tolist()}
+    return _Group(rows, names, starts, before), marks
+
+
+def _by_key(
+    stream: DataFrame, advance: Callable, kept: Mapping[str, str], output: str, key: str, ts: str, seq: str, value: str, watermark: str, expiry_ms: int | None
+) -> DataFrame:
+    """Rows through a function with state per key; ``KEYS`` neighbouring keys go through one call and share one state.
+
+    ``advance(group, held)`` gives the columns that ``rows`` get and, per key of the group, what it leaves: the columns
+    ``kept`` of ``held``, which holds them by key as lists. Keys expire one by one.
+    """
+    ship(stream.sparkSession)
+    timeout = GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.EventTimeTimeout
+    kinds = {**MARKS, **kept}
+    columns = [c.split()[0] for c in output.split(", ")]
+
+    def fold(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {name: list(v) for name, v in zip(kinds, state.get)} if state.exists else {name: [] for name in kinds}
+        names, out = [], None
+        if not state.hasTimedOut:
+            group, left = _new_rows(batches, held)
+            made, carried = advance(group, held)
+            left.update(carried)
+            names, out = group.names, group.rows.assign(**made)[columns]
+        now = 0 if expiry_ms is None else state.getCurrentWatermarkMs()
+        met = set(names)
+        silent = [n for n, (k, due) in enumerate(zip(held["keys"], held["due"])) if k not in met and (expiry_ms is None or due >= now)]
+        next_ = {name: [v[n] for n in silent] for name, v in held.items()}
+        if names:
+            left["due"] = [0 if expiry_ms is None else max(us // 1000, now) + expiry_ms for us in left["last_us"]]
+            next_ = {name: v + left[name] for name, v in next_.items()}
+        if next_["keys"]:
+            state.update(tuple(next_[name] for name in kinds))
+            if expiry_ms is not None:
+                state.setTimeoutTimestamp(min(next_["due"]))
+        else:
+            state.remove()
+        if out is not None:
+            yield out
+
+    name = F.col(key).cast("long")
+    rows = stream.select(
+        F.shiftright(name, KEYS.bit_length() - 1).alias("_group"),
+        name.alias("key"),
+        F.col(ts).alias("ts"),
+        F.col(seq).cast("long").alias("seq"),
+        F.col(value).cast("double").alias("value"),
+    ).withWatermark("ts", watermark)
+    rows = rows.withColumn("us", F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME)))
+    return rows.groupBy("_group").applyInPandasWithState(fold, output, ", ".join(f"{n} {kind}" for n, kind in kinds.items()), "append", timeout)
 
 
 def _recursion(values: np.ndarray, alpha: float, level: float) -> np.ndarray:
@@ -43,11 +133,6 @@ def _recursion(values: np.ndarray, alpha: float, level: float) -> np.ndarray:
     return out
 
 
-def _expire(state: GroupState, last_ts, expiry_ms: int | None) -> None:
-    if expiry_ms is not None:
-        state.setTimeoutTimestamp(max(int(last_ts.timestamp() * 1000), state.getCurrentWatermarkMs()) + expiry_ms)
-
-
 def ema_stream(
     stream: DataFrame,
     alpha: float,
@@ -68,29 +153,17 @@ def ema_stream(
     """
     if not 0 <= alpha <= 1:
         raise ValueError(f"alpha must be in the range [0, 1], got {alpha}")
-    ship(stream.sparkSession)
-    timeout = GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.EventTimeTimeout
 
-    def fold(group_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        level, last_ts, last_seq, late = state.get if state.exists else (initial, pd.Timestamp.min, -1, 0)
-        rows, late = _in_order(batches, last_ts, last_seq, late)
-        if len(rows):
-            rows["ema"] = _recursion(rows["value"].to_numpy(float), alpha, level)
-            level, last_ts, last_seq = rows["ema"].iloc[-1], rows["ts"].iloc[-1], rows["seq"].iloc[-1]
-        state.update((float(level), last_ts, int(last_seq), late))
-        _expire(state, last_ts, expiry_ms)
-        yield rows.assign(key=group_key[0])[["key", "ts", "seq", "value", "ema", "late"]] if len(rows) else pd.DataFrame(columns=["key", "ts", "seq", "value", "ema", "late"])
+    def advance(group: _Group, held: dict[str, list]) -> tuple[dict, dict]:
+        values, out = group.rows["value"].to_numpy(float), np.empty(len(group.rows))
+        levels = [held["ema"][n] if n >= 0 else float(initial) for n in group.before]
+        for k, (i, j) in enumerate(pairwise(group.starts)):
+            if i < j:
+                out[i:j] = _recursion(values[i:j], alpha, levels[k])
+                levels[k] = float(out[j - 1])
+        return {"ema": out}, {"ema": levels}
 
-    rows = stream.select(
-        F.col(key).cast("long").alias("key"),
-        F.col(ts).alias("ts"),
-        F.col(seq).cast("long").alias("seq"),
-        F.col(value).cast("double").alias("value"),
-    ).withWatermark("ts", watermark)
-    return rows.groupBy("key").applyInPandasWithState(fold, EMA_OUTPUT, EMA_STATE, "append", timeout)
+    return _by_key(stream, advance, {"ema": "array<double>"}, EMA_OUTPUT, key, ts, seq, value, watermark, expiry_ms)
 
 
 def running_metrics_stream(stream: DataFrame, value: str, keys=()) -> DataFrame:
@@ -104,7 +177,6 @@ def running_metrics_stream(stream: DataFrame, value: str, keys=()) -> DataFrame:
 
 
 HISTORY_OUTPUT = "key long, ts timestamp, seq long, hist array<double>, late long"
-HISTORY_STATE = "hist array<double>, last_ts timestamp, last_seq long, late long"
 
 
 def history_stream(
@@ -123,29 +195,22 @@ def history_stream(
     """
     if length < 1:
         raise ValueError("length must be positive")
-    ship(stream.sparkSession)
-    timeout = GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.EventTimeTimeout
-
-    def roll(group_key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent, last_ts, last_seq, late = state.get if state.exists else (None, pd.Timestamp.min, -1, 0)
-        rows, late = _in_order(batches, last_ts, last_seq, late)
-        if len(rows):
-            values = rows["value"].to_numpy(float)
-            before = [values[0]] * length if recent is None or not len(recent) else list(recent)
-            line = np.concatenate([np.array(before[1:], float), values])
-            rows["hist"] = list(np.lib.stride_tricks.sliding_window_view(line, length))
-            recent, last_ts, last_seq = line[-length:].tolist(), rows["ts"].iloc[-1], rows["seq"].iloc[-1]
-        state.update(([] if recent is None else list(recent), last_ts, int(last_seq), late))
-        _expire(state, last_ts, expiry_ms)
-        yield rows.assign(key=group_key[0])[["key", "ts", "seq", "hist", "late"]] if len(rows) else pd.DataFrame(columns=["key", "ts", "seq", "hist", "late"])
 
-    rows = stream.select(
-        F.col(key).cast("long").alias("key"),
-        F.col(ts).alias("ts"),
-        F.col(seq).cast("long").alias("seq"),
-        F.col(value).cast("double").alias("value"),
-    ).withWatermark("ts", watermark)
-    return rows.groupBy("key").applyInPandasWithState(roll, HISTORY_OUTPUT, HISTORY_STATE, "append", timeout)
+    def advance(group: _Group, held: dict[str, list]) -> tuple[dict, dict]:
+        values = group.rows["value"].to_numpy(float)
+        parts, last = [], []
+        for n, (i, j) in zip(group.before, pairwise(group.starts)):
+            recent = held["hist"][n] if n >= 0 else []
+            if i < j:
+                parts += [recent[1:] if len(recent) else [values[i]] * (length - 1), values[i:j]]
+                recent = np.concatenate(parts[-2:])[-length:].tolist()
+            last.append(list(recent))
+        made: list = []
+        if parts:
+            windows = np.lib.stride_tricks.sliding_window_view(np.concatenate(parts), length)
+            # a key's values follow the length - 1 before them
+            turn = np.cumsum(np.diff(group.starts) > 0) - 1
+            made = list(windows[np.arange(len(values)) + (length - 1) * np.repeat(turn, np.diff(group.starts))])
+        return {"hist": made}, {"hist": last}
+
+    return _by_key(stream, advance, {"hist": "array<array<double>>"}, HISTORY_OUTPUT, key, ts, seq, value, watermark, expiry_ms)

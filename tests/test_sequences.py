@@ -270,3 +270,52 @@ def test_stream_recursion_in_pieces(rng, alpha):
     np.testing.assert_allclose(streams._recursion(x, alpha, 2.0), folded(x, alpha, 2.0), rtol=1e-9, atol=1e-12)
     x[5000] = np.nan
     assert np.isnan(streams._recursion(x, alpha, 2.0)[5000 + (alpha == 1.0) * 4000 :]).all() or alpha == 1.0
+
+
+def test_streams_of_neighbouring_keys_share_a_call(spark, tmp_path, rng):
+    """Keys of one state go on by themselves over batches: values, late rows, keys without rows, far and missing ones."""
+    source, name = str(tmp_path / "in"), str(tmp_path / "out")
+    keys = [*range(-3, 40), 10**12, None]
+    x = {u: rng.normal(size=6).tolist() for u in keys}
+    late = {u: 0 for u in keys}
+    calls = []
+
+    def once(stream):
+        calls.append(stream._jdf.queryExecution().analyzed().toString())
+        return stream
+
+    want = {u: [] for u in keys}
+    for part in range(2):
+        mine = [u for u in keys if u is None or part == 0 or u % 3]
+        rows = [(u, part * 3 + s, x[u][part * 3 + s]) for u in mine for s in (2, 0, 1)]
+        if part:
+            rows.append((7, 1, 99.0))
+            late[7] = 1
+        batch(spark, source, rows)
+        for kind, make in (("ema", lambda s: streams.ema_stream(s, 0.4, "user", watermark="1 day")), ("hist", lambda s: streams.history_stream(s, 3, "user", watermark="1 day"))):
+            drain(once(make(spark.readStream.schema(SCHEMA).parquet(source))), f"{name}-{kind}")
+        for u in mine:
+            want[u] += x[u][part * 3 : part * 3 + 3]
+    assert all("_group" in plan for plan in calls)
+    for kind, schema in (("ema", streams.EMA_OUTPUT), ("hist", streams.HISTORY_OUTPUT)):
+        got = {}
+        for r in spark.read.schema(schema).parquet(f"{name}-{kind}").orderBy("seq").collect():
+            got.setdefault(r["key"], []).append(r)
+        assert set(got) == set(keys)
+        for u in keys:
+            assert max(r["late"] for r in got[u]) == late[u]
+            if kind == "ema":
+                np.testing.assert_allclose([r["ema"] for r in got[u]], folded(want[u], 0.4))
+            else:
+                line = [want[u][0]] * 2 + want[u]
+                assert [r["hist"] for r in got[u]] == [line[k : k + 3] for k in range(len(want[u]))]
+
+
+def test_silent_keys_expire_one_by_one(spark, tmp_path):
+    """A key that stays silent begins anew, its neighbours in the same state go on."""
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(1, 0, 4.0), (2, 0, 8.0)], [(1, 100, 4.0)], [(1, 101, 4.0)], [(1, 102, 4.0), (2, 102, 8.0)]):
+        batch(spark, source, rows)
+        drain(streams.ema_stream(spark.readStream.schema(SCHEMA).parquet(source), 0.5, "user", watermark="1 second", expiry_ms=20_000), target)
+    got = spark.read.schema(streams.EMA_OUTPUT).parquet(target).orderBy("key", "seq").collect()
+    assert [r["ema"] for r in got] == [2.0, 3.0, 3.5, 3.75, 4.0, 4.0]
