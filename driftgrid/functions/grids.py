@@ -40,8 +40,19 @@ class Stack:
     x0: np.ndarray
 
 
+#: Numbers a stack holds at most, unless one tile has more: what is computed from it is several times as large.
+STACK_CELLS = 1 << 18
+
+
+def runs(rows: np.ndarray, each: int) -> Iterator[np.ndarray]:
+    """The rows in runs of at most ``STACK_CELLS`` numbers, ``each`` per row."""
+    size = max(1, STACK_CELLS // max(1, each))
+    for k in range(0, len(rows), size):
+        yield rows[k : k + size]
+
+
 def stacks(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[Stack]:
-    """Tiles given as unordered pixel lists (``y``, ``x`` and ``names``), grouped by shape."""
+    """Tiles given as unordered pixel lists (``y``, ``x`` and ``names``), grouped by shape, a bounded number at a time."""
     starts = batch.column("y").offsets.to_numpy()
     flat = {n: batch.column(n).values.to_numpy(zero_copy_only=False)[: starts[-1]] for n in ("y", "x", *names)}
     lengths = np.diff(starts)
@@ -51,17 +62,17 @@ def stacks(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[Stack]:
     if (h * w != lengths).any():
         raise ValueError("a tile is not dense")
     for height, width in np.unique(np.stack([h, w], axis=1), axis=0):
-        rows = np.flatnonzero((h == height) & (w == width))
         area = int(height * width)
-        index = (starts[rows][:, None] + np.arange(area)).ravel()
-        owner = np.repeat(np.arange(len(rows)), area)
-        place = owner * area + (flat["y"][index] - y0[rows][owner]) * width + flat["x"][index] - x0[rows][owner]
-        grids = {}
-        for n in names:
-            cells = np.empty(len(index), dtype=flat[n].dtype)
-            cells[place] = flat[n][index]
-            grids[n] = cells.reshape(len(rows), int(height), int(width))
-        yield Stack(rows, grids, y0[rows], x0[rows])
+        for rows in runs(np.flatnonzero((h == height) & (w == width)), area):
+            index = (starts[rows][:, None] + np.arange(area)).ravel()
+            owner = np.repeat(np.arange(len(rows)), area)
+            place = owner * area + (flat["y"][index] - y0[rows][owner]) * width + flat["x"][index] - x0[rows][owner]
+            grids = {}
+            for n in names:
+                cells = np.empty(len(index), dtype=flat[n].dtype)
+                cells[place] = flat[n][index]
+                grids[n] = cells.reshape(len(rows), int(height), int(width))
+            yield Stack(rows, grids, y0[rows], x0[rows])
 
 
 def list_column(cells: np.ndarray, kind: pa.DataType) -> pa.ListArray:

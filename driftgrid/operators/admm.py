@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from driftgrid.operators.consensus import REGULARIZERS
 from driftgrid.deploy import ship
-from driftgrid.functions.grids import list_column
+from driftgrid.functions.grids import list_column, runs
 from driftgrid.scale import durable, release
 from driftgrid.schema import FRAME, PIXEL, frame_shape
 from driftgrid.tiles import TX, TY, assign
@@ -326,7 +326,7 @@ def _pointwise(pixels: DataFrame, cfg: Config, keys) -> Result:
 
 
 def _frame_stacks(batch: pa.RecordBatch):
-    """Frames of one shape and estimator count: rows in the batch, shape, anchors and weights."""
+    """Frames of one shape and estimator count, a bounded number at a time: rows in the batch, shape, anchors and weights."""
     starts = batch.column("y").offsets.to_numpy()
     ys, xs = (batch.column(c).values.to_numpy()[: starts[-1]] for c in PIXEL)
     nested = {c: batch.column(c).values for c in ("au", "av", "w")}
@@ -339,13 +339,13 @@ def _frame_stacks(batch: pa.RecordBatch):
     n = np.diff(inner)[starts[:-1]]
     kinds = np.stack([h, w, n], axis=1)
     for kind in np.unique(kinds, axis=0):
-        rows = np.flatnonzero((kinds == kind).all(axis=1))
         height, width, count = (int(v) for v in kind)
-        index = starts[rows][:, None] + np.arange(height * width)
-        order = np.argsort(ys[index] * width + xs[index], axis=1)
-        cells = inner[np.take_along_axis(index, order, axis=1)][..., None] + np.arange(count)
-        anchors = np.stack([values["au"][cells], values["av"][cells]], axis=-1)
-        yield rows, (height, width), anchors, values["w"][cells][..., None]
+        for rows in runs(np.flatnonzero((kinds == kind).all(axis=1)), height * width * count * 2):
+            index = starts[rows][:, None] + np.arange(height * width)
+            order = np.argsort(ys[index] * width + xs[index], axis=1)
+            cells = inner[np.take_along_axis(index, order, axis=1)][..., None] + np.arange(count)
+            anchors = np.stack([values["au"][cells], values["av"][cells]], axis=-1)
+            yield rows, (height, width), anchors, values["w"][cells][..., None]
 
 
 def _whole_frames(pixels: DataFrame, cfg: Config, keys) -> Result:

@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import grid, pixels
 from pyspark.sql import functions as F
 
+from driftgrid.functions import grids
 from driftgrid.operators import admm, consensus
 
 
@@ -225,3 +227,24 @@ def test_total_regularization_reads_pixels_once(spark, rng):
         assert row["loss"] == pytest.approx(loss(z[row["frame_id"]], weights))
     assert plan.count("Exchange hashpartitioning") == 2  # pixels to tiles, then one partial sum per frame
     assert {r["loss"] for r in consensus.total_regularization(field, {}).collect()} == {0.0}
+
+
+def test_frames_of_a_batch_are_solved_in_bounded_runs(rng):
+    """What a task holds beyond its batch does not grow with the frames in it; every frame comes once, as in one go."""
+    frames, side, count = 700, 8, 3
+    y, x = (np.tile(a.ravel(), frames).astype(np.int32) for a in np.indices((side, side)))
+    offsets = pa.array(np.arange(frames + 1, dtype=np.int32) * side * side)
+    inner = pa.array(np.arange(len(y) + 1, dtype=np.int32) * count)
+    values = {c: rng.normal(size=len(y) * count) for c in ("au", "av", "w")}
+    columns = {"y": pa.ListArray.from_arrays(offsets, pa.array(y)), "x": pa.ListArray.from_arrays(offsets, pa.array(x))}
+    columns |= {c: pa.ListArray.from_arrays(offsets, pa.ListArray.from_arrays(inner, pa.array(v))) for c, v in values.items()}
+    batch = pa.RecordBatch.from_pydict(columns)
+    parts = list(admm._frame_stacks(batch))
+    assert len(parts) > 1 and max(a.size for _, _, a, _ in parts) <= grids.STACK_CELLS
+    assert np.concatenate([rows for rows, *_ in parts]).tolist() == list(range(frames))
+    whole = np.stack([values["au"], values["av"]], axis=-1).reshape(frames, side * side, count, 2)
+    np.testing.assert_array_equal(np.concatenate([a for _, _, a, _ in parts]), whole)
+    np.testing.assert_array_equal(np.concatenate([w for *_, w in parts])[..., 0].ravel(), values["w"])
+    many = pa.RecordBatch.from_pydict({**{c: columns[c] for c in "yx"}, "i": pa.ListArray.from_arrays(offsets, pa.array(values["w"][: len(y)]))})
+    tiles = [t for k in range(8) for t in grids.stacks(many, ["i"])]
+    assert sum(len(t.rows) for t in tiles) == 8 * frames and max(t.grids["i"].size for t in tiles) <= grids.STACK_CELLS
